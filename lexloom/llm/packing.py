@@ -168,6 +168,16 @@ def _packed(node: int, level: int, last: bool, lengths: list[int], members: list
     )
 
 
+def _merge(level: int, last: bool, capacity: int, node_bins: int):
+    """The packing of a node above the leaves, whose items are its children's open bins."""
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("used", "ascending"), ("bin", "ascending")])
+        return _packed(key[0].as_py(), level, last, table.column("used").to_pylist(), table.column("members").to_pylist(), capacity, node_bins)
+
+    return merge
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, leaf_pieces: int = LEAF_PIECES, node_bins: int = NODE_BINS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = docs.sparkSession
@@ -186,11 +196,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     nodes, level = leaves, 1
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
-
-        def merge(key: tuple, table: pa.Table, level: int = level, last: bool = nodes == 1) -> pa.Table:
-            table = table.sort_by([("used", "ascending"), ("bin", "ascending")])
-            return _packed(key[0].as_py(), level, last, table.column("used").to_pylist(), table.column("members").to_pylist(), capacity, node_bins)
-
+        merge = _merge(level, nodes == 1, capacity, node_bins)
         levels.append(levels[-1].where(F.col("level") == level).groupBy("node").applyInArrow(merge, _BINS).checkpoint())
         level += 1
     placed = None
