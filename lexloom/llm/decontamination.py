@@ -243,7 +243,7 @@ def _cut(batch: pa.RecordBatch, words: tx.Words, hit: np.ndarray) -> pa.RecordBa
         return batch
     data, offsets = tx.flat(tx.column(batch, "text"))
     texts = tx.column(batch, "text").to_pylist()
-    keep = np.ones(batch.num_rows, dtype=bool)
+    keep, changed = np.ones(batch.num_rows, dtype=bool), []
     for i in np.unique(words.docs()[hit]):
         own = hit[words.first[i] : words.first[i + 1]]
         if SHARE * own.sum() >= len(own):
@@ -254,12 +254,6 @@ def _cut(batch: pa.RecordBatch, words: tx.Words, hit: np.ndarray) -> pa.RecordBa
         for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
             out.append(data[left : words.starts[words.first[i] + a]].tobytes())
             left = words.ends[words.first[i] + b - 1]
+        changed.append(int(i))
         texts[i] = b"".join([*out, data[left : offsets[i + 1]].tobytes()]).decode()
-    columns = [pa.array(texts, type=f.type) if f.name == "text" else batch.column(k) for k, f in enumerate(batch.schema)]
-    if "n_chars" in batch.schema.names and "text" in batch.schema.names:
-        k = batch.schema.get_field_index("n_chars")
-        if pa.types.is_integer(batch.schema.field(k).type):
-            changed = pa.array([None if t is None else len(t) for t in texts], type=batch.schema.field(k).type)
-            same = [a == b for a, b in zip(texts, tx.column(batch, "text").to_pylist())]
-            columns[k] = pa.array([old if s else new for s, old, new in zip(same, columns[k].to_pylist(), changed.to_pylist())], type=changed.type)
-    return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+    return tx.with_texts(batch, texts, changed).filter(pa.array(keep))

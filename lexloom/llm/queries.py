@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontamination, langid, packing, quality, sharding, simhash, substring_dedup, toxicity
+from lexloom.llm import decontamination, gif_media, langid, packing, pii, quality, sharding, simhash, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.stored_texts(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_read(spark, sf_dir, "documents"))
 
@@ -94,7 +102,7 @@ FROM docs d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i O
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_substring_dedup, op5_quality, op6_decontamination, op8_simhash, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language_id, op4_substring_dedup, op5_quality, op6_decontamination, op7_gif_media, op8_simhash, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -205,3 +205,18 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def to_batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=types[k]) for k, v in columns.items()], names=list(columns))
+
+
+def with_texts(batch: pa.RecordBatch, texts: list[str | None], changed: list[int]) -> pa.RecordBatch:
+    """The batch with other texts; ``n_chars`` of the changed rows follows where it is a whole number."""
+    columns = list(batch.columns)
+    if changed:
+        k = batch.schema.get_field_index("text")
+        columns[k] = pa.array(texts, type=batch.schema.field(k).type)
+        n = batch.schema.get_field_index("n_chars")
+        if n >= 0 and pa.types.is_integer(batch.schema.field(n).type):
+            counts = columns[n].to_pylist()
+            for i in changed:
+                counts[i] = len(texts[i])
+            columns[n] = pa.array(counts, type=batch.schema.field(n).type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
