@@ -192,7 +192,7 @@ def term_variants(c: Column | str) -> Column:
 
 def policy_definition(c: Column | str) -> Column:
     """TXT-25: stripped, lower case, without closing marks."""
-    return F.lower(F.regexp_replace(F.btrim(_col(c)), "[ .;,:]+$", ""))
+    return F.lower(F.regexp_replace(F.btrim(_col(c)), "[ .;,:]+\\z", ""))
 
 
 def fingerprint(c: Column | str) -> Column:

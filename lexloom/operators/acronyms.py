@@ -63,7 +63,7 @@ def accepted(surface: Column, before: Column, after: Column, dotted: bool = Fals
         surface.rlike(rf"^{DOTTED_FORM}$")
         & F.length(only).between(LEAST, MOST)
         & ((F.length(only) != 2) | only.isin(*TWO_LETTERS))
-        & ~before.rlike(r"[\d.]$")
+        & ~before.rlike(r"[\d.]\z")
         & ~after.rlike(r"^\d")
         & ~after.rlike(r"^\.[^)\]}»”'\" \n\r\t,;:!?…]")
     )
@@ -72,7 +72,7 @@ def accepted(surface: Column, before: Column, after: Column, dotted: bool = Fals
 
 def in_brackets(before: Column, after: Column) -> tuple[Column, Column]:
     """DET-06: inside and adjacent."""
-    return before.rlike(r"[(\[]$") & after.rlike(r"^[)\]]"), before.rlike(r"[(\[«“]$") | after.rlike(r"^[)\]»”]")
+    return before.rlike(r"[(\[]\z") & after.rlike(r"^[)\]]"), before.rlike(r"[(\[«“]\z") | after.rlike(r"^[)\]»”]")
 
 
 def defined_in_parens(after: Column) -> Column:
@@ -94,12 +94,12 @@ def next_lower(after: Column) -> Column:
 
 def previous_token(before: Column) -> Column:
     """DET-09."""
-    return F.regexp_extract(before, r"([\p{L}\p{N}:.]*)\s*$", 1)
+    return F.regexp_extract(before, r"([\p{L}\p{N}:.]*)\s*\z", 1)
 
 
 def at_sentence_start(before: Column, reaches_start: Column) -> Column:
     """DET-09."""
-    return before.rlike(r"""[.!?…][\s")\]}»”’']*$""") | (reaches_start & before.rlike(r"""^[\s")\]}»”’']*$"""))
+    return before.rlike(r"""[.!?…][\s")\]}»”’']*\z""") | (reaches_start & before.rlike(r"""^[\s")\]}»”’']*\z"""))
 
 
 def all_caps_word(surface: Column) -> Column:
@@ -111,14 +111,14 @@ def shouted(surface: Column, before: Column, after: Column) -> Column:
     """DET-10: an upper-case word after a comma, or after such a word, on the way to an exclamation mark."""
     bang = after.rlike(r"^[^.?\n!！‼]*[!！‼]")
     onwards = after.rlike(r"^\s*(?:[A-Z]{1,2}\s+){0,2}[A-Z]{3,}(?:[^A-Za-z]|$)")
-    first = (F.length(surface) >= 4) & before.rlike(r",\s*$") & onwards
-    second = before.rlike(r",\s*\p{Lu}{4,}\s*$")
+    first = (F.length(surface) >= 4) & before.rlike(r",\s*\z") & onwards
+    second = before.rlike(r",\s*\p{Lu}{4,}\s*\z")
     return all_caps_word(surface) & bang & (first | second)
 
 
 def heading_line(before: Column, after: Column) -> Column:
     """DET-10: all of at least six letters on the line are upper case (seen as far as the context reaches)."""
-    rest = F.concat(F.regexp_extract(before, r"([^\n]*)$", 1), F.regexp_extract(after, r"^([^\n]*)", 1))
+    rest = F.concat(F.regexp_extract(before, r"([^\n]*)\z", 1), F.regexp_extract(after, r"^([^\n]*)", 1))
     return ~rest.rlike(r"[\p{Ll}\p{Lt}\p{Lo}]"), rest
 
 
@@ -128,7 +128,7 @@ def dropped_by_context(surface: Column, before: Column, after: Column, reaches_s
     no_lower, rest = heading_line(before, after)
     heading = all_caps_word(surface) & no_lower & (F.length(fx.letters(F.concat(rest, surface))) >= 6)
     start, lower = at_sentence_start(before, reaches_start), next_lower(after)
-    i_am = before.rlike(r"""[.!?"'“”‘’(\[{]\s*I\s*$""") | (reaches_start & before.rlike(r"^\s*I\s*$"))
+    i_am = before.rlike(r"""[.!?"'“”‘’(\[{]\s*I\s*\z""") | (reaches_start & before.rlike(r"^\s*I\s*\z"))
     return (
         F.when(inside | defined_in_parens(after) | stands_for(after), False)
         .when(shouted(surface, before, after), True)

@@ -86,7 +86,7 @@ def around(text: Column, s: Column, e: Column, n: int) -> Column:
 def sentence_window(text: Column, s: Column, e: Column, n: int = 140) -> tuple[Column, Column]:
     """TXT-24: offsets of the window that stops at sentence and line ends, at most n characters away."""
     left_part = F.substring(text, F.greatest(s - n, F.lit(0)) + 1, F.least(s, F.lit(n)))
-    left_kept = F.regexp_extract(left_part, "([^.!?\\n\\r]*)$", 1)
+    left_kept = F.regexp_extract(left_part, "([^.!?\\n\\r]*)\\z", 1)
     left_text = F.regexp_replace(left_kept, "(?U)^\\s+", "")
     right_part = F.substring(text, e + 1, n)
     right_kept = F.regexp_extract(right_part, "^([^.!?\\n\\r]*)", 1)

@@ -113,8 +113,8 @@ def definitions(docs: DataFrame, intros: DataFrame) -> DataFrame:
     rest = F.substring("text", F.col("e") + 1, F.lit(MOST_DEFINITION + 60))
     body = F.regexp_replace(rest, '(?i)^"?[ \\t]*(?:shall[ \\t]+mean|means)[\\s,:]*', "")
     cut = F.substring(F.regexp_extract(body, "(?s)^(.*?)(?:\\n\\s*\\n|[;.]|$)", 1), 1, MOST_DEFINITION)
-    left = F.regexp_replace(F.substring("text", F.lit(1), F.col("s") - 1), '(?i)\\(\\s*(?:the[ \\t]+)?$', "")
-    before = F.regexp_extract(left, "([^.;:\\n]*)$", 1)
+    left = F.regexp_replace(F.substring("text", F.lit(1), F.col("s") - 1), '(?i)\\(\\s*(?:the[ \\t]+)?\\z', "")
+    before = F.regexp_extract(left, "([^.;:\\n]*)\\z", 1)
     stripped = lambda c: F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
     alias = F.col("kind") == "parenthetical_alias"
     ordinal = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("s", "e")) - 1

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as fx
-from lexloom.operators import acronyms, domains, spans, structure, terms
+from lexloom.operators import acronyms, chunking, domains, glossary, limits, meanings, policy, retrieval, spans, structure, terms
 from lexloom.plans import oracles as sql
 from lexloom.plans.corpus import contracts, tables
+from lexloom.sources import tables as source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The documents with every character outside ASCII as x: patterns then agree on what a letter is.
@@ -440,3 +441,398 @@ def term_scores(spark, sf_dir):
 )
 def term_resolutions(spark, sf_dir):
     return terms.resolutions(_term_scores(spark, sf_dir))
+
+
+# ---- MNG ----------------------------------------------------------------------------
+
+_IDS = "CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, upper(concat(substring(p_name, 1, 1), substring(split_part(p_name, ' ', 2), 1, 1))) AS acronym"
+_DEFS_SQL = f"""SELECT {_IDS}, concat(upper(substring(p_name, 1, 1)), substring(split_part(p_name, ' ', 1), 2, 99), ' ', upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(split_part(p_name, ' ', 2), 2, 99)) AS definition,
+  CASE p_size % 6 WHEN 0 THEN 'parenthetical' WHEN 1 THEN 'inline' WHEN 2 THEN 'first_occurrence_anchored' WHEN 3 THEN 'all_occ_scan_parenthetical' WHEN 4 THEN 'sentence_backref' ELSE 'unknown' END AS source,
+  CAST(0.5 + (p_size % 4) / 10.0 AS DOUBLE) AS conf, CAST((p_partkey % 40) * 100 AS INT) AS acr_s, CAST((p_partkey % 40) * 100 + 2 AS INT) AS acr_e,
+  CAST((p_partkey % 40) * 100 + 5 AS INT) AS def_s, CAST((p_partkey % 40) * 100 + 5 + length(p_name) AS INT) AS def_e, p_partkey AS seq FROM part"""
+_OCC_SQL = f"""SELECT {_IDS}, CAST((p_partkey % 40) * 100 + 50 + p_size % 7 AS INT) AS s, CAST((p_partkey % 40) * 100 + 52 + p_size % 7 AS INT) AS e, concat(p_name, ' ', lower(p_type)) AS near_text FROM part"""
+_DEDUPED = f"""defs AS ({_DEFS_SQL}), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, acronym, lower(definition) ORDER BY conf DESC, CASE source WHEN 'parenthetical' THEN 5 WHEN 'inline' THEN 4 WHEN 'first_occurrence_anchored' THEN 3 WHEN 'all_occ_scan_parenthetical' THEN 2 WHEN 'sentence_backref' THEN 1 ELSE 0 END DESC, def_s, def_e, acr_s, acr_e, seq) AS nth,
+    min(seq) OVER (PARTITION BY doc_id, acronym, lower(definition)) AS first_seq FROM defs
+), deduped AS (SELECT doc_id, acronym, definition AS label, source, conf, acr_s, acr_e, def_s, def_e, first_seq AS seq FROM ranked WHERE nth = 1)"""
+#: As many definitions of an acronym as a document has, each its own span of one meaning.
+_MEANINGS = """meanings AS (SELECT doc_id, acronym, lower(acronym) || '|' || trim(regexp_replace(lower(definition), '[^a-z0-9]+', '_', 'g'), '_') AS meaning_id, arg_min(definition, seq) AS label, count(*)::BIGINT AS support, max(conf) AS conf, list(struct_pack(def_s := def_s, def_e := def_e)) AS spans FROM defs GROUP BY ALL)"""
+
+
+def _part_sql(spark, sf_dir, statement):
+    (part,) = tables(spark, sf_dir, "part")
+    return spark.sql(statement.replace("FROM part", "FROM {part}"), part=part)
+
+
+def _meaning_inputs(spark, sf_dir):
+    defs = _part_sql(spark, sf_dir, _DEFS_SQL)
+    occ = _part_sql(spark, sf_dir, _OCC_SQL).withColumn("near", fx.word_set("near_text")).drop("near_text").dropDuplicates(["doc_id", "acronym", "s", "e"])
+    return occ, meanings.build(defs.withColumnRenamed("definition", "label"))
+
+
+@query(f"WITH {_DEDUPED} SELECT * FROM deduped")
+def acr_dedupe_defs(spark, sf_dir):
+    return meanings.dedupe(_part_sql(spark, sf_dir, _DEFS_SQL))
+
+
+@query(f"WITH {_DEDUPED}, {_MEANINGS} SELECT doc_id, acronym, meaning_id, label, support, conf, len(spans)::INT AS n_spans FROM meanings")
+def acr_meanings(spark, sf_dir):
+    return _meaning_inputs(spark, sf_dir)[1].withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+_SCORED = f"""{_DEDUPED}, {_MEANINGS}, occ AS (SELECT DISTINCT ON (doc_id, acronym, s, e) *, list_distinct(regexp_extract_all(lower(near_text), '[a-z0-9]+')) AS near FROM ({_OCC_SQL})),
+tried AS (SELECT o.doc_id, o.acronym, o.s, o.e, m.meaning_id, m.conf, list_min(list_transform(spans, lambda x: abs(o.s - floor((x.def_s + x.def_e) / 2)))) AS d,
+    list_min(list_transform(spans, lambda x: floor(abs((x.def_s + x.def_e) / 2.0 - (o.s + o.e) / 2.0)))) AS distance,
+    len(list_intersect(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+')), near)) / len(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+')))::DOUBLE AS overlap
+  FROM occ o JOIN meanings m ON o.doc_id = m.doc_id AND o.acronym = m.acronym),
+based AS (SELECT *, 0.75::DOUBLE / (1.0 + d) + 0.25::DOUBLE * overlap AS base FROM tried),
+topped AS (SELECT *, max(base) OVER w AS p1, nth_value(base, 2) OVER (PARTITION BY doc_id, acronym, s, e ORDER BY base DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS p2 FROM based WINDOW w AS (PARTITION BY doc_id, acronym, s, e)),
+scored AS (SELECT doc_id, acronym, s, e, meaning_id, conf, distance, base + CASE WHEN p2 IS NULL OR p1 - p2 >= 0.06 THEN 0 ELSE 0.02 * (1 - (p1 - p2) / 0.06) END * conf AS score FROM topped)"""
+#: Two scores that ought to tie may differ in the last bit, so orders are by rounded scores on both sides.
+_CHOSEN = f"""{_SCORED}, rounded AS (SELECT * REPLACE (round(score, 9) AS score) FROM scored),
+ordered AS (SELECT *, row_number() OVER w AS nth, lead(score) OVER w AS p2, lead(meaning_id) OVER w AS id2, lead(distance) OVER w AS d2, count(*) OVER (PARTITION BY doc_id, acronym, s, e) AS n FROM rounded WINDOW w AS (PARTITION BY doc_id, acronym, s, e ORDER BY score DESC, conf DESC, meaning_id DESC)),
+chosen AS (SELECT doc_id, acronym, s, e, n::INT AS n_candidates, (score - coalesce(p2, 0)) / greatest(score, 1e-9) AS margin, score - coalesce(p2, 0) AS gap,
+  CASE WHEN (score - coalesce(p2, 0)) / greatest(score, 1e-9) >= 0.2 THEN meaning_id WHEN n > 1 AND score - p2 <= 0.06 THEN CASE WHEN distance - d2 >= 3 THEN id2 WHEN d2 - distance >= 3 THEN meaning_id END END AS meaning_id FROM ordered WHERE nth = 1)"""
+
+
+def _scored(spark, sf_dir):
+    occ, built = _meaning_inputs(spark, sf_dir)
+    return meanings.tier1_scores(occ, built)
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, acronym, s, e, meaning_id, distance::BIGINT AS distance, round(score, 6) AS score FROM scored")
+def acr_base_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "acronym", "s", "e", "meaning_id", F.col("distance").cast("long").alias("distance"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_CHOSEN} SELECT doc_id, acronym, s, e, n_candidates, coalesce(meaning_id, '') AS meaning_id, round(margin, 5) AS margin, round(gap, 5) AS gap FROM chosen")
+def acr_choose_margin(spark, sf_dir):
+    chosen = meanings.choose(_scored(spark, sf_dir).withColumn("score", F.round("score", 9)))
+    return chosen.select("doc_id", "acronym", "s", "e", "n_candidates", F.coalesce("meaning_id", F.lit("")).alias("meaning_id"), F.round("margin", 5).alias("margin"), F.round("gap", 5).alias("gap"))
+
+
+@query(f"WITH {_DEDUPED}, firsts AS (SELECT DISTINCT doc_id, acronym AS key FROM ({_OCC_SQL})), known AS (SELECT DISTINCT doc_id, acronym FROM deduped WHERE conf >= 0.8) SELECT f.doc_id, round(avg(CASE WHEN k.acronym IS NULL THEN 0 ELSE 1 END), 6)::DOUBLE AS coverage, coalesce(string_agg(CASE WHEN k.acronym IS NULL THEN f.key END, ',' ORDER BY f.key), '') AS missing FROM firsts f LEFT JOIN known k ON f.doc_id = k.doc_id AND f.key = k.acronym GROUP BY f.doc_id")
+def acr_coverage(spark, sf_dir):
+    firsts = _part_sql(spark, sf_dir, _OCC_SQL).select("doc_id", F.col("acronym").alias("key")).distinct()
+    known = meanings.dedupe(_part_sql(spark, sf_dir, _DEFS_SQL)).where("conf >= 0.8")
+    out = meanings.coverage(firsts, known)
+    return out.select("doc_id", F.round("coverage", 6).alias("coverage"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""WITH {_CHOSEN}, amb AS (SELECT acronym, doc_id FROM meanings GROUP BY ALL HAVING count(*) > 1)
+  SELECT coalesce(CASE WHEN n_candidates < 2 THEN 'single_candidate' WHEN a.acronym IS NULL THEN 'not_ambiguous' WHEN round(margin, 9) >= 0.75 THEN 'tier1_confident' END, 'applied') AS reason, count(*)::BIGINT AS n
+  FROM chosen c LEFT JOIN amb a ON c.acronym = a.acronym AND c.doc_id = a.doc_id GROUP BY ALL""")
+def tier2_route_reasons(spark, sf_dir):
+    occ, built = _meaning_inputs(spark, sf_dir)
+    chosen = meanings.choose(meanings.tier1_scores(occ, built).withColumn("score", F.round("score", 9))).withColumn("margin", F.round("margin", 9))
+    many = built.groupBy("doc_id", "acronym").agg((F.count("*") > 1).alias("ambiguous"))
+    routed = meanings.route(chosen.join(many, ["doc_id", "acronym"], "left").fillna(False, ["ambiguous"]))
+    return meanings.report(routed)
+
+
+# ---- T2 and RAG over vectors -----------------------------------------------------------
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4)::DOUBLE AS norm,
+  round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) * (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))))), 4)::DOUBLE AS unit FROM embeddings""")
+def vec_normalise(spark, sf_dir):
+    (v,) = tables(spark, sf_dir, "embeddings")
+    unit = meanings.normalise(F.col("embedding"))
+    return v.select("vec_id", F.round(meanings.norm(F.col("embedding")), 4).alias("norm"), unit.alias("_u")).select("vec_id", "norm", F.round(meanings.dot(F.col("_u"), F.col("_u")), 4).alias("unit"))
+
+
+_PAIRS = "SELECT a.vec_id AS q, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0"
+
+
+@query(f"SELECT q, id, round(score, 4) AS score, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS nth FROM ({_PAIRS})) WHERE nth <= 5")
+def vec_topk(spark, sf_dir):
+    """The five best of all vectors for every hundredth one."""
+    (v,) = tables(spark, sf_dir, "embeddings")
+    index = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = retrieval.top_k(index.where("id % 100 = 0").withColumnRenamed("id", "q"), index, 5)
+    return out.select("q", "id", F.round("score", 4).alias("score"), "nth")
+
+
+@query("""SELECT a.vec_id AS id, round(least(greatest(0.5 * (list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) + 1), 0), 1), 4)::DOUBLE AS cosine,
+  round(0.65 * ((a.vec_id % 10) / 10.0)::DOUBLE + 0.35 * least(greatest(0.5 * (list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) + 1), 0), 1), 4)::DOUBLE AS blended
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def tier2_blend(spark, sf_dir):
+    """Every vector against the next one: the similarity and its blend with a tier-1 score."""
+    (v,) = tables(spark, sf_dir, "embeddings")
+    nxt = v.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("_b"))
+    j = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("_a")).join(nxt, "id")
+    similar = meanings.cosine01(F.col("_a"), F.col("_b"))
+    return j.select("id", F.round(similar, 4).alias("cosine"), F.round(meanings.blend((F.col("id") % 10) / 10.0, similar), 4).alias("blended"))
+
+
+_RETRIEVED = "SELECT l_orderkey % 500 AS q, l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk, CAST(l_partkey % 3 * 100 AS INT) AS s, CAST(l_partkey % 3 * 100 + l_quantity AS INT) AS e, l_discount AS score, l_tax < 0.04 AS grounding FROM lineitem"
+
+
+@query(f"SELECT q, doc_id, CASE WHEN grounding THEN 'grounding' ELSE 'excerpt' END AS part, arg_max(chunk, [CASE WHEN grounding AND s = 0 THEN 1 ELSE 0 END, score, e - s, -chunk]) AS chunk FROM ({_RETRIEVED}) GROUP BY ALL")
+def evidence_compact(spark, sf_dir):
+    (lineitem,) = tables(spark, sf_dir, "lineitem")
+    return retrieval.compact(spark.sql(_RETRIEVED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem))
+
+
+@query("SELECT q, key, n FROM (SELECT l_suppkey AS q, l_returnflag || l_linestatus AS key, count(DISTINCT trim(l_partkey % 5 || ' ')) AS n FROM lineitem GROUP BY ALL) WHERE n > 1")
+def binding_conflicts(spark, sf_dir):
+    (lineitem,) = tables(spark, sf_dir, "lineitem")
+    rows = lineitem.select(F.col("l_suppkey").alias("q"), F.col("l_orderkey").alias("doc_id"), F.concat("l_returnflag", "l_linestatus").alias("key"), F.concat((F.col("l_partkey") % 5).cast("string"), F.lit(" ")).alias("definition"))
+    return retrieval.binding_conflicts(rows)
+
+
+_REPLIES = """SELECT o_orderkey AS id, o_custkey % 2 = 0 AS has_second_pass, CASE o_orderkey % 12
+  WHEN 0 THEN '{"action":"proceed","outcome":"answer","sufficient_evidence":true,"ambiguity_detected":false,"requested_second_pass":false,"answer_text":"yes"}'
+  WHEN 1 THEN '{"action":"proceed",' WHEN 2 THEN '[1,2]' WHEN 3 THEN '{"action":"go","outcome":"answer"}'
+  WHEN 4 THEN '{"action":"proceed","outcome":"answer","sufficient_evidence":1,"ambiguity_detected":false}'
+  WHEN 5 THEN '{"action":"proceed","outcome":"answer","sufficient_evidence":true,"ambiguity_detected":false}'
+  WHEN 6 THEN '{"action":"retry_once","outcome":"answer_with_warning","sufficient_evidence":false,"ambiguity_detected":true,"requested_second_pass":true,"answer_text":"maybe"}'
+  WHEN 7 THEN '{"action":"abstain","outcome":"answer","sufficient_evidence":false,"ambiguity_detected":true,"requested_second_pass":false}'
+  WHEN 8 THEN '{"action":"abstain","outcome":"abstain","sufficient_evidence":false,"ambiguity_detected":true,"requested_second_pass":false,"answer_text":"no"}'
+  WHEN 9 THEN '{"action":"proceed","outcome":"abstain","sufficient_evidence":true,"ambiguity_detected":false,"requested_second_pass":false,"answer_text":"x"}'
+  WHEN 10 THEN '{"action":"proceed","outcome":"answer","sufficient_evidence":true,"ambiguity_detected":false,"requested_second_pass":false,"answer_text":" "}'
+  ELSE '{"action":"abstain","outcome":"abstain","sufficient_evidence":false,"ambiguity_detected":true,"requested_second_pass":false,"answer_text":null}' END AS raw FROM orders"""
+
+
+@query(f"""WITH r AS ({_REPLIES}), f AS (SELECT id, has_second_pass, CASE id % 12 WHEN 1 THEN 'malformed_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'unsupported_action_or_outcome' WHEN 4 THEN 'missing_booleans' WHEN 5 THEN 'missing_requested_second_pass'
+  WHEN 6 THEN CASE WHEN has_second_pass THEN '' ELSE 'retry_without_a_pass' END WHEN 7 THEN 'inconsistent_abstain' WHEN 8 THEN 'answer_while_abstaining' WHEN 9 THEN 'inconsistent_proceed' WHEN 10 THEN 'missing_answer_text' ELSE '' END AS fault FROM r)
+  SELECT id, fault, CASE WHEN fault <> '' THEN CASE WHEN has_second_pass THEN 'retry_once' ELSE 'abstain' END ELSE CASE id % 12 WHEN 0 THEN 'proceed' WHEN 6 THEN 'retry_once' ELSE 'abstain' END END AS action,
+    CASE WHEN fault <> '' THEN CASE WHEN has_second_pass THEN 'answer_with_warning' ELSE 'abstain' END ELSE CASE id % 12 WHEN 0 THEN 'answer' WHEN 6 THEN 'answer_with_warning' ELSE 'abstain' END END AS outcome FROM f""")
+def reviewer_validate(spark, sf_dir):
+    (orders,) = tables(spark, sf_dir, "orders")
+    return retrieval.review(spark.sql(_REPLIES.replace("FROM orders", "FROM {orders}").replace("{\"", "{{\"").replace("\"}", "\"}}").replace("e}'", "e}}'").replace("l}'", "l}}'"), orders=orders))
+
+
+@query("SELECT doc_id, true AS has_payload, text = text AS rest_equal, length('{\"n\":' || length(text) || '}')::INT AS payload_chars FROM documents")
+def json_payload_split(spark, sf_dir):
+    """Documents grounded with a payload, then split again."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    payloads = docs.select("doc_id", F.concat(F.lit('{"n":'), F.length("text").cast("string"), F.lit("}")).alias("payload"))
+    grounded = retrieval.ground(docs, payloads).join(docs.select("doc_id", F.col("text").alias("_old")), "doc_id")
+    payload, rest = retrieval.split_grounding(F.col("text"))
+    return grounded.select("doc_id", payload.isNotNull().alias("has_payload"), (rest == F.col("_old")).alias("rest_equal"), F.length(payload).alias("payload_chars"))
+
+
+# ---- CHK --------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, i::INT AS ordinal, (i * 850)::INT AS s, least(i * 850 + 1000, n)::INT AS e, md5(substring(text, i * 850 + 1, 1000)) AS digest
+  FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, (CASE WHEN length(text) <= 1000 THEN 0 ELSE ceil((length(text) - 1000) / 850.0) END)::BIGINT + 1)) AS i FROM documents)""")
+def chunk_fixed(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return chunking.chunk(docs, chunking.RAG_SIZE, chunking.RAG_OVERLAP).select("doc_id", "ordinal", "s", "e", F.md5("text").alias("digest"))
+
+
+@query("""SELECT doc_id, (CASE WHEN length(text) <= 20000 THEN 1 ELSE ceil((length(text) - 20000) / 18800.0) + 1 END)::BIGINT AS n, length(text) > 30000 AS chunked FROM documents""")
+def chunk_service(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    n = chunking.chunk(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return n.join(chunking.needs_chunks(docs).select("doc_id", "chunked"), "doc_id")
+
+
+@query(sql.contracts(f"{_REFS} SELECT doc_id, kind, label, normalized_key AS canonical_key, s, e FROM refs"))
+def struct_merge_chunks(spark, sf_dir):
+    """References found in overlapping chunks and merged are those of the whole text: no reference is longer than the overlap."""
+    found = chunking.in_chunks(contracts(spark, sf_dir), structure.references, 400, 120)
+    # a reference that a chunk's edge cuts short lies inside the whole one of its neighbour
+    one = found.select("doc_id", "kind", "label", "canonical_key", "s", "e").distinct()
+    longer = one.select(F.col("doc_id").alias("_d"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("kind").alias("_k"))
+    return one.join(longer, (one["doc_id"] == longer["_d"]) & (one["kind"] == longer["_k"]) & (one["s"] == longer["_s"]) & (one["e"] < longer["_e"]), "left_anti")
+
+
+@query(sql.contracts(f"{_CAND} SELECT doc_id, surface AS acronym, s, e, 1.0::DOUBLE AS conf FROM cand WHERE surface IN ('RSB', 'CEO', 'VAT', 'EMA', 'JAO', 'NGO')"))
+def chunk_merge_acronyms(spark, sf_dir):
+    def scan(docs):
+        rows = acronyms.candidates(docs).select("doc_id", F.col("surface").alias("acronym"), "s", "e", F.lit(1.0).alias("conf"))
+        return rows.where(F.col("acronym").isin("RSB", "CEO", "VAT", "EMA", "JAO", "NGO"))
+
+    return chunking.merge_occurrences(chunking.in_chunks(contracts(spark, sf_dir), scan, 400, 120))
+
+
+# ---- GLO and RES --------------------------------------------------------------------------
+
+_GLO_A = "SELECT p_partkey AS id, concat('AC', p_partkey) AS acronym, lower(concat('AC', p_partkey)) AS normalized, p_partkey % 10 <> 3 AS is_active FROM part"
+_GLO_M = """SELECT p_partkey * 3 + k AS id, p_partkey AS acronym_id, concat(p_name, CASE k WHEN 0 THEN '' ELSE concat(' ', k) END) AS definition, CASE (p_size + k) % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'legal' ELSE 'bio' END AS domain,
+  'seed' AS provenance, concat('r', p_partkey) AS source_ref, (p_size + k) % 5 <> 0 AS is_active, p_size * 7 % 11 + k AS created_at FROM part, (SELECT explode(array(0, 1, 2)) AS k) t WHERE k <= p_size % 3"""
+_GLO_V = "SELECT p_partkey AS acronym_id, concat('ac-', p_partkey) AS variant FROM part"
+_GLO_R = "SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 2 = 0 THEN concat(' AC', o_custkey, ' ') ELSE concat('Ac-', o_custkey) END AS acronym, CASE o_orderkey % 4 WHEN 0 THEN 'legal' WHEN 1 THEN 'BIO' WHEN 2 THEN 'general' END AS domain FROM orders"
+_GLO = f"""WITH a AS ({_GLO_A}), m AS ({_GLO_M.replace("(SELECT explode(array(0, 1, 2)) AS k) t", "(VALUES (0), (1), (2)) t(k)")}), v AS ({_GLO_V}), r AS ({_GLO_R})"""
+_GLO_BY_NAME = "SELECT request_id, m.id AS meaning_id, definition, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, m.id DESC) AS nth FROM r JOIN a ON lower(trim(r.acronym)) = a.normalized AND a.is_active JOIN m ON m.acronym_id = a.id AND m.is_active AND m.domain = lower(coalesce(r.domain, 'general'))"
+
+
+def _glossary(spark, sf_dir):
+    part, orders = tables(spark, sf_dir, "part", "orders")
+    put = lambda s: spark.sql(s.replace("FROM part", "FROM {part}").replace("FROM orders", "FROM {orders}"), **({"part": part} if "FROM part" in s else {}), **({"orders": orders} if "FROM orders" in s else {}))
+    return put(_GLO_R), put(_GLO_A), put(_GLO_M), put(_GLO_V)
+
+
+@query(f"{_GLO} SELECT request_id, nth::INT AS nth, meaning_id, definition FROM ({_GLO_BY_NAME}) WHERE nth <= 5")
+def glossary_lookup(spark, sf_dir):
+    r, a, m, _ = _glossary(spark, sf_dir)
+    return glossary.definitions(r, a, m)
+
+
+@query(f"{_GLO} SELECT request_id, nth::INT AS nth, meaning_id, definition FROM ({_GLO_BY_NAME.replace('JOIN a ON lower(trim(r.acronym)) = a.normalized AND a.is_active', 'JOIN v ON lower(trim(r.acronym)) = lower(v.variant) JOIN a ON a.id = v.acronym_id AND a.is_active')}) WHERE nth <= 5")
+def glossary_alias(spark, sf_dir):
+    r, a, m, v = _glossary(spark, sf_dir)
+    return glossary.by_alias(r, a, m, v)
+
+
+@query(f"{_GLO} SELECT DISTINCT acronym FROM a WHERE is_active AND lower(acronym) LIKE 'ac1%' AND EXISTS (SELECT 1 FROM m WHERE m.acronym_id = a.id AND m.is_active AND m.domain = 'general') ORDER BY acronym LIMIT 50")
+def glossary_prefix(spark, sf_dir):
+    _, a, m, _ = _glossary(spark, sf_dir)
+    return glossary.list_acronyms(a, m, "Ac1")
+
+
+@query(f"{_GLO} SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY m.is_active DESC, domain, definition, m.id)::INT AS nth, m.id AS meaning_id, m.domain, definition, m.is_active FROM (SELECT request_id, coalesce(a.id, v.acronym_id) AS i FROM r LEFT JOIN a ON lower(trim(r.acronym)) = a.normalized LEFT JOIN v ON lower(trim(r.acronym)) = lower(v.variant)) q JOIN m ON m.acronym_id = q.i")
+def glossary_meanings(spark, sf_dir):
+    r, a, m, v = _glossary(spark, sf_dir)
+    return glossary.list_meanings(r, a, m, v)
+
+
+@query(f"{_GLO}, g AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p, nth) AS k FROM (SELECT *, 0 AS p FROM ({_GLO_BY_NAME}) UNION ALL SELECT *, 1 AS p FROM ({_GLO_BY_NAME.replace('lower(coalesce(r.domain, ' + repr('general') + '))', repr('general'))}))) SELECT request_id, meaning_id, definition, p = 1 AS fell_back FROM g WHERE k = 1")
+def glossary_get(spark, sf_dir):
+    r, a, m, _ = _glossary(spark, sf_dir)
+    return glossary.get(r, a, m)
+
+
+@query(f"""{_GLO}, one AS (SELECT acronym_id, domain, min(definition) AS definition, 'seed' AS provenance, min(source_ref) AS source_ref, true AS is_active FROM m GROUP BY ALL),
+  c AS (SELECT p_partkey AS acronym_id, 'legal' AS domain, concat('new ', p_name) AS definition, 'edit' AS provenance, 'x' AS source_ref, p_size % 2 = 0 AS is_active FROM part)
+  SELECT coalesce(o.acronym_id, c.acronym_id) AS acronym_id, coalesce(o.domain, c.domain) AS domain, coalesce(o.definition, c.definition) AS definition, coalesce(c.provenance, o.provenance) AS provenance, coalesce(c.source_ref, o.source_ref) AS source_ref, coalesce(c.is_active, o.is_active) AS is_active
+  FROM one o FULL OUTER JOIN c ON o.acronym_id = c.acronym_id AND o.domain = c.domain""")
+def glossary_upsert(spark, sf_dir):
+    (part,) = tables(spark, sf_dir, "part")
+    _, _, m, _ = _glossary(spark, sf_dir)
+    one = m.groupBy("acronym_id", "domain").agg(F.min("definition").alias("definition"), F.lit("seed").alias("provenance"), F.min("source_ref").alias("source_ref"), F.lit(True).alias("is_active"))
+    c = part.select(F.col("p_partkey").alias("acronym_id"), F.lit("legal").alias("domain"), F.concat(F.lit("new "), "p_name").alias("definition"), F.lit("edit").alias("provenance"), F.lit("x").alias("source_ref"), (F.col("p_size") % 2 == 0).alias("is_active"))
+    return glossary.upsert(one, c)
+
+
+_RES_DOC = "SELECT p_partkey % 97 AS doc_id, concat('AC', p_partkey) AS acronym, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' 1.') ELSE ' ' END AS definition, CAST(p_size AS INT) AS s, CAST(p_size + 9 AS INT) AS e FROM part"
+_RES_CTE = f"""{_GLO}, d AS ({_RES_DOC}), g AS (SELECT a.acronym, m.id AS meaning_id, m.domain, m.definition, m.is_active FROM a JOIN m ON m.acronym_id = a.id),
+keys AS (SELECT DISTINCT doc_id, acronym FROM d), doc AS (SELECT doc_id, acronym, 'document' AS provenance, NULL AS domain, trim(definition) AS definition, 'text_span:' || s || '-' || e AS source_ref FROM d WHERE trim(definition) <> ''),
+gl AS (SELECT doc_id, acronym, 'glossary' AS provenance, domain, trim(definition) AS definition, 'meaning:' || meaning_id AS source_ref FROM keys JOIN g USING (acronym) WHERE is_active
+  AND NOT EXISTS (SELECT 1 FROM doc WHERE doc.doc_id = keys.doc_id AND doc.acronym = keys.acronym AND lower(rtrim(doc.definition, ' .;,:')) = lower(rtrim(trim(g.definition), ' .;,:')))),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, acronym ORDER BY provenance <> 'document', lower(definition), coalesce(domain, ''), source_ref) AS nth, count(*) OVER (PARTITION BY doc_id, acronym) AS n, count(*) FILTER (provenance = 'document') OVER (PARTITION BY doc_id, acronym) AS n_doc,
+  min(CASE WHEN domain = 'general' THEN lower(definition) || chr(1) || source_ref END) OVER (PARTITION BY doc_id, acronym) AS gen FROM (SELECT * FROM doc UNION ALL SELECT * FROM gl)),
+i AS (SELECT doc_id, acronym, count(*) FILTER (NOT is_active) AS n_inactive FROM keys JOIN g USING (acronym) GROUP BY ALL),
+k AS (SELECT c.*, coalesce(n_inactive, 0) AS n_inactive FROM c LEFT JOIN i USING (doc_id, acronym))"""
+
+
+def _policy_sql(mode: str) -> str:
+    single = "CASE WHEN n_inactive > 0 THEN 'inactive_filtered' ELSE 'single_candidate' END"
+    if mode == policy.STRICT:
+        pick = f"CASE WHEN n_doc > 0 THEN (CASE WHEN nth = 1 THEN 'in_document_definition' END) WHEN n = 1 THEN {single} END"
+    else:
+        alone = f"WHEN n = 1 THEN {single} " if mode == policy.DOMAIN_PRIORITY else ""
+        pick = f"CASE WHEN n_doc > 0 THEN (CASE WHEN nth = 1 THEN 'in_document_definition' END) {alone}WHEN gen IS NOT NULL THEN (CASE WHEN domain = 'general' AND lower(definition) || chr(1) || source_ref = gen THEN 'fallback_general' END) WHEN nth = 1 THEN 'highest_score' END"
+    return f"""{_RES_CTE}, p AS (SELECT *, {pick} AS reason FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, acronym ORDER BY reason IS NULL, nth) AS pos FROM p)
+    SELECT doc_id, acronym, coalesce(max(CASE WHEN reason IS NOT NULL THEN definition END), '') AS definition, coalesce(max(CASE WHEN reason IS NOT NULL THEN domain END), '') AS domain, coalesce(max(reason), '') AS reason, max(n) > 1 AS conflict, max(n)::INT AS conflict_count, max(n_inactive)::BIGINT AS n_inactive,
+      coalesce(string_agg(source_ref, ',' ORDER BY pos) FILTER (pos <= 5), '') AS candidates FROM o GROUP BY doc_id, acronym"""
+
+
+def _policy(spark, sf_dir, mode):
+    (part,) = tables(spark, sf_dir, "part")
+    document = spark.sql(_RES_DOC.replace("FROM part", "FROM {part}"), part=part)
+    _, a, m, _ = _glossary(spark, sf_dir)
+    g = a.select(F.col("id").alias("_a"), "acronym").join(m, F.col("_a") == m["acronym_id"]).select("acronym", F.col("id").alias("meaning_id"), "domain", "definition", m["is_active"])
+    return policy.select(policy.candidates(document, g), policy.inactive(document, g), mode).fillna("", ["definition", "domain", "reason"])
+
+
+@query(_policy_sql(policy.STRICT))
+def policy_strict(spark, sf_dir):
+    return _policy(spark, sf_dir, policy.STRICT)
+
+
+@query(_policy_sql(policy.DOMAIN_PRIORITY))
+def policy_domain_priority(spark, sf_dir):
+    return _policy(spark, sf_dir, policy.DOMAIN_PRIORITY)
+
+
+@query(_policy_sql(policy.FALLBACK_GENERAL))
+def policy_fallback_general(spark, sf_dir):
+    return _policy(spark, sf_dir, policy.FALLBACK_GENERAL)
+
+
+@query(sql.contracts(f"{_FLAGS} SELECT doc_id, acronym, min(s) AS first_s, count(*)::INT AS n, string_agg(s || '-' || e, ',' ORDER BY s, e) AS places FROM occ GROUP BY doc_id, acronym"))
+def acronym_blocks(spark, sf_dir):
+    out = policy.blocks(acronyms.detect(contracts(spark, sf_dir)))
+    return out.select("doc_id", "acronym", "first_s", "n", F.array_join(F.transform("occurrences", lambda o: F.concat_ws("-", o["s"].cast("string"), o["e"].cast("string"))), ",").alias("places"))
+
+
+_LEDGER = "SELECT {0} % 211 AS doc_id, concat('A', {0} % 13) AS acronym, concat('d', {1} % 7) AS definition, CAST({1} % 5 AS INT) AS s, CAST({1} % 5 + 3 AS INT) AS e, CAST(({1} % 10) / 10.0 AS DOUBLE) AS conf FROM {2}"
+_PICKS, _ALL_DEFS = _LEDGER.format("p_partkey", "p_size", "part"), _LEDGER.format("l_orderkey", "l_partkey", "lineitem")
+
+
+@query(f"WITH b AS (SELECT *, 0 AS p FROM ({_PICKS}) UNION ALL SELECT *, 1 AS p FROM ({_ALL_DEFS})), o AS (SELECT doc_id, acronym, definition, s, e, min(p) AS p, max(conf) AS conf FROM b WHERE conf >= 0.2 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, acronym ORDER BY p, conf DESC, definition, s, e) AS nth FROM o) SELECT doc_id, acronym, nth::INT AS nth, definition, s, e, conf FROM n WHERE nth <= 5")
+def acronym_definitions(spark, sf_dir):
+    part, lineitem = tables(spark, sf_dir, "part", "lineitem")
+    picks = spark.sql(_PICKS.replace("FROM part", "FROM {part}"), part=part)
+    ledger = spark.sql(_ALL_DEFS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
+    return policy.block_definitions(picks, ledger, 0.2, 5)
+
+
+# ---- GOV and SRC -----------------------------------------------------------------------------
+
+
+def _requests(spark, sf_dir):
+    (events,) = tables(spark, sf_dir, "events")
+    return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("SELECT user_id AS key, date_trunc('minute', ts)::TIMESTAMP::VARCHAR AS minute, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def rate_minute(spark, sf_dir):
+    return limits.per_minute(_requests(spark, sf_dir)).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT user_id AS key, ts::DATE::VARCHAR AS day, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def rate_day(spark, sf_dir):
+    return limits.per_day(_requests(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+#: A minute takes one request and a day twenty, so that both limits bite on the events table.
+@query("""WITH m AS (SELECT event_id AS id, user_id AS key, ts, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS ok FROM events),
+  d AS (SELECT *, sum(ok::INT) OVER (PARTITION BY key, ts::DATE ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM m)
+  SELECT id, key, CASE WHEN NOT ok THEN 'rate_limited' WHEN n > 20 THEN 'quota_exceeded' ELSE 'accepted' END AS decision,
+    (CASE WHEN NOT ok THEN greatest(1, 60 - second(ts)) WHEN n > 20 THEN greatest(1, 86400 - (hour(ts) * 3600 + minute(ts) * 60 + second(ts))) ELSE 0 END)::INT AS retry_after FROM d""")
+def rate_decisions(spark, sf_dir):
+    return limits.decide(_requests(spark, sf_dir), 1, 20)
+
+
+_REDACT_IN = "concat(substring(text, 1, 400), ' Bearer abcdefghij', doc_id, ' api_key = ', doc_id, 'secretsecret basic ', 'QWxhZGRpbg==')"
+
+
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_REDACT_IN}, '{limits.TOKENS[0]}', '[REDACTED]', 'g'), '{limits.TOKENS[1]}', '[REDACTED]', 'g'), '{limits.TOKENS[2]}', '[REDACTED]', 'g') AS text, '[REDACTED]' AS password, 'plain' AS other FROM documents""")
+def redact(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    m = limits.scrub_map(F.create_map(F.lit("Password"), F.col("doc_id").cast("string"), F.lit("other"), F.lit("plain")))
+    return docs.select("doc_id", limits.scrub(F.expr(_REDACT_IN)).alias("text"), m.alias("_m")).select("doc_id", "text", F.col("_m")["Password"].alias("password"), F.col("_m")["other"].alias("other"))
+
+
+_LEVEL = "CASE event_id % 6 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'info' WHEN 2 THEN 'Warning' WHEN 3 THEN 'error' WHEN 4 THEN 'fatal' END"
+
+
+@query(f"""WITH l AS (SELECT event_id AS id, lower({_LEVEL}) AS v, event_type, props FROM events)
+  SELECT id, (CASE v WHEN 'debug' THEN 10 WHEN 'warning' THEN 30 WHEN 'error' THEN 40 ELSE 20 END)::INT AS level_code, CASE WHEN v IN ('debug', 'info', 'warning', 'error') THEN v ELSE 'info' END AS level_name, event_type AS event, CASE WHEN id % 2 = 0 THEN props ELSE event_type END AS info FROM l""")
+def log_levels(spark, sf_dir):
+    (events,) = tables(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").alias("id"), F.expr(_LEVEL).alias("level"), F.col("event_type").alias("event"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("result"), F.lit("").alias("info"))
+    return source_tables.log_rows(rows)
+
+
+@query("SELECT doc_id, CASE WHEN trim(text) = '' THEN 422 WHEN length(text) > 100000 THEN 413 ELSE 0 END::INT AS fault, lang FROM documents")
+def request_validation(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return source_tables.validated(docs.select("doc_id", "text", F.concat("lang", F.lit("-XX")).alias("locale"))).select("doc_id", F.coalesce("fault", F.lit(0)).alias("fault"), "lang")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_nationkey = 3) OR c_nationkey = 5")
+def criteria_rows(spark, sf_dir):
+    (customer,) = tables(spark, sf_dir, "customer")
+    return customer.where(source_tables.criteria([("c_mktsegment", "AND", "BUILDING"), ("c_nationkey", "OR", 3), ("c_nationkey", "AND", 5)])).select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
+def select_rows(spark, sf_dir):
+    (orders,) = tables(spark, sf_dir, "orders")
+    return source_tables.select_rows(orders, ["o_orderkey", "o_custkey", "o_totalprice"], {"o_orderstatus": "F"}, ["o_totalprice", "o_orderkey"], True, 25)
