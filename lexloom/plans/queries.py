@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as fx
-from lexloom.operators import acronyms, chunking, domains, glossary, limits, meanings, policy, retrieval, spans, structure, terms
+from lexloom.operators import acronyms, chunking, domains, extraction, glossary, limits, meanings, policy, retrieval, spans, structure, terms
 from lexloom.plans import oracles as sql
 from lexloom.plans.corpus import contracts, tables
 from lexloom.sources import tables as source_tables
@@ -342,6 +342,24 @@ def acr_frequencies(spark, sf_dir):
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+# ---- ALN and EXT: definitions ----------------------------------------------------
+
+#: What the contracts define, by their rule.
+_EXPECTED = """known AS (SELECT doc_id, 'RSB' AS key, 'Regional Supply Board' AS definition FROM docs UNION ALL SELECT doc_id, key, definition FROM docs JOIN (VALUES (0, 'EMA', 'European Medicines Agency'), (1, 'PO', 'Purchase Order'), (2, 'JAO', 'Joint Audit Office'), (3, 'NGO', 'Non Governmental Organisation')) k(r, key, definition) ON doc_id % 4 = r)"""
+
+
+@query(sql.contracts(f"{_EXPECTED}, {_FLAGS} SELECT o.doc_id, o.key, coalesce(k.definition, '') AS definition, CASE WHEN k.definition IS NULL THEN -1 ELSE strpos(text, k.definition) - 1 END::INT AS ds FROM (SELECT DISTINCT doc_id, key FROM occ) o JOIN docs d ON d.doc_id = o.doc_id LEFT JOIN known k ON o.doc_id = k.doc_id AND o.key = k.key"))
+def acr_extract(spark, sf_dir):
+    """The definition of every acronym of the contracts, and where it stands."""
+    out = extraction.extract(contracts(spark, sf_dir))
+    return out.select("doc_id", "key", F.coalesce("definition", F.lit("")).alias("definition"), F.coalesce("ds", F.lit(-1)).alias("ds"))
+
+
+@query(sql.contracts(f"{_EXPECTED} SELECT doc_id, key AS acronym, lower(key) || '|' || replace(lower(definition), ' ', '_') AS meaning_id, definition AS label FROM known"))
+def acr_document_meanings(spark, sf_dir):
+    return extraction.meanings_of(contracts(spark, sf_dir)).select("doc_id", "acronym", "meaning_id", "label")
+
+
 # ---- TRM ------------------------------------------------------------------------
 
 
