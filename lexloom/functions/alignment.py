@@ -139,7 +139,11 @@ def aligned(acronym: str, phrase: list[Word]) -> Iterator[list[Window]]:
     forms = [acronym]
     if any(c.islower() for c in acronym) and any(c.isupper() for c in acronym):
         forms.append(signature(acronym))
+    lent = {c.upper() for w in phrase for c in (*w.text[:1], *re.findall(r"[A-Z]|(?<=[^A-Za-z])[a-z]", w.text))}
+    lent |= {part[:1].upper() for w in phrase if w.text.lower() in COMPOUNDS for part in COMPOUNDS[w.text.lower()]}
     for form in dict.fromkeys(forms):
+        if not {c.upper() for c in targets(form, phrase)} <= lent | set("0123456789"):
+            continue
         for strict in (True, False):
             found = [w for split in (False, True) for spell in (False, True) for w in windows(form, phrase, strict, split, spell)]
             found = [w for w in found if not own & set(range(w.first, w.last + 1))]

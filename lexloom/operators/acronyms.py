@@ -36,6 +36,8 @@ LEAST, MOST = 2, 10
 INLINE_CUES = r"(?i)\b(?:(?:is\s+)?short\s+for|stands?\s+for|means|is\s+(?:an\s+)?acronym\s+for|abbreviated\s+as)\b[\s,;:—–-]"
 TIME = r"^(?:[01]?\d|2[0-3])(?::[0-5]\d)?$"
 
+#: What every form begins with; looked for first, as most words fail it at once.
+QUICK = r"\b(?=[a-z]{0,2}[A-Z0-9])"
 #: Characters of context on either side of a candidate.
 REACH = 160
 
@@ -184,7 +186,7 @@ def candidates(docs: DataFrame, dotted: bool = False, with_domains: bool = False
     Core hits inside a domain's span go; the comparison is of spans of one
     document, joined by doc_id.
     """
-    core = spans.matches(docs, pattern(dotted), None, REACH, REACH).where(accepted(F.col("surface"), F.col("before"), F.col("after"), dotted)).drop("nth").withColumn("core", F.lit(True))
+    core = spans.matches(docs, QUICK + pattern(dotted), None, REACH, REACH).where(accepted(F.col("surface"), F.col("before"), F.col("after"), dotted)).drop("nth").withColumn("core", F.lit(True))
     if not with_domains:
         return core
     extra = domains.candidates(docs, REACH, REACH).drop("nth").where(accepted(F.col("surface"), F.col("before"), F.col("after"), dotted)).dropDuplicates(["doc_id", "s", "e"]).withColumn("core", F.lit(False))

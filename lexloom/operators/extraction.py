@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import alignment as al
@@ -113,48 +113,63 @@ def look_back(acronym: str, left: str, s: int) -> list[dict]:
     return []
 
 
-def ledger(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
-    """EXT-07, EXT-10: all candidates of all occurrences: doc_id, key, acronym, s, e, definition, ds, de, source, conf, kind."""
+def occurrences_with_candidates(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
+    """EXT-07, EXT-10, EXT-11: every occurrence with its candidates, and the first of a key with those in sentences before.
+
+    Adds first_s, definition, ds, de, source, conf and kind (null without a candidate).
+    """
     ship(docs.sparkSession)
     text = docs.select(F.col("doc_id").alias("_d"), "text")
     rows = occurrences.join(text, occurrences["doc_id"] == text["_d"])
+    first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("s", "e")) == 1
     rows = rows.select(
         "doc_id",
         "key",
         "acronym",
         "s",
         "e",
+        first.alias("first"),
+        F.min("s").over(Window.partitionBy("doc_id", "key")).alias("first_s"),
         F.substring("text", F.greatest(F.col("s") - LEFT, F.lit(0)) + 1, F.least(F.col("s"), F.lit(LEFT))).alias("l"),
         F.substring("text", F.col("e") + 1, F.lit(RIGHT)).alias("r"),
     )
 
     @F.pandas_udf(_CANDIDATE)
-    def align(key: pd.Series, acronym: pd.Series, left: pd.Series, right: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([candidates(k, x, y, int(a), int(b)) + look_back(k, x, int(a)) for k, x, y, a, b in zip(key, left, right, s, e)])
+    def align(key: pd.Series, left: pd.Series, right: pd.Series, s: pd.Series, e: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([candidates(k, x, y, int(a), int(b)) + (look_back(k, x, int(a)) if f else []) for k, x, y, a, b, f in zip(key, left, right, s, e, first)])
+
+    found = rows.select("doc_id", "key", "acronym", "s", "e", "first_s", F.explode_outer(align("key", "l", "r", "s", "e", "first")).alias("c"))
+    return found.select("doc_id", "key", "acronym", "s", "e", "first_s", "c.*")
 
-    found = rows.select("doc_id", "key", "acronym", "s", "e", F.explode(align("key", "acronym", "l", "r", "s", "e")).alias("c"))
-    return found.select("doc_id", "key", "acronym", "s", "e", "c.*")
+
+def ledger(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
+    """The candidates alone: doc_id, key, acronym, s, e, definition, ds, de, source, conf, kind."""
+    return occurrences_with_candidates(occurrences, docs).where("definition is not null").drop("first_s")
 
 
-def picks(ledger: DataFrame, firsts: DataFrame) -> DataFrame:
+def picks(rows: DataFrame) -> DataFrame:
     """EXT-08, EXT-14: by key the surest definition at its first occurrence, else the one nearest to it; null without any."""
-    f = firsts.select("doc_id", "key", F.col("s").alias("first_s"))
-    j = f.join(ledger, ["doc_id", "key"], "left")
     there = F.col("s") == F.col("first_s")
     solid = F.col("source") != "sentence_backref"
-    order = F.struct((~(there & solid)).alias("a"), F.when(there & solid, F.lit(0)).otherwise(F.abs(F.col("s") - F.col("first_s"))).alias("b"), (-F.col("conf")).alias("c"), (F.col("de") - F.col("ds")).alias("d"), "ds")
+    order = F.struct((~(there & solid)).alias("a"), F.when(there & solid, F.lit(0)).otherwise(F.col("s") - F.col("first_s")).alias("b"), (-F.col("conf")).alias("c"), (F.col("de") - F.col("ds")).alias("d"), "ds")
     value = F.struct("definition", "ds", "de", "source", "conf", "kind")
-    return j.groupBy("doc_id", "key").agg(F.min_by(value, F.when(F.col("definition").isNotNull(), order)).alias("v")).select("doc_id", "key", "v.*")
+    return rows.groupBy("doc_id", "key").agg(F.min_by(value, F.when(F.col("definition").isNotNull(), order)).alias("v")).select("doc_id", "key", "v.*")
 
 
 def extract(docs: DataFrame, dotted: bool = False) -> DataFrame:
-    """EXT-16: one row per document and key: definition, its span, source, confidence and kind, or nulls."""
+    """EXT-16: one row per document and key: definition, its span, source, confidence and kind, or nulls.
+
+    The texts are dealt by doc_id once; every join, window and aggregation
+    after that stays inside its partition.
+    """
+    docs = docs.select("doc_id", "text").repartition("doc_id")
     found = acronyms.cleanup(acronyms.detect(docs, dotted), docs).where("rule is null")
-    return picks(ledger(found, docs), acronyms.firsts(found))
+    return picks(occurrences_with_candidates(found, docs))
 
 
 def meanings_of(docs: DataFrame) -> DataFrame:
     """MNG-01, MNG-02 over what ``ledger`` finds."""
+    docs = docs.select("doc_id", "text").repartition("doc_id")
     found = acronyms.cleanup(acronyms.detect(docs), docs).where("rule is null")
     rows = ledger(found, docs)
     defs = rows.select("doc_id", "acronym", "definition", "source", "conf", F.col("s").alias("acr_s"), F.col("e").alias("acr_e"), F.col("ds").alias("def_s"), F.col("de").alias("def_e"), F.col("s").alias("seq"))

@@ -15,9 +15,9 @@ def matches(docs: DataFrame, pattern: str, keep: list[str] | None = None, before
     made, so a text is never repeated for each of its matches.
     """
     keep = keep or []
-    found = docs.where(F.col("text").rlike(pattern)).select(
-        "doc_id", *keep, "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_m"), F.split("text", pattern, -1).alias("_g")
-    )
+    # no filter on the text here: pushed below an exchange, it would keep scans from sharing that exchange
+    found = docs.select("doc_id", *keep, "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_m"))
+    found = found.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)))
     rows = F.aggregate(
         F.arrays_zip(F.slice("_g", F.lit(1), F.size("_m")).alias("g"), F.col("_m").alias("m")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<surface:string,s:int,e:int>>").alias("out")),

@@ -80,7 +80,8 @@ def mentions(docs: DataFrame, intros: DataFrame) -> DataFrame:
     quoted = quoted.join(named, (quoted["doc_id"] == named["_d"]) & (quoted["key"] == named["_k"]) & (quoted["s"] >= named["first_end"])).drop("_d", "_k", "first_end")
     quoted = quoted.join(spots, (quoted["doc_id"] == spots["_id"]) & (quoted["s"] == spots["_s"]) & (quoted["e"] == spots["_e"]), "left_anti")
     own = intros.select("doc_id", "term", "s", "e", "key")
-    return own.unionByName(exact).unionByName(quoted).dropDuplicates(["doc_id", "s", "e"])
+    rows = own.unionByName(exact).unionByName(quoted)
+    return rows.groupBy("doc_id", "s", "e").agg(F.min(F.struct("term", "key")).alias("v")).select("doc_id", "v.term", "s", "e", "v.key")
 
 
 def unquoted_mentions(docs: DataFrame, intros: DataFrame) -> DataFrame:
@@ -198,3 +199,21 @@ def resolutions(scored: DataFrame) -> DataFrame:
     first = F.when(margin >= PRIOR_MARGIN, top["meaning_id"]).otherwise(prior)
     final = F.when(F.size("c") == 1, top["meaning_id"]).when(margin >= FINAL_MARGIN, top["meaning_id"])
     return rows.select("doc_id", "term", "key", "s", "e", F.size("c").alias("n_candidates"), F.round(margin, 6).alias("margin"), first.alias("tier1_meaning"), final.alias("meaning_id"), F.when(final.isNull(), "unresolved").otherwise("tier1").alias("method"))
+
+
+def analyse(docs: DataFrame, unquoted: bool = False) -> dict[str, DataFrame]:
+    """TRM-17: introductions, mentions, meanings, sections, scores and resolutions.
+
+    The texts are dealt by doc_id once, as are the introductions and mentions
+    that several steps read; Spark reuses those exchanges, and the joins by
+    doc_id need no other.
+    """
+    docs = docs.select("doc_id", "text").repartition("doc_id")
+    intros = introductions(docs, unquoted).repartition("doc_id")
+    found = mentions(docs, intros)
+    if unquoted:
+        found = found.unionByName(unquoted_mentions(docs, intros)).dropDuplicates(["doc_id", "s", "e"])
+    found = found.repartition("doc_id")
+    meanings, paths = definitions(docs, intros), sections(docs)
+    scored = scores(docs, found, meanings, paths)
+    return {"introductions": intros, "mentions": found, "meanings": meanings, "sections": paths, "scores": scored, "resolutions": resolutions(scored)}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.session import spread
+
 #: One contract for each customer. Only ASCII, so that both engines' patterns agree.
 CONTRACTS_SQL = """
 SELECT c_custkey AS doc_id, concat(
@@ -38,4 +40,8 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: one contract for each customer."""
     customer, nation = tables(spark, sf_dir, "customer", "nation")
-    return spark.sql(CONTRACTS_SQL.replace("FROM customer JOIN nation", "FROM {customer} JOIN {nation}"), customer=customer, nation=nation)
+    return spark.sql(CONTRACTS_SQL.replace("FROM customer JOIN nation", "FROM {customer} JOIN {nation}"), customer=spread(customer), nation=nation)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as fx
 from lexloom.operators import acronyms, chunking, domains, extraction, glossary, limits, meanings, policy, retrieval, spans, structure, terms
 from lexloom.plans import oracles as sql
-from lexloom.plans.corpus import contracts, tables
+from lexloom.plans.corpus import contracts, documents, tables
 from lexloom.sources import tables as source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,7 @@ ORACLES: dict[str, str] = {}
 
 
 def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
 
 
@@ -128,7 +128,7 @@ def line_spans(spark, sf_dir):
 )
 def document_lines(spark, sf_dir):
     """Lines of the raw documents, which have neither tabs nor stray spaces at line ends."""
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rows = spans.lines(docs)
     return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
@@ -174,7 +174,7 @@ def slug_ids(spark, sf_dir):
 )
 def key_normalise(spark, sf_dir):
     """The key functions over every distinct word of the documents."""
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z'&.-]*[A-Za-z!.,]"), F.lit(0))).alias("w")).distinct()
     return words.select(
         "w",
@@ -338,7 +338,8 @@ def acr_cleanup(spark, sf_dir):
 
 @query(sql.contracts(f"{_FLAGS} SELECT key, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM occ GROUP BY key"))
 def acr_frequencies(spark, sf_dir):
-    rows = acronyms.cleanup(acronyms.detect(contracts(spark, sf_dir)), contracts(spark, sf_dir)).where("rule is null")
+    docs = contracts(spark, sf_dir).repartition("doc_id")
+    rows = acronyms.cleanup(acronyms.detect(docs), docs).where("rule is null")
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -407,8 +408,8 @@ def term_sections(spark, sf_dir):
     )
 )
 def term_paths(spark, sf_dir):
-    docs = contracts(spark, sf_dir)
-    return terms.with_path(terms.mentions(docs, terms.introductions(docs)), terms.sections(docs)).withColumn("path", F.array_join("path", "/"))
+    found = terms.analyse(contracts(spark, sf_dir))
+    return terms.with_path(found["mentions"], found["sections"]).withColumn("path", F.array_join("path", "/"))
 
 
 _DEFINITIONS = f"""{_INTROS}, bodies AS (
@@ -436,15 +437,9 @@ scored AS (SELECT m.doc_id, m.term, m.key, m.s, m.e, g.meaning_id, g.s AS meanin
   + CASE WHEN definition IS NOT NULL THEN 1.0 WHEN kind = 'parenthetical_alias' THEN 0.4 ELSE 0 END, 6)::DOUBLE AS score FROM mp m JOIN dp g ON m.doc_id = g.doc_id AND m.key = g.key)"""
 
 
-def _term_scores(spark, sf_dir):
-    docs = contracts(spark, sf_dir)
-    intros = terms.introductions(docs)
-    return terms.scores(docs, terms.mentions(docs, intros), terms.definitions(docs, intros), terms.sections(docs))
-
-
 @query(sql.contracts(f"{_TERM_SCORES} SELECT * FROM scored"))
 def term_scores(spark, sf_dir):
-    return _term_scores(spark, sf_dir)
+    return terms.analyse(contracts(spark, sf_dir))["scores"]
 
 
 @query(
@@ -458,7 +453,7 @@ def term_scores(spark, sf_dir):
     )
 )
 def term_resolutions(spark, sf_dir):
-    return terms.resolutions(_term_scores(spark, sf_dir))
+    return terms.analyse(contracts(spark, sf_dir))["resolutions"]
 
 
 # ---- MNG ----------------------------------------------------------------------------
@@ -624,7 +619,7 @@ def reviewer_validate(spark, sf_dir):
 @query("SELECT doc_id, true AS has_payload, text = text AS rest_equal, length('{\"n\":' || length(text) || '}')::INT AS payload_chars FROM documents")
 def json_payload_split(spark, sf_dir):
     """Documents grounded with a payload, then split again."""
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     payloads = docs.select("doc_id", F.concat(F.lit('{"n":'), F.length("text").cast("string"), F.lit("}")).alias("payload"))
     grounded = retrieval.ground(docs, payloads).join(docs.select("doc_id", F.col("text").alias("_old")), "doc_id")
     payload, rest = retrieval.split_grounding(F.col("text"))
@@ -637,13 +632,13 @@ def json_payload_split(spark, sf_dir):
 @query("""SELECT doc_id, i::INT AS ordinal, (i * 850)::INT AS s, least(i * 850 + 1000, n)::INT AS e, md5(substring(text, i * 850 + 1, 1000)) AS digest
   FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, (CASE WHEN length(text) <= 1000 THEN 0 ELSE ceil((length(text) - 1000) / 850.0) END)::BIGINT + 1)) AS i FROM documents)""")
 def chunk_fixed(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return chunking.chunk(docs, chunking.RAG_SIZE, chunking.RAG_OVERLAP).select("doc_id", "ordinal", "s", "e", F.md5("text").alias("digest"))
 
 
 @query("""SELECT doc_id, (CASE WHEN length(text) <= 20000 THEN 1 ELSE ceil((length(text) - 20000) / 18800.0) + 1 END)::BIGINT AS n, length(text) > 30000 AS chunked FROM documents""")
 def chunk_service(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     n = chunking.chunk(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
     return n.join(chunking.needs_chunks(docs).select("doc_id", "chunked"), "doc_id")
 
@@ -822,7 +817,7 @@ _REDACT_IN = "concat(substring(text, 1, 400), ' Bearer abcdefghij', doc_id, ' ap
 
 @query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_REDACT_IN}, '{limits.TOKENS[0]}', '[REDACTED]', 'g'), '{limits.TOKENS[1]}', '[REDACTED]', 'g'), '{limits.TOKENS[2]}', '[REDACTED]', 'g') AS text, '[REDACTED]' AS password, 'plain' AS other FROM documents""")
 def redact(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     m = limits.scrub_map(F.create_map(F.lit("Password"), F.col("doc_id").cast("string"), F.lit("other"), F.lit("plain")))
     return docs.select("doc_id", limits.scrub(F.expr(_REDACT_IN)).alias("text"), m.alias("_m")).select("doc_id", "text", F.col("_m")["Password"].alias("password"), F.col("_m")["other"].alias("other"))
 
@@ -840,7 +835,7 @@ def log_levels(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN trim(text) = '' THEN 422 WHEN length(text) > 100000 THEN 413 ELSE 0 END::INT AS fault, lang FROM documents")
 def request_validation(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return source_tables.validated(docs.select("doc_id", "text", F.concat("lang", F.lit("-XX")).alias("locale"))).select("doc_id", F.coalesce("fault", F.lit(0)).alias("fault"), "lang")
 
 

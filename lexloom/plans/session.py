@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators import acronyms, structure, terms
+from lexloom.operators import extraction, structure, terms
 
 Pipeline = Callable[..., DataFrame]
 
@@ -79,12 +79,11 @@ def classify(error: BaseException) -> str:
 
 
 def _terms(docs: DataFrame, **options) -> DataFrame:
-    intros = terms.introductions(docs, bool(options.get("unquoted", False)))
-    return terms.resolutions(terms.scores(docs, terms.mentions(docs, intros), terms.definitions(docs, intros), terms.sections(docs)))
+    return terms.analyse(docs, bool(options.get("unquoted", False)))["resolutions"]
 
 
 def _acronyms(docs: DataFrame, **options) -> DataFrame:
-    return acronyms.cleanup(acronyms.detect(docs, bool(options.get("dotted", False))), docs).where("rule is null").drop("rule")
+    return extraction.extract(docs, bool(options.get("dotted", False)))
 
 
 def _structure(docs: DataFrame, **options) -> DataFrame:

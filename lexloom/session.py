@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Parent of the package, where Python workers of a local session find it.
 PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -17,6 +17,8 @@ def build_session(app: str = "lexloom", master: str | None = None, shuffle_parti
         SparkSession.builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # text kernels are heavy for their bytes: small partitions are worth a task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -57,3 +59,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         where = "file://" + tempfile.mkdtemp(prefix="lexloom-checkpoints-")
     sc.setCheckpointDir(where)
     return where
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores.
+
+    A small table in one file would be read by one task. An input that is
+    split enough already, as any large one, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
