@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as fx
 from lexloom.operators import spans
+from lexloom.session import ship
 
 # The forms of a term and of its introductions.
 _Q, _B = "A-Za-z0-9&/'’.\\-()", "A-Za-z0-9&/'’\\-()"
@@ -50,29 +52,42 @@ def first_introductions(intros: DataFrame) -> DataFrame:
     return intros.groupBy("doc_id", "key").agg(F.min_by(F.struct("term", "s", "e", "kind"), F.struct("s", "e")).alias("v"), F.min("e").alias("first_end")).select("doc_id", "key", "v.*", "first_end")
 
 
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _places(text: str, terms: list[dict], taken: list[dict]) -> list[dict]:
+    """Whole-word places of each term and its plural after its introduction, clear of all introductions."""
+    out = []
+    for t in terms:
+        for v in t["variants"]:
+            at = text.find(v)
+            while at >= 0:
+                end = at + len(v)
+                whole = not (at and _is_word(text[at - 1])) and not (end < len(text) and _is_word(text[end]))
+                if whole and at >= t["first_end"] and not any(at < x["e"] and x["s"] < end for x in taken):
+                    out.append({"term": v, "s": at, "e": end, "key": t["key"]})
+                at = text.find(v, end)
+    return out
+
+
 def mentions(docs: DataFrame, intros: DataFrame) -> DataFrame:
     """TRM-05..07: introductions, exact later references (term or plural) and quoted ones: doc_id, term, s, e, key.
 
     The terms of a document are one small array, joined once by doc_id; their
-    places are found by splitting the text at the literal.
+    places are found in one Arrow UDF, so the text isn't repeated by term.
     """
+    ship(docs.sparkSession)
     first = first_introductions(intros)
-    known = first.groupBy("doc_id").agg(F.collect_list(F.struct("key", "term", "first_end")).alias("_terms"))
+    known = first.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first_end", fx.term_variants("term").alias("variants"))).alias("_terms"))
     taken = intros.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_taken"))
     with_terms = docs.select("doc_id", "text").join(known.join(taken, "doc_id"), "doc_id")
-    wanted = with_terms.select("doc_id", "text", "_taken", F.explode("_terms").alias("_t")).select("doc_id", "text", "_taken", "_t.key", "_t.first_end", F.explode(fx.term_variants("_t.term")).alias("v"))
-    # split at the literal: the lengths of what lies before add up to offsets
-    parts = F.expr("split(text, concat('\\\\Q', v, '\\\\E'), -1)")
-    places = F.aggregate(
-        F.slice(F.col("_p"), F.lit(1), F.size("_p") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, g: F.struct((a["at"] + F.length(g) + F.length("v")).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(g))).alias("out")),
-        lambda a: a["out"],
-    )
-    exact = wanted.where(F.col("text").contains(F.col("v"))).withColumn("_p", parts).select("doc_id", "text", "_taken", "key", "first_end", F.col("v").alias("term"), F.explode(places).alias("s")).withColumn("e", F.col("s") + F.length("term"))
-    bounded = ~F.substring("text", F.col("s"), F.when(F.col("s") > 0, 1).otherwise(0)).rlike("(?U)\\w") & ~F.substring("text", F.col("e") + 1, F.lit(1)).rlike("(?U)\\w")
-    free = ~F.exists("_taken", lambda t: (F.col("s") < t["e"]) & (t["s"] < F.col("e")))
-    exact = exact.where((F.col("s") >= F.col("first_end")) & bounded & free).select("doc_id", "term", "s", "e", "key")
+
+    @F.pandas_udf("array<struct<term:string,s:int,e:int,key:string>>")
+    def exact_places(text: pd.Series, terms: pd.Series, taken: pd.Series) -> pd.Series:
+        return pd.Series([_places(t, list(a), list(b)) for t, a, b in zip(text, terms, taken)])
+
+    exact = with_terms.select("doc_id", F.explode(exact_places("text", "_terms", "_taken")).alias("v")).select("doc_id", "v.*")
     quoted = spans.matches(docs, QUOTED_OCCURRENCE).select("doc_id", F.expr("substring(surface, 2, length(surface) - 2)").alias("term"), (F.col("s") + 1).alias("s"), (F.col("e") - 1).alias("e"))
     quoted = quoted.withColumn("key", fx.term_key("term"))
     named = first.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "first_end")

@@ -17,11 +17,11 @@ def counts_per_minute(requests: DataFrame, late: str = "10 minutes") -> DataFram
     return requests.withWatermark("ts", late).groupBy("key", F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select("key", F.col("window.start").alias("minute"), "n")
 
 
-def decisions(requests: DataFrame, minute_limit: int = PER_MINUTE, day_limit: int = PER_DAY, idle_ms: int = 2 * 86_400_000) -> DataFrame:
+def decisions(requests: DataFrame, minute_limit: int = PER_MINUTE, day_limit: int = PER_DAY, late: str = "10 minutes", idle_ms: int = 2 * 86_400_000) -> DataFrame:
     """GOV-03: each request of (id, key, ts) as it comes, decided against counters kept by key.
 
     The state is a key's current minute and day with the accepted requests of
-    each; it goes after two idle days. Requests of one trigger are taken in
+    each; it goes once the watermark is two days past the key's last request. Requests of one trigger are taken in
     order of time; across triggers, in order of arrival.
     """
 
@@ -47,7 +47,7 @@ def decisions(requests: DataFrame, minute_limit: int = PER_MINUTE, day_limit: in
                 in_minute += 1
                 in_day += 1
         state.update((minute, in_minute, day, in_day))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(int(rows["ts"].iloc[-1].timestamp() * 1000) + idle_ms)
         yield pd.DataFrame({"id": rows["id"], "key": key[0], "decision": out})
 
-    return requests.groupBy("key").applyInPandasWithState(step, "id long, key long, decision string", "minute string, in_minute int, day string, in_day int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "id long, key long, decision string", "minute string, in_minute int, day string, in_day int", "append", GroupStateTimeout.EventTimeTimeout)
