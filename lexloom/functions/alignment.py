@@ -19,7 +19,29 @@ EDGE_MARKS = ".,;:!?()[]{}«»“”‘’\"'"
 #: Digits that stand for a word in front.
 NUMBER_WORDS = {"1": ("first", "1st", "one"), "2": ("second", "2nd", "two"), "3": ("third", "3rd", "three"), "4": ("fourth", "4th", "four"), "5": ("fifth", "5th", "five"), "6": ("sixth", "6th", "six")}
 # Compounds written as one word, by their parts.
-COMPOUNDS = {"hypertext": ("hyper", "text")}
+COMPOUNDS = {
+    "websocket": ("Web", "Socket"),
+    "middleware": ("Middle", "Ware"),
+    "firmware": ("Firm", "Ware"),
+    "hardware": ("Hard", "Ware"),
+    "software": ("Soft", "Ware"),
+    "hostname": ("Host", "Name"),
+    "password": ("Pass", "Word"),
+    "database": ("Data", "Base"),
+    "typescript": ("Type", "Script"),
+    "powershell": ("Power", "Shell"),
+    "bitbucket": ("Bit", "Bucket"),
+    "gitlab": ("Git", "Lab"),
+    "github": ("Git", "Hub"),
+    "postgresql": ("Postgres", "SQL"),
+    "mysql": ("My", "SQL"),
+    "mssql": ("MS", "SQL"),
+    "newline": ("New", "Line"),
+    "filepath": ("File", "Path"),
+    "filename": ("File", "Name"),
+    "checksum": ("Check", "Sum"),
+    "hypertext": ("Hyper", "text"),
+}
 
 _WORD = re.compile(r"\S+")
 _PARTS = re.compile(r"[-‐‑/.&–]+")
@@ -199,3 +221,72 @@ def kept(text: str, phrase: list[Word], window: Window) -> str:
 def matches_initials(acronym: str, phrase: str) -> bool:
     """TXT-27."""
     return any(True for _ in aligned("".join(c for c in acronym.upper() if c.isalnum()), words(phrase)))
+
+
+# ---- labels ----------------------------------------------------------------------
+
+_PROPER = re.compile(r"[A-Z][\w'’-]*|[a-z][a-z0-9'’]*-[a-z0-9'’-]+")
+
+
+def proper_run(text: str) -> str:
+    """TXT-09: the longest run of proper or hyphenated words, linked by small words; the last of the longest; else all."""
+    tokens = text.split()
+    runs: list[tuple[int, int]] = []
+    at = 0
+    while at < len(tokens):
+        if not _PROPER.match(tokens[at]):
+            at += 1
+            continue
+        end = at + 1
+        while end < len(tokens) and not tokens[end - 1][-1] in ".;:,":
+            if _PROPER.match(tokens[end]):
+                end += 1
+            elif tokens[end].lower() in STOP and end + 1 < len(tokens) and _PROPER.match(tokens[end + 1]):
+                end += 2
+            else:
+                break
+        if any(t[:1].isupper() for t in tokens[at:end]):
+            runs.append((at, end))
+        at = end
+    if not runs:
+        return " ".join(tokens).rstrip(",.;:!?)]}»” ")
+    a, b = max(runs, key=lambda r: (r[1] - r[0], r[1]))
+    return " ".join(tokens[a:b]).rstrip(",.;:!?)]}»” ")
+
+
+def tighten(label: str, acronym: str) -> str:
+    """ALN-11: the part of a label that an acronym stands for; the label if it stands for none."""
+    phrase = words(label)
+    found = shortest(acronym, phrase) if phrase else None
+    return kept(label, phrase, found) if found else " ".join(label.split()).rstrip(",.;:!?)]}»” ")
+
+
+def clean(label: str, acronym: str, kind: str, most: int = 200) -> str | None:
+    """TXT-10: a definition as it is kept, or None: inline ones by their proper run and of two words at least."""
+    base = " ".join(label.split())
+    if len(base) > most:
+        return None
+    if kind == "inline":
+        base = proper_run(base)
+    elif kind == "inline_before":
+        base = re.sub(r"^(?:the|an|a)\s+", "", base, flags=re.IGNORECASE)
+    out = tighten(base, acronym)
+    if not any(c.isalpha() for c in out) or kind.startswith("inline") and len(out.split()) < 2:
+        return None
+    return out
+
+
+def context(text: str, start: int, end: int, least: int = 80, most: int = 320) -> tuple[int, int]:
+    """T2-02: the sentence around a span, with its neighbours if it is short, at most ``most`` characters around the span."""
+    ends = [0, *(m.end() for m in re.finditer(r"[.!?;\n]", text)), len(text)]
+    left = max(i for i, x in enumerate(ends) if x <= start)
+    right = min((i for i, x in enumerate(ends) if x >= end and i > left), default=len(ends) - 1)
+    choices = [(left, right), (max(left - 1, 0), right), (left, min(right + 1, len(ends) - 1)), (max(left - 1, 0), min(right + 1, len(ends) - 1))]
+    sizes = [(ends[b] - ends[a], k) for k, (a, b) in enumerate(choices)]
+    if sizes[0][0] < least:
+        long = [x for x in sizes if x[0] >= least]
+        left, right = choices[(min(long) if long else max(sizes, key=lambda x: (x[0], -x[1])))[1]]
+    a, b = ends[left], ends[right]
+    if b - a > most:
+        a, b = max(0, start - most // 2), min(len(text), end + most // 2)
+    return a, b

@@ -83,6 +83,27 @@ def select(candidates: DataFrame, inactive: DataFrame, mode: str = STRICT, most:
     return rows.select("doc_id", "acronym", F.col("x.definition").alias("definition"), F.col("x.domain").alias("domain"), "reason", (F.size("c") > 1).alias("conflict"), F.size("c").alias("conflict_count"), F.col("n_inactive").cast("long").alias("n_inactive"), F.array_join(ref, ",").alias("candidates"))
 
 
+def term_blocks(resolutions: DataFrame) -> DataFrame:
+    """RES-09: by document its resolved mentions as an ordered array."""
+    item = F.struct("s", "e", "term", "key", "meaning_id", F.col("meaning_id").isNotNull().alias("resolved"))
+    return resolutions.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("defined_terms"))
+
+
+def structure_blocks(links: DataFrame) -> DataFrame:
+    """RES-09: by document its references as an ordered array."""
+    item = F.struct("s", "e", "canonical_key", "kind", "label", "target_s", "target_e", "match_strategy", "strength", (F.col("strength") > 0).alias("resolved"))
+    return links.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("structural_references"))
+
+
+def response(**sections: DataFrame) -> DataFrame:
+    """RES-10: the sections of each document side by side, and as JSON; a section that didn't run has no column."""
+    out = None
+    for rows in sections.values():
+        out = rows if out is None else out.join(rows, "doc_id", "full_outer")
+    names = [c for c in out.columns if c != "doc_id"]
+    return out.withColumn("json", F.to_json(F.struct(*names)))
+
+
 def ui_rows(blocks: DataFrame) -> DataFrame:
     """RES-11: the primary definition: the first extracted, else the first of the glossary."""
     return blocks.withColumn("primary", F.coalesce(F.try_element_at("definitions", F.lit(1)), F.try_element_at("glossary", F.lit(1))))

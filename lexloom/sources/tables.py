@@ -127,14 +127,21 @@ def pressure_text(spark: SparkSession, rows: int, seed: int = 7) -> DataFrame:
     return spark.range(rows).withColumn("w", words).select(F.col("id").alias("doc_id"), F.concat(head, F.lit(" ("), initials, F.lit(") "), F.array_join(F.slice("w", F.lit(6), F.greatest(F.size("w") - 5, F.lit(0))), " ")).alias("text"))
 
 
-#: SRC-10: a first glossary: acronym, domain, definition, variant.
+# Fixed values (SRC-10): a first glossary: acronym, domain, definition, variants.
 SEED = [
-    ("API", "general", "Application Programming Interface", "A.P.I."),
-    ("KPI", "general", "Key Performance Indicator", "K.P.I."),
-    ("SLA", "general", "Service Level Agreement", "S.L.A."),
-    ("VAT", "general", "Value Added Tax", "V.A.T."),
+    ("MPS", "general", "Metropolitan Police Service.", ["Met Police", "Metropolitan Police"]),
+    ("NHS", "general", "UK National Health Service.", ["National Health Service"]),
+    ("GPU", "general", "Graphics Processing Unit.", ["Graphics Card"]),
+    ("CPU", "general", "Central Processing Unit.", ["Processor"]),
+    ("PDF", "general", "Portable Document Format.", ["Portable Document Format"]),
+    ("GDPR", "general", "General Data Protection Regulation.", ["General Data Protection Regulation"]),
+    ("ECHR", "general", "European Convention on Human Rights.", ["European Convention on Human Rights"]),
+    ("FOI", "general", "Freedom of Information.", ["Freedom of Information"]),
+    ("SAR", "general", "Subject Access Request.", ["Subject Access Request"]),
+    ("SLA", "general", "Service Level Agreement.", ["Service-Level Agreement", "Service Level Agreements"]),
+    ("KPI", "general", "Key Performance Indicator.", ["Key Performance Indicators"]),
 ]
 
 
 def seed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEED, "acronym string, domain string, definition string, variant string")
+    return spark.createDataFrame(SEED, "acronym string, domain string, definition string, variants array<string>")

@@ -97,3 +97,22 @@ def test_the_shortest_window_is_the_shortest():
                         break
         found = al.windows(acronym, phrase, True, False, False)
         assert (min((w.last - w.first for w in found), default=None)) == best
+
+
+def test_labels():
+    assert al.proper_run("means the European Medicines Agency, which") == "European Medicines Agency"
+    assert al.proper_run("see Bank of England and Acme") == "Bank of England and Acme"
+    assert al.proper_run("nothing here.") == "nothing here"
+    assert al.tighten("the new Portable Document Format", "PDF") == "Portable Document Format"
+    assert al.tighten("no such thing.", "PDF") == "no such thing"
+    assert al.clean("the Purchase Order", "PO", "inline_before") == "Purchase Order"
+    assert al.clean("Order", "O", "inline") is None and al.clean("x " * 200, "X", "def_before") is None
+
+
+def test_tier_two_context():
+    text = "First one. The ABC is here. " + "Third sentence goes on and on for quite a while, to be long enough for a context. End."
+    a, b = al.context(text, 15, 18)
+    assert a <= 11 and text[a:b].count("ABC") == 1 and b - a >= 80
+    a, b = al.context("x" * 1000, 500, 503)
+    assert b - a <= 330
+    assert al.context("", 0, 0) == (0, 0)

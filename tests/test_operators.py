@@ -196,6 +196,14 @@ def test_document_definition_wins(spark):
     assert (row.reason, row.candidates, row.conflict_count) == ("in_document_definition", "text_span:3-9,meaning:2", 2)
 
 
+def test_response_sections(spark):
+    d = docs(spark, "See Section 1.\n\n1 Start", '"Fee" means money. The Fee is due.')
+    out = policy.response(terms=policy.term_blocks(terms.analyse(d)["resolutions"]), structure=policy.structure_blocks(structure.resolve(d)))
+    rows = {r.doc_id: json.loads(r.json) for r in out.collect()}
+    assert [x["resolved"] for x in rows[0]["structural_references"]] == [True] and "defined_terms" not in rows[0]
+    assert [x["key"] for x in rows[1]["defined_terms"]] == ["fee", "fee"]
+
+
 def test_chunks(spark):
     rows = chunking.chunk(docs(spark, "abcdefghij", "", "ab", None), 4, 1).orderBy("doc_id", "ordinal").collect()
     assert [(r.doc_id, r.s, r.e, r.text) for r in rows] == [(0, 0, 4, "abcd"), (0, 3, 7, "defg"), (0, 6, 10, "ghij"), (1, 0, 0, ""), (2, 0, 2, "ab")]
@@ -321,7 +329,7 @@ def test_sources(spark, tmp_path):
     assert tables.query(spark, "SELECT count(*) AS n FROM {t}", t=t).first().n == 2
     v = tables.validated(spark.createDataFrame([(" \n", "de-AT"), ("x", None), ("y" * 100_001, "")], "text string, locale string")).collect()
     assert [(r.fault, r.lang) for r in v] == [(422, "de"), (None, "en"), (413, "en")]
-    assert tables.pressure_text(spark, 3).count() == 3 and tables.seed(spark).count() == 4
+    assert tables.pressure_text(spark, 3).count() == 3 and tables.seed(spark).count() == 11
 
 
 def test_orchestration_partial_success(spark):
