@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import alignment as al
 from lexloom.operators import acronyms, meanings
-from lexloom.session import ship
+from lexloom.session import by_document, ship
 
 # Reach of the context, confidences and their loss by distance.
 LEFT, RIGHT = 320, 280
@@ -162,14 +162,14 @@ def extract(docs: DataFrame, dotted: bool = False) -> DataFrame:
     The texts are dealt by doc_id once; every join, window and aggregation
     after that stays inside its partition.
     """
-    docs = docs.select("doc_id", "text").repartition("doc_id")
+    docs = by_document(docs.select("doc_id", "text"))
     found = acronyms.cleanup(acronyms.detect(docs, dotted), docs).where("rule is null")
     return picks(occurrences_with_candidates(found, docs))
 
 
 def meanings_of(docs: DataFrame) -> DataFrame:
     """MNG-01, MNG-02 over what ``ledger`` finds."""
-    docs = docs.select("doc_id", "text").repartition("doc_id")
+    docs = by_document(docs.select("doc_id", "text"))
     found = acronyms.cleanup(acronyms.detect(docs), docs).where("rule is null")
     rows = ledger(found, docs)
     defs = rows.select("doc_id", "acronym", "definition", "source", "conf", F.col("s").alias("acr_s"), F.col("e").alias("acr_e"), F.col("ds").alias("def_s"), F.col("de").alias("def_e"), F.col("s").alias("seq"))

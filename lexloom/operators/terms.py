@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as fx
 from lexloom.operators import spans
-from lexloom.session import ship
+from lexloom.session import by_document, ship
 
 # The forms of a term and of its introductions.
 _Q, _B = "A-Za-z0-9&/'’.\\-()", "A-Za-z0-9&/'’\\-()"
@@ -223,12 +223,12 @@ def analyse(docs: DataFrame, unquoted: bool = False) -> dict[str, DataFrame]:
     that several steps read; Spark reuses those exchanges, and the joins by
     doc_id need no other.
     """
-    docs = docs.select("doc_id", "text").repartition("doc_id")
-    intros = introductions(docs, unquoted).repartition("doc_id")
+    docs = by_document(docs.select("doc_id", "text"))
+    intros = by_document(introductions(docs, unquoted))
     found = mentions(docs, intros)
     if unquoted:
         found = found.unionByName(unquoted_mentions(docs, intros)).dropDuplicates(["doc_id", "s", "e"])
-    found = found.repartition("doc_id")
+    found = by_document(found)
     meanings, paths = definitions(docs, intros), sections(docs)
     scored = scores(docs, found, meanings, paths)
     return {"introductions": intros, "mentions": found, "meanings": meanings, "sections": paths, "scores": scored, "resolutions": resolutions(scored)}

@@ -15,6 +15,7 @@ from lexloom.functions import text as fx
 from lexloom.operators import acronyms, chunking, domains, extraction, glossary, limits, meanings, policy, retrieval, spans, structure, terms
 from lexloom.plans import oracles as sql
 from lexloom.plans.corpus import contracts, documents, tables
+from lexloom.session import by_document
 from lexloom.sources import tables as source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,7 +339,7 @@ def acr_cleanup(spark, sf_dir):
 
 @query(sql.contracts(f"{_FLAGS} SELECT key, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM occ GROUP BY key"))
 def acr_frequencies(spark, sf_dir):
-    docs = contracts(spark, sf_dir).repartition("doc_id")
+    docs = by_document(contracts(spark, sf_dir))
     rows = acronyms.cleanup(acronyms.detect(docs), docs).where("rule is null")
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
