@@ -1,0 +1,10 @@
+"""Operators do the whole job: whole texts, whole lines, whole sentences."""
+
+from lexloom.plans.queries import QUERIES
+
+
+def test_redaction_covers_whole_texts(spark, tmp_path):
+    text = "x " * 400 + "Bearer abcdefghijkl end"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in QUERIES["redact_whole"](spark, str(tmp_path)).collect()}
+    assert got[1].startswith("x " * 400 + "[REDACTED] end [REDACTED]") and got[2].startswith(" [REDACTED]")
