@@ -65,14 +65,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a long of the same bits) of each row."""
+    """doc_id, _hash of the text and fingerprint (as a long of the same bits) of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = tx.column(batch, "text")
         prints = np.array([fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in texts], dtype=np.uint64)
-        return tx.to_batch({"doc_id": tx.column(batch, "doc_id"), "fp": prints.view(np.int64)}, {"fp": pa.int64()})
+        return tx.to_batch({"doc_id": tx.column(batch, "doc_id"), "_hash": tx.column(batch, "_hash"), "fp": prints.view(np.int64)}, {"fp": pa.int64()})
 
-    return tx.id_and_text(docs).mapInArrow(tx.per_chunk(run), "doc_id long, fp long")
+    table = tx.id_and_text(docs).withColumn("_hash", F.xxhash64("text"))
+    return table.mapInArrow(tx.per_chunk(run), "doc_id long, _hash long, fp long")
 
 
 class CoveringCode:
@@ -228,13 +229,18 @@ def close(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("fp"), F.col("v").alias("to"))
 
 
-def components(docs: DataFrame, distance: int = DISTANCE, many: int = MANY) -> DataFrame:
-    """Per row: doc_id, fp (long) and component_id, the smallest doc_id reachable over links."""
+def _rooted(docs: DataFrame, distance: int, many: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints by row; and by distinct fingerprint its smallest doc_id (``first``) and its component (``root``)."""
     checkpoint_dir(docs.sparkSession)
     prints = fingerprints(docs).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     closed = close(links(distinct.select("fp"), distinct.count(), distance, many))
-    rooted = distinct.join(closed, "fp", "left").select("fp", "first", F.coalesce("to", "fp").alias("root"))
+    return prints, distinct.join(closed, "fp", "left").select("fp", "first", F.coalesce("to", "fp").alias("root"))
+
+
+def components(docs: DataFrame, distance: int = DISTANCE, many: int = MANY) -> DataFrame:
+    """Per row: doc_id, fp (long) and component_id, the smallest doc_id reachable over links."""
+    prints, rooted = _rooted(docs, distance, many)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -246,12 +252,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The one document of each component that names it, with all its columns.
+    """One document of each component, with all its columns: the first by doc_id (null last), then by hash of the text.
 
-    Of rows that share its ``doc_id`` the first by hash of the text stays.
+    Components are told apart by their root, so rows of different ones that
+    share a ``doc_id``, or have none, all stay.
     """
-    names = components(docs).select(F.col("component_id").alias("_name")).distinct()
+    prints, rooted = _rooted(docs, DISTANCE, MANY)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")
+    kept = prints.join(rooted, "fp").groupBy("root").agg(F.min(place).alias("_first")).select(F.col("_first.doc_id").alias("_d"), F.col("_first._hash").alias("_h"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"].cast("string")).alias("_hash"))
-    kept = whole.join(names, whole["_id"].eqNullSafe(names["_name"]), "left_semi")
-    first = Window.partitionBy("_id").orderBy("_hash")
+    kept = whole.join(kept, whole["_id"].eqNullSafe(kept["_d"]) & (whole["_hash"] == kept["_h"]), "left_semi")
+    # rows that repeat id and text are of one component
+    first = Window.partitionBy("_id", "_hash").orderBy("_hash")
     return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_row.*")
