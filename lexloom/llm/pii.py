@@ -7,13 +7,14 @@ t in a context of e in n_te, knowing t discloses
 
     PMI(e; t) / IC(e) = 1 - log(n_t / n_te) / log(n / n_e)
 
-of e's information. A term that co-occurs in ``SUPPORT`` documents or more and
-discloses ``DISCLOSED`` or more is a span of its own (``term``), in the contexts
-of the entity it reveals. ``sanitise`` generalises entities to their kind and
+of e's information. No pair is left out for being rare: one seen together in
+fewer than ``SUPPORT`` documents is counted as if one more document held the
+term without the entity (n_t + 1). A term that discloses ``DISCLOSED`` or more
+is a span of its own (``term``), in the contexts of the entity it reveals. ``sanitise`` generalises entities to their kind and
 removes such terms.
 
 Counts cover the whole corpus. Document counts of terms are needed only for
-words that co-occur enough; a bitmap of ``FILTER_BITS`` bits (a fixed size
+words that co-occur with an entity; a bitmap of ``FILTER_BITS`` bits (a fixed size
 whatever the input) of their hashes is broadcast so that other words aren't
 shuffled, and the join on the full hash keeps the counts exact.
 
@@ -43,6 +44,7 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 8
 #: Letters that a term has at least.
 TERM_LETTERS = 3
+#: Documents together from which a pair's counts are taken as they are.
 SUPPORT = 3
 DISCLOSED = 0.9
 FILTER_BITS = 26
@@ -214,13 +216,14 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """(entity, term) of every term that discloses so much of an entity. ``found``: of ``entities``."""
     seen = found.where(F.size("context") > 0).select("doc_id", "_key", F.explode("context").alias("c")).select("doc_id", "_key", "c.entity", "c.term").distinct()
-    together = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    together = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     alone = seen.select("doc_id", "_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     together = together.checkpoint()
     n = found.count()
     counts = _document_counts(docs, together.select("term").distinct())
     joined = together.join(counts, "term").join(alone, "entity")
-    part = 1 - F.log(F.greatest(F.col("n_t") / F.col("n_te"), F.lit(1.0))) / F.log(F.lit(float(n)) / F.col("n_e"))
+    n_t = F.col("n_t") + (F.col("n_te") < support).cast("long")
+    part = 1 - F.log(F.greatest(n_t / F.col("n_te"), F.lit(1.0))) / F.log(F.lit(float(n)) / F.col("n_e"))
     return joined.where((F.col("n_e") < n) & (part >= disclosed)).select("entity", "term")
 
 
