@@ -1,22 +1,24 @@
 """PII removal with information-theoretic sanitisation.
 
-Protected entities are found by fixed patterns (email, ip, card, phone). The
-words around an entity are its context, and the corpus tells how much each of
-them reveals: with n documents, an entity e in n_e of them, a term t in n_t and
-t in a context of e in n_te, knowing t discloses
+Protected entities are found by fixed patterns (email, ip, card, phone). Any
+word of the same document may reveal an entity, and the corpus tells how much:
+with n documents, an entity e in n_e of them, a term t in n_t and both in n_te,
+knowing t discloses
 
     PMI(e; t) / IC(e) = 1 - log(n_t / n_te) / log(n / n_e)
 
 of e's information. No pair is left out for being rare: one seen together in
 fewer than ``SUPPORT`` documents is counted as if one more document held the
 term without the entity (n_t + 1). A term that discloses ``DISCLOSED`` or more
-is a span of its own (``term``), in the contexts of the entity it reveals. ``sanitise`` generalises entities to their kind and
+is a span of its own (``term``), wherever it stands in a document that holds
+the entity it reveals. ``sanitise`` generalises entities to their kind and
 removes such terms.
 
-Counts cover the whole corpus. Document counts of terms are needed only for
-words that co-occur with an entity; a bitmap of ``FILTER_BITS`` bits (a fixed size
-whatever the input) of their hashes is broadcast so that other words aren't
-shuffled, and the join on the full hash keeps the counts exact.
+Counts cover the whole corpus and whole texts. As n_te is at most n_e, a pair
+whose n_t is too large for its n_e can't disclose enough and needs no n_te; two
+arrays of ``2**LEVEL_BITS`` bytes (a fixed size whatever the input) bound n_t
+from below and n_e from above, so that such pairs are never made. What is left
+is joined on full hashes and judged by exact counts.
 
 Defined results: null and empty texts have no spans; matches that fail their
 check (part over 255, digits out of range, Luhn) are dropped without a retry;
@@ -28,8 +30,11 @@ id and text count as one document of the corpus; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +45,14 @@ from lexloom.llm import textops as tx
 from lexloom.session import checkpoint_dir
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are its context.
-CONTEXT = 8
 #: Letters that a term has at least.
 TERM_LETTERS = 3
 #: Documents together from which a pair's counts are taken as they are.
 SUPPORT = 3
 DISCLOSED = 0.9
-FILTER_BITS = 26
+LEVEL_BITS = 24
+#: Levels to a doubling of a count.
+LEVELS = 8
 TERM = "term"
 
 # An address is found from its @: what may stand before is a run that holds no @.
@@ -114,34 +119,28 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms around each entity, outside all entities: entity, term and place."""
-    taken = sorted((a, b) for _, a, b in spans)
-    out = []
-    for kind, a, b in spans:
-        entity = _hash(_value(kind, text[a:b]))
-        left = _words_before(text, a)
-        right = [m.span() for _, m in zip(range(CONTEXT), _WORD.finditer(text, b))]
-        for s, e in (*left, *right):
-            if e - s >= TERM_LETTERS and not any(s < y and x < e for x, y in taken):
-                out.append({"entity": entity, "term": _hash(text[s:e].lower()), "s": s, "e": e})
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Places of each term of the text, outside all entities."""
+    taken, k = sorted((a, b) for _, a, b in spans), 0
+    ends = list(accumulate((b for _, b in taken), max))
+    out: dict[str, list[tuple[int, int]]] = {}
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and ends[k] <= s:
+            k += 1
+        if e - s >= TERM_LETTERS and not (k < len(taken) and taken[k][0] < e):
+            out.setdefault(m.group().lower(), []).append((s, e))
     return out
 
 
-def _words_before(text: str, end: int) -> list[tuple[int, int]]:
-    """The last CONTEXT words before a place, in a reach that grows until it holds them."""
-    reach = 32 * CONTEXT
-    while True:
-        begin = max(0, end - reach)
-        found = [m.span() for m in _WORD.finditer(text, begin, end)]
-        if begin > 0 and found and found[0][0] == begin:
-            found = found[1:]  # may be cut
-        if begin == 0 or len(found) >= CONTEXT:
-            return found[-CONTEXT:]
-        reach *= 4
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    return sorted({_hash(_value(kind, text[a:b])) for kind, a, b in spans})
 
 
-_CONTEXT_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """Every entity of the text with every term and its places."""
+    terms = _terms(text, spans)
+    return [{"entity": entity, "term": _hash(word), "s": s, "e": e} for entity in _entities(text, spans) for word, places in terms.items() for s, e in places]
 
 
 def _render(spans) -> str:
@@ -149,8 +148,8 @@ def _render(spans) -> str:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, _key, counts by kind, base spans as text and the contexts of its entities."""
-    types = {"n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(), "base": pa.string(), "context": _CONTEXT_TYPE}
+    """Per row: doc_id, _key, counts by kind, base spans as text and its distinct entities."""
+    types = {"n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(), "base": pa.string(), "entities": pa.list_(pa.int64())}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: dict[str, list] = {k: [] for k in types}
@@ -159,83 +158,122 @@ def entities(docs: DataFrame) -> DataFrame:
             for kind in KINDS:
                 rows[f"n_{kind}"].append(sum(k == kind for k, _, _ in spans))
             rows["base"].append(_render(spans))
-            rows["context"].append(contexts(text, spans) if spans else [])
+            rows["entities"].append(_entities(text, spans) if spans else [])
         return tx.to_batch({"doc_id": tx.column(batch, "doc_id"), "_key": tx.column(batch, "_key")} | rows, types)
 
     table = tx.id_and_text(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
-    return table.mapInArrow(tx.per_chunk(run), "doc_id long, _key long, n_email long, n_ip long, n_card long, n_phone long, base string, context array<struct<entity: bigint, term: bigint, s: int, e: int>>")
+    return table.mapInArrow(tx.per_chunk(run), "doc_id long, _key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<bigint>")
 
 
-def _slots(terms: DataFrame) -> np.ndarray:
-    """A bitmap of the terms' hashes: 2**FILTER_BITS bits whatever their number."""
+def _levels(counts: DataFrame, key: str, n: str, upper: bool) -> np.ndarray:
+    """By slot of the key's hash, LEVELS * log2 of the counts there: none is over (``upper``) or none under."""
     block = 1 << 16
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros(block, bool)
-        bits[table.column("slot").to_numpy() % block] = True
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    slots = terms.select((F.col("term").bitwiseAND((1 << FILTER_BITS) - 1)).cast("int").alias("slot")).distinct()
-    rows = slots.groupBy(F.floor(F.col("slot") / block).cast("int").alias("block")).applyInArrow(gather, "block int, bits binary").toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for k, bits in zip(rows.column("block").to_pylist(), rows.column("bits")):
-        out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(bits.as_py(), np.uint8)
+        levels = np.zeros(block, np.uint8)
+        levels[table.column("slot").to_numpy() % block] = table.column("level").to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    level = F.log2(F.col(n).cast("double")) * LEVELS
+    # a step of room for rounding
+    level = F.least(F.ceil(level) + 1, F.lit(255)) if upper else F.greatest(F.floor(level) - 1, F.lit(0))
+    slots = counts.select((F.col(key).bitwiseAND((1 << LEVEL_BITS) - 1)).cast("int").alias("slot"), level.cast("int").alias("level"))
+    slots = slots.groupBy("slot").agg((F.max if upper else F.min)("level").alias("level"))
+    rows = slots.groupBy(F.floor(F.col("slot") / block).cast("int").alias("block")).applyInArrow(gather, "block int, levels binary").toArrow()
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    for k, levels in zip(rows.column("block").to_pylist(), rows.column("levels")):
+        out[k * block : (k + 1) * block] = np.frombuffer(levels.as_py(), np.uint8)
     return out
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold the term, for each of ``terms`` and some others."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_slots(terms))
+def _document_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t): documents that hold the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}  # words seen, with their hash or 0 for those that the bitmap rules out
-        counts: dict[int, int] = {}
+        types = {"term": pa.int64(), "n_t": pa.int64()}
+        counts: dict[str, int] = {}
         for batch in batches:
-            bits = bitmap.value
             for text in tx.column(batch, "text").to_pylist():
-                for word in set(_WORD.findall(text.lower() if text else "")):
-                    h = known.get(word)
-                    if h is None:
-                        h = _hash(word)
-                        slot = h & ((1 << FILTER_BITS) - 1)
-                        h = h if bits[slot >> 3] >> (7 - (slot & 7)) & 1 else 0
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[word] = h
-                    if h:
-                        counts[h] = counts.get(h, 0) + 1
-            if len(counts) > 500_000:
-                yield tx.to_batch({"term": list(counts), "n_t": list(counts.values())}, {"term": pa.int64(), "n_t": pa.int64()})
-                counts = {}
+                for word in {w.lower() for w in set(_WORD.findall(text or "")) if len(w) >= TERM_LETTERS}:
+                    counts[word] = counts.get(word, 0) + 1
+                if len(counts) > 500_000:
+                    yield tx.to_batch({"term": [_hash(w) for w in counts], "n_t": list(counts.values())}, types)
+                    counts = {}
         if counts:
-            yield tx.to_batch({"term": list(counts), "n_t": list(counts.values())}, {"term": pa.int64(), "n_t": pa.int64()})
+            yield tx.to_batch({"term": [_hash(w) for w in counts], "n_t": list(counts.values())}, types)
 
     return tx.id_and_text(docs).select("text").mapInArrow(run, "term long, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(entity, term) of every term that discloses so much of an entity. ``found``: of ``entities``."""
-    seen = found.where(F.size("context") > 0).select("doc_id", "_key", F.explode("context").alias("c")).select("doc_id", "_key", "c.entity", "c.term").distinct()
-    together = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    alone = seen.select("doc_id", "_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    together = together.checkpoint()
+def _candidates(docs: DataFrame, terms: np.ndarray, alone: np.ndarray, n: int, disclosed: float) -> DataFrame:
+    """Per document and term: the entities there that the term may disclose enough of, and its places. ``terms``, ``alone``: levels of n_t and n_e."""
+    slot = (1 << LEVEL_BITS) - 1
+    shared = docs.sparkSession.sparkContext.broadcast((terms, alone))
+    types = {"doc_id": pa.int64(), "_key": pa.int64(), "term": pa.int64(), "entities": pa.list_(pa.int64()), "places": pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))}
+    whole = LEVELS * math.log2(max(n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_t, n_e = shared.value
+            rows: dict[str, list] = {k: [] for k in types}
+            size = 0
+            for i, key, text in zip(*(tx.column(batch, c).to_pylist() for c in ("doc_id", "_key", "text"))):
+                spans = base_spans(text or "")
+                if not spans:
+                    continue
+                # n_t <= n_e * (n / n_e) ** (1 - disclosed), in levels
+                some = _entities(text, spans)
+                most = [disclosed * float(n_e[e & slot]) + (1 - disclosed) * whole if disclosed >= 0 else math.inf for e in some]
+                most, some = map(list, zip(*sorted(zip(most, some))))
+                for word, places in _terms(text, spans).items():
+                    term = _hash(word)
+                    near = some[bisect_left(most, float(n_t[term & slot])) :]
+                    if not near:
+                        continue
+                    for k, v in zip(types, (i, key, term, near, [{"s": s, "e": e} for s, e in places])):
+                        rows[k].append(v)
+                    size += len(near) + len(places)
+                    if size > 200_000:
+                        yield tx.to_batch(rows, types)
+                        rows, size = {k: [] for k in types}, 0
+            if rows["term"]:
+                yield tx.to_batch(rows, types)
+
+    table = tx.id_and_text(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
+    return table.mapInArrow(run, "doc_id long, _key long, term long, entities array<bigint>, places array<struct<s: int, e: int>>")
+
+
+def _disclosing(docs: DataFrame, found: DataFrame, support: int, disclosed: float) -> tuple[DataFrame, DataFrame]:
+    """(entity, term) of every term that discloses so much of an entity, and the rows of ``_candidates``."""
+    alone = found.where(F.size("entities") > 0).select("doc_id", "_key", "entities").distinct()
+    alone = alone.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).checkpoint()
+    counts = _document_counts(docs).checkpoint()
     n = found.count()
-    counts = _document_counts(docs, together.select("term").distinct())
+    near = _candidates(docs, _levels(counts, "term", "n_t", False), _levels(alone, "entity", "n_e", True), n, disclosed)
+    # rows that repeat id and text are one document
+    near = near.dropDuplicates(["doc_id", "_key", "term"]).checkpoint()
+    together = near.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     joined = together.join(counts, "term").join(alone, "entity")
     n_t = F.col("n_t") + (F.col("n_te") < support).cast("long")
     part = 1 - F.log(F.greatest(n_t / F.col("n_te"), F.lit(1.0))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    return joined.where((F.col("n_e") < n) & (part >= disclosed)).select("entity", "term")
+    return joined.where((F.col("n_e") < n) & (part >= disclosed)).select("entity", "term"), near
+
+
+def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+    """(entity, term) of every term that discloses so much of an entity. ``found``: of ``entities``."""
+    checkpoint_dir(docs.sparkSession)
+    return _disclosing(docs, found, support, disclosed)[0]
 
 
 def _with_terms(docs: DataFrame, support: int, disclosed: float) -> DataFrame:
     """``entities`` with the places of disclosing terms, sorted, as ``terms``."""
     checkpoint_dir(docs.sparkSession)
     found = entities(docs).checkpoint()
-    pairs = disclosures(docs, found, support, disclosed)
-    places = found.where(F.size("context") > 0).select("doc_id", "_key", F.explode("context").alias("c")).select("doc_id", "_key", "c.*")
-    places = places.join(pairs, ["entity", "term"], "left_semi").groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+    pairs, near = _disclosing(docs, found, support, disclosed)
+    places = near.select("doc_id", "_key", "term", F.explode("entities").alias("entity"), "places").join(pairs, ["entity", "term"], "left_semi")
+    places = places.groupBy("doc_id", "_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("terms"))
     places = places.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "terms")
-    return found.join(places, found["doc_id"].eqNullSafe(places["_d"]) & (found["_key"] == places["_k"]), "left").drop("_d", "_k", "context")
+    return found.join(places, found["doc_id"].eqNullSafe(places["_d"]) & (found["_key"] == places["_k"]), "left").drop("_d", "_k", "entities")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:

@@ -20,3 +20,10 @@ def test_terms_of_an_entity_in_one_document_are_found(make_docs):
     at = rows[-1][1].index("zorblatt")
     assert found[9000].spans.split(",")[1:] == [f"term:{at}:{at + 8}"]
     assert sum(r.n_term for r in found.values()) == 1
+
+
+def test_terms_are_found_and_removed_throughout_a_document(make_docs):
+    fill = " ".join(["plain words about them only"] * 20)
+    rows = [(i, fill) for i in range(1200)] + [(9000, f"zorblatt {fill} kim@mail.example.org {fill} Zorblatt")]
+    out = {r.doc_id: r.text for r in pii.sanitise(make_docs(rows)).collect()}
+    assert out[9000] == f"[TERM] {fill} [EMAIL] {fill} [TERM]" and out[0] == fill
