@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import alignment as al
@@ -34,6 +34,10 @@ _BEFORE_IN_BRACKETS = re.compile(r"[(\[]\s*([^()\[\]]{1,200}?)\s*[)\]]\s+[\"'“
 _CLAUSE_END = re.compile(r"[.;:](?=\s|$)|[\r\n]")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 
+#: White space as Python's re has it, so that pieces end at the same places.
+_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_SENTENCE_END_JAVA = rf"(?<=[.!?…]){_SPACE}+|\n+"
+
 _CANDIDATE = "array<struct<definition:string,ds:int,de:int,source:string,conf:double,kind:string>>"
 
 
@@ -113,6 +117,18 @@ def look_back(acronym: str, left: str, s: int) -> list[dict]:
     return []
 
 
+def _sentences_before(text: Column, s: Column) -> Column:
+    """The last LOOK_BACK whole sentences before a place and what stands between them and it."""
+    before = F.substring(text, F.lit(1), s)
+    pieces = F.split(before, _SENTENCE_END_JAVA, -1)
+    ends = F.regexp_extract_all(before, F.lit(_SENTENCE_END_JAVA), F.lit(0))
+    n = F.size(pieces)
+    first = F.greatest(n - LOOK_BACK, F.lit(1))
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+    size = length(F.slice(pieces, first, n)) + length(F.slice(ends, first, n))
+    return F.substring(before, s - size + 1, size)
+
+
 def occurrences_with_candidates(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
     """EXT-07, EXT-10, EXT-11: every occurrence with its candidates, and the first of a key with those in sentences before.
 
@@ -132,13 +148,14 @@ def occurrences_with_candidates(occurrences: DataFrame, docs: DataFrame) -> Data
         F.min("s").over(Window.partitionBy("doc_id", "key")).alias("first_s"),
         F.substring("text", F.greatest(F.col("s") - LEFT, F.lit(0)) + 1, F.least(F.col("s"), F.lit(LEFT))).alias("l"),
         F.substring("text", F.col("e") + 1, F.lit(RIGHT)).alias("r"),
+        F.when(first, _sentences_before(F.col("text"), F.col("s"))).otherwise("").alias("b"),
     )
 
     @F.pandas_udf(_CANDIDATE)
-    def align(key: pd.Series, left: pd.Series, right: pd.Series, s: pd.Series, e: pd.Series, first: pd.Series) -> pd.Series:
-        return pd.Series([candidates(k, x, y, int(a), int(b)) + (look_back(k, x, int(a)) if f else []) for k, x, y, a, b, f in zip(key, left, right, s, e, first)])
+    def align(key: pd.Series, left: pd.Series, right: pd.Series, before: pd.Series, s: pd.Series, e: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([candidates(k, x, y, int(a), int(b)) + (look_back(k, z, int(a)) if f else []) for k, x, y, z, a, b, f in zip(key, left, right, before, s, e, first)])
 
-    found = rows.select("doc_id", "key", "acronym", "s", "e", "first_s", F.explode_outer(align("key", "l", "r", "s", "e", "first")).alias("c"))
+    found = rows.select("doc_id", "key", "acronym", "s", "e", "first_s", F.explode_outer(align("key", "l", "r", "b", "s", "e", "first")).alias("c"))
     return found.select("doc_id", "key", "acronym", "s", "e", "first_s", "c.*")
 
 

@@ -1,5 +1,6 @@
 """Operators do the whole job: whole texts, whole lines, whole sentences."""
 
+from lexloom.operators import extraction
 from lexloom.plans.queries import QUERIES
 
 
@@ -8,3 +9,15 @@ def test_redaction_covers_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.text for r in QUERIES["redact_whole"](spark, str(tmp_path)).collect()}
     assert got[1].startswith("x " * 400 + "[REDACTED] end [REDACTED]") and got[2].startswith(" [REDACTED]")
+
+
+def test_look_back_takes_whole_sentences(spark):
+    filler = "and so it goes with many plain words in between " * 8
+    texts = [
+        f"We store authentication using JSON Web Tokens {filler}at last. JWT is issued after login.",
+        f"We store authentication using JSON Web Tokens. After the login {filler}the JWT is issued.",
+        "We store authentication using JSON Web Tokens. This is kept. That is kept. JWT is issued after login.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.definition, r.ds) for r in extraction.extract(docs).where("key = 'JWT'").collect()}
+    assert got == {0: ("JSON Web Tokens", 30), 1: ("JSON Web Tokens", 30), 2: (None, None)}
