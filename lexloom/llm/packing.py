@@ -7,10 +7,14 @@ A node holds at most ``NODE_BINS`` open bins per child it hands up; the fullest
 of a surplus are closed where they are, so no task grows with the input and no
 row is lost.
 
-Defined results: null text is empty text (one piece, the end mark); a document
-of more than ``capacity`` tokens is cut so that all pieces but the first are
-full; rows that repeat a ``doc_id`` are packed each on its own; an empty table
-gives no rows; other columns are ignored.
+A bin's number is made of its level, node and place there, so no two share one.
+
+Defined results: null text is empty text (one piece, the end mark); the text of
+an added token is that token, as the tokenizer has it; bytes that are no UTF-8
+read as U+FFFD; a document of more than ``capacity`` tokens is cut so that all
+pieces but the first are full; rows that repeat a ``doc_id`` are packed each on
+its own; ties of length go by id, piece and CRC-32; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ NODE_BINS = 20_000
 LEAF_PIECES = 20_000
 
 _PIECE = "doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint"
-_BINS = f"node int, level int, bin string, used int, members array<struct<{_PIECE}>>"
+_BINS = f"node int, level int, bin bigint, used int, members array<struct<{_PIECE}>>"
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> str:
@@ -53,26 +57,25 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
 
 
 class Encoder:
-    """Token ids of the tokenizer file; its vocabulary as ranks is read where it lies beside, which is faster and gives the same ids."""
+    """The ids of an untouched tokenizer of the file.
+
+    Its vocabulary as ranks is read where it lies beside, which is faster and
+    gives the same ids for texts without the text of an added token; those that
+    have one always go to the tokenizer itself.
+    """
 
     def __init__(self, path: str):
-        self.path = path
-        self._exact = self._fast = None
+        self.exact = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self._fast = None
         ranks_path = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks_path):
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self._fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    @property
-    def exact(self):
-        if self._exact is None:
-            self._exact = Tokenizer.from_file(self.path)
-            self._exact.encode_special_tokens = True
-        return self._exact
-
     def encode(self, text: str) -> list[int]:
-        if self._fast is not None:
+        if self._fast is not None and not any(t in text for t in self.added):
             try:
                 return self._fast.encode_ordinary(text)
             except BaseException as e:  # its regular expression gives up on some endless runs, as a panic
@@ -98,7 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         serial = 0
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "deal")}
-            for doc, text in zip(tx.column(batch, "doc_id").to_pylist(), tx.column(batch, "text").to_pylist()):
+            for doc, text in zip(tx.column(batch, "doc_id").to_pylist(), tx.strings(tx.column(batch, "text"))):
                 ids = np.array([*(encode(text) if text else ()), end_id], dtype="<u4")
                 start, stop = 0, len(ids) % capacity or capacity
                 for k in range(-(-len(ids) // capacity)):
@@ -151,6 +154,16 @@ def _filled(items: list[list[dict]]) -> list[dict]:
     return out
 
 
+#: Places of the node's number and of the level in a bin's number; whole sequences have a level of their own.
+_NODE_BIT, _LEVEL_BIT, _WHOLE = 28, 59, 15
+
+
+def _number(level: int, node: int, k: int) -> int:
+    if level >= _WHOLE or node >= 1 << (_LEVEL_BIT - _NODE_BIT) or k >= 1 << _NODE_BIT:
+        raise ValueError("more bins than numbers")
+    return level << _LEVEL_BIT | node << _NODE_BIT | k
+
+
 def _packed(node: int, level: int, last: bool, lengths: list[int], members: list[list], capacity: int, node_bins: int) -> pa.Table:
     """A node's bins; level -1 marks the closed ones."""
     bins = best_fit(lengths, capacity)
@@ -161,7 +174,7 @@ def _packed(node: int, level: int, last: bool, lengths: list[int], members: list
         {
             "node": pa.array([node // FAN_IN] * len(bins), pa.int32()),
             "level": pa.array([level + 1 if k in still else -1 for k in range(len(bins))], pa.int32()),
-            "bin": pa.array([f"{level}.{node}.{k}" for k in range(len(bins))], pa.string()),
+            "bin": pa.array([_number(level, node, k) for k in range(len(bins))], pa.int64()),
             "used": pa.array(used, pa.int32()),
             "members": pa.array([_filled([members[i] for i in b]) for b in bins], pa.list_(_MEMBER)),
         }
@@ -183,7 +196,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     spark = docs.sparkSession
     checkpoint_dir(spark)
     cut = pieces(docs, path or vocabulary(), capacity, end_id).checkpoint()
-    whole = cut.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.concat_ws(".", F.lit("f"), F.monotonically_increasing_id().cast("string")).alias("_bin"), F.lit(0).cast("long").alias("offset"))
+    whole = cut.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().bitwiseOR(F.lit(_WHOLE << _LEVEL_BIT)).alias("_bin"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < capacity)
     leaves = max(1, -(-rest.count() // leaf_pieces))
 
@@ -204,4 +217,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         done = one.where(F.col("level") == -1).select("bin", "members")
         placed = done if placed is None else placed.unionByName(done)
     short = placed.select(F.col("bin").alias("_bin"), F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "_bin", "m.offset")
-    return whole.unionByName(short).select("doc_id", "piece", "start", "length", "ids_crc32", F.xxhash64("_bin").alias("sequence_id"), "offset")
+    return whole.unionByName(short).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_bin").alias("sequence_id"), "offset")

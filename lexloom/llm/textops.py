@@ -203,6 +203,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def strings(texts: pa.Array) -> list[str | None]:
+    """Python strings of a column; bytes that are no UTF-8 read as U+FFFD."""
+    try:
+        return texts.to_pylist()
+    except UnicodeDecodeError:
+        return [t.as_buffer().to_pybytes().decode(errors="replace") if t.is_valid else None for t in texts]
+
+
 def to_batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=types[k]) for k, v in columns.items()], names=list(columns))
 

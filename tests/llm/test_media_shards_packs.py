@@ -121,12 +121,11 @@ def test_few_rows_and_none(make_docs):
     assert sharding.shard(make_docs([(1, "a")]).where("false")).count() == 0
 
 
-TEXTS = ["", None, "the cat sat", "é ü 😀 \n\n  x", "word " * 5_000, "a" * 3_000, " " * 2_000, "a1b2.c3 d4's", "<|endoftext|>x"]
+TEXTS = ["", None, "the cat sat", "é ü 😀 \n\n  x", "word " * 5_000, "a" * 3_000, " " * 2_000, "a1b2.c3 d4's", "<|endoftext|>x", "a <|endoftext|> b", "<|endoftext|>" * 3, "<|endoftext|"]
 
 
 def test_ids_are_the_tokenizers(make_docs):
     exact = Tokenizer.from_file(packing.vocabulary())
-    exact.encode_special_tokens = True
     fast = packing.encoder(packing.vocabulary())
     for text in TEXTS:
         assert list(fast.encode(text or "")) == exact.encode(text or "", add_special_tokens=False).ids
@@ -138,7 +137,6 @@ def test_packs_are_whole_and_tight(make_docs, clashing, leaf):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, "w " * rng.randrange(600)) for i in range(300)] + [(100, "twice"), (100, "twice")]
     out = packing.pack(clashing(make_docs(rows)), leaf_pieces=leaf).collect()
     exact = Tokenizer.from_file(packing.vocabulary())
-    exact.encode_special_tokens = True
     want = []
     for i, t in rows:
         ids = [*exact.encode(t or "", add_special_tokens=False).ids, 2]
@@ -167,6 +165,18 @@ def test_a_surplus_of_open_bins_is_closed_not_lost(make_docs):
     assert packing.pack(make_docs(rows).where("false")).count() == 0
 
 
+def test_ids_of_an_added_tokens_text():
+    assert list(packing.encoder(packing.vocabulary()).encode("a <|endoftext|> b")) == [64, 220, 50256, 275]
+
+
+def test_bin_numbers_are_distinct():
+    numbers = {packing._number(level, node, k) for level in (0, 1, 14) for node in (0, 1, 2**31 - 1) for k in (0, 1, 2**28 - 1)}
+    assert len(numbers) == 27 and max(numbers) < packing._WHOLE << packing._LEVEL_BIT
+    for level, node, k in ((15, 0, 0), (0, 2**31, 0), (0, 0, 2**28)):
+        with pytest.raises(ValueError):
+            packing._number(level, node, k)
+
+
 def test_best_fit_takes_the_fullest_bin_that_holds():
     assert sorted(sorted(b) for b in packing.best_fit([6, 5, 4, 5], 10)) == [[0, 2], [1, 3]]
 
