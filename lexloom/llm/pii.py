@@ -23,8 +23,9 @@ is joined on full hashes and judged by exact counts.
 Defined results: null and empty texts have no spans; matches that fail their
 check (part over 255, digits out of range, Luhn) are dropped without a retry;
 rows that repeat a ``doc_id`` are searched each on its own, rows that repeat
-id and text count as one document of the corpus; other columns are ignored
-(and kept by ``sanitise``).
+id and text count as one document of the corpus in all four counts; bytes that
+are no UTF-8 read as U+FFFD; other columns are ignored (and kept by
+``sanitise``).
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: dict[str, list] = {k: [] for k in types}
-        for text in tx.column(batch, "text").to_pylist():
+        for text in tx.strings(tx.column(batch, "text")):
             spans = base_spans(text or "")
             for kind in KINDS:
                 rows[f"n_{kind}"].append(sum(k == kind for k, _, _ in spans))
@@ -186,23 +187,35 @@ def _levels(counts: DataFrame, key: str, n: str, upper: bool) -> np.ndarray:
     return out
 
 
-def _document_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold the term."""
+def _document_counts(docs: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """(term, n_t): documents that hold the term.
+
+    Every row counts 1; the documents of ``repeats`` (doc_id, _key, n) are then
+    counted 1 - n more, so that rows that repeat id and text are one document
+    and no text is shuffled but theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"term": pa.int64(), "n_t": pa.int64()}
         counts: dict[str, int] = {}
         for batch in batches:
-            for text in tx.column(batch, "text").to_pylist():
+            for text, weight in zip(tx.strings(tx.column(batch, "text")), tx.column(batch, "weight").to_pylist()):
                 for word in {w.lower() for w in set(_WORD.findall(text or "")) if len(w) >= TERM_LETTERS}:
-                    counts[word] = counts.get(word, 0) + 1
+                    counts[word] = counts.get(word, 0) + weight
                 if len(counts) > 500_000:
                     yield tx.to_batch({"term": [_hash(w) for w in counts], "n_t": list(counts.values())}, types)
                     counts = {}
         if counts:
             yield tx.to_batch({"term": [_hash(w) for w in counts], "n_t": list(counts.values())}, types)
 
-    return tx.id_and_text(docs).select("text").mapInArrow(run, "term long, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    table = tx.id_and_text(docs)
+    weighed = table.select("text", F.lit(1).cast("long").alias("weight"))
+    if repeats is not None:
+        again = repeats.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), (1 - F.col("n")).alias("weight"))
+        keyed = table.withColumn("_key", F.xxhash64("doc_id", "text"))
+        more = keyed.join(again, keyed["doc_id"].eqNullSafe(again["_d"]) & (keyed["_key"] == again["_k"])).dropDuplicates(["doc_id", "_key"])
+        weighed = weighed.unionByName(more.select("text", "weight"))
+    return weighed.mapInArrow(run, "term long, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t"))
 
 
 def _candidates(docs: DataFrame, terms: np.ndarray, alone: np.ndarray, n: int, disclosed: float) -> DataFrame:
@@ -217,7 +230,7 @@ def _candidates(docs: DataFrame, terms: np.ndarray, alone: np.ndarray, n: int, d
             n_t, n_e = shared.value
             rows: dict[str, list] = {k: [] for k in types}
             size = 0
-            for i, key, text in zip(*(tx.column(batch, c).to_pylist() for c in ("doc_id", "_key", "text"))):
+            for i, key, text in zip(tx.column(batch, "doc_id").to_pylist(), tx.column(batch, "_key").to_pylist(), tx.strings(tx.column(batch, "text"))):
                 spans = base_spans(text or "")
                 if not spans:
                     continue
@@ -247,8 +260,9 @@ def _disclosing(docs: DataFrame, found: DataFrame, support: int, disclosed: floa
     """(entity, term) of every term that discloses so much of an entity, and the rows of ``_candidates``."""
     alone = found.where(F.size("entities") > 0).select("doc_id", "_key", "entities").distinct()
     alone = alone.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).checkpoint()
-    counts = _document_counts(docs).checkpoint()
-    n = found.count()
+    documents = found.groupBy("doc_id", "_key").agg(F.count("*").alias("n"))
+    n, repeated = documents.agg(F.count("*"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0))).first()
+    counts = _document_counts(docs, documents.where("n > 1") if repeated else None).checkpoint()
     near = _candidates(docs, _levels(counts, "term", "n_t", False), _levels(alone, "entity", "n_e", True), n, disclosed)
     # rows that repeat id and text are one document
     near = near.dropDuplicates(["doc_id", "_key", "term"]).checkpoint()
@@ -306,7 +320,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOS
         for batch in batches:
             row = tx.column(batch, "_row")
             rows = pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type])
-            texts, changed = tx.column(rows, "text").to_pylist(), []
+            texts, changed = tx.strings(tx.column(rows, "text")), []
             for i, one in enumerate(tx.column(batch, "_spans").to_pylist()):
                 if one:
                     base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in one["base"].split(","))]

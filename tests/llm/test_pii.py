@@ -82,6 +82,16 @@ def test_disclosures_equal_brute_force(make_docs):
     assert got == want and want
 
 
+def test_a_doubled_table_discloses_the_same(make_docs):
+    docs = make_docs(corpus())
+    once = {r.doc_id: tuple(r) for r in pii.find(docs, disclosed=0.8).collect()}
+    twice = pii.find(docs.union(docs), disclosed=0.8).collect()
+    assert len(twice) == 2 * len(corpus()) and all(once[r.doc_id] == tuple(r) for r in twice)
+    assert sum(r[-1] for r in once.values()) > 0
+    some = docs.where("doc_id < 104")
+    assert {tuple(r) for r in pii.find(docs.union(some).union(some), disclosed=0.8).collect()} == set(once.values())
+
+
 def test_sanitise_changes_only_texts_with_entities(make_docs, clashing):
     docs = clashing(make_docs(corpus()))
     out = pii.sanitise(docs, disclosed=0.8)
@@ -89,7 +99,8 @@ def test_sanitise_changes_only_texts_with_entities(make_docs, clashing):
     texts = {r.doc_id: r for r in out.collect()}
     assert len(texts) == len({i for i, _ in corpus()})
     assert texts[100].text == "please ask [TERM] at [EMAIL] about the plain words 0" and texts[100].n_chars == len(texts[100].text)
-    assert texts[202].text == "card [CARD], ip [IP], phone [PHONE]."
+    # two rows, one document: the words that it alone has reveal its entities
+    assert texts[202].text == "[TERM] [CARD], ip [IP], [TERM] [PHONE]."
     assert texts[203].text == "zorblatt without the address" and texts[200].text is None
     assert texts[0].text == corpus()[0][1]
 
@@ -97,3 +108,10 @@ def test_sanitise_changes_only_texts_with_entities(make_docs, clashing):
 def test_empty_table(make_docs):
     assert pii.find(make_docs([(1, "x")]).where("false")).count() == 0
     assert pii.sanitise(make_docs([(1, "x")]).where("false")).count() == 0
+
+
+def test_bytes_that_are_no_utf8(spark, make_docs):
+    odd = make_docs([(1, "x")]).selectExpr("doc_id", "cast(unhex('61FF62') as string) as text", "lang", "source", "n_chars")
+    (row,) = pii.find(odd).collect()
+    assert (row.doc_id, row.spans) == (1, "")
+    assert pii.sanitise(odd).count() == 1
