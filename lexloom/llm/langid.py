@@ -8,24 +8,30 @@ The piece probabilities are fitted by expectation-maximisation (forward and
 backward sums give expected piece counts).
 
 Words are runs of ASCII letters and non-ASCII characters, ASCII lower-cased,
-with a space in front as the vocabulary has it. A word longer than ``UNIT``
-bytes is cut into units of that length, so the sums neither underflow nor grow.
-All words of a chunk are handled at once: each distinct word once, by arrays.
-
-The sample: of the rows that may be learned from, with at most ``TRAIN_BYTES``
-of text, about ``TRAIN_DOCS`` of each language by hash of id and text.
-Prediction covers every whole text.
+with a space in front as the vocabulary has it. Words of any length and pieces
+of any length are summed whole; sums are scaled as they go, so that none
+underflows. All words of a chunk are handled at once: each distinct word once,
+by arrays; a worker remembers the words that it has summed, up to
+``KNOWN_BYTES``, as most words of a text are frequent ones.
+
+The sample: of the rows that may be learned from, about ``TRAIN_DOCS`` of each
+language by hash of id and text, whole texts. More than ``MOST_LANGUAGES``
+distinct values of ``lang`` are refused with an error, as a model of that size
+doesn't fit a broadcast; no language is left out silently. Prediction covers
+every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 as is every text if there is nothing to learn from; ties go to the
 alphabetically first language; rows that repeat a ``doc_id`` are each
-predicted on their own; other columns are ignored (and kept by ``keep_known``).
+predicted on their own; bytes that are no UTF-8 count as letters beyond ASCII;
+other columns are ignored (and kept by ``keep_known``).
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -36,11 +42,11 @@ from pyspark.sql import functions as F
 from lexloom.llm import textops as tx
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces of the vocabulary that are longer are not used.
-LONGEST = 8
-UNIT = 32
 TRAIN_DOCS = 600
-TRAIN_BYTES = 65_536
+#: Distinct languages that a model can hold.
+MOST_LANGUAGES = 2_000
+#: Bytes of word sums that a worker remembers.
+KNOWN_BYTES = 64 << 20
 ROUNDS = 4
 UNKNOWN = "und"
 #: The pipeline rejects texts whose likeliest language scores less.
@@ -57,17 +63,27 @@ def vocabulary(path: str | None = None) -> list[bytes]:
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
         pieces = {base64.b64decode(line.split()[0]) for line in lines}
     fits = re.compile(rb" ?[a-z\x80-\xff]+|.", re.DOTALL)
-    return sorted({p for p in pieces if len(p) <= LONGEST and fits.fullmatch(p)} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in pieces if fits.fullmatch(p)} | {bytes([b]) for b in range(256)})
+
+
+#: Bytes of a piece are digits of a number to this base modulo 2**64, the last byte's place being 1.
+_BASE = 0x9E3779B97F4A7C15
+#: Columns after which sums are scaled, and cells of a lattice that are held at once.
+_SCALE_EVERY = 4
+_CELLS = 1 << 18
 
 
 class Pieces:
     """Finds pieces in fixed-width byte matrices by a hash table without loops."""
 
     def __init__(self, pieces: list[bytes]):
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), max(map(len, pieces))
         keys = np.array([self._key(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order.astype(np.int32)
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one key")
+        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(self.longest)], dtype=np.uint64)
         # direct slots for most pieces, the rest by binary search
         slots = self._slot(keys)
         self.table = np.full(1 << _SLOT_BITS, -1, np.int32)
@@ -80,15 +96,15 @@ class Pieces:
     def _key(piece: bytes) -> int:
         value = 0
         for b in piece:
-            value = value << 8 | b
-        return value  # LONGEST bytes at most; length goes in by _sized
+            value = value * _BASE + b + 1
+        return value & (1 << 64) - 1
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (tx.mix(keys) >> tx.U64(64 - _SLOT_BITS)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece number of each key, -1 where there is none. No piece starts with byte 0 but that byte itself."""
+        """Piece number of each key, -1 where there is none."""
         slots = self._slot(keys)
         out = self.table[slots].copy()
         out[(out >= 0) & (self.by_id[np.maximum(out, 0)] != keys)] = -1
@@ -99,83 +115,109 @@ class Pieces:
         return out
 
 
-def units(words: list[bytes] | tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte matrix of units (zero-padded), their lengths and the word of each.
-
-    Words come as (data, starts, ends); a unit that begins a word has a space in front.
-    """
-    data, starts, ends = words
-    n = -(-(ends - starts) // UNIT)
-    word = np.repeat(np.arange(len(starts)), n)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    a = starts[word] + nth * UNIT
-    lengths = np.minimum(ends[word] - a, UNIT)
-    matrix = np.zeros((len(word), UNIT + 1), np.uint8)
-    cell = np.arange(UNIT)
-    inside = cell[None, :] < lengths[:, None]
-    matrix[:, 1:][inside] = data[(a[:, None] + cell)[inside]]
-    matrix[:, 0] = np.where(nth == 0, 0x20, 0)
-    return matrix, lengths, word
+def batches(starts: np.ndarray, ends: np.ndarray, cells: int = _CELLS) -> Iterator[np.ndarray]:
+    """Numbers of words, longest first, in groups whose matrices have at most so many cells (or one word)."""
+    order = np.argsort(starts - ends, kind="stable")
+    lengths = (ends - starts)[order] + 1
+    at = 0
+    while at < len(order):
+        n = max(1, cells // int(lengths[at]))
+        yield order[at : at + n]
+        at += n
 
 
 class Lattice:
-    """Every piece at every place of units sorted by length."""
-
-    def __init__(self, pieces: Pieces, matrix: np.ndarray, lengths: np.ndarray):
-        # a unit is its bytes from the space (or from the first letter) on
-        self.order = np.argsort(-lengths, kind="stable")
-        self.matrix, self.lengths = matrix[self.order], lengths[self.order]
-        self.begin = np.where(self.matrix[:, 0] == 0x20, 0, 1)
-        self.width = int(self.lengths[0]) + 1 if len(lengths) else 0
-        #: units with a byte at column j are the first live[j].
-        self.live = np.searchsorted(-self.lengths, -np.arange(self.width + 1), side="right")
-        self.found: dict[tuple[int, int], np.ndarray] = {}
-        for end in range(1, self.width + 1):
-            n = int(self.live[max(end - 1, 1)]) if end > 1 else len(self.lengths)
-            key = np.zeros(n, np.uint64)
-            for size in range(1, min(LONGEST, end) + 1):
-                start = end - size
-                key |= self.matrix[:n, start].astype(np.uint64) << tx.U64(8 * (size - 1))
-                ids = pieces.find(key)
-                ids[self.begin[:n] > start] = -1
-                self.found[start, end] = ids
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums over segmentations of each prefix; p: pieces x languages, last row 0 for no piece."""
-        alpha = np.zeros((self.width + 1, len(self.lengths), p.shape[1]))
-        alpha[0, self.begin == 0] = 1
-        if self.width:
-            alpha[1, self.begin == 1] = 1
-        for end in range(1, self.width + 1):
-            for size in range(1, min(LONGEST, end) + 1):
-                ids = self.found[end - size, end]
-                alpha[end, : len(ids)] += alpha[end - size, : len(ids)] * p[ids]
-        return alpha
-
-    def total(self, alpha: np.ndarray) -> np.ndarray:
-        out = np.empty((len(self.lengths), alpha.shape[2]))
-        out[self.order] = alpha[self.lengths + 1, np.arange(len(self.lengths))]
+    """Every piece at every place of some words, the longest first, each with a space in front.
+
+    A place is a column of a word; places are numbered by column, then by word,
+    and a column holds the words that reach it, which are the first ones.
+    ``entries`` are the pieces that end at each place, in the order of places.
+    """
+
+    def __init__(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.lengths, self.longest = ends - starts + 1, pieces.longest
+        self.width = int(self.lengths[0]) if len(starts) else 0
+        #: words that reach each column, and the first place of each.
+        self.live = np.searchsorted(-self.lengths, -np.arange(self.width + 1), side="left")
+        self.first = np.concatenate([[0], np.cumsum(self.live[:-1])]).astype(np.int64)
+        column = np.repeat(np.arange(self.width), self.live[:-1])
+        self.word = np.arange(len(column)) - self.first[column]
+        letters = np.full(len(column), 0x20, np.uint8)
+        n = len(starts)
+        letters[n:] = data[starts[self.word[n:]] + column[n:] - 1]
+        keys, found = np.zeros(len(column), np.uint64), []
+        for size in range(1, min(self.longest, self.width) + 1):
+            here = slice(int(self.first[size - 1]), None)
+            start = self.first[column[here] - size + 1] + self.word[here]
+            keys[here] += (letters[start].astype(np.uint64) + tx.U64(1)) * pieces.powers[size - 1]
+            ids = pieces.find(keys[here])
+            some = np.flatnonzero(ids >= 0)
+            found.append((some + here.start, start[some], ids[some]))
+        self.end, self.start, self.piece = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        order = np.argsort(self.end, kind="stable")
+        self.end, self.start, self.piece = self.end[order], self.start[order], self.piece[order]
+        self.column = column
+        #: first entry of each place; every single byte is a piece, so each has one.
+        self.entries = np.searchsorted(self.end, np.arange(len(column) + 1))
+
+    def _column(self, c: int) -> tuple[int, int, np.ndarray]:
+        """Entries that end in a column: from, to, and where each place's begin."""
+        edges = self.entries[self.first[c] : self.first[c + 1] + 1]
+        return int(edges[0]), int(edges[-1]), edges[:-1] - edges[0]
+
+    def log_totals(self, p: np.ndarray) -> np.ndarray:
+        """Logs of the sums over all segmentations of each word; p: pieces x languages."""
+        ring = self.longest + 1
+        alpha = np.zeros((ring, len(self.lengths), p.shape[1]))
+        alpha[0] = 1
+        logs, out = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:])
+        word, column = self.word[self.start], self.column[self.start]
+        with np.errstate(divide="ignore"):
+            for c in range(self.width):
+                a, b, edges = self._column(c)
+                now = np.add.reduceat(alpha[column[a:b] % ring, word[a:b]] * p[self.piece[a:b]], edges, axis=0)
+                on, n = int(self.live[c + 1]), len(now)
+                out[on:n] = np.log(now[on:]) + logs[on:n]
+                alpha[(c + 1) % ring, :n] = now
+                if c % _SCALE_EVERY == 0:
+                    scale = np.where(now[:on] > 0, now[:on], 1.0)
+                    alpha[:, :on] /= scale
+                    logs[:on] += np.log(scale)
         return out
 
     def expected(self, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected piece counts; p: pieces x 1, weights: of the units."""
-        alpha = self.forward(p)[:, :, 0]
-        n = len(self.lengths)
-        weights = weights[self.order]
-        beta = np.zeros((self.width + 1, n))
-        beta[self.lengths + 1, np.arange(n)] = 1
-        for start in range(self.width - 1, -1, -1):
-            for size in range(1, min(LONGEST, self.width - start) + 1):
-                ids = self.found[start, start + size]
-                beta[start, : len(ids)] += beta[start + size, : len(ids)] * p[ids, 0]
-        total = alpha[self.lengths + 1, np.arange(n)]
-        scale = np.where(total > 0, weights / np.maximum(total, 1e-300), 0)
-        counts = np.zeros(len(p))
-        for (start, end), ids in self.found.items():
-            k = len(ids)
-            share = alpha[start, :k] * p[ids, 0] * beta[end, :k] * scale[:k]
-            counts += np.bincount(np.where(ids < 0, len(p) - 1, ids), share, minlength=len(p))
-        return counts[:-1]
+        """Expected piece counts; p: pieces x 1, last row 0 for no piece; weights: of the words."""
+        p = p[:, 0]
+        n_places = len(self.column)
+        with np.errstate(divide="ignore"):
+            # logs of the sums before and, by place, up to and with each place
+            ahead, before = np.zeros(n_places), np.zeros(len(self.start))
+            for c in range(self.width):
+                a, b, edges = self._column(c)
+                last = ahead[self.first[c - 1] : self.first[c - 1] + self.live[c]] if c else np.zeros(int(self.live[c]))
+                start = self.start[a:b]
+                own = np.where(self.column[start] > 0, ahead[self.first[np.maximum(self.column[start] - 1, 0)] + self.word[start]], 0.0)
+                before[a:b] = own
+                ahead[self.first[c] : self.first[c + 1]] = last + np.log(np.add.reduceat(np.exp(own - last[self.word[start]]) * p[self.piece[a:b]], edges))
+            words = np.arange(len(self.lengths))
+            total = ahead[self.first[self.lengths - 1] + words] if len(words) else np.zeros(0)
+            # logs of the sums from each place on
+            order = np.argsort(self.start, kind="stable")
+            begins = np.searchsorted(self.start[order], np.arange(n_places + 1))
+            behind, after = np.zeros(n_places), np.zeros(len(self.start))
+            for c in range(self.width - 1, -1, -1):
+                some = order[begins[self.first[c]] : begins[self.first[c + 1]]]
+                edges = begins[self.first[c] : self.first[c + 1]] - begins[self.first[c]]
+                end, word = self.end[some], self.word[self.end[some]]
+                ends = self.column[end] + 1 == self.lengths[word]
+                own = np.where(ends, 0.0, behind[np.where(ends, 0, self.first[np.minimum(self.column[end] + 1, self.width - 1)] + word)])
+                after[some] = own
+                nxt = np.zeros(int(self.live[c]))
+                nxt[: self.live[c + 1]] = behind[self.first[c + 1] : self.first[c + 1] + self.live[c + 1]] if c + 1 < self.width else 0.0
+                behind[self.first[c] : self.first[c + 1]] = nxt + np.log(np.add.reduceat(np.exp(own - nxt[word]) * p[self.piece[some]], edges))
+            word = self.word[self.start]
+            share = np.exp(before + after - total[word]) * p[self.piece] * weights[word]
+        return np.bincount(self.piece, share, minlength=len(p))[:-1]
 
 
 class Model:
@@ -183,9 +225,16 @@ class Model:
         """p: pieces x languages, a last row of zeros."""
         self.languages, self.pieces, self.p = languages, pieces, p
         self._finder: Pieces | None = None
+        self._forget()
 
     def __getstate__(self):
-        return {"languages": self.languages, "pieces": self.pieces, "p": self.p, "_finder": None}
+        return {"languages": self.languages, "pieces": self.pieces, "p": self.p}
+
+    def __setstate__(self, state):
+        self.__init__(state["languages"], state["pieces"], state["p"])
+
+    def _forget(self) -> None:
+        self._known, self._logs = np.zeros(0, np.uint64), np.zeros((0, len(self.languages)))
 
     @property
     def finder(self) -> Pieces:
@@ -196,12 +245,24 @@ class Model:
     def log_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(starts), len(self.languages)))
-        matrix, lengths, word = units((data, starts, ends))
-        for a in range(0, len(lengths), 1 << 14):
-            part = slice(a, a + (1 << 14))
-            lattice = Lattice(self.finder, matrix[part], lengths[part])
-            logs = np.log(np.maximum(lattice.total(lattice.forward(self.p)), 1e-300))
-            np.add.at(out, word[part], logs)
+        for own in batches(starts, ends, max(1, _CELLS // max(1, len(self.languages)))):
+            out[own] = Lattice(self.finder, data, starts[own], ends[own]).log_totals(self.p)
+        return out
+
+    def known_words(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``log_words`` of distinct words, by their sorted hashes; those seen before are remembered."""
+        at = np.minimum(np.searchsorted(self._known, hashes), max(len(self._known) - 1, 0))
+        seen = self._known[at] == hashes if len(self._known) else np.zeros(len(hashes), bool)
+        out = np.empty((len(hashes), len(self.languages)))
+        out[seen] = self._logs[at[seen]]
+        new = np.flatnonzero(~seen)
+        out[new] = self.log_words(data, starts[new], ends[new])
+        if (len(self._known) + len(new)) * 8 * (len(self.languages) + 1) > KNOWN_BYTES:
+            self._forget()
+        if len(new) * 8 * (len(self.languages) + 1) <= KNOWN_BYTES:
+            known = np.concatenate([self._known, hashes[new]])
+            order = np.argsort(known, kind="stable")
+            self._known, self._logs = known[order], np.concatenate([self._logs, out[new]])[order]
         return out
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,14 +274,14 @@ class Model:
         some = np.flatnonzero(words.counts > 0)
         if not len(self.languages) or not len(some):
             return best, score
-        _, heads, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        logs = self.log_words(data, words.starts[heads], words.ends[heads])
+        distinct, heads, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        logs = self.known_words(distinct, data, words.starts[heads], words.ends[heads])
         sums = np.add.reduceat(logs[which], words.first[:-1][some], axis=0)
         top = sums.argmax(axis=1)
         best[some], score[some] = top, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         for i in some:
             raw = data[offsets[i] : offsets[i + 1]].tobytes()
-            if not _SOME_LETTER.search(raw) and not any(c.isalpha() for c in raw.decode()):
+            if not _SOME_LETTER.search(raw) and not any(c.isalpha() for c in raw.decode(errors="replace")):
                 best[i], score[i] = -1, 0.0
         return best, score
 
@@ -228,8 +289,10 @@ class Model:
 def train(docs: DataFrame, docs_each: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str | None = None) -> Model:
     tx.id_and_text(docs)
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    table = table.where(~tx.held_out(HELD_DIVISOR, HELD_REMAINDER)).where("lang is not null and text is not null").where(F.octet_length("text") <= TRAIN_BYTES)
-    counted = table.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    table = table.where(~tx.held_out(HELD_DIVISOR, HELD_REMAINDER)).where("lang is not null and text is not null")
+    counted = table.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct languages to learn")
     pieces = vocabulary(path)
     if not counted:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
@@ -258,8 +321,7 @@ def train(docs: DataFrame, docs_each: int = TRAIN_DOCS, rounds: int = ROUNDS, pa
         own = got.filter(pa.compute.equal(got.column("lang"), lang)).sort_by("word")
         data, offsets = tx.flat(own.column("word"))
         weights = own.column("n").to_numpy().astype(np.float64)
-        matrix, lengths, word = units((data, offsets[:-1], offsets[1:]))
-        lattices = [(Lattice(finder, matrix[a : a + (1 << 14)], lengths[a : a + (1 << 14)]), weights[word[a : a + (1 << 14)]]) for a in range(0, len(lengths), 1 << 14)]
+        lattices = [(Lattice(finder, data, offsets[:-1][k], offsets[1:][k]), weights[k]) for k in batches(offsets[:-1], offsets[1:])]
         p = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
         p[-1] = 0
         for _ in range(rounds):

@@ -1,7 +1,9 @@
 """Classifiers: held-out accuracy, defined results, and what a score may see."""
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -105,18 +107,16 @@ def test_keep_known_drops_what_has_no_language(tables):
     assert not kept & {9_001, 9_002, 9_003} and {i for i, _, _ in labelled()[0]} <= kept
 
 
-def brute_word(word, pieces, p, unit=langid.UNIT):
-    """Sum over all segmentations, by recursion over prefixes."""
-    total = 1.0
-    for k in range(0, len(word), unit):
-        s = (b" " if k == 0 else b"") + word[k : k + unit]
-        alpha = [1.0] + [0.0] * len(s)
-        for end in range(1, len(s) + 1):
-            for start in range(max(0, end - langid.LONGEST), end):
-                if s[start:end] in pieces:
-                    alpha[end] += alpha[start] * p[pieces[s[start:end]]]
-        total *= alpha[-1]
-    return total
+def brute_word(word, pieces, p):
+    """Log of the sum over all segmentations, by exact recursion over prefixes."""
+    s, longest = b" " + word, max(map(len, pieces))
+    p = [Fraction(float(x)) for x in p]
+    alpha = [Fraction(1)] + [Fraction(0)] * len(s)
+    for end in range(1, len(s) + 1):
+        for start in range(max(0, end - longest), end):
+            if s[start:end] in pieces:
+                alpha[end] += alpha[start] * p[pieces[s[start:end]]]
+    return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
 
 
 def test_forward_sums_all_segmentations():
@@ -125,14 +125,40 @@ def test_forward_sums_all_segmentations():
     p = rng.random((len(pieces) + 1, 2))
     p[-1] = 0
     model = langid.Model(["a", "b"], pieces, p)
-    words = [b"a", b"the", b"schule", "élève".encode(), b"supercalifragilisticexpialidociousness" * 2, bytes(range(0x61, 0x7B)) * 3]
+    words = [b"a", b"the", b"schule", "élève".encode(), b"information", b"supercalifragilisticexpialidociousness" * 2, bytes(range(0x61, 0x7B)) * 3, "言語を見分ける".encode() * 12]
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
     got = model.log_words(data, ends - [len(w) for w in words], ends)
     index = {x: i for i, x in enumerate(pieces)}
     for i, w in enumerate(words):
         for lang in range(2):
-            assert got[i, lang] == pytest.approx(np.log(brute_word(w, index, p[:, lang])), rel=1e-9)
+            assert got[i, lang] == pytest.approx(brute_word(w, index, p[:, lang]), rel=1e-9)
+
+
+def test_no_piece_and_no_word_is_cut(monkeypatch):
+    assert max(map(len, langid.vocabulary())) > 30
+    pieces = langid.vocabulary()
+    p = np.full((len(pieces) + 1, 2), 1e-6)
+    p[-1] = 0
+    p[pieces.index(b"schule"[:1]), 1] = 1e-3
+    model = langid.Model(["a", "b"], pieces, p)
+    word = b"s" * 100_000
+    data = np.frombuffer(word, np.uint8)
+    (logs,) = model.log_words(data, np.array([0]), np.array([len(word)]))
+    assert np.isfinite(logs).all() and logs[1] > logs[0]
+    # remembered words give the same sums, also where the memory is too small
+    texts = pa.array(["the cat", "cat the dog", None, "the " * 9])
+    best = model.predict(texts)
+    again = model.predict(texts)
+    monkeypatch.setattr(langid, "KNOWN_BYTES", 30)
+    small = langid.Model(["a", "b"], pieces, p).predict(texts)
+    assert all(np.array_equal(x, y) and np.array_equal(x, z) for x, y, z in zip(best, again, small))
+
+
+def test_too_many_languages_are_refused(make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.train(make_docs([(i, "word", f"l{i}") for i in range(30)]))
 
 
 def test_expected_counts_are_those_of_all_segmentations():
@@ -157,8 +183,7 @@ def test_expected_counts_are_those_of_all_segmentations():
 
     walk(0, 1.0, [])
     data = np.frombuffer(b"abab", np.uint8)
-    matrix, lengths, _ = langid.units((data, np.array([0]), np.array([4])))
-    got = langid.Lattice(finder, matrix, lengths).expected(p, np.array([2.0]))
+    got = langid.Lattice(finder, data, np.array([0]), np.array([4])).expected(p, np.array([2.0]))
     assert got == pytest.approx(2 * counts / totals)
 
 
