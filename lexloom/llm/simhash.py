@@ -14,10 +14,13 @@ the threshold is 1 and a fingerprint is copied 10.6 times on average. Above
 paired: some pair holds at most one of three differing bits, and there are
 2**22 anchors in place of 2**12. Either plan finds every link.
 
-Copies share one fingerprint and are compared once. At an anchor, what is
-linked is joined to the smallest fingerprint there (a star, never all pairs),
-and components are closed over those stars by alternating large-star and
-small-star rounds.
+Copies share one fingerprint and are compared once. At an anchor, two
+fingerprints are compared if they agree in one of four bit ranges, as any two
+that link do; what is linked is joined to the smallest fingerprint there (a
+star, never all pairs). The number of groups and tasks follows the number of
+fingerprints, and an anchor with too many is split by bit range and value, so
+no group grows with the input. Components are closed over the stars by
+alternating large-star and small-star rounds.
 
 Defined results: null texts and texts without words have fingerprint zero and
 link like any other; a text of fewer words than a shingle is one shingle; rows
@@ -45,6 +48,10 @@ SEED = 42
 DISTANCE = 3
 #: Distinct fingerprints above which the finer anchors are taken.
 MANY = 50_000_000
+#: Copies at one anchor above which it is split by bit ranges.
+HOT = 2_000_000
+#: Copies that are compared at once, and that a task reads, about.
+GROUP, PARTITION = 1 << 19, 1 << 22
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -126,6 +133,10 @@ _GOLAY = (23, 0xC75, 3)
 _HAMMING = (15, 0x13, 1)
 
 
+#: Copies of a fingerprint over all families, on average and rounded up.
+_COPIES, _COPIES_MANY = 11, 85
+
+
 class Plan:
     """Families of anchors; each is a product of codes over bit ranges with one threshold in all."""
 
@@ -152,28 +163,71 @@ class Plan:
             yield which, keys, over == 0
 
 
-def _stars(prints: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links at one anchor, as each linked fingerprint and the smallest that it reaches here."""
-    prints_order = np.argsort(prints)
-    prints, own = prints[prints_order], own[prints_order]
+#: Bit ranges of which one at least is alike in two fingerprints of at most DISTANCE differing bits.
+def _blocks(distance: int) -> list[tuple[int, int]]:
+    n = distance + 1
+    edges = [64 * k // n for k in range(n + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+def _near(group: np.ndarray, prints: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (numbers) within a group of which one at least is at its own anchor and that differ in at most so many bits.
+
+    Such a pair agrees in one of ``distance + 1`` bit ranges, so only members
+    that do are compared.
+    """
+    left, right = [], []
+    for low, high in _blocks(distance):
+        block = (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.lexsort((block, group))
+        g, v, p, o = group[order], block[order], prints[order], own[order]
+        run = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])) if len(g) else np.zeros(0, np.int64)
+        room = np.repeat(np.append(run[1:], len(g)), np.diff(run, append=len(g))) - np.arange(len(g)) - 1
+        at, step = np.flatnonzero(room > 0), 1
+        while len(at):
+            close = np.bitwise_count(p[at] ^ p[at + step]) <= distance
+            close &= o[at] | o[at + step]
+            left.append(order[at[close]])
+            right.append(order[at[close] + step])
+            step += 1
+            at = at[room[at] >= step]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _stars(group: np.ndarray, prints: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each group, as each linked fingerprint and the smallest that it reaches there."""
+    order = np.lexsort((prints, group))
+    group, prints, own = group[order], prints[order], own[order]
+    a, b = _near(group, prints, own, distance)
     labels = np.arange(len(prints))
-    mine = np.flatnonzero(own)
-    step = max(1, (1 << 21) // max(1, len(prints)))
-    for a in range(0, len(mine), step):
-        rows = mine[a : a + step]
-        close = np.bitwise_count(prints[rows, None] ^ prints[None, :]) <= distance
-        for r in np.flatnonzero(close.sum(axis=1) > 1):
-            found = np.unique(labels[close[r]])
-            if len(found) > 1:
-                labels[np.isin(labels, found)] = found[0]
+    while len(a):
+        least = np.minimum(labels[a], labels[b])
+        before = labels.copy()
+        np.minimum.at(labels, labels[a], least)
+        np.minimum.at(labels, labels[b], least)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+        if (labels == before).all():
+            break
     moved = np.flatnonzero(labels != np.arange(len(labels)))
     return prints[moved], prints[labels[moved]]
 
 
-def links(distinct: DataFrame, n: int, distance: int = DISTANCE, many: int = MANY) -> DataFrame:
-    """Stars (fp, to) whose closure is that of all links among distinct fingerprints."""
+def links(distinct: DataFrame, n: int, distance: int = DISTANCE, many: int = MANY, hot: int = HOT) -> DataFrame:
+    """Stars (fp, to) whose closure is that of all links among the ``n`` distinct fingerprints.
+
+    Anchors are compared in groups of about ``GROUP`` copies, however many
+    there are. An anchor with more than ``hot`` copies, which can only be if
+    there are more fingerprints than that, is split: each of its fingerprints
+    goes to a group for each bit range and value (see ``_near``), which keeps
+    every pair that can link.
+    """
     plan = Plan(n > many)
-    groups = 4 * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = max(1, n * (_COPIES_MANY if n > many else _COPIES))
+    partitions = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-copies // PARTITION))
+    groups = max(4 * partitions, -(-copies // GROUP))
+    ranges = _blocks(distance)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,19 +235,28 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, many: int = MAN
             for a in range(0, len(prints), 1 << 14):
                 part = prints[a : a + (1 << 14)]
                 for which, keys, own in plan.deal(part):
-                    mixed = tx.mix(keys.view(np.uint64))
-                    yield tx.to_batch({"grp": (mixed % np.uint64(groups)).astype(np.int32), "anchor": keys, "fp": part[which].view(np.int64), "own": own}, {"grp": pa.int32(), "anchor": pa.int64(), "fp": pa.int64(), "own": pa.bool_()})
+                    yield tx.to_batch({"anchor": keys, "fp": part[which].view(np.int64), "own": own}, {"anchor": pa.int64(), "fp": pa.int64(), "own": pa.bool_()})
 
     def compare(table: pa.Table) -> pa.Table:
-        anchor = table.column("anchor").to_numpy()
-        order = np.argsort(anchor, kind="stable")
-        anchor, prints, own = anchor[order], table.column("fp").to_numpy()[order].view(np.uint64), table.column("own").to_numpy()[order]
-        edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
-        out = [_stars(prints[a:b], own[a:b], distance) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 and own[a:b].any()]
-        pairs = np.unique(np.array([np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.uint64) for i in range(2)]), axis=1)
+        fp, to = _stars(table.column("anchor").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("own").to_numpy(), distance)
+        pairs = np.unique(np.stack([fp, to]), axis=1)
         return pa.table({"fp": pa.array(pairs[0].view(np.int64)), "to": pa.array(pairs[1].view(np.int64))})
 
-    return distinct.mapInArrow(deal, "grp int, anchor long, fp long, own boolean").groupBy("grp").applyInArrow(compare, "fp long, to long").distinct()
+    dealt = distinct.mapInArrow(deal, "anchor long, fp long, own boolean")
+    if n > hot:
+        dealt = _split_hot(dealt, hot, ranges)
+    grouped = dealt.withColumn("grp", F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("int")).repartition(partitions, "grp")
+    return grouped.groupBy("grp").applyInArrow(compare, "fp long, to long").distinct()
+
+
+def _split_hot(dealt: DataFrame, hot: int, ranges: list[tuple[int, int]]) -> DataFrame:
+    """The copies, those at anchors with more than ``hot`` as one at a group for each bit range and its value."""
+    crowded = dealt.groupBy("anchor").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(F.col("anchor").alias("_hot"))
+    marked = dealt.join(crowded, dealt["anchor"] == crowded["_hot"], "left")
+    bits = lambda low, high: F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+    parts = F.array(*[F.xxhash64("anchor", F.lit(k), bits(low, high)) for k, (low, high) in enumerate(ranges)])
+    key = F.explode(F.when(F.col("_hot").isNull(), F.array("anchor")).otherwise(parts)).alias("anchor")
+    return marked.select(key, "fp", "own")
 
 
 def close(edges: DataFrame) -> DataFrame:

@@ -176,6 +176,48 @@ def test_simhash_equals_brute_force_with_either_code(make_docs, clashing):
     assert len({c for _, _, c in want}) < len({f for _, f, _ in want})
 
 
+def test_crowded_anchors_are_split_without_losing_links(make_docs, monkeypatch):
+    rows = near_rows()
+    distinct = simhash.fingerprints(make_docs(rows)).select("fp").distinct()
+    n = distinct.count()
+    want = {tuple(r) for r in simhash.close(simhash.links(distinct, n)).collect()}
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    monkeypatch.setattr(simhash, "PARTITION", 64)
+    assert want and {tuple(r) for r in simhash.close(simhash.links(distinct, n, hot=3)).collect()} == want
+
+
+def test_stars_are_those_of_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for trial in range(30):
+        base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+        prints = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 6).astype(np.uint64)) for _ in range(9))]))
+        rng.shuffle(prints)
+        group, own = rng.integers(0, 2, len(prints)), rng.random(len(prints)) < 0.6
+        root = {(int(g), int(p)): (int(g), int(p)) for g, p in zip(group, prints)}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(prints)):
+            for j in range(i):
+                if group[i] == group[j] and (own[i] or own[j]) and (int(prints[i]) ^ int(prints[j])).bit_count() <= 3:
+                    a, b = find((int(group[i]), int(prints[i]))), find((int(group[j]), int(prints[j])))
+                    root[max(a, b)] = min(a, b)
+        want = {(x[1], find(x)[1]) for x in root if find(x) != x}
+        assert {(int(x), int(y)) for x, y in zip(*simhash._stars(group, prints, own, 3))} == want
+
+
+def test_keep_one_with_an_id_in_two_components(make_docs):
+    rng = random.Random(12)
+    a, b = (" ".join(f"{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2))
+    for x, y in ((a, b), (b, a)):
+        assert sorted((r.doc_id, r.text) for r in simhash.keep_one(make_docs([(3, x), (5, y), (5, x)])).collect()) == [(3, x), (5, y)]
+
+
 def test_keep_one_keeps_a_document_of_each_component(make_docs, clashing):
     rows = near_rows()
     docs = clashing(make_docs(rows))
