@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,7 +319,7 @@ def train(docs: DataFrame, docs_each: int = TRAIN_DOCS, rounds: int = ROUNDS, pa
     languages = sorted(set(got.column("lang").to_pylist()))
     finder, columns = Pieces(pieces), []
     for lang in languages:
-        own = got.filter(pa.compute.equal(got.column("lang"), lang)).sort_by("word")
+        own = got.filter(pc.equal(got.column("lang"), lang)).sort_by("word")
         data, offsets = tx.flat(own.column("word"))
         weights = own.column("n").to_numpy().astype(np.float64)
         lattices = [(Lattice(finder, data, offsets[:-1][k], offsets[1:][k]), weights[k]) for k in batches(offsets[:-1], offsets[1:])]

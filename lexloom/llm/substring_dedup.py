@@ -5,24 +5,33 @@ at every multiple of ``BLOCK`` in every text. Every rolling window of ``BLOCK``
 words probes them. A repeat of ``WINDOW`` (at least twice ``BLOCK``) words
 holds a whole block of the other copy wherever that copy's blocks lie, so a
 window without a hit can't repeat. Hits are then extended: every ``WINDOW``
-around one is compared with all others by a long hash, which yields the
+around one is compared with all others by 128 bits of hash, which yields the
 maximal exact repeats, and all but the earliest start are removed.
 
-Three passes, each keyed so that nothing gathers a hot passage in one row:
+Three passes:
 
-1. probes: per bucket of block hashes, 4 bytes a word and its place; a block
-   is an entry whose place is a multiple of ``BLOCK``;
+1. probes: per bucket of block hashes, three bytes a word and its place (a
+   chance likeness costs an extension, no result); a block is an entry whose
+   place is a multiple of ``BLOCK``;
 2. extension: hits go back to the partition of their text, whose windows
    around hits are sent on, by bucket of the window's hash;
 3. removal: windows that start earlier elsewhere go back to their text.
 
 The text itself is shuffled once; passes 2 and 3 read the same exchange.
 
+Parts and buckets are as many as the bytes of all texts want, ``GROUP_BYTES``
+to each, so no task grows with the input. A hot passage is settled where it is
+met: probes that repeat within one flush are extended without asking (which can
+only extend too much), and of the windows of one part the earliest start is
+known, so the others travel by document. A bucket gets one block of a hot hash
+from a flush, or one window from a part, at most.
+
 Defined results: null and empty texts have no words; a text shorter than
 ``WINDOW`` words loses nothing; documents are ordered by ``doc_id`` (null
 first), those that share an id by a hash of id and text, and rows that repeat
-both are one document, so none of them is the other's earlier copy; other
-columns are ignored.
+both are one document, so none of them is the other's earlier copy; words are
+bytes, so texts that are no UTF-8 are as good (``kept`` reads them as U+FFFD);
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +52,8 @@ BLOCK = 10
 WINDOW = 20
 #: Words whose entries a task holds before it writes them out.
 FLUSH_WORDS = 1_000_000
+#: Bytes of text to a part and to a bucket.
+GROUP_BYTES = 16 << 20
 
 _PLACES = "keys binary, runs binary, steps binary"
 
@@ -102,21 +114,43 @@ def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[edges[b] : edges[b + 1]]
 
 
-def _replies(keys: np.ndarray, at: np.ndarray, parts: int, what: dict[str, pa.DataType]) -> Iterator[pa.Table]:
-    """Places on their way back to the partition of their text."""
+def _three_bytes(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _from_three(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _by_document(keys: np.ndarray, at: np.ndarray, parts: int) -> Iterator[dict]:
+    """Places by the part of their text, as packed rows."""
     part = keys % parts
     order = np.lexsort((at, keys, part))
     keys, at, part = keys[order], at[order], part[order]
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-    rows: dict[str, list] = {k: [] for k in what}
     for a, b in zip(edges, [*edges[1:], len(part)]):
         heads, runs, steps = pack_places(keys[a:b], at[a:b])
-        for name, value in zip(rows, (int(part[a]), keys[a:b][heads].tobytes(), runs, steps)):
-            rows[name].append(value)
-    return pa.table({k: pa.array(v, type=what[k]) for k, v in rows.items()})
+        yield {"part": int(part[a]), "keys": keys[a:b][heads].tobytes(), "runs": runs, "steps": steps}
+
+
+def _table(rows: list[dict], types: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table({k: pa.array([r[k] for r in rows], type=t) for k, t in types.items()})
 
 
 _REPLY = {"part": pa.int32(), "keys": pa.binary(), "runs": pa.binary(), "steps": pa.binary()}
+#: Entries by bucket; without tags they are answers on their way, whose bucket is the part of their text.
+_PROBE = {"bucket": pa.int32(), "tags": pa.binary(), "keys": pa.binary(), "runs": pa.binary(), "steps": pa.binary()}
+_EXTENSION = {"bucket": pa.int32(), "tags": pa.binary(), "seconds": pa.binary(), "ids": pa.binary(), "keys": pa.binary(), "runs": pa.binary(), "steps": pa.binary()}
+
+
+def _answers(table: pa.Table, column: str, parts: int) -> tuple[pa.Table, list[dict]]:
+    """Rows with tags, and those without as replies."""
+    tags = table.column(column)
+    settled = table.filter(pc.is_null(tags))
+    rows = [{"part": b, "keys": k, "runs": r, "steps": s} for b, k, r, s in zip(*(settled.column(c).to_pylist() for c in ("bucket", "keys", "runs", "steps")))]
+    return table.filter(pc.is_valid(tags)), rows
 
 
 def _probes(block: int, buckets: int):
@@ -125,12 +159,23 @@ def _probes(block: int, buckets: int):
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         hashes, doc, at = (np.concatenate([h[i] for h in held]) for i in range(3))
         names = np.concatenate([h[3] for h in held])
-        rows: dict[str, list] = {k: [] for k in ("bucket", "tags", "keys", "runs", "steps")}
-        for b, own in _by_bucket(_bucket(hashes, buckets), buckets):
-            heads, runs, steps = pack_places(doc[own], at[own])
-            for name, value in zip(rows, (b, hashes[own].astype(np.uint32).tobytes(), names[doc[own][heads]].tobytes(), runs, steps)):
-                rows[name].append(value)
-        yield tx.to_batch(rows, {"bucket": pa.int32(), "tags": pa.binary(), "keys": pa.binary(), "runs": pa.binary(), "steps": pa.binary()})
+        # what repeats among these words is extended without asking; a block of it, if any, is enough for others
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+        hit = np.empty(len(hashes), bool)
+        hit[order] = same[1:] | same[:-1]
+        own = np.flatnonzero(hit & (at % block == 0))
+        send = ~hit
+        send[own[np.unique(hashes[own], return_index=True)[1]]] = True
+        rows = []
+        some = np.flatnonzero(send)
+        for b, mine in _by_bucket(_bucket(hashes[some], buckets), buckets):
+            mine = some[mine]
+            heads, runs, steps = pack_places(doc[mine], at[mine])
+            rows.append({"bucket": b, "tags": _three_bytes(hashes[mine]), "keys": names[doc[mine][heads]].tobytes(), "runs": runs, "steps": steps})
+        rows += [{"bucket": r.pop("part"), "tags": None, **r} for r in _by_document(names[doc[hit]], at[hit], buckets)]
+        yield from _table(rows, _PROBE).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words_held, docs_held = [], 0, 0
@@ -158,22 +203,22 @@ def _probe_hits(block: int, parts: int):
     """Pass 1, bucket side: probes that meet a reference block other than themselves."""
 
     def run(table: pa.Table) -> pa.Table:
+        table, rows = _answers(table, "tags", parts)
         got = _Gathered(table)
-        tags = _numbers(table, "tags", np.uint32)
+        tags = np.concatenate([np.zeros(0, np.uint32), *(_from_three(x.as_py()) for x in table.column("tags"))])
         own = got.at % block == 0
         index, count = np.unique(tags[own], return_counts=True)
-        if not len(index):
-            return _replies(got.keys[:0], got.at[:0], parts, _REPLY)
-        found = np.minimum(np.searchsorted(index, tags), len(index) - 1)
-        others = np.where(index[found] == tags, count[found], 0) - own
-        hit = others > 0
-        return _replies(got.keys[hit], got.at[hit], parts, _REPLY)
+        if len(index):
+            found = np.minimum(np.searchsorted(index, tags), len(index) - 1)
+            hit = np.where(index[found] == tags, count[found], 0) - own > 0
+            rows += _by_document(got.keys[hit], got.at[hit], parts)
+        return _table(rows, _REPLY)
 
     return run
 
 
-def _matched(docs: pa.Table, replies: pa.Table) -> tuple[pa.RecordBatch | None, np.ndarray, np.ndarray]:
-    """Documents with replies as one batch, with run edges into the sorted places."""
+def _matched(docs: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the edges of its run in the sorted places, and those."""
     got = _Gathered(replies)
     order = np.lexsort((got.at, got.keys))
     keys, at = got.keys[order], got.at[order]
@@ -182,38 +227,49 @@ def _matched(docs: pa.Table, replies: pa.Table) -> tuple[pa.RecordBatch | None,
     return np.stack([left, right], axis=1), at
 
 
+def _earliest(tags: np.ndarray, seconds: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are the earliest start of their words here (one each), and which start later than that."""
+    order = np.lexsort((at, keys, ids, seconds, tags))
+    head = np.ones(len(order), bool)
+    head[1:] = (tags[order][1:] != tags[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
+    first = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else order
+    later = (ids[order] != ids[first]) | (keys[order] != keys[first]) | (at[order] != at[first])
+    return order[head], order[later]
+
+
 def _extensions(block: int, window: int, buckets: int):
     """Pass 2: windows that hold a hit, by bucket of their hash."""
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         edges, places = _matched(docs, replies)
-        some = np.flatnonzero(edges[:, 1] > edges[:, 0])
-        docs, edges = docs.take(pa.array(some)).combine_chunks(), edges[some]
-        rows: dict[str, list] = {k: [] for k in ("bucket", "tags", "ids", "keys", "runs", "steps")}
+        found: list[tuple] = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3]
         seen = 0
         for batch in docs.to_batches():
             for chunk in tx.chunks(batch, "text"):
+                own, seen = edges[seen : seen + chunk.num_rows], seen + chunk.num_rows
+                if not (own[:, 1] > own[:, 0]).any():
+                    continue
                 data, offsets = tx.flat(tx.column(chunk, "text"))
                 words = tx.Words(data, offsets, tx.NON_SPACE)
                 near = np.zeros(len(words) + window + 1, dtype=np.int32)
-                for i in range(chunk.num_rows):
-                    hits = places[edges[seen + i, 0] : edges[seen + i, 1]]
+                for i in np.flatnonzero(own[:, 1] > own[:, 0]):
+                    hits = places[own[i, 0] : own[i, 1]]
                     hits = hits[hits < words.counts[i]]  # two texts of one key share places
                     np.add.at(near, words.first[i] + np.maximum(hits - (window - block), 0), 1)
                     np.add.at(near, words.first[i] + hits + 1, -1)
-                seen += chunk.num_rows
                 there = np.flatnonzero((np.cumsum(near)[: len(words)] > 0) & words.window_mask(window))
-                if not len(there):
-                    continue
                 doc = words.docs()[there]
-                at = there - words.first[doc]
-                tags, names, ids = words.windows(window)[there], tx.column(chunk, "_key").to_numpy(), tx.column(chunk, "_order").to_numpy()
-                for b, own in _by_bucket(_bucket(words.windows(window, second=True)[there], buckets), buckets):
-                    heads, runs, steps = pack_places(doc[own], at[own])
-                    first = doc[own][heads]
-                    for name, value in zip(rows, (b, tags[own].tobytes(), ids[first].tobytes(), names[first].tobytes(), runs, steps)):
-                        rows[name].append(value)
-        return pa.table({k: pa.array(v, type=pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
+                found.append((words.windows(window)[there], words.windows(window, second=True)[there], tx.column(chunk, "_order").to_numpy()[doc], tx.column(chunk, "_key").to_numpy()[doc], there - words.first[doc]))
+        tags, seconds, ids, keys, at = (np.concatenate([f[k] for f in found]) for k in range(5))
+        first, later = _earliest(tags, seconds, ids, keys, at)
+        rows = []
+        first = first[np.lexsort((at[first], keys[first]))]
+        for b, mine in _by_bucket(_bucket(seconds[first], buckets), buckets):
+            mine = first[mine]
+            heads, runs, steps = pack_places(keys[mine], at[mine])
+            rows.append({"bucket": b, "tags": tags[mine].tobytes(), "seconds": seconds[mine].tobytes(), "ids": ids[mine][heads].tobytes(), "keys": keys[mine][heads].tobytes(), "runs": runs, "steps": steps})
+        rows += [{"bucket": r.pop("part"), "tags": None, "seconds": None, "ids": None, **r} for r in _by_document(keys[later], at[later], buckets)]
+        return _table(rows, _EXTENSION)
 
     return run
 
@@ -222,15 +278,12 @@ def _later(parts: int):
     """Pass 2, bucket side: windows whose words also start earlier."""
 
     def run(table: pa.Table) -> pa.Table:
+        table, rows = _answers(table, "tags", parts)
         got = _Gathered(table)
-        tags = _numbers(table, "tags", np.uint64)
         ids = np.repeat(_numbers(table, "ids", np.int64), np.concatenate([np.zeros(0, np.int64), *got.lengths]))
-        order = np.lexsort((got.at, got.keys, ids, tags))
-        tags, ids, keys, at = tags[order], ids[order], got.keys[order], got.at[order]
-        head = np.concatenate([[True], tags[1:] != tags[:-1]])[: len(tags)]
-        first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(tags) else np.zeros(0, np.int64)
-        later = (ids != ids[first]) | (keys != keys[first]) | (at != at[first])
-        return _replies(keys[later], at[later], parts, _REPLY)
+        _, later = _earliest(_numbers(table, "tags", np.uint64), _numbers(table, "seconds", np.uint64), ids, got.keys, got.at)
+        rows += _by_document(got.keys[later], got.at[later], parts)
+        return _table(rows, _REPLY)
 
     return run
 
@@ -255,24 +308,25 @@ def _removal(window: int, texts: bool):
             joined = b" ".join(kept)
             digests.append(hashlib.sha256(joined).hexdigest())
             if texts:
-                kept_texts.append(joined)
+                kept_texts.append(joined.decode(errors="replace"))
         out = {"doc_id": docs.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        return pa.table(out | ({"kept": pa.array(kept_texts, pa.binary()).cast(pa.string())} if texts else {}))
+        return pa.table(out | ({"kept": pa.array(kept_texts, pa.string())} if texts else {}))
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, texts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, texts: bool = True, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, what is kept of the text."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever the blocks lie")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = tx.id_and_text(docs)
+    size = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
     table = table.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("_order"), F.xxhash64("doc_id", "text").alias("_key"))
-    dealt = table.withColumn("part", F.pmod("_key", F.lit(n)).cast("int"))
-    probes = table.select("text", "_key").mapInArrow(_probes(block, n), f"bucket int, tags binary, {_PLACES}")
-    hits = probes.groupBy("bucket").applyInArrow(_probe_hits(block, n), f"part int, {_PLACES}")
-    extended = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_extensions(block, window, n), f"bucket int, tags binary, ids binary, {_PLACES}")
-    later = extended.groupBy("bucket").applyInArrow(_later(n), f"part int, {_PLACES}")
+    dealt = table.withColumn("part", F.pmod("_key", F.lit(n)).cast("int")).repartition(n, "part")
+    probes = table.select("text", "_key").mapInArrow(_probes(block, n), f"bucket int, tags binary, {_PLACES}").repartition(n, "bucket")
+    hits = probes.groupBy("bucket").applyInArrow(_probe_hits(block, n), f"part int, {_PLACES}").repartition(n, "part")
+    extended = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_extensions(block, window, n), f"bucket int, tags binary, seconds binary, ids binary, {_PLACES}").repartition(n, "bucket")
+    later = extended.groupBy("bucket").applyInArrow(_later(n), f"part int, {_PLACES}").repartition(n, "part")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     return dealt.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(_removal(window, texts), schema)

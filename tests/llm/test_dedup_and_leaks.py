@@ -48,6 +48,32 @@ def test_substring_dedup_equals_brute_force(make_docs, clashing):
     assert sum(v[1] for v in got.values()) > 1000
 
 
+def test_hot_passages_over_many_flushes_and_parts(make_docs, monkeypatch):
+    rng = random.Random(21)
+    hot = [f"h{i}" for i in range(45)]
+    rows = []
+    for i in range(120):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(60))]
+        rows.append((i, " ".join(words[:30] + (hot if i % 3 == 0 else hot[5:28] if i % 3 == 1 else []) + words[30:])))
+    monkeypatch.setattr(substring_dedup, "FLUSH_WORDS", 50)
+    docs = make_docs(rows)
+    for group_bytes in (500, 1 << 20):
+        got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup(docs, group_bytes=group_bytes).collect()}
+        assert got == brute_dedup(rows)
+
+
+def test_one_entry_of_a_hot_hash_leaves_a_flush():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = " ".join(f"h{i}" for i in range(30))
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 500, "_key": pa.array(range(500), pa.int64())})
+    rows = pa.Table.from_batches(substring_dedup._probes(10, 4)(iter([batch])))
+    sent = rows.filter(pc.is_valid(rows.column("tags")))
+    # one each of the blocks at 0, 10 and 20, and no other window but as a settled answer
+    assert sum(len(x.as_py()) // 3 for x in sent.column("tags")) == 3
+
+
 def test_a_row_that_repeats_is_not_its_own_earlier_copy(make_docs):
     text = " ".join(f"t{i}" for i in range(30))
     rows = substring_dedup.dedup(make_docs([(1, text), (1, text), (2, text), (None, "x")])).collect()
