@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lexloom.llm import textops as tx
 from lexloom.session import ship
 
+#: Pixels of a screen or frame that is decoded at most; a larger one is an error in its row.
+MOST_PIXELS = 1 << 24
 WIDTH = 64
 ROWS = 256
 #: Hundredths of a second that each stored frame is shown.
@@ -220,15 +222,16 @@ def _palette(raw: bytes) -> np.ndarray:
     return table
 
 
-def decode(data: bytes) -> list[Frame]:
-    """The frames of a GIF, each with the picture on screen while it is shown."""
+def shown(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF one by one, each with the picture on screen while it is shown."""
     read = _Reader(data)
     if read.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", read.take(7))
     shared = _palette(read.take(3 << ((flags & 7) + 1))) if flags & 0x80 else None
+    if width * height > MOST_PIXELS:
+        raise ValueError("a larger screen than is decoded")
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay, disposal, clear_index, start = 0, 0, None, 0
     while (mark := read.take(1)) != b"\x3b":
         if mark == b"\x21":
@@ -241,6 +244,8 @@ def decode(data: bytes) -> list[Frame]:
         if mark != b"\x2c":
             raise ValueError("an unknown block")
         left, top, w, h, flags = struct.unpack("<HHHHB", read.take(9))
+        if w * h > MOST_PIXELS:
+            raise ValueError("a larger frame than is decoded")
         palette = _palette(read.take(3 << ((flags & 7) + 1))) if flags & 0x80 else shared
         low = read.take(1)[0]
         if palette is None or not 2 <= low <= 8:
@@ -261,32 +266,45 @@ def decode(data: bytes) -> list[Frame]:
         if clear_index is not None:
             painted = np.where((part == clear_index)[:, :, None], canvas[rows, columns], painted)
         canvas[rows, columns] = painted
-        frames.append(Frame(start, 10 * delay, left, top, samples, canvas.copy()))
+        yield Frame(start, 10 * delay, left, top, samples, canvas.copy())
         start += 10 * delay
         if disposal == 2:
             canvas[rows, columns] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, clear_index = 0, 0, None
-    return frames
+
+
+def decode(data: bytes) -> list[Frame]:
+    """All frames of a GIF."""
+    return list(shown(data))
 
 
 def frames(media: DataFrame, id_column: str, gif_column: str) -> DataFrame:
-    """One row per frame: id, frame, start_ms, delay_ms, left, top, width, height, rgba, histogram, error."""
+    """One row per frame: id, frame, start_ms, delay_ms, left, top, width, height, rgba, histogram, error.
+
+    A file that is null, breaks, is too large or has no frame has a last row
+    with the error and no frame, after the frames that came before the break.
+    """
     ship(media.sparkSession)
     types = {"id": pa.string(), "frame": pa.int32(), "start_ms": pa.int64(), "delay_ms": pa.int32(), "left": pa.int32(), "top": pa.int32(), "width": pa.int32(), "height": pa.int32(), "rgba": pa.binary(), "histogram": pa.list_(pa.int64()), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(tx.column(batch, "id").to_pylist(), tx.column(batch, "gif")):
+                k, error = 0, None
                 try:
                     if not data.is_valid:
                         raise ValueError("null")
-                    rows = [(name, k, f.start_ms, f.delay_ms, f.left, f.top, f.picture.shape[1], f.picture.shape[0], f.picture.tobytes(), f.histogram(), None) for k, f in enumerate(decode(data.as_buffer().to_pybytes()))]
+                    for f in shown(data.as_buffer().to_pybytes()):
+                        yield tx.to_batch(dict(zip(types, ([x] for x in (name, k, f.start_ms, f.delay_ms, f.left, f.top, f.picture.shape[1], f.picture.shape[0], f.picture.tobytes(), f.histogram(), None)))), types)
+                        k += 1
+                    if not k:
+                        raise ValueError("no frames")
                 except ValueError as e:
-                    rows = [(name, *[None] * 9, str(e))]
-                if rows:
-                    yield tx.to_batch(dict(zip(types, map(list, zip(*rows)))), types)
+                    error = str(e)
+                if error:
+                    yield tx.to_batch(dict(zip(types, ([x] for x in (name, *[None] * 9, error)))), types)
 
     table = media.select(F.col(id_column).cast("string").alias("id"), F.col(gif_column).cast("binary").alias("gif"))
     return table.mapInArrow(run, "id string, frame int, start_ms long, delay_ms int, left int, top int, width int, height int, rgba binary, histogram array<long>, error string")

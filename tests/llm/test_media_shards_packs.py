@@ -77,6 +77,19 @@ def test_frames_of_broken_and_null_media(spark):
     assert Counter((r.id, r.error is None) for r in out) == {("a", True): 2, ("b", False): 1, ("c", False): 1, ("d", False): 1}
 
 
+def test_media_without_frames_with_a_huge_screen_and_with_a_break(spark):
+    one = (0, 0, [[1]], 0, None, 1, False)
+    huge = gif([one], size=(65_535, 65_535))
+    wide = bytearray(gif([one]))
+    at = bytes(wide).index(b"\x2c") + 5
+    wide[at : at + 4] = struct.pack("<HH", 65_535, 65_535)
+    rows = [("none", gif([])), ("huge", huge), ("wide", bytes(wide)), ("cut", gif([one, one])[:-3])]
+    out = gif_media.frames(spark.createDataFrame(rows, "name string, data binary"), "name", "data").collect()
+    got = sorted((r.id, r.frame, r.error is not None) for r in out if r.id != "cut")
+    assert got == [("huge", None, True), ("none", None, True), ("wide", None, True)]
+    assert [(r.frame, r.error is None) for r in out if r.id == "cut"][0] == (0, True) and sum(r.error is not None for r in out if r.id == "cut") == 1
+
+
 def test_stored_texts_come_back(make_docs, clashing):
     rows = [(1, None), (2, ""), (3, "héllo " * 9_000), (4, "x" * 64), (4, "x" * 64), (5, "😀")]
     out = gif_media.stored_texts(clashing(make_docs(rows))).collect()
