@@ -6,8 +6,9 @@ token window of the training texts with rolling hashes, verify each hit word
 by word, and the caller removes hit spans or whole documents.
 
 The windows are broadcast only while their measured size is at most
-``BROADCAST_BYTES``; a larger benchmark is matched by a shuffle join on the
-window hash instead, with the same results.
+``BROADCAST_BYTES``; a larger benchmark is matched by a shuffle join on hash
+and words instead, with the same results. A bitmap of its hashes, of a fixed
+size, then keeps nearly all other windows of the texts from being shuffled.
 
 Defined results: null or word-less texts have no words, no hits and are not
 contaminated; null or word-less items have no windows; an empty benchmark hits
@@ -37,6 +38,8 @@ SHARE = 20
 
 _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _FILTER_BITS = 22
+#: Bits of the map of a large benchmark's windows (16 MB).
+_MAP_BITS = 27
 
 
 def words_of(column: pa.Array) -> tx.Words:
@@ -177,9 +180,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     )
 
 
+def _bitmap(windows: DataFrame) -> bytes:
+    """One bit for the upper bits of each window's hash: of a fixed size, however many windows there are."""
+    block = 1 << 19
+
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        bits = np.zeros(block, np.uint8)
+        bits[rows.column("slot").to_numpy() % block] = 1
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    slots = windows.select(F.shiftrightunsigned("hash", 64 - _MAP_BITS).cast("int").alias("slot")).distinct()
+    rows = slots.groupBy(F.floor(F.col("slot") / block).cast("int").alias("block")).applyInArrow(gather, "block int, bits binary").toArrow()
+    by = dict(zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()))
+    return b"".join(by.get(k, bytes(block >> 3)) for k in range((1 << _MAP_BITS) // block))
+
+
 def _joined(table: DataFrame, windows: DataFrame) -> DataFrame:
     """Hits by a shuffle join on window hash and words, one row per document and text with any hit."""
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most WINDOW numbers
+    shared = table.sparkSession.sparkContext.broadcast(_bitmap(windows))
     keyed = table.select("doc_id", F.xxhash64("text").alias("_key"), "text").dropDuplicates(["doc_id", "_key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +206,10 @@ def _joined(table: DataFrame, windows: DataFrame) -> DataFrame:
             for chunk in tx.chunks(batch, "text", 1 << 18):
                 words = words_of(tx.column(chunk, "text"))
                 doc = words.docs()
+                known = np.frombuffer(shared.value, np.uint8)
                 for size in sizes:
-                    at = np.flatnonzero(words.window_mask(size))
+                    slots = (words.windows(size) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+                    at = np.flatnonzero(words.window_mask(size) & (known[slots >> 3] >> (slots & 7) & 1 > 0))
                     yield tx.to_batch(
                         {"_doc": tx.column(chunk, "doc_id").take(pa.array(doc[at])), "_k": tx.column(chunk, "_key").take(pa.array(doc[at])), "at": (at - words.first[doc[at]]).astype(np.int64), "size": np.full(len(at), size, np.int32), "hash": words.windows(size)[at].view(np.int64), "words": [b" ".join(map(words.text, range(i, i + size))) for i in at]},
                         {"at": pa.int64(), "size": pa.int32(), "hash": pa.int64(), "words": pa.binary()},
