@@ -7,14 +7,17 @@ scaled to length 1, and its score is the logistic function of one sparse dot
 product.
 
 The model is fitted on a bounded sample: of the labelled rows that may be
-learned from, the ``TRAIN_ROWS`` with the smallest hash of their id. Scoring
-covers every whole text.
+learned from, the ``TRAIN_ROWS`` with the smallest hash of their id, or as many
+of them as it takes to reach ``TRAIN_BYTES`` of text. Scoring covers every
+whole text.
 
 Defined results: a null or empty text has no features and scores by the bias
 alone; with no rows to learn from every score is 0.5; of rows in ``labels``
-that share a ``doc_id`` each counts, null labels are skipped; rows of ``docs``
-that repeat a ``doc_id`` are scored each on its own; other columns are
-ignored.
+that share a ``doc_id`` each distinct one counts, null labels are skipped; rows
+of ``docs`` that repeat a ``doc_id`` are scored each on its own, and learned
+from once if their text is the same; a score of exactly 0.5 is predicted 1;
+words are bytes, so texts that are no UTF-8 are scored like any; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import textops as tx
 
-#: Labelled rows that are learned from at most.
+#: Labelled rows that are learned from at most, and bytes of text after which no more are taken.
 TRAIN_ROWS = 5_000
+TRAIN_BYTES = 32 << 20
 BITS = 20
 EPOCHS = 4
 THRESHOLD = 0.5
@@ -108,11 +112,34 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, most: int) -> DataFrame:
-    """doc_id, text and label of at most ``most`` rows that may be learned from."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, most: int, most_bytes: int = TRAIN_BYTES, each: bool = False) -> DataFrame:
+    """doc_id, text, lang and label of a bounded sample of the labelled rows that may be learned from.
+
+    Rows are taken by hash of their id, ``most`` at most (of label 0 and 1 each,
+    if ``each``), until their texts reach ``most_bytes``; only rows that have
+    both a text row and a label count, rows that repeat id and text once. The
+    choice is made on ids, hashes and sizes.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label")).where("label is not null and _id is not null")
-    known = known.where(~tx.held_out(divisor, remainder, "_id")).orderBy(F.xxhash64("_id"), "_id", "label").limit(most)
-    return tx.id_and_text(docs).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    known = known.where(~tx.held_out(divisor, remainder, "_id")).distinct()
+    tx.id_and_text(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    sizes = rows.select("doc_id", "_hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    there = sizes.join(known, sizes["doc_id"] == known["_id"]).groupBy("_id", "_hash", "label").agg(F.max("size").alias("size"))
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("label"), F.col("_hash")]
+    parts = [there.where(F.col("label") == y) for y in (1, 0)] if each else [there]
+    chosen = []
+    for part in parts:
+        used = 0
+        for r in part.orderBy(*order).limit(most).collect():
+            if used >= most_bytes / len(parts):
+                break
+            chosen.append((r["_id"], r["_hash"], r["label"]))
+            used += r["size"]
+    picked = docs.sparkSession.createDataFrame(chosen, "_id long, _h long, label int")
+    joined = rows.join(F.broadcast(picked), (rows["doc_id"] == picked["_id"]) & (rows["_hash"] == picked["_h"]))
+    return joined.dropDuplicates(["doc_id", "_hash", "label"]).select("doc_id", "text", "lang", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
@@ -126,11 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             {"at": pa.binary(), "value": pa.binary()},
         )
 
-    known = sample(docs, labels, label, HELD_DIVISOR, HELD_REMAINDER, rows).mapInArrow(tx.per_chunk(cut), "doc_id long, label int, at binary, value binary").toArrow()
+    known = sample(docs, labels, label, HELD_DIVISOR, HELD_REMAINDER, rows).drop("lang").mapInArrow(tx.per_chunk(cut), "doc_id long, label int, at binary, value binary").toArrow()
     size = 1 << bits
     model = FollowTheLeader(size + 1)
     examples = [(np.append(np.frombuffer(a.as_py(), np.int32), size), np.append(np.frombuffer(v.as_py(), np.float32), 1.0), y.as_py()) for a, v, y in zip(known.column("at"), known.column("value"), known.column("label"))]
-    examples = [examples[i] for i in np.lexsort((known.column("label").to_numpy(), known.column("doc_id").to_numpy()))] if examples else []
+    keys = sorted(range(len(examples)), key=lambda i: (known.column("doc_id")[i].as_py(), examples[i][2], examples[i][0].tobytes()))
+    examples = [examples[i] for i in keys]
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(examples)):
