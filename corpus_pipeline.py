@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages, each over all that the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+Defined results: documents whose text is null, has no letter or is in no
+language that can be told go in the first stage; of rows that repeat a text, and
+of near copies, one stays, whatever their ids; rows without a ``doc_id`` are
+documents like any; a table without rows gives none; columns beyond those named
+are carried along untouched to the last stage, whatever their names. Each
+operator's docstring has the rest.
+"""
 
 from __future__ import annotations
 
@@ -40,12 +48,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result is written as Parquet in the shared folder and read again."""
+    """The stages over ``documents``; each result is written as Parquet in the shared folder and read again.
+
+    A stage's folder is deleted once the next one's is written; the last stays, as the result is read from it.
+    """
     shared = checkpoint_dir(spark).rstrip("/")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    run_id = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
+    jvm = spark.sparkContext._jvm
+    run_id = jvm.java.util.UUID.randomUUID().toString()
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{shared}/pipeline-{run_id}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            path = jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = out
     return docs
