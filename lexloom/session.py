@@ -47,8 +47,8 @@ def ship(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``, made active.
 
-    Only where the session has no such setting (local tests) is a folder of
-    this machine taken.
+    Only a local session without such a setting gets a folder of this machine;
+    on a cluster that would lose data with its executors, so it is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -56,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if active.isDefined():
         return active.get()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lexloom-checkpoints-")
     sc.setCheckpointDir(where)
     return where
