@@ -5,8 +5,10 @@ at every multiple of ``BLOCK`` in every text. Every rolling window of ``BLOCK``
 words probes them. A repeat of ``WINDOW`` (at least twice ``BLOCK``) words
 holds a whole block of the other copy wherever that copy's blocks lie, so a
 window without a hit can't repeat. Hits are then extended: every ``WINDOW``
-around one is compared with all others by 128 bits of hash, which yields the
-maximal exact repeats, and all but the earliest start are removed.
+around one is compared with all others by two independent hashes, of 64 bits
+and of 32 bits beside those that choose the bucket, which yields the maximal
+exact repeats, and all but the earliest start are removed. (By chance two of
+the windows of 100 TB are taken for alike once in 10**9 runs.)
 
 Three passes:
 
@@ -21,10 +23,11 @@ The text itself is shuffled once; passes 2 and 3 read the same exchange.
 
 Parts and buckets are as many as the bytes of all texts want, ``GROUP_BYTES``
 to each, so no task grows with the input. A hot passage is settled where it is
-met: probes that repeat within one flush are extended without asking (which can
-only extend too much), and of the windows of one part the earliest start is
-known, so the others travel by document. A bucket gets one block of a hot hash
-from a flush, or one window from a part, at most.
+met: probes that meet a block in their own flush, or are there more than
+``OFTEN`` times, are extended without asking (which can only extend too much),
+and of the windows of one part the earliest start is known, so the others travel
+by document. A bucket gets ``OFTEN`` probes and a block of a hot hash from a
+flush, or one window from a part, at most.
 
 Defined results: null and empty texts have no words; a text shorter than
 ``WINDOW`` words loses nothing; documents are ordered by ``doc_id`` (null
@@ -52,6 +55,8 @@ BLOCK = 10
 WINDOW = 20
 #: Words whose entries a task holds before it writes them out.
 FLUSH_WORDS = 1_000_000
+#: Times that a probe stands in a flush above which its bucket isn't asked.
+OFTEN = 64
 #: Bytes of text to a part and to a bucket.
 GROUP_BYTES = 16 << 20
 
@@ -159,12 +164,14 @@ def _probes(block: int, buckets: int):
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         hashes, doc, at = (np.concatenate([h[i] for h in held]) for i in range(3))
         names = np.concatenate([h[3] for h in held])
-        # what repeats among these words is extended without asking; a block of it, if any, is enough for others
+        # what meets a block here, or stands here often, is extended without asking; a block of it is enough for others
         order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+        heads = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+        n_all = np.diff(heads, append=len(order))
+        is_block = at[order] % block == 0
+        n_blocks = np.add.reduceat(is_block.astype(np.int64), heads)
         hit = np.empty(len(hashes), bool)
-        hit[order] = same[1:] | same[:-1]
+        hit[order] = np.repeat(n_all > OFTEN, n_all) | (np.repeat(n_blocks, n_all) > is_block)
         own = np.flatnonzero(hit & (at % block == 0))
         send = ~hit
         send[own[np.unique(hashes[own], return_index=True)[1]]] = True
@@ -267,7 +274,7 @@ def _extensions(block: int, window: int, buckets: int):
         for b, mine in _by_bucket(_bucket(seconds[first], buckets), buckets):
             mine = first[mine]
             heads, runs, steps = pack_places(keys[mine], at[mine])
-            rows.append({"bucket": b, "tags": tags[mine].tobytes(), "seconds": seconds[mine].tobytes(), "ids": ids[mine][heads].tobytes(), "keys": keys[mine][heads].tobytes(), "runs": runs, "steps": steps})
+            rows.append({"bucket": b, "tags": tags[mine].tobytes(), "seconds": seconds[mine].astype(np.uint32).tobytes(), "ids": ids[mine][heads].tobytes(), "keys": keys[mine][heads].tobytes(), "runs": runs, "steps": steps})
         rows += [{"bucket": r.pop("part"), "tags": None, "seconds": None, "ids": None, **r} for r in _by_document(keys[later], at[later], buckets)]
         return _table(rows, _EXTENSION)
 
@@ -281,7 +288,7 @@ def _later(parts: int):
         table, rows = _answers(table, "tags", parts)
         got = _Gathered(table)
         ids = np.repeat(_numbers(table, "ids", np.int64), np.concatenate([np.zeros(0, np.int64), *got.lengths]))
-        _, later = _earliest(_numbers(table, "tags", np.uint64), _numbers(table, "seconds", np.uint64), ids, got.keys, got.at)
+        _, later = _earliest(_numbers(table, "tags", np.uint64), _numbers(table, "seconds", np.uint32), ids, got.keys, got.at)
         rows += _by_document(got.keys[later], got.at[later], parts)
         return _table(rows, _REPLY)
 
@@ -323,10 +330,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, texts: bool
     size = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
     table = table.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("_order"), F.xxhash64("doc_id", "text").alias("_key"))
-    dealt = table.withColumn("part", F.pmod("_key", F.lit(n)).cast("int")).repartition(n, "part")
-    probes = table.select("text", "_key").mapInArrow(_probes(block, n), f"bucket int, tags binary, {_PLACES}").repartition(n, "bucket")
-    hits = probes.groupBy("bucket").applyInArrow(_probe_hits(block, n), f"part int, {_PLACES}").repartition(n, "part")
-    extended = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_extensions(block, window, n), f"bucket int, tags binary, seconds binary, ids binary, {_PLACES}").repartition(n, "bucket")
-    later = extended.groupBy("bucket").applyInArrow(_later(n), f"part int, {_PLACES}").repartition(n, "part")
+    dealt = table.withColumn("part", F.pmod("_key", F.lit(n)).cast("int")).repartitionById(n, F.col("part"))
+    probes = table.select("text", "_key").mapInArrow(_probes(block, n), f"bucket int, tags binary, {_PLACES}").repartitionById(n, F.col("bucket"))
+    hits = probes.groupBy("bucket").applyInArrow(_probe_hits(block, n), f"part int, {_PLACES}").repartitionById(n, F.col("part"))
+    extended = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_extensions(block, window, n), f"bucket int, tags binary, seconds binary, ids binary, {_PLACES}").repartitionById(n, F.col("bucket"))
+    later = extended.groupBy("bucket").applyInArrow(_later(n), f"part int, {_PLACES}").repartitionById(n, F.col("part"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     return dealt.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(_removal(window, texts), schema)
