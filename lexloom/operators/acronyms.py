@@ -6,19 +6,27 @@ surroundings that is cut out next to it, so the text goes nowhere.
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.functions import text as fx
 from lexloom.operators import domains, spans
 from lexloom.session import ship
 
-# The forms of a candidate, in order of precedence, and word lists.
+# The forms of a candidate, in order of precedence, and word lists. The
+# repeated groups are possessive, so that Java's matcher runs them as a loop.
 FORMS = (
-    r"[A-Z0-9]+(?:\s*[&/’'\-–]\s*[A-Z0-9]+)+",
+    r"[A-Z0-9]+(?:\s*[&/’'\-–]\s*[A-Z0-9]++\b)++",
     r"[A-Z]{2,}[a-z]{1,3}",
     r"[A-Z][A-Z0-9]{1,9}",
     r"[0-9]+[A-Z][A-Z0-9]{0,8}",
@@ -27,7 +35,7 @@ FORMS = (
     r"[A-Z][a-z]{1,}[A-Z][A-Za-z0-9]*",
     r"[a-z]{1,2}[A-Z][a-z]+[A-Za-z0-9]*",
 )
-DOTTED_FORM = r"(?:[A-Z]\.)+[A-Z]"
+DOTTED_FORM = r"[A-Z](?:\.[A-Z])++"
 NOT_ACRONYMS = ("OK", "PM", "MR", "MRS", "MS", "DR", "JR", "SR", "LTD", "PLC", "LLP", "LLC", "INC", "YES", "NO", "ON", "OFF")
 TWO_LETTERS = ("US", "UK", "EU", "UN")
 BLACKLIST = ("AS", "AT", "BE", "BY", "DO", "GO", "IF", "IN", "IS", "OF", "ON", "OR", "SO", "TO", "AN")
@@ -110,31 +118,32 @@ def all_caps_word(surface: Column) -> Column:
     return (F.length(fx.letters(surface)) >= 4) & ~surface.rlike(r"[\d&/’'–-]") & ~surface.rlike(r"[\p{Ll}\p{Lt}\p{Lo}]")
 
 
-def shouted(surface: Column, before: Column, after: Column) -> Column:
-    """DET-10: an upper-case word after a comma, or after such a word, on the way to an exclamation mark."""
-    bang = after.rlike(r"^[^.?\n!！‼]*[!！‼]")
+#: What ends the way to an exclamation mark, and that mark.
+NEXT_MARK, BANGS = r"[.?\n!！‼]", ("!", "！", "‼")
+
+
+def shouted(surface: Column, before: Column, after: Column, mark: Column) -> Column:
+    """DET-10: an upper-case word after a comma, or after such a word, on the way to an exclamation mark. ``mark``: the next of NEXT_MARK."""
     onwards = after.rlike(r"^\s*(?:[A-Z]{1,2}\s+){0,2}[A-Z]{3,}(?:[^A-Za-z]|$)")
     first = (F.length(surface) >= 4) & before.rlike(r",\s*\z") & onwards
     second = before.rlike(r",\s*\p{Lu}{4,}\s*\z")
-    return all_caps_word(surface) & bang & (first | second)
+    return all_caps_word(surface) & F.coalesce(mark.isin(*BANGS), F.lit(False)) & (first | second)
 
 
-def heading_line(before: Column, after: Column) -> Column:
-    """DET-10: all of at least six letters on the line are upper case (seen as far as the context reaches)."""
-    rest = F.concat(F.regexp_extract(before, r"([^\n]*)\z", 1), F.regexp_extract(after, r"^([^\n]*)", 1))
-    return ~rest.rlike(r"[\p{Ll}\p{Lt}\p{Lo}]"), rest
+def heading_line(line: Column) -> Column:
+    """DET-10: a whole line of at least six letters, all upper case."""
+    return ~line.rlike(r"[\p{Ll}\p{Lt}\p{Lo}]") & (F.length(fx.letters(line)) >= 6)
 
 
-def dropped_by_context(surface: Column, before: Column, after: Column, reaches_start: Column) -> Column:
-    """DET-11: the ordered decisions."""
+def dropped_by_context(surface: Column, before: Column, after: Column, reaches_start: Column, in_heading: Column, mark: Column) -> Column:
+    """DET-11: the ordered decisions. ``in_heading``: of the match's line, ``mark``: the next of NEXT_MARK."""
     inside, _ = in_brackets(before, after)
-    no_lower, rest = heading_line(before, after)
-    heading = all_caps_word(surface) & no_lower & (F.length(fx.letters(F.concat(rest, surface))) >= 6)
+    heading = all_caps_word(surface) & in_heading
     start, lower = at_sentence_start(before, reaches_start), next_lower(after)
     i_am = before.rlike(r"""[.!?"'“”‘’(\[{]\s*I\s*\z""") | (reaches_start & before.rlike(r"^\s*I\s*\z"))
     return (
         F.when(inside | defined_in_parens(after) | stands_for(after), False)
-        .when(shouted(surface, before, after), True)
+        .when(shouted(surface, before, after, mark), True)
         .when(heading, True)
         .when(surface == "IT", start & lower)
         .when(surface == "AM", previous_token(before).rlike(TIME) | i_am)
@@ -181,30 +190,88 @@ def reasons(surface: Column, before: Column, after: Column) -> Column:
     return F.filter(F.array(*[F.when(on, tag) for tag, on in tags]), lambda x: x.isNotNull())
 
 
+#: How the surroundings of a candidate are cut out.
+_AROUND = {"before": REACH, "after": REACH, "line_flag": heading_line, "next_mark": NEXT_MARK, "spaces": True}
+
+
+def _core(docs: DataFrame, dotted: bool, with_text: bool = False) -> DataFrame:
+    """DET-01..05 of the general forms; with ``with_text`` the row of each text stays in front."""
+    rows = spans.matches(docs, QUICK + pattern(dotted), **_AROUND, with_text=with_text)
+    taken = accepted(F.col("surface"), F.col("before"), F.col("after"), dotted)
+    return rows.where(F.col("surface").isNull() | taken if with_text else taken).drop("nth").withColumn("core", F.lit(True))
+
+
 def candidates(docs: DataFrame, dotted: bool = False, with_domains: bool = False) -> DataFrame:
-    """DET-01..05, DET-13: doc_id, surface, s, e, before, after, core.
+    """DET-01..05, DET-13: doc_id, surface, s, e, core and the surroundings.
 
     Core hits inside a domain's span go; the comparison is of spans of one
     document, joined by doc_id.
     """
-    core = spans.matches(docs, QUICK + pattern(dotted), None, REACH, REACH).where(accepted(F.col("surface"), F.col("before"), F.col("after"), dotted)).drop("nth").withColumn("core", F.lit(True))
+    core = _core(docs, dotted)
     if not with_domains:
         return core
-    extra = domains.candidates(docs, REACH, REACH).drop("nth").where(accepted(F.col("surface"), F.col("before"), F.col("after"), dotted)).dropDuplicates(["doc_id", "s", "e"]).withColumn("core", F.lit(False))
+    extra = domains.candidates(docs, **_AROUND).drop("nth").where(accepted(F.col("surface"), F.col("before"), F.col("after"), dotted)).dropDuplicates(["doc_id", "s", "e"]).withColumn("core", F.lit(False))
     o = extra.select(F.col("doc_id").alias("_d"), F.col("s").alias("_s"), F.col("e").alias("_e"))
     kept = core.join(o, (core["doc_id"] == o["_d"]) & (o["_s"] <= core["s"]) & (core["e"] <= o["_e"]), "left_anti")
     return kept.unionByName(extra)
 
 
-def detect(docs: DataFrame, dotted: bool = False, with_domains: bool = False, debug: bool = False) -> DataFrame:
-    """DET-18: accepted occurrences: doc_id, acronym, s, e, conf, key, core (and reasons)."""
-    rows = candidates(docs, dotted, with_domains)
+def dropped() -> Column:
+    """DET-11 over the columns of ``candidates``."""
+    return dropped_by_context(*map(F.col, ("surface", "before", "after", "at_start", "flag", "mark")))
+
+
+def _occurrences(rows: DataFrame, debug: bool = False) -> DataFrame:
+    """Candidates as accepted occurrences; rows without a surface stay as they are."""
     surface, before, after = F.col("surface"), F.col("before"), F.col("after")
-    rows = rows.where(~dropped_by_context(surface, before, after, F.col("s") <= REACH))
-    rows = rows.withColumn("conf", boosted(surface, after, score(surface, before, after))).where(F.col("conf") >= threshold(surface))
-    rows = rows.withColumn("acronym", fx.surface_for_key("surface")).withColumn("key", fx.acronym_key("acronym")).where("key != ''")
+    is_text = surface.isNull()
+    rows = rows.where(is_text | ~dropped())
+    rows = rows.withColumn("conf", boosted(surface, after, score(surface, before, after))).where(is_text | (F.col("conf") >= threshold(surface)))
+    rows = rows.withColumn("acronym", fx.surface_for_key("surface")).withColumn("key", fx.acronym_key("acronym")).where(is_text | (F.col("key") != ""))
     extra = [reasons(surface, before, after).alias("reasons")] if debug else []
-    return rows.select("doc_id", "acronym", "s", "e", F.round("conf", 6).alias("conf"), "key", "core", *extra)
+    text = ["text"] if "text" in rows.columns else []
+    return rows.select("doc_id", "acronym", "s", "e", F.round("conf", 6).alias("conf"), "key", "core", *extra, *text)
+
+
+def detect(docs: DataFrame, dotted: bool = False, with_domains: bool = False, debug: bool = False) -> DataFrame:
+    """DET-18: accepted occurrences: doc_id, acronym, s, e, conf, key, core (and reasons)."""
+    return _occurrences(candidates(docs, dotted, with_domains), debug)
+
+
+def by_text(docs: DataFrame, fn: Callable[[str, list[dict]], list[dict]], schema: str, dotted: bool = False) -> DataFrame:
+    """What ``fn`` makes of each text and its occurrences, with the row's doc_id.
+
+    A text goes in front of its occurrences out of one scan, in the order in
+    which they are found, so it is neither shuffled nor joined, nor repeated
+    for each of them.
+    """
+    ship(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType
+    rows = _occurrences(_core(docs.select("doc_id", "text"), dotted, with_text=True)).drop("core")
+    types = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T.StructType([T.StructField("doc_id", id_type)]).fields + list(T.StructType.fromDDL(schema).fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, text, found, out = None, None, [], []
+
+        def done() -> None:
+            if found:
+                out.extend({"doc_id": doc, **row} for row in fn(text, found))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["acronym"] is None:
+                    done()
+                    doc, text, found = row["doc_id"], row["text"], []
+                else:
+                    found.append(row)
+            if len(out) >= 5_000:
+                yield pa.RecordBatch.from_pylist(out, schema=types)
+                out.clear()
+        done()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=types)
+
+    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, " + ", ".join(p.replace(":", " ", 1) for p in schema.split(",")))
 
 
 def firsts(occurrences: DataFrame) -> DataFrame:
@@ -228,79 +295,120 @@ def is_case_typo(acronym: str) -> bool:
     return case in ("UlUl", "lUlU")
 
 
-def _rules() -> list:
-    """CLN-01..05 in their order: name and whether an occurrence goes, given all that are left."""
+_OPENS = re.compile(r"\s*\(")
+_SHUTS = re.compile(r"\s*\)")
+_SPACES = re.compile(r"\s*")
+
+
+def with_brackets(text: str, occurrences: list[dict]) -> list[dict]:
+    """What the rules need to know of the text: a bracket behind an occurrence, what it begins with, where it closes."""
+    closing, out = -2, []
+    for o in sorted(occurrences, key=lambda o: (o["s"], o["e"])):
+        m = _OPENS.match(text, o["e"])
+        open_ = m.end() - 1 if m else None
+        if m and closing != -1 and closing <= open_:
+            closing = text.find(")", open_ + 1)
+        out.append(o | {"open": open_, "close": closing if m and closing > 0 else None, "inner": _SPACES.match(text, open_ + 1).end() if m else None, "shut": _SHUTS.match(text, o["e"]) is not None})
+    return out
+
 
-    def inside(o: dict, left: list[dict]) -> bool:
+def _letters_by_case(acronym: str) -> tuple[int, int]:
+    letters = [c for c in acronym.strip(_PUNCTUATION) if c.isalpha()]
+    return sum(c.isupper() for c in letters), sum(c.islower() for c in letters)
+
+
+def _inside(left: list[dict]) -> set[int]:
+    """CLN-01: inside the brackets behind an occurrence whose ending it is."""
+    gone, ends, endings = set(), [], Counter()
+    waiting = sorted((o for o in left if o["close"] is not None), key=lambda o: o["open"], reverse=True)
+    for o in left:  # in the order of their starts: open brackets wait in a heap by where they close
+        while waiting and waiting[-1]["open"] < o["s"]:
+            x = waiting.pop()
+            word = x["acronym"].upper()
+            heappush(ends, (x["close"], word))
+            endings.update(word[k:] for k in range(1, len(word)))
+        while ends and ends[0][0] < o["e"]:
+            _, word = heappop(ends)
+            endings.subtract(word[k:] for k in range(1, len(word)))
         clean = o["acronym"].strip(_PUNCTUATION)
-        return len(clean) > 1 and clean.isalpha() and clean.isupper() and any(x is not o and x["close"] is not None and x["open"] < o["s"] and o["e"] <= x["close"] and _suffix(clean, x["acronym"]) for x in left)
-
-    def before_parens(o: dict, left: list[dict]) -> bool:
-        case = [c for c in o["acronym"].strip(_PUNCTUATION) if c.isalpha()]
-        upper, lower = sum(c.isupper() for c in case), sum(c.islower() for c in case)
-        if len(case) < 2 or not (lower == 0 and upper or upper >= 2 and lower) or o["inner"] is None or o["open"] - o["e"] > 2:
-            return False
-        there = max((x for x in left if x["s"] == o["inner"]), key=lambda x: (x["e"], x["conf"]), default=None)
-        return there is not None and there["shut"] and _suffix(o["acronym"], there["acronym"])
-
-    def contained(o: dict, left: list[dict]) -> bool:
-        return any(x["s"] <= o["s"] and o["e"] <= x["e"] and x["e"] - x["s"] > o["e"] - o["s"] and _suffix(o["acronym"], x["acronym"]) for x in left)
-
-    def same_end(o: dict, left: list[dict]) -> bool:
-        return any(x["e"] == o["e"] and _suffix(o["acronym"], x["acronym"]) for x in left)
-
-    return [
-        ("inside_paren_suffix_of_left", inside),
-        ("token_before_paren_suffix", before_parens),
-        ("contained_suffix", contained),
-        ("end_suffix_micro", same_end),
-        ("drop_mixed_case_typo", lambda o, left: is_case_typo(o["acronym"])),
-    ]
+        if len(clean) > 1 and clean.isalpha() and clean.isupper() and endings[clean] > 0:
+            gone.add(o["nth"])
+    return gone
+
+
+def _before_brackets(left: list[dict]) -> set[int]:
+    """CLN-02: in front of brackets that hold nothing but a longer one it is the ending of."""
+    there: dict[int, dict] = {}
+    for x in left:
+        if x["s"] not in there or (x["e"], x["conf"]) > (there[x["s"]]["e"], there[x["s"]]["conf"]):
+            there[x["s"]] = x
+    gone = set()
+    for o in left:
+        upper, lower = _letters_by_case(o["acronym"])
+        if upper + lower < 2 or not (lower == 0 and upper or upper >= 2 and lower) or o["inner"] is None or o["open"] - o["e"] > 2:
+            continue
+        x = there.get(o["inner"])
+        if x is not None and x["shut"] and _suffix(o["acronym"], x["acronym"]):
+            gone.add(o["nth"])
+    return gone
+
+
+def _contained(left: list[dict]) -> set[int]:
+    """CLN-03: within a wider one whose ending it is."""
+    gone, wide = set(), []
+    for o in sorted(left, key=lambda o: (o["s"], -o["e"])):
+        wide = [x for x in wide if x["e"] > o["s"]]
+        if any(o["e"] <= x["e"] and x["e"] - x["s"] > o["e"] - o["s"] and _suffix(o["acronym"], x["acronym"]) for x in wide):
+            gone.add(o["nth"])
+        wide.append(o)
+    return gone
+
+
+def _same_end(left: list[dict]) -> set[int]:
+    """CLN-04: where a longer one ends whose ending it is."""
+    by: dict[int, list[dict]] = defaultdict(list)
+    for x in left:
+        by[x["e"]].append(x)
+    return {o["nth"] for o in left if any(_suffix(o["acronym"], x["acronym"]) for x in by[o["e"]])}
+
+
+#: CLN-01..05 in their order, each over the survivors of those before.
+_RULES = (
+    ("inside_paren_suffix_of_left", _inside),
+    ("token_before_paren_suffix", _before_brackets),
+    ("contained_suffix", _contained),
+    ("end_suffix_micro", _same_end),
+    ("drop_mixed_case_typo", lambda left: {o["nth"] for o in left if is_case_typo(o["acronym"])}),
+)
 
 
-def settle(occurrences: list[dict]) -> list[str | None]:
-    """The rule that drops each occurrence of a document, each rule over the survivors of those before."""
-    out: list[str | None] = [None] * len(occurrences)
-    for name, rule in _rules():
-        left = [o for o, gone in zip(occurrences, out) if gone is None]
-        for k, o in enumerate(occurrences):
-            if out[k] is None and rule(o, left):
-                out[k] = name
-    return out
+def settle(text: str, occurrences: list[dict]) -> list[dict]:
+    """The occurrences of a text in the order of their places, each with the rule that drops it or None."""
+    rows = [o | {"nth": k, "rule": None} for k, o in enumerate(with_brackets(text, occurrences))]
+    for name, rule in _RULES:
+        for k in rule([o for o in rows if o["rule"] is None]):
+            rows[k]["rule"] = name
+    return rows
 
 
-def cleanup(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
-    """CLN-01..05, 07: occurrences with the rule that drops each, null for those that stay.
+def cleaned(docs: DataFrame, dotted: bool = False) -> DataFrame:
+    """DET-18 and CLN-01..05, 07 in one scan: occurrences with the rule that drops each, null for those that stay."""
 
-    The rules compare occurrences of one document: those are gathered once, as
-    an array, and settled in one Arrow UDF. What the rules need to know of the
-    text (a parenthesis after an occurrence, where it closes) is looked up
-    natively before.
-    """
+    def rows(text: str, found: list[dict]) -> list[dict]:
+        return [{k: o[k] for k in ("acronym", "s", "e", "conf", "key", "rule")} for o in settle(text, found)]
+
+    return by_text(docs, rows, "acronym: string, s: int, e: int, conf: double, key: string, rule: string", dotted)
+
+
+def cleanup(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
+    """CLN-01..05, 07 for occurrences from elsewhere: gathered by document and joined with its text once."""
     ship(docs.sparkSession)
-    text = docs.select(F.col("doc_id").alias("_d"), "text")
-    rows = occurrences.join(text, occurrences["doc_id"] == text["_d"])
-    gap = F.regexp_extract(F.substring("text", F.col("e") + 1, F.lit(64)), r"^(\s*)\(", 1)
-    opens = F.substring("text", F.col("e") + 1, F.lit(64)).rlike(r"^\s*\(")
-    rows = rows.withColumn("open", F.when(opens, F.col("e") + F.length(gap)))
-    closing = F.call_function("locate", F.lit(")"), F.col("text"), F.col("open") + 2)
-    lead = F.length(F.regexp_extract(F.substring("text", F.col("open") + 2, F.lit(64)), r"^(\s*)", 1))
-    item = F.struct(
-        "s",
-        "e",
-        "acronym",
-        "conf",
-        "key",
-        "open",
-        F.when(closing > 0, closing - 1).alias("close"),
-        (F.col("open") + 1 + lead).alias("inner"),
-        F.substring("text", F.col("e") + 1, F.lit(64)).rlike(r"^\s*\)").alias("shut"),
-    )
-    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("o"))
+    item = "struct<s:int,e:int,acronym:string,conf:double,key:string>"
+    grouped = occurrences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "acronym", F.col("conf").cast("double").alias("conf"), "key"))).cast(f"array<{item}>").alias("o"))
+    rows = grouped.join(docs.select("doc_id", "text"), "doc_id")
 
-    @F.pandas_udf("array<string>")
-    def dropping(o: pd.Series) -> pd.Series:
-        return o.map(lambda xs: settle(list(xs)))
+    @F.pandas_udf(f"array<{item[:-1]},rule:string>>")
+    def dropping(text: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([[{k: x[k] for k in ("s", "e", "acronym", "conf", "key", "rule")} for x in settle(t, list(xs))] for t, xs in zip(text, o)])
 
-    ruled = grouped.select("doc_id", F.explode(F.arrays_zip("o", dropping("o").alias("rule"))).alias("v"))
-    return ruled.select("doc_id", "v.o.acronym", "v.o.s", "v.o.e", "v.o.conf", "v.o.key", F.col("v")["rule"].alias("rule"))
+    return rows.select("doc_id", F.explode(dropping("text", "o")).alias("v")).select("doc_id", "v.acronym", "v.s", "v.e", "v.conf", "v.key", "v.rule")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,22 +78,39 @@ def _any(text: Column, cues: dict[str, tuple[str, int]]) -> Column:
     return out
 
 
+def _cues(text: Column, **cues: dict[str, tuple[str, int]]) -> list[Column]:
+    """A struct of flags for each set of cues, so that a text is searched for each cue once."""
+    return [F.struct(*[text.rlike(p).alias(k) for k, (p, _) in some.items()]).alias(name) for name, some in cues.items()]
+
+
+def _weighed(name: str, cues: dict[str, tuple[str, int]]) -> Column:
+    return sum((F.when(F.col(name)[k], w).otherwise(0) for k, (_, w) in cues.items()), F.lit(0))
+
+
+def _some(name: str, cues: dict[str, tuple[str, int]]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(name)[k] for k in cues])
+
+
 def gates(docs: DataFrame) -> DataFrame:
     """DOM-01..04: scores and whether each domain is on, by document."""
     t = F.col("_t")
-    rows = docs.withColumn("_t", F.substring("text", 1, SNIFF_CHARS))
-    bio = _score(t, BIO_STRONG) + _score(t, BIO_SUPPORT)
-    legal = _score(t, LEGAL_STRONG) + _score(t, LEGAL_SUPPORT)
+    found = _cues(t, bio1=BIO_STRONG, bio2=BIO_SUPPORT, legal1=LEGAL_STRONG, legal2=LEGAL_SUPPORT, structure1=STRUCTURE_STRONG, structure2=STRUCTURE_SUPPORT)
+    rows = docs.select("doc_id", F.substring("text", 1, SNIFF_CHARS).alias("_t")).select("doc_id", "_t", *found)
     repeated = sum((F.when(F.regexp_count(t, F.lit(STRUCTURE_SUPPORT[k][0])) >= 2, 2).otherwise(0) for k in ("section", "clause")), F.lit(0))
-    structure = _score(t, STRUCTURE_STRONG) + _score(t, STRUCTURE_SUPPORT) + repeated
+    rows = rows.select(
+        "*",
+        (_weighed("bio1", BIO_STRONG) + _weighed("bio2", BIO_SUPPORT)).alias("bio_score"),
+        (_weighed("legal1", LEGAL_STRONG) + _weighed("legal2", LEGAL_SUPPORT)).alias("legal_score"),
+        (_weighed("structure1", STRUCTURE_STRONG) + _weighed("structure2", STRUCTURE_SUPPORT) + repeated).alias("structure_score"),
+    )
     return rows.select(
         "doc_id",
-        bio.alias("bio_score"),
-        (_any(t, BIO_STRONG) | (bio >= BIO_LEAST) | t.rlike(BIO_DIRECT)).alias("bio"),
-        legal.alias("legal_score"),
-        (_any(t, LEGAL_STRONG) | (legal >= LEGAL_LEAST)).alias("legal"),
-        structure.alias("structure_score"),
-        (_any(t, STRUCTURE_STRONG) | (structure >= STRUCTURE_LEAST)).alias("structure"),
+        "bio_score",
+        (_some("bio1", BIO_STRONG) | (F.col("bio_score") >= BIO_LEAST) | t.rlike(BIO_DIRECT)).alias("bio"),
+        "legal_score",
+        (_some("legal1", LEGAL_STRONG) | (F.col("legal_score") >= LEGAL_LEAST)).alias("legal"),
+        "structure_score",
+        (_some("structure1", STRUCTURE_STRONG) | (F.col("structure_score") >= STRUCTURE_LEAST)).alias("structure"),
     )
 
 
@@ -105,10 +124,10 @@ def is_legal(text: Column) -> Column:
     return _any(t, LEGAL_STRONG) | (_score(t, LEGAL_STRONG) + _score(t, LEGAL_SUPPORT) >= LEGAL_LEAST)
 
 
-def candidates(docs: DataFrame, before: int, after: int, keep: list[str] | None = None) -> DataFrame:
-    """DOM-05, DOM-06: spans that a domain adds where it is on, with contexts."""
-    bio = spans.matches(docs.where(is_bio(F.col("text"))), BIO_CANDIDATE, keep, before, after)
-    legal = spans.matches(docs.where(is_legal(F.col("text"))), LEGAL_CANDIDATE, keep, before, after)
+def candidates(docs: DataFrame, keep: list[str] | None = None, **around) -> DataFrame:
+    """DOM-05, DOM-06: spans that a domain adds where it is on, with contexts as ``spans.matches`` cuts them."""
+    bio = spans.matches(docs.where(is_bio(F.col("text"))), BIO_CANDIDATE, keep, **around)
+    legal = spans.matches(docs.where(is_legal(F.col("text"))), LEGAL_CANDIDATE, keep, **around)
     return bio.unionByName(legal)
 
 

@@ -1,21 +1,21 @@
 """Definitions of acronyms (EXT): in brackets, by a cue in the sentence, or in a sentence before.
 
-The text around each occurrence is cut out natively; one Arrow UDF aligns it
-and returns all candidates of an occurrence, and the choice among them is an
-aggregation. The alignment is the only Python.
+Occurrences are found natively; text and occurrences then pass one Python
+function together, out of the same scan, which settles the occurrences, aligns
+their surroundings and returns all candidates. The choice among them is an
+aggregation of small rows; no text is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import alignment as al
 from lexloom.operators import acronyms, meanings
-from lexloom.session import by_document, ship
 
 # Reach of the context, confidences and their loss by distance.
 LEFT, RIGHT = 320, 280
@@ -34,12 +34,6 @@ _BEFORE_IN_BRACKETS = re.compile(r"[(\[]\s*([^()\[\]]{1,200}?)\s*[)\]]\s+[\"'“
 _CLAUSE_END = re.compile(r"[.;:](?=\s|$)|[\r\n]")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 
-#: White space as Python's re has it, so that pieces end at the same places.
-_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-_SENTENCE_END_JAVA = rf"(?<=[.!?…]){_SPACE}+|\n+"
-
-_CANDIDATE = "array<struct<definition:string,ds:int,de:int,source:string,conf:double,kind:string>>"
-
 
 def _clause(text: str) -> tuple[str, int]:
     """What is left of a text behind its last clause boundary, and where it begins."""
@@ -117,51 +111,39 @@ def look_back(acronym: str, left: str, s: int) -> list[dict]:
     return []
 
 
-def _sentences_before(text: Column, s: Column) -> Column:
-    """The last LOOK_BACK whole sentences before a place and what stands between them and it."""
-    before = F.substring(text, F.lit(1), s)
-    pieces = F.split(before, _SENTENCE_END_JAVA, -1)
-    ends = F.regexp_extract_all(before, F.lit(_SENTENCE_END_JAVA), F.lit(0))
-    n = F.size(pieces)
-    first = F.greatest(n - LOOK_BACK, F.lit(1))
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-    size = length(F.slice(pieces, first, n)) + length(F.slice(ends, first, n))
-    return F.substring(before, s - size + 1, size)
+def definitions_in(text: str, occurrences: list[dict]) -> list[dict]:
+    """EXT-07, EXT-10, EXT-11: every occurrence that stays with its candidates, and the first of a key with those in sentences before.
+
+    Adds first_s, definition, ds, de, source, conf and kind (None without a candidate).
+    """
+    ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+    firsts: dict[str, int] = {}
+    out = []
+    for o in acronyms.settle(text, occurrences):
+        if o["rule"] is not None:
+            continue
+        key, s, e = o["key"], o["s"], o["e"]
+        found = candidates(key, text[max(0, s - LEFT) : s], text[e : e + RIGHT], s, e)
+        if key not in firsts:
+            firsts[key] = s
+            k = bisect_right(ends, s)
+            found += look_back(key, text[ends[k - 1 - LOOK_BACK] if k > LOOK_BACK else 0 : s], s)
+        out += [{"key": key, "acronym": o["acronym"], "s": s, "e": e, "first_s": firsts[key], **c} for c in found or [_NOTHING]]
+    return out
+
 
+_NOTHING = {"definition": None, "ds": None, "de": None, "source": None, "conf": None, "kind": None}
+_FOUND = "key: string, acronym: string, s: int, e: int, first_s: int, definition: string, ds: int, de: int, source: string, conf: double, kind: string"
 
-def occurrences_with_candidates(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
-    """EXT-07, EXT-10, EXT-11: every occurrence with its candidates, and the first of a key with those in sentences before.
 
-    Adds first_s, definition, ds, de, source, conf and kind (null without a candidate).
-    """
-    ship(docs.sparkSession)
-    text = docs.select(F.col("doc_id").alias("_d"), "text")
-    rows = occurrences.join(text, occurrences["doc_id"] == text["_d"])
-    first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("s", "e")) == 1
-    rows = rows.select(
-        "doc_id",
-        "key",
-        "acronym",
-        "s",
-        "e",
-        first.alias("first"),
-        F.min("s").over(Window.partitionBy("doc_id", "key")).alias("first_s"),
-        F.substring("text", F.greatest(F.col("s") - LEFT, F.lit(0)) + 1, F.least(F.col("s"), F.lit(LEFT))).alias("l"),
-        F.substring("text", F.col("e") + 1, F.lit(RIGHT)).alias("r"),
-        F.when(first, _sentences_before(F.col("text"), F.col("s"))).otherwise("").alias("b"),
-    )
-
-    @F.pandas_udf(_CANDIDATE)
-    def align(key: pd.Series, left: pd.Series, right: pd.Series, before: pd.Series, s: pd.Series, e: pd.Series, first: pd.Series) -> pd.Series:
-        return pd.Series([candidates(k, x, y, int(a), int(b)) + (look_back(k, z, int(a)) if f else []) for k, x, y, z, a, b, f in zip(key, left, right, before, s, e, first)])
-
-    found = rows.select("doc_id", "key", "acronym", "s", "e", "first_s", F.explode_outer(align("key", "l", "r", "b", "s", "e", "first")).alias("c"))
-    return found.select("doc_id", "key", "acronym", "s", "e", "first_s", "c.*")
-
-
-def ledger(occurrences: DataFrame, docs: DataFrame) -> DataFrame:
+def occurrences_with_candidates(docs: DataFrame, dotted: bool = False) -> DataFrame:
+    """``definitions_in`` of every text, with its doc_id."""
+    return acronyms.by_text(docs, definitions_in, _FOUND, dotted)
+
+
+def ledger(docs: DataFrame, dotted: bool = False) -> DataFrame:
     """The candidates alone: doc_id, key, acronym, s, e, definition, ds, de, source, conf, kind."""
-    return occurrences_with_candidates(occurrences, docs).where("definition is not null").drop("first_s")
+    return occurrences_with_candidates(docs, dotted).where("definition is not null").drop("first_s")
 
 
 def picks(rows: DataFrame) -> DataFrame:
@@ -174,23 +156,12 @@ def picks(rows: DataFrame) -> DataFrame:
 
 
 def extract(docs: DataFrame, dotted: bool = False) -> DataFrame:
-    """EXT-16: one row per document and key: definition, its span, source, confidence and kind, or nulls.
-
-    The texts are dealt by doc_id once; every join, window and aggregation
-    after that stays inside its partition.
-    """
-    docs = by_document(docs.select("doc_id", "text"))
-    found = acronyms.cleanup(acronyms.detect(docs, dotted), docs).where("rule is null")
-    return picks(occurrences_with_candidates(found, docs))
+    """EXT-16: one row per document and key: definition, its span, source, confidence and kind, or nulls."""
+    return picks(occurrences_with_candidates(docs, dotted))
 
 
 def meanings_of(docs: DataFrame) -> DataFrame:
     """MNG-01, MNG-02 over what ``ledger`` finds."""
-    docs = by_document(docs.select("doc_id", "text"))
-    found = acronyms.cleanup(acronyms.detect(docs), docs).where("rule is null")
-    rows = ledger(found, docs)
+    rows = ledger(docs)
     defs = rows.select("doc_id", "acronym", "definition", "source", "conf", F.col("s").alias("acr_s"), F.col("e").alias("acr_e"), F.col("ds").alias("def_s"), F.col("de").alias("def_e"), F.col("s").alias("seq"))
     return meanings.build(meanings.dedupe(defs))
-
-
-

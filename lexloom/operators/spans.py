@@ -6,59 +6,147 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matches(docs: DataFrame, pattern: str, keep: list[str] | None = None, before: int = 0, after: int = 0) -> DataFrame:
+#: Entries of a block of a running total, and code points of a block of text.
+_STEP, _BLOCK = 256, 2048
+#: White space in a row that a context holds at most, if asked to skip it.
+FAR = 64
+
+
+def _running(rows: DataFrame, values: str, out: str, step, zero: Column) -> DataFrame:
+    """``rows`` with the running totals of an array of numbers or marks, by an associative step.
+
+    Totals of blocks first, then those within each block, so time grows with
+    the array and not with its square. Columns that a lambda reads are made in
+    a projection of their own and read twice, which keeps them from being
+    evaluated anew for each element.
+    """
+    n = F.size(values)
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STEP).cast("int")), lambda b: F.slice(values, b * _STEP + 1, _STEP)))
+    grow = lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x)))
+    rows = rows.withColumn("_blocks", blocks)
+    ahead = F.aggregate(F.transform("_blocks", lambda x: F.aggregate(x, zero, step)), F.array(zero), grow)
+    pairs = F.arrays_zip(F.col("_blocks").alias("x"), F.slice(ahead, F.lit(1), F.size("_blocks")).alias("at"))
+    totals = F.flatten(F.transform(pairs, lambda p: F.slice(F.aggregate(p["x"], F.array(p["at"]), grow), 2, _STEP)))
+    return rows.withColumn(out, F.coalesce(totals, F.array().cast(f"array<{'string' if step is _latest else 'int'}>"))).drop("_blocks")
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _latest(a: Column, b: Column) -> Column:
+    return F.when(b != "", b).otherwise(a)
+
+
+def _part(start: Column, size: Column) -> Column:
+    """At most ``_BLOCK`` code points from a place, out of the text's blocks: in time that doesn't grow with the place."""
+    at = F.floor(start / _BLOCK).cast("int")
+    block = lambda k: F.coalesce(F.try_element_at("_text", at + k), F.lit(""))
+    return F.substring(F.concat(block(1), block(2)), start % _BLOCK + 1, size)
+
+
+def with_matches(rows: DataFrame, pattern: str, out: str) -> DataFrame:
+    """``rows`` with all matches in ``text`` as an array of surface, s and e, for plans that keep a text's finds beside it."""
+    rows = rows.withColumn("_m", F.coalesce(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.array().cast("array<string>")))
+    rows = rows.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_len", F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), "_m", lambda g, m: F.length(g) + F.length(m)))
+    rows = _running(rows, "_len", "_e", _plus, F.lit(0))
+    found = F.zip_with("_m", "_e", lambda m, e: F.struct(m.alias("surface"), (e - F.length(m)).alias("s"), e.alias("e")))
+    return rows.withColumn(out, found).drop("_m", "_g", "_len", "_e")
+
+
+def matches(
+    docs: DataFrame,
+    pattern: str,
+    keep: list[str] | None = None,
+    before: int = 0,
+    after: int = 0,
+    line_flag=None,
+    next_mark: str | None = None,
+    spaces: bool = False,
+    with_text: bool = False,
+) -> DataFrame:
     """One row per leftmost non-overlapping match: doc_id, surface, s, e, nth (and ``keep``).
 
     ``split`` and ``regexp_extract_all`` find the same matches, so the lengths
-    of gaps and matches add up to code-point offsets. ``before`` and ``after``
-    add as many characters of context; they are cut out before the rows are
-    made, so a text is never repeated for each of its matches.
+    of gaps and matches add up to code-point offsets, in time linear in the
+    text. ``before`` and ``after`` add as many characters of context, cut out
+    of blocks of the text. ``line_flag`` (of a line, as a Column) adds ``flag``,
+    judged once for each whole line; ``next_mark`` adds ``mark``, the first match
+    of that pattern of one character anywhere behind. With ``spaces`` a run of
+    more than ``FAR`` white space next to a match counts as ``FAR`` spaces in its
+    context, and ``at_start`` tells whether ``before`` reaches the text's start.
+    ``with_text`` puts a row without surface, but with ``text``, in front of each
+    document's matches.
     """
     keep = keep or []
-    # no filter on the text here: pushed below an exchange, it would keep scans from sharing that exchange
+    if max(before, after) > _BLOCK:
+        raise ValueError("a longer context than a block of text")
     found = docs.select("doc_id", *keep, "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_m"))
-    found = found.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)))
-    rows = F.aggregate(
-        F.arrays_zip(F.slice("_g", F.lit(1), F.size("_m")).alias("g"), F.col("_m").alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<surface:string,s:int,e:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(x["m"].alias("surface"), (a["at"] + F.length(x["g"])).alias("s"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("e")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    extra = []
+    found = found.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("_len", F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), "_m", lambda g, m: F.length(g) + F.length(m)))
+    found = _running(found, "_len", "_e", _plus, F.lit(0))
+    parts, named = [F.col("_m").alias("m"), F.col("_e").alias("e")], ["e"]
+    if line_flag:
+        breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        found = found.withColumn("_breaks", F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), "_m", lambda g, m: breaks(g) + breaks(m)))
+        found = _running(found, "_breaks", "_line", _plus, F.lit(0))
+        found = found.withColumn("_flags", F.transform(F.split("text", "\n", -1), line_flag))
+        parts.append(F.col("_line").alias("line"))
+        named.append("line")
+    if next_mark:
+        mark = lambda x: F.regexp_extract(x, next_mark, 0)
+        behind = F.zip_with(F.slice("_g", F.lit(2), F.size("_m")), F.concat(F.slice("_m", F.lit(2), F.size("_m")), F.array(F.lit(""))), lambda g, m: F.when(mark(g) != "", mark(g)).otherwise(mark(m)))
+        found = found.withColumn("_marks", F.reverse(F.when(F.size("_m") > 0, behind).otherwise(F.array().cast("array<string>"))))
+        found = _running(found, "_marks", "_mark", _latest, F.lit(""))
+        parts.append(F.reverse("_mark").alias("mark"))
+        named.append("mark")
+    if spaces:
+        parts.append(F.slice("_g", F.lit(1), F.size("_m")).alias("left"))
+        parts.append(F.slice("_g", F.lit(2), F.size("_m")).alias("right"))
+        named += ["left", "right"]
+    if before or after:
+        found = found.withColumn("_text", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)))
+    rows = F.transform(F.arrays_zip(*parts), lambda x, i: F.struct(x["m"].alias("surface"), (x["e"] - F.length(x["m"])).alias("s"), i.alias("nth"), *(x[p].alias(p if p == "e" else f"_{p}") for p in named)))
+    if with_text:
+        none = {p: F.lit(-1) if p in ("e", "line") else F.lit(None).cast("string") for p in named}
+        rows = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("surface"), F.lit(-1).alias("s"), F.lit(-1).alias("nth"), *(v.alias(p if p == "e" else f"_{p}") for p, v in none.items()))), rows)
+    carried = [c for c, on in (("text", with_text), ("_text", before or after), ("_flags", line_flag)) if on]
+    out = found.select("doc_id", *keep, *carried, F.inline(rows))
+    s, e = F.greatest(F.col("s"), F.lit(0)), F.greatest(F.col("e"), F.lit(0))
+    extra, gone = [], lambda n: F.lit("")
+    if spaces:
+        trail = F.length("_left") - F.length(F.regexp_replace(F.col("_left"), "(?<!\\s)\\s++\\z", ""))
+        lead = F.length("_right") - F.length(F.regexp_replace(F.col("_right"), "^\\s++", ""))
+        out = out.withColumn("_trail", F.coalesce(trail, F.lit(0))).withColumn("_lead", F.coalesce(lead, F.lit(0)))
+        gone = lambda n: F.when(F.col(n) > FAR, F.lit(" " * FAR)).otherwise("")
+        s, e = F.when(F.col("_trail") > FAR, s - F.col("_trail")).otherwise(s), F.when(F.col("_lead") > FAR, e + F.col("_lead")).otherwise(e)
+        extra.append((s <= before).alias("at_start"))
     if before:
-        extra.append("before")
+        extra.append(F.concat(_part(F.greatest(s - before, F.lit(0)), F.least(s, F.lit(before))), gone("_trail")).alias("before"))
     if after:
-        extra.append("after")
-    if extra:
-        found = found.withColumn("_r", rows)
-        text = F.col("text")
-        rows = F.transform(
-            "_r",
-            lambda x: F.struct(
-                x["surface"].alias("surface"),
-                x["s"].alias("s"),
-                x["e"].alias("e"),
-                *([F.substring(text, F.greatest(x["s"] - before, F.lit(0)) + 1, F.least(x["s"], F.lit(before))).alias("before")] if before else []),
-                *([F.substring(text, x["e"] + 1, F.lit(after)).alias("after")] if after else []),
-            ),
-        )
-    return found.select("doc_id", *keep, F.posexplode(rows).alias("nth", "_x")).select("doc_id", *keep, "_x.surface", "_x.s", "_x.e", "nth", *[f"_x.{c}" for c in extra])
+        extra.append(F.concat(gone("_lead"), _part(e, F.lit(after))).alias("after"))
+    if line_flag:
+        # a match's line is the one that it ends in
+        extra.append(F.coalesce(F.try_element_at("_flags", F.greatest(F.col("_line"), F.lit(0)) + 1), F.lit(False)).alias("flag"))
+    if next_mark:
+        extra.append(F.col("_mark").alias("mark"))
+    if with_text:
+        extra.append(F.when(F.col("surface").isNull(), F.col("text")).alias("text"))
+    if not extra:
+        return out.select("doc_id", *keep, "surface", "s", "e", "nth")
+    # contexts come out of a generator of one row: a filter on them then can't be pushed below it, which would have them cut anew for every mention
+    return out.select("doc_id", *keep, "surface", "s", "e", "nth", F.inline(F.array(F.struct(*extra))))
 
 
 def lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Non-blank lines, stripped, with the offsets of what is left: doc_id, line, s, e, nth."""
     keep = keep or []
     raw = docs.select("doc_id", *keep, F.split("text", "\n", -1).alias("_l"))
-    at = F.aggregate(
-        "_l",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:string,s:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(x.alias("line"), a["at"].alias("s")))).alias("out")),
-        lambda a: a["out"],
-    )
-    rows = raw.select("doc_id", *keep, F.posexplode(at).alias("nth", "_x")).select("doc_id", *keep, "_x.line", "_x.s", "nth")
+    raw = raw.withColumn("_len", F.when(F.col("_l").isNotNull(), F.transform("_l", lambda x: F.length(x) + 1)).otherwise(F.array().cast("array<int>")))
+    raw = _running(raw, "_len", "_e", _plus, F.lit(0))
+    rows = F.zip_with("_l", "_e", lambda x, e: F.struct(x.alias("line"), (e - F.length(x) - 1).alias("s")))
+    rows = raw.select("doc_id", *keep, F.posexplode(rows).alias("nth", "_x")).select("doc_id", *keep, "_x.line", "_x.s", "nth")
     stripped = F.regexp_replace(F.col("line"), "(?U)^\\s+|\\s+$", "")
     lead = F.length("line") - F.length(F.regexp_replace(F.col("line"), "(?U)^\\s+", ""))
     return rows.select("doc_id", *keep, stripped.alias("line"), (F.col("s") + lead).alias("s"), (F.col("s") + lead + F.length(stripped)).alias("e"), "nth").where("line != ''")

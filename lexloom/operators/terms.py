@@ -2,149 +2,232 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.functions import text as fx
 from lexloom.operators import spans
-from lexloom.session import by_document, ship
+from lexloom.session import ship
 
-# The forms of a term and of its introductions.
+# The forms of a term and of its introductions. Repeated groups are
+# possessive, which Java's matcher runs as a loop: a long run can't exhaust its stack,
+# and nothing shorter could go on to match what follows.
 _Q, _B = "A-Za-z0-9&/'’.\\-()", "A-Za-z0-9&/'’\\-()"
 _BRIDGE = "(?:of|for|to|and|or|the|in|on|at|by|per)"
-_QUOTED = f"[A-Z][{_Q}]*(?:[ \\t]+(?:[A-Z][{_Q}]*|{_BRIDGE}))*"
-_BARE = f"[A-Z][{_B}]*(?:[ \\t]+(?:[A-Z][{_B}]*|{_BRIDGE}))*"
+_QUOTED = f"[A-Z][{_Q}]*+(?:[ \\t]++(?:[A-Z][{_Q}]*+|{_BRIDGE}))*+"
+_BARE = f"\\b[A-Z][{_B}]*(?:[ \\t]+(?:[A-Z][{_B}]*|{_BRIDGE}))*"
 INTRODUCTIONS = {
     "quoted_means": f'(?i)"{_QUOTED}"[ \\t]+means\\b',
     "quoted_shall_mean": f'(?i)"{_QUOTED}"[ \\t]+shall[ \\t]+mean\\b',
-    "bare_means": f"\\b{_BARE}[ \\t]+means\\b",
-    "bare_shall_mean": f"\\b{_BARE}[ \\t]+shall[ \\t]+mean\\b",
     "parenthetical_alias": f'(?i)\\((?:the[ \\t]+)?"{_QUOTED}"\\)',
 }
 QUOTED_OCCURRENCE = f'"{_QUOTED}"'
-CAPITALISED_OCCURRENCE = f"\\b{_BARE}\\b"
+#: Capitalised runs, and what makes one an introduction; searched in Python, in time linear in the text.
+_RUN = re.compile(_BARE)
+_CAPITALISED = re.compile(_BARE + "\\b")
+_BARE_INTRODUCTION = re.compile("[ \\t]+(?:(means)|shall[ \\t]+mean)\\b")
 MOST_DEFINITION = 400
 CONTEXT = 180
 PRIOR_MARGIN, FINAL_MARGIN = 0.20, 0.10
 
 
-def introductions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
-    """TRM-01..03: doc_id, term, s, e, key, kind. Bare introductions only where ``unquoted``."""
-    out = None
-    for kind, pattern in INTRODUCTIONS.items():
-        if kind.startswith("bare") and not unquoted:
-            continue
-        found = spans.matches(docs, pattern)
-        if kind.startswith("bare"):
-            term = F.regexp_extract("surface", "^(.*?)[ \\t]+(?:shall[ \\t]+mean|means)$", 1)
-            lead = F.lit(0)
-        else:
-            term = F.regexp_extract("surface", '"([^"]*)"', 1)
-            lead = F.length(F.regexp_extract("surface", '^([^"]*")', 1))
-        rows = found.select("doc_id", term.alias("term"), (F.col("s") + lead).alias("s"), (F.col("s") + lead + F.length(term)).alias("e"), fx.term_key(term).alias("key"), F.lit(kind).alias("kind"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def first_introductions(intros: DataFrame) -> DataFrame:
-    """TRM-04: by key the first introduction and the least end of any."""
-    return intros.groupBy("doc_id", "key").agg(F.min_by(F.struct("term", "s", "e", "kind"), F.struct("s", "e")).alias("v"), F.min("e").alias("first_end")).select("doc_id", "key", "v.*", "first_end")
+_STARTS_DEFINITION = re.compile(r'"?[ \t]*(?:shall[ \t]+mean|means)[\s,:]*', re.IGNORECASE | re.ASCII)
+_ENDS_DEFINITION = re.compile(r"\n\n|[;.]")
+_OPENS_ALIAS = re.compile(r"\(\s*(?:the[ \t]+)?\Z", re.IGNORECASE | re.ASCII)
+_STOPS = re.compile(r"[.;:\n]")
+_LETTER_LED = re.compile(r"[a-z][a-z0-9'-]*")
+_BEFORE_BRACKET = re.compile(r"\s*\(", re.ASCII)
+_RUN_WORD = re.compile(r"[^ \t]+")
 
 
 def _is_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
-def _places(text: str, terms: list[dict], taken: list[dict]) -> list[dict]:
-    """Whole-word places of each term and its plural after its introduction, clear of all introductions."""
-    out = []
-    for t in terms:
+def _term_key(text: str) -> str:
+    """TXT-11 for a part of a run, as ``fx.term_key`` has it."""
+    folded = text.translate(str.maketrans(fx.APOSTROPHES + fx.DASHES, "'" * len(fx.APOSTROPHES) + "-" * len(fx.DASHES))).strip(" ").strip("\"'")
+    plain = " ".join(re.sub(r"[^\w\s-]", "", folded).split())
+    return re.sub(r"\s+", "_", plain.lower().replace("-", " "))
+
+
+class _Spots:
+    """Spans of one text, asked whether any overlaps another span."""
+
+    def __init__(self, taken: list[tuple[int, int]]):
+        self.taken = sorted(set(taken))
+        self.ends = list(accumulate((e for _, e in self.taken), max))
+
+    def meet(self, s: int, e: int) -> bool:
+        k = bisect_left(self.taken, (e, -1))
+        return k > 0 and self.ends[k - 1] > s
+
+
+def _exact(text: str, known: dict[str, dict], spots: _Spots) -> Iterator[dict]:
+    """TRM-05, 06: whole-word places of each term and its plural after its introduction, clear of all introductions."""
+    for key, t in known.items():
         for v in t["variants"]:
             at = text.find(v)
             while at >= 0:
                 end = at + len(v)
                 whole = not (at and _is_word(text[at - 1])) and not (end < len(text) and _is_word(text[end]))
-                if whole and at >= t["first_end"] and not any(at < x["e"] and x["s"] < end for x in taken):
-                    out.append({"term": v, "s": at, "e": end, "key": t["key"]})
+                if whole and at >= t["first_end"] and not spots.meet(at, end):
+                    yield {"term": v, "s": at, "e": end, "key": key}
                 at = text.find(v, end)
-    return out
 
 
-def mentions(docs: DataFrame, intros: DataFrame) -> DataFrame:
-    """TRM-05..07: introductions, exact later references (term or plural) and quoted ones: doc_id, term, s, e, key.
+def _in_runs(text: str, known: dict[str, dict], spots: _Spots) -> Iterator[dict]:
+    """TRM-08: capitalised runs that hold a known term: all of it, else its longest known end, else its longest known beginning.
 
-    The terms of a document are one small array, joined once by doc_id; their
-    places are found in one Arrow UDF, so the text isn't repeated by term.
+    Every word of a run gives its key a part, so no part of a run with more
+    words than the longest known key has parts can be known.
+    """
+    most = max((key.count("_") + 1 for key in known), default=0)
+    for run in _CAPITALISED.finditer(text):
+        if _BEFORE_BRACKET.match(text, run.end()):
+            continue
+        words = [m.span() for m in _RUN_WORD.finditer(text, *run.span())]
+        n = len(words)
+        tries = [(0, n)] if n <= most else []
+        tries += [(n - size, n) for size in range(min(n - 1, most), 0, -1)] + [(0, size) for size in range(min(n - 1, most), 0, -1)]
+        for a, b in tries:
+            s, e = words[a][0], words[b - 1][1]
+            key = _term_key(text[s:e])
+            if key in known:
+                if s >= known[key]["first_end"] and not spots.meet(s, e):
+                    yield {"term": text[s:e], "s": s, "e": e, "key": key}
+                break
+
+
+def _variants(term: str) -> list[str]:
+    """TXT-23, as ``fx.term_variants`` has it."""
+    if term.endswith("y") and len(term) > 1 and term[-2].lower() not in fx.VOWELS:
+        return [term, term[:-1] + "ies"]
+    return [term, term + ("es" if term.endswith(("s", "x", "z", "ch", "sh")) else "s")]
+
+
+def _bare_introductions(text: str) -> Iterator[dict]:
+    """TRM-02: capitalised runs that mean something without quotes."""
+    for run in _RUN.finditer(text):
+        if m := _BARE_INTRODUCTION.match(text, run.end()):
+            term = run.group()
+            yield {"term": term, "s": run.start(), "e": run.end(), "key": _term_key(term), "kind": "bare_means" if m[1] else "bare_shall_mean", "variants": _variants(term)}
+
+
+def _meaning(text: str, intro: dict, stops: list[int]) -> tuple[str | None, str | None]:
+    """TRM-09, 11, 12: the definition, or the antecedent of an alias."""
+    if intro["kind"] == "parenthetical_alias":
+        end = intro["s"] - 1
+        opened = _OPENS_ALIAS.search(text, max(0, end - 200), end)
+        end = opened.start() if opened else end
+        k = bisect_left(stops, end)
+        return None, text[stops[k - 1] + 1 if k else 0 : end].strip() or None
+    rest = text[intro["e"] : intro["e"] + MOST_DEFINITION + 60]
+    begun = _STARTS_DEFINITION.match(rest)
+    body = rest[begun.end() :] if begun else rest
+    ended = _ENDS_DEFINITION.search(body)
+    return body[: ended.start() if ended else None][:MOST_DEFINITION].strip() or None, None
+
+
+def _terms_of(text: str, intros: list[dict], quoted: list[dict], unquoted: bool) -> dict:
+    """Introductions, mentions with the words near them, and meanings of one text."""
+    intros = sorted([*intros, *(_bare_introductions(text) if unquoted else ())], key=lambda i: (i["s"], i["e"], i["kind"]))
+    known: dict[str, dict] = {}
+    for i in intros:
+        t = known.setdefault(i["key"], {"variants": i["variants"], "first_end": i["e"]})
+        t["first_end"] = min(t["first_end"], i["e"])
+    spots, own = _Spots([(i["s"], i["e"]) for i in intros]), {(i["s"], i["e"]) for i in intros}
+    later = [q for q in quoted if q["key"] in known and q["s"] >= known[q["key"]]["first_end"] and (q["s"], q["e"]) not in own]
+    found: dict[tuple, tuple] = {}
+    for m in (*intros, *_exact(text, known, spots), *later):
+        at, value = (m["s"], m["e"]), (m["term"], m["key"])
+        found[at] = min(found.get(at, value), value)
+    for m in _in_runs(text, known, spots) if unquoted else ():
+        found.setdefault((m["s"], m["e"]), (m["term"], m["key"]))
+    stops = [m.start() for m in _STOPS.finditer(text)]
+    ordinals, meanings = Counter(), []
+    for i in intros:
+        definition, antecedent = _meaning(text, i, stops)
+        meanings.append({k: i[k] for k in ("term", "key", "kind", "s", "e")} | {"ordinal": ordinals[i["key"]], "definition": definition, "antecedent": antecedent})
+        ordinals[i["key"]] += 1
+    near = lambda s, e: sorted(set(_LETTER_LED.findall(text[max(0, s - CONTEXT) : e + CONTEXT].lower())))
+    return {
+        "introductions": [{k: i[k] for k in ("term", "s", "e", "key", "kind")} for i in intros],
+        "mentions": [{"term": t, "s": s, "e": e, "key": k, "near": near(s, e)} for (s, e), (t, k) in sorted(found.items())],
+        "meanings": meanings,
+    }
+
+
+_INTRODUCED = "array<struct<term:string,s:int,e:int,key:string,kind:string>>"
+_MENTIONED = "array<struct<term:string,s:int,e:int,key:string,near:array<string>>>"
+_MEANT = "array<struct<term:string,key:string,kind:string,s:int,e:int,ordinal:int,definition:string,antecedent:string>>"
+
+
+def scan(docs: DataFrame, unquoted: bool = False) -> DataFrame:
+    """One row per text with any introduction: doc_id and arrays of introductions, mentions and meanings.
+
+    Patterns are searched natively, all in one scan; what they find stays beside
+    the text and goes through one Python function with it, so no text is
+    shuffled, joined or repeated. (Texts without finds are left out there: a
+    filter here would be pushed below the search and have it done again.)
     """
     ship(docs.sparkSession)
-    first = first_introductions(intros)
-    known = first.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first_end", fx.term_variants("term").alias("variants"))).alias("_terms"))
-    taken = intros.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_taken"))
-    with_terms = docs.select("doc_id", "text").join(known.join(taken, "doc_id"), "doc_id")
-
-    @F.pandas_udf("array<struct<term:string,s:int,e:int,key:string>>")
-    def exact_places(text: pd.Series, terms: pd.Series, taken: pd.Series) -> pd.Series:
-        return pd.Series([_places(t, list(a), list(b)) for t, a, b in zip(text, terms, taken)])
-
-    exact = with_terms.select("doc_id", F.explode(exact_places("text", "_terms", "_taken")).alias("v")).select("doc_id", "v.*")
-    quoted = spans.matches(docs, QUOTED_OCCURRENCE).select("doc_id", F.expr("substring(surface, 2, length(surface) - 2)").alias("term"), (F.col("s") + 1).alias("s"), (F.col("e") - 1).alias("e"))
-    quoted = quoted.withColumn("key", fx.term_key("term"))
-    named = first.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "first_end")
-    spots = intros.select(F.col("doc_id").alias("_id"), F.col("s").alias("_s"), F.col("e").alias("_e")).distinct()
-    quoted = quoted.join(named, (quoted["doc_id"] == named["_d"]) & (quoted["key"] == named["_k"]) & (quoted["s"] >= named["first_end"])).drop("_d", "_k", "first_end")
-    quoted = quoted.join(spots, (quoted["doc_id"] == spots["_id"]) & (quoted["s"] == spots["_s"]) & (quoted["e"] == spots["_e"]), "left_anti")
-    own = intros.select("doc_id", "term", "s", "e", "key")
-    rows = own.unionByName(exact).unionByName(quoted)
-    return rows.groupBy("doc_id", "s", "e").agg(F.min(F.struct("term", "key")).alias("v")).select("doc_id", "v.term", "s", "e", "v.key")
-
-
-def unquoted_mentions(docs: DataFrame, intros: DataFrame) -> DataFrame:
-    """TRM-08: capitalised runs that hold a known term: all of it, else its longest known end, else its longest known beginning."""
-    runs = spans.matches(docs, CAPITALISED_OCCURRENCE, after=40).where(~F.col("after").rlike("^\\s*\\("))
-    words = F.split("surface", "[ \\t]+")
-    n = F.size("_w")
-    part = lambda lo, size: F.array_join(F.slice("_w", lo, size), " ")
-    runs = runs.withColumn("_w", words).withColumn(
-        "_c",
-        F.concat(
-            F.array(F.struct(F.lit(0).alias("rank"), F.col("surface").alias("term"))),
-            F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(i.alias("rank"), part(i + 1, n - i).alias("term")))).otherwise(F.array()),
-            F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((i + 1000).alias("rank"), part(F.lit(1), n - i).alias("term")))).otherwise(F.array()),
-        ),
-    )
-    tried = runs.select("doc_id", "surface", F.col("s").alias("run"), F.explode("_c").alias("c")).select("doc_id", "surface", "run", "c.rank", "c.term").withColumn("key", fx.term_key("term"))
-    first = first_introductions(intros).select("doc_id", "key", "first_end")
-    hit = tried.join(first, ["doc_id", "key"]).groupBy("doc_id", "run", "surface").agg(F.min(F.struct("rank", "term", "key", "first_end")).alias("v")).select("doc_id", "run", "surface", "v.*")
-    at = F.col("run") + F.instr("surface", F.col("term")) - 1
-    hit = hit.where(F.instr("surface", F.col("term")) > 0).select("doc_id", "term", at.alias("s"), (at + F.length("term")).alias("e"), "key", "first_end").where("s >= first_end")
-    spots = intros.select(F.col("doc_id").alias("_d"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    return hit.join(spots, (hit["doc_id"] == spots["_d"]) & (hit["s"] < spots["_e"]) & (spots["_s"] < hit["e"]), "left_anti").select("doc_id", "term", "s", "e", "key")
-
-
-def definitions(docs: DataFrame, intros: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "text").where("text is not null")
+    for kind in INTRODUCTIONS:
+        rows = spans.with_matches(rows, INTRODUCTIONS[kind], f"_{kind}")
+    rows = spans.with_matches(rows, QUOTED_OCCURRENCE, "_quoted")
+
+    def introduced(kind: str) -> Column:
+        def one(x: Column) -> Column:
+            term, lead = F.regexp_extract(x["surface"], '"([^"]*)"', 1), F.length(F.regexp_extract(x["surface"], '^([^"]*")', 1))
+            return F.struct(term.alias("term"), (x["s"] + lead).alias("s"), (x["s"] + lead + F.length(term)).alias("e"), fx.term_key(term).alias("key"), F.lit(kind).alias("kind"), fx.term_variants(term).alias("variants"))
+
+        return F.transform(f"_{kind}", one)
+
+    inner = lambda x: F.substring(x["surface"], F.lit(2), F.length(x["surface"]) - 2)
+    later = F.transform("_quoted", lambda x: F.struct(inner(x).alias("term"), (x["s"] + 1).alias("s"), (x["e"] - 1).alias("e"), fx.term_key(inner(x)).alias("key")))
+    rows = rows.select("doc_id", "text", F.concat(*map(introduced, INTRODUCTIONS)).alias("intros"), later.alias("quoted"))
+    types = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType))] + [(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(f"introductions {_INTRODUCED}, mentions {_MENTIONED}, meanings {_MEANT}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = [{"doc_id": r["doc_id"], **_terms_of(r["text"], r["intros"], r["quoted"], unquoted)} for r in batch.slice(at, 256).to_pylist() if r["intros"] or unquoted]
+                yield pa.RecordBatch.from_pylist([r for r in some if r["introductions"]], schema=types)
+
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, introductions {_INTRODUCED}, mentions {_MENTIONED}, meanings {_MEANT}")
+
+
+def _each(scanned: DataFrame, what: str) -> DataFrame:
+    return scanned.select("doc_id", F.explode(what).alias("v")).select("doc_id", "v.*")
+
+
+def _with_ids(meanings: DataFrame) -> DataFrame:
+    return meanings.withColumn("meaning_id", F.concat_ws("|", "term", "key", F.col("ordinal").cast("string")))
+
+
+def introductions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
+    """TRM-01..04: doc_id, term, s, e, key, kind. Bare introductions only where ``unquoted``."""
+    return _each(scan(docs, unquoted), "introductions")
+
+
+def mentions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
+    """TRM-05..08: introductions, exact later references (term or plural), quoted ones and, if asked, unquoted ones: doc_id, term, s, e, key."""
+    return _each(scan(docs, unquoted), "mentions").drop("near")
+
+
+def definitions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
     """TRM-09, 11, 12: the meanings, numbered by key, with the definition or the antecedent of an alias."""
-    text = docs.select(F.col("doc_id").alias("_d"), "text")
-    rows = intros.join(text, intros["doc_id"] == text["_d"])
-    rest = F.substring("text", F.col("e") + 1, F.lit(MOST_DEFINITION + 60))
-    body = F.regexp_replace(rest, '(?i)^"?[ \\t]*(?:shall[ \\t]+mean|means)[\\s,:]*', "")
-    cut = F.substring(F.regexp_extract(body, "(?s)^(.*?)(?:\\n\\s*\\n|[;.]|$)", 1), 1, MOST_DEFINITION)
-    left = F.regexp_replace(F.substring("text", F.lit(1), F.col("s") - 1), '(?i)\\(\\s*(?:the[ \\t]+)?\\z', "")
-    before = F.regexp_extract(left, "([^.;:\\n]*)\\z", 1)
-    stripped = lambda c: F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
-    alias = F.col("kind") == "parenthetical_alias"
-    ordinal = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("s", "e")) - 1
-    return rows.select(
-        "doc_id",
-        "term",
-        "key",
-        "kind",
-        "s",
-        "e",
-        ordinal.cast("int").alias("ordinal"),
-        F.nullif(F.when(~alias, stripped(cut)), F.lit("")).alias("definition"),
-        F.nullif(F.when(alias, stripped(before)), F.lit("")).alias("antecedent"),
-    ).withColumn("meaning_id", F.concat_ws("|", "term", "key", F.col("ordinal").cast("string")))
+    return _with_ids(_each(scan(docs, unquoted), "meanings"))
 
 
 _APPENDED = "(?i)^(schedule|appendix|annex)\\s+([A-Za-z0-9]+)\\b"
@@ -184,11 +267,9 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
-def scores(docs: DataFrame, mentions: DataFrame, meanings: DataFrame, sections: DataFrame) -> DataFrame:
-    """TRM-13: every mention with every meaning of its key: five additive parts."""
-    text = docs.select(F.col("doc_id").alias("_t"), "text")
+def scores(mentions: DataFrame, meanings: DataFrame, sections: DataFrame) -> DataFrame:
+    """TRM-13: every mention (with the words ``near`` it) with every meaning of its key: five additive parts."""
     m = with_path(mentions, sections)
-    m = m.join(text, m["doc_id"] == text["_t"]).select("doc_id", "term", "s", "e", "key", "path", fx.letter_led_words(spans.around(F.col("text"), F.col("s"), F.col("e"), CONTEXT)).alias("near"))
     d = with_path(meanings, sections)
     words = fx.letter_led_words(F.coalesce("definition", "antecedent", F.lit("")))
     d = d.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "meaning_id", F.col("s").alias("ms"), F.col("e").alias("me"), F.col("path").alias("mpath"), words.alias("words"), "kind", "definition")
@@ -219,16 +300,10 @@ def resolutions(scored: DataFrame) -> DataFrame:
 def analyse(docs: DataFrame, unquoted: bool = False) -> dict[str, DataFrame]:
     """TRM-17: introductions, mentions, meanings, sections, scores and resolutions.
 
-    The texts are dealt by doc_id once, as are the introductions and mentions
-    that several steps read; Spark reuses those exchanges, and the joins by
-    doc_id need no other.
+    Only small rows are shuffled: mentions and meanings by document and key, and
+    sections by document.
     """
-    docs = by_document(docs.select("doc_id", "text"))
-    intros = by_document(introductions(docs, unquoted))
-    found = mentions(docs, intros)
-    if unquoted:
-        found = found.unionByName(unquoted_mentions(docs, intros)).dropDuplicates(["doc_id", "s", "e"])
-    found = by_document(found)
-    meanings, paths = definitions(docs, intros), sections(docs)
-    scored = scores(docs, found, meanings, paths)
-    return {"introductions": intros, "mentions": found, "meanings": meanings, "sections": paths, "scores": scored, "resolutions": resolutions(scored)}
+    scanned, paths = scan(docs, unquoted), sections(docs.select("doc_id", "text"))
+    found, meanings = _each(scanned, "mentions"), _with_ids(_each(scanned, "meanings"))
+    scored = scores(found, meanings, paths)
+    return {"introductions": _each(scanned, "introductions"), "mentions": found.drop("near"), "meanings": meanings, "sections": paths, "scores": scored, "resolutions": resolutions(scored)}

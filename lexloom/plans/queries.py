@@ -15,7 +15,6 @@ from lexloom.functions import text as fx
 from lexloom.operators import acronyms, chunking, domains, extraction, glossary, limits, meanings, policy, retrieval, spans, structure, terms
 from lexloom.plans import oracles as sql
 from lexloom.plans.corpus import contracts, documents, tables
-from lexloom.session import by_document
 from lexloom.sources import tables as source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,9 +242,13 @@ def domain_gates_contracts(spark, sf_dir):
 
 # ---- DET and CLN ----------------------------------------------------------------
 
-_B, _A = "before", "after"
-_CAND = f"""{sql.matches("raw", acronyms.pattern())}, ctx AS (
-  SELECT doc_id, surface, s, (s + length(surface))::INT AS e, substring(text, greatest(s - 160, 0) + 1, least(s, 160)) AS before, substring(text, s + length(surface) + 1, 160) AS after,
+#: The forms of a candidate, written out on their own.
+_FORMS_SQL = (
+    r"\b(?:[A-Z0-9]+(?:\s*[&/’'\-–]\s*[A-Z0-9]+)+|[A-Z]{2,}[a-z]{1,3}|[A-Z][A-Z0-9]{1,9}|[0-9]+[A-Z][A-Z0-9]{0,8}|(?:[A-Z][a-z]?){2,5}"
+    r"|[a-z]{1,2}[A-Z]{2,}[A-Za-z0-9]*|[A-Z][a-z]{1,}[A-Z][A-Za-z0-9]*|[a-z]{1,2}[A-Z][a-z]+[A-Za-z0-9]*)\b"
+)
+_CAND = f"""{sql.matches("raw", _FORMS_SQL)}, ctx AS (
+  SELECT doc_id, text, surface, s, (s + length(surface))::INT AS e, substring(text, greatest(s - 160, 0) + 1, least(s, 160)) AS before, substring(text, s + length(surface) + 1, 160) AS after,
     regexp_replace(surface, '[^A-Za-z]', '', 'g') AS ls, regexp_replace(surface, '[^A-Z]', '', 'g') AS us, regexp_replace(surface, '[^A-Za-z0-9]', '', 'g') AS core FROM raw
 ), cand AS (
   SELECT * FROM ctx WHERE length(surface) >= 2 AND length(ls) > 0 AND length(core) BETWEEN 2 AND 10
@@ -258,11 +261,11 @@ _FLAGS = f"""{_CAND}, flags AS (
     regexp_matches(regexp_extract(after, '^\\s*["''(\\[{{]*([A-Za-z'']*)', 1), '^[a-z'']*[a-z][a-z'']*$') AS lower_next,
     regexp_matches(before, '[.!?][\\s")\\]}}'']*$') OR (s <= 160 AND regexp_matches(before, '^[\\s")\\]}}'']*$')) AS at_start,
     length(ls) >= 4 AND ls = us AND NOT regexp_matches(surface, '[0-9&/''-]') AS caps_word,
-    regexp_extract(before, '([^\\n]*)$', 1) || surface || regexp_extract(after, '^([^\\n]*)', 1) AS row_text,
+    regexp_extract(substring(text, 1, s), '([^\\n]*)$', 1) || surface || regexp_extract(substring(text, e + 1), '^([^\\n]*)', 1) AS row_text,
     surface IN ({_LIST(acronyms.BLACKLIST)}) AS listed, surface IN ({_LIST(acronyms.NOT_ACRONYMS)}) AS not_acronym FROM cand
 ), decided AS (
   SELECT *, CASE WHEN inside OR paren OR stands THEN false
-    WHEN caps_word AND regexp_matches(after, '^[^.?\\n!]*!') AND ((regexp_matches(before, ',\\s*$') AND regexp_matches(after, '^\\s*(?:[A-Z]{{1,2}}\\s+){{0,2}}[A-Z]{{3,}}(?:[^A-Za-z]|$)')) OR regexp_matches(before, ',\\s*[A-Z]{{4,}}\\s*$')) THEN true
+    WHEN caps_word AND regexp_matches(substring(text, e + 1), '^[^.?\\n!]*!') AND ((regexp_matches(before, ',\\s*$') AND regexp_matches(after, '^\\s*(?:[A-Z]{{1,2}}\\s+){{0,2}}[A-Z]{{3,}}(?:[^A-Za-z]|$)')) OR regexp_matches(before, ',\\s*[A-Z]{{4,}}\\s*$')) THEN true
     WHEN caps_word AND NOT regexp_matches(row_text, '[a-z]') AND length(regexp_replace(row_text, '[^A-Z]', '', 'g')) >= 6 THEN true
     WHEN surface = 'IT' THEN at_start AND lower_next
     WHEN surface = 'AM' THEN regexp_matches(regexp_extract(before, '([A-Za-z0-9:.]*)\\s*$', 1), '{acronyms.TIME}') OR regexp_matches(before, '[.!?"''(\\[{{]\\s*I\\s*$') OR (s <= 160 AND regexp_matches(before, '^\\s*I\\s*$'))
@@ -300,8 +303,7 @@ def acr_detect_documents(spark, sf_dir):
 @query(sql.contracts(f"{_FLAGS} SELECT doc_id, surface, s, round(base, 6) AS score, dropped FROM decided"))
 def acr_scores(spark, sf_dir):
     rows = acronyms.candidates(contracts(spark, sf_dir))
-    surface, before, after = F.col("surface"), F.col("before"), F.col("after")
-    return rows.select("doc_id", "surface", "s", F.round(acronyms.score(surface, before, after), 6).alias("score"), acronyms.dropped_by_context(surface, before, after, F.col("s") <= acronyms.REACH).alias("dropped"))
+    return rows.select("doc_id", "surface", "s", F.round(acronyms.score(F.col("surface"), F.col("before"), F.col("after")), 6).alias("score"), acronyms.dropped().alias("dropped"))
 
 
 @query(sql.contracts(f"{_FLAGS} SELECT doc_id, key, arg_min(acronym, s) AS acronym, min(s) AS s, arg_min(e, s) AS e, arg_min(conf, s) AS conf FROM occ GROUP BY doc_id, key"))
@@ -339,8 +341,7 @@ def acr_cleanup(spark, sf_dir):
 
 @query(sql.contracts(f"{_FLAGS} SELECT key, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM occ GROUP BY key"))
 def acr_frequencies(spark, sf_dir):
-    docs = by_document(contracts(spark, sf_dir))
-    rows = acronyms.cleanup(acronyms.detect(docs), docs).where("rule is null")
+    rows = acronyms.cleaned(contracts(spark, sf_dir)).where("rule is null")
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -370,8 +371,15 @@ def _intro(kind: str, pattern: str) -> str:
 
 
 _KEY = r"regexp_replace(replace(trim(regexp_replace(lower(regexp_replace({}, '[^A-Za-z0-9_\s-]', '', 'g')), '\s+', ' ', 'g')), '-', ' '), '\s+', '_', 'g')"
-_KINDS = [k for k in terms.INTRODUCTIONS if not k.startswith("bare")]
-_INTROS = ", ".join([*(f"{sql.matches('m_' + k, terms.INTRODUCTIONS[k])}, {_intro(k, '')}" for k in _KINDS), f"intros AS (SELECT doc_id, term, s, (s + length(term))::INT AS e, {_KEY.format('term')} AS key, kind FROM ({' UNION ALL '.join(f'SELECT * FROM i_{k}' for k in _KINDS)}))"])
+#: The quoted introductions, written out on their own.
+_TERM_SQL = r"""[A-Z][A-Za-z0-9&/'’.\-()]*(?:[ \t]+(?:[A-Z][A-Za-z0-9&/'’.\-()]*|(?:of|for|to|and|or|the|in|on|at|by|per)))*"""
+_INTRO_SQL = {
+    "quoted_means": rf'(?i)"{_TERM_SQL}"[ \t]+means\b',
+    "quoted_shall_mean": rf'(?i)"{_TERM_SQL}"[ \t]+shall[ \t]+mean\b',
+    "parenthetical_alias": rf'(?i)\((?:the[ \t]+)?"{_TERM_SQL}"\)',
+}
+_KINDS = list(_INTRO_SQL)
+_INTROS = ", ".join([*(f"{sql.matches('m_' + k, _INTRO_SQL[k])}, {_intro(k, '')}" for k in _KINDS), f"intros AS (SELECT doc_id, term, s, (s + length(term))::INT AS e, {_KEY.format('term')} AS key, kind FROM ({' UNION ALL '.join(f'SELECT * FROM i_{k}' for k in _KINDS)}))"])
 _TERM_MENTIONS = f"""{_INTROS}, firsts AS (SELECT doc_id, key, arg_min(term, s) AS term, min(e) AS first_end FROM intros GROUP BY doc_id, key),
 variants AS (SELECT doc_id, key, first_end, unnest([term, CASE WHEN term LIKE '%y' AND lower(term[-2:-2]) NOT IN ('a','e','i','o','u') THEN term[:-2] || 'ies' WHEN regexp_matches(term, '(s|x|z|ch|sh)$') THEN term || 'es' ELSE term || 's' END]) AS v FROM firsts),
 cut AS (SELECT x.doc_id, key, first_end, v, text, string_split(text, v) AS g FROM variants x JOIN docs d ON x.doc_id = d.doc_id),
@@ -394,8 +402,7 @@ def term_intros(spark, sf_dir):
 
 @query(sql.contracts(f"{_TERM_MENTIONS} SELECT * FROM mentions"))
 def term_mentions(spark, sf_dir):
-    docs = contracts(spark, sf_dir)
-    return terms.mentions(docs, terms.introductions(docs))
+    return terms.mentions(contracts(spark, sf_dir))
 
 
 @query(sql.contracts(f"{_SECTIONS} SELECT doc_id, s, coalesce(e, -1) AS e, array_to_string(path, '/') AS path FROM sections"))
@@ -418,14 +425,13 @@ _DEFINITIONS = f"""{_INTROS}, bodies AS (
     regexp_replace(substring(text, 1, s - 1), '(?i)\\(\\s*(?:the[ \\t]+)?$', '') AS ahead, row_number() OVER (PARTITION BY i.doc_id, key ORDER BY s, e) - 1 AS ordinal
   FROM intros i JOIN docs d ON i.doc_id = d.doc_id
 ), meanings AS (
-  SELECT doc_id, term, key, kind, s, e, ordinal::INT AS ordinal, nullif(CASE WHEN kind <> 'parenthetical_alias' THEN trim(regexp_extract(body, '(?s)^(.*?)(?:\\n\\s*\\n|[;.]|$)', 1)[:400], E' \\n\\t') END, '') AS definition,
+  SELECT doc_id, term, key, kind, s, e, ordinal::INT AS ordinal, nullif(CASE WHEN kind <> 'parenthetical_alias' THEN trim(regexp_extract(body, '(?s)^(.*?)(?:\\n\\n|[;.]|$)', 1)[:400], E' \\n\\t') END, '') AS definition,
     nullif(CASE WHEN kind = 'parenthetical_alias' THEN trim(regexp_extract(ahead, '([^.;:\\n]*)$', 1), E' \\n\\t') END, '') AS antecedent, concat_ws('|', term, key, ordinal::VARCHAR) AS meaning_id FROM bodies)"""
 
 
 @query(sql.contracts(f"{_DEFINITIONS} SELECT * FROM meanings"))
 def term_definitions(spark, sf_dir):
-    docs = contracts(spark, sf_dir)
-    return terms.definitions(docs, terms.introductions(docs))
+    return terms.definitions(contracts(spark, sf_dir))
 
 
 _TERM_SCORES = f"""{_TERM_MENTIONS}, {_SECTIONS}, {_DEFINITIONS.split(_INTROS + ", ")[1]},

@@ -71,12 +71,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def by_document(df: DataFrame) -> DataFrame:
-    """The rows dealt by doc_id, to a fixed number of partitions.
-
-    A number that is given stays as it is, so several such inputs of one plan
-    lie alike and their joins by doc_id need no exchange.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")

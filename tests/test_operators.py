@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import text as fx
-from lexloom.operators import chunking, domains, glossary, limits, meanings, policy, retrieval, spans, structure, terms
+from lexloom.operators import chunking, domains, extraction, glossary, limits, meanings, policy, retrieval, spans, structure, terms
 from lexloom.plans import session
 from lexloom.sources import tables
 from lexloom.streaming import limits as streaming
@@ -131,9 +131,56 @@ def test_sections_carry_on(spark):
 
 
 def test_unquoted_mentions(spark):
-    d = docs(spark, 'The "Delivery Date" means Monday. Later, the Delivery Date applies. Final Delivery Date comes.')
-    intros = terms.introductions(d)
-    assert [r.term for r in terms.unquoted_mentions(d, intros).collect()] == ["Delivery Date"] * 2
+    d = docs(spark, 'The "Delivery Date" means Monday. Later, the Delivery Date applies. Final Delivery Date comes.', 'The "Delivery Date" means Monday. Final Delivery-Date comes. So Delivery-Date (x) and Delivery-Date End.', '"AB" means x. ' + "AB CD " * 20_000)
+    found = terms.mentions(d, unquoted=True).where("doc_id < 2").orderBy("doc_id", "s").collect()
+    assert [r.term for r in found if r.doc_id == 0] == ["Delivery Date"] * 3
+    assert [r.term for r in found if r.doc_id == 1] == ["Delivery Date", "Delivery-Date", "Delivery-Date"]
+    assert terms.mentions(d, unquoted=True).where("doc_id = 2").count() == 20_001
+
+
+def test_one_document_of_what_analyses_find(spark):
+    """A filter on the id is planned with the rest, whatever the number of partitions."""
+    d = docs(spark, '"Services" means work. The Services (RSB: Regional Supply Board) go on. Regional Supply Board (RSB) meets.', '"Other" means rest.', None)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert terms.analyse(d)["scores"].where("doc_id = 0").first().key == "services"
+            assert terms.analyse(d)["resolutions"].where("doc_id = 1").count() == 1
+            assert extraction.extract(d).where("doc_id = 0").first().key == "RSB"
+            assert extraction.meanings_of(d).where("doc_id = 0").first().acronym == "RSB"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_definitions_end_at_two_line_feeds(spark):
+    d = docs(spark, '"A" means one\n \ntwo\n\nthree', '"B" means x; y')
+    assert [r.definition for r in terms.definitions(d).orderBy("doc_id").collect()] == ["one\n \ntwo", "x"]
+
+
+def test_whole_lines_decide_on_headings(spark):
+    from lexloom.operators import acronyms
+
+    long = "ALL STAFF MUST " * 30
+    d = docs(spark, f"{long}ABCD {long}as they are", f"{long}ABCD {long}", f"Now, ABCD EFGH {'and more ' * 40}!", "word " + " " * 300 + "ABCD" + " " * 300 + "(alpha beta)")
+    got = {(r.doc_id, r.acronym) for r in acronyms.detect(d).collect()}
+    assert (0, "ABCD") in got and (1, "ABCD") not in got and (2, "ABCD") not in got and (3, "ABCD") in got
+    conf = acronyms.detect(d).where("doc_id = 3").first().conf
+    assert conf == pytest.approx(0.85)
+
+
+def test_long_documents_take_linear_time(spark):
+    import time
+
+    def took(n: int) -> float:
+        d = docs(spark, "".join(f"AB{k % 10} is in line {k}, see Section {k}\n" for k in range(n)))
+        began = time.perf_counter()
+        assert spans.matches(d, r"AB\d", before=160, after=160).count() == n and spans.lines(d).count() == n
+        assert structure.references(d).count() == n
+        return time.perf_counter() - began
+
+    took(2_000)
+    assert took(40_000) < 12 * took(10_000)
 
 
 def test_domain_gates(spark):
