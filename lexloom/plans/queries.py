@@ -819,7 +819,7 @@ def rate_decisions(spark, sf_dir):
     return limits.decide(_requests(spark, sf_dir), 1, 20)
 
 
-_REDACT_IN = "concat(substring(text, 1, 400), ' Bearer abcdefghij', doc_id, ' api_key = ', doc_id, 'secretsecret basic ', 'QWxhZGRpbg==')"
+_REDACT_IN = "concat(coalesce(text, ''), ' Bearer abcdefghij', doc_id, ' api_key = ', doc_id, 'secretsecret basic ', 'QWxhZGRpbg==')"
 
 
 @query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_REDACT_IN}, '{limits.TOKENS[0]}', '[REDACTED]', 'g'), '{limits.TOKENS[1]}', '[REDACTED]', 'g'), '{limits.TOKENS[2]}', '[REDACTED]', 'g') AS text, '[REDACTED]' AS password, 'plain' AS other FROM documents""")
@@ -829,13 +829,10 @@ def redact(spark, sf_dir):
     return docs.select("doc_id", limits.scrub(F.expr(_REDACT_IN)).alias("text"), m.alias("_m")).select("doc_id", "text", F.col("_m")["Password"].alias("password"), F.col("_m")["other"].alias("other"))
 
 
-#: Whole texts; ``redact`` keeps to the prefix that its SQL states.
-_REDACT_WHOLE_IN = _REDACT_IN.replace("substring(text, 1, 400)", "coalesce(text, '')")
 
-
-@query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_REDACT_WHOLE_IN}, '{limits.TOKENS[0]}', '[REDACTED]', 'g'), '{limits.TOKENS[1]}', '[REDACTED]', 'g'), '{limits.TOKENS[2]}', '[REDACTED]', 'g') AS text FROM documents""")
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_REDACT_IN}, '{limits.TOKENS[0]}', '[REDACTED]', 'g'), '{limits.TOKENS[1]}', '[REDACTED]', 'g'), '{limits.TOKENS[2]}', '[REDACTED]', 'g') AS text FROM documents""")
 def redact_whole(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", limits.scrub(F.expr(_REDACT_WHOLE_IN)).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", limits.scrub(F.expr(_REDACT_IN)).alias("text"))
 
 
 _LEVEL = "CASE event_id % 6 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'info' WHEN 2 THEN 'Warning' WHEN 3 THEN 'error' WHEN 4 THEN 'fatal' END"
