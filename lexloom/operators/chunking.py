@@ -11,7 +11,7 @@ RAG_SIZE, RAG_OVERLAP = 1_000, 150
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, skip_blank: bool = False) -> DataFrame:
-    """CHK-01, CHK-08: doc_id, ordinal, s, e, text. Chunks step by size - overlap until the end is reached.
+    """CHK-01, CHK-08: doc_id, ordinal, s, e, last, text. Chunks step by size - overlap until the end is reached.
 
     An empty text is one empty chunk, or none where blanks are skipped (their
     ordinals are still counted).
@@ -21,8 +21,8 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, skip_blank:
     step = size - overlap
     n = F.length("text")
     last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
-    rows = docs.where("text is not null").select("doc_id", "text", n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
-    rows = rows.select("doc_id", "ordinal", (F.col("ordinal") * step).alias("s"), F.least(F.col("ordinal") * step + size, F.col("_n")).alias("e"), "text")
+    rows = docs.where("text is not null").select("doc_id", "text", n.alias("_n"), last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
+    rows = rows.select("doc_id", "ordinal", (F.col("ordinal") * step).alias("s"), F.least(F.col("ordinal") * step + size, F.col("_n")).alias("e"), (F.col("ordinal") == F.col("_last")).alias("last"), "text")
     rows = rows.withColumn("text", F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")))
     return rows.where(F.btrim("text") != "") if skip_blank else rows
 
@@ -58,10 +58,20 @@ def merge_links(shifted: DataFrame) -> DataFrame:
     return shifted.groupBy("doc_id", "kind", "label", "canonical_key", "s", "e").agg(best.alias("v")).select("doc_id", "kind", "label", "canonical_key", "s", "e", "v.*")
 
 
-def in_chunks(docs: DataFrame, operator, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """CHK-07: an operator over the chunks of each text; its offsets shifted, repeats still in."""
+def in_chunks(docs: DataFrame, operator, size: int = SIZE, overlap: int = OVERLAP, settled: bool = False) -> DataFrame:
+    """CHK-07: an operator over the chunks of each text; its offsets shifted, repeats still in.
+
+    With ``settled`` a find stays only where it is furthest from the chunk's
+    edges: what two chunks share goes by its start to the one before up to the
+    middle, to the one behind from there. Finds of up to half the overlap that
+    hang on no more text around them then come as from the whole text, once
+    each and never cut short.
+    """
     pieces = chunk(docs, size, overlap)
-    keyed = pieces.select(F.struct("doc_id", "ordinal").alias("doc_id"), "text")
+    keyed = pieces.select(F.struct("doc_id", "ordinal", "last").alias("doc_id"), "text")
     found = operator(keyed)
-    flat = found.select(F.col("doc_id.ordinal").alias("ordinal"), F.col("doc_id.doc_id").alias("doc_id"), *[c for c in found.columns if c != "doc_id"])
-    return shift(flat, pieces)
+    flat = found.select(F.col("doc_id.ordinal").alias("ordinal"), F.col("doc_id.last").alias("_last"), F.col("doc_id.doc_id").alias("doc_id"), *[c for c in found.columns if c != "doc_id"])
+    if settled:
+        half = overlap // 2
+        flat = flat.where(((F.col("ordinal") == 0) | (F.col("s") >= half)) & (F.col("_last") | (F.col("s") < size - overlap + half)))
+    return shift(flat.drop("_last"), pieces)

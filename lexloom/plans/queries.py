@@ -653,20 +653,18 @@ def chunk_service(spark, sf_dir):
 @query(sql.contracts(f"{_REFS} SELECT doc_id, kind, label, normalized_key AS canonical_key, s, e FROM refs"))
 def struct_merge_chunks(spark, sf_dir):
     """References found in overlapping chunks and merged are those of the whole text: no reference is longer than the overlap."""
-    found = chunking.in_chunks(contracts(spark, sf_dir), structure.references, 400, 120)
-    # a reference that a chunk's edge cuts short lies inside the whole one of its neighbour
-    one = found.select("doc_id", "kind", "label", "canonical_key", "s", "e").distinct()
-    longer = one.select(F.col("doc_id").alias("_d"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("kind").alias("_k"))
-    return one.join(longer, (one["doc_id"] == longer["_d"]) & (one["kind"] == longer["_k"]) & (one["s"] == longer["_s"]) & (one["e"] < longer["_e"]), "left_anti")
+    found = chunking.in_chunks(contracts(spark, sf_dir), structure.references, 400, 120, settled=True)
+    return found.select("doc_id", "kind", "label", "canonical_key", "s", "e")
 
 
-@query(sql.contracts(f"{_CAND} SELECT doc_id, surface AS acronym, s, e, 1.0::DOUBLE AS conf FROM cand WHERE surface IN ('RSB', 'CEO', 'VAT', 'EMA', 'JAO', 'NGO')"))
+@query(sql.contracts(f"{_CAND} SELECT DISTINCT doc_id, surface AS acronym, s, e, 1.0::DOUBLE AS conf FROM cand"))
 def chunk_merge_acronyms(spark, sf_dir):
+    """Candidates of every surface, found in overlapping chunks and merged, are those of the whole text."""
+
     def scan(docs):
-        rows = acronyms.candidates(docs).select("doc_id", F.col("surface").alias("acronym"), "s", "e", F.lit(1.0).alias("conf"))
-        return rows.where(F.col("acronym").isin("RSB", "CEO", "VAT", "EMA", "JAO", "NGO"))
+        return acronyms.candidates(docs).select("doc_id", F.col("surface").alias("acronym"), "s", "e", F.lit(1.0).alias("conf"))
 
-    return chunking.merge_occurrences(chunking.in_chunks(contracts(spark, sf_dir), scan, 400, 120))
+    return chunking.merge_occurrences(chunking.in_chunks(contracts(spark, sf_dir), scan, 400, 120, settled=True))
 
 
 # ---- GLO and RES --------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,37 +18,41 @@ def counts_per_minute(requests: DataFrame, late: str = "10 minutes") -> DataFram
     return requests.withWatermark("ts", late).groupBy("key", F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select("key", F.col("window.start").alias("minute"), "n")
 
 
-def decisions(requests: DataFrame, minute_limit: int = PER_MINUTE, day_limit: int = PER_DAY, late: str = "10 minutes", idle_ms: int = 2 * 86_400_000) -> DataFrame:
+def decisions(requests: DataFrame, minute_limit: int = PER_MINUTE, day_limit: int = PER_DAY, late: str = "10 minutes") -> DataFrame:
     """GOV-03: each request of (id, key, ts) as it comes, decided against counters kept by key.
 
-    The state is a key's current minute and day with the accepted requests of
-    each; it goes once the watermark is two days past the key's last request. Requests of one trigger are taken in
-    order of time; across triggers, in order of arrival.
+    The state is the accepted requests of each minute and day of a key that the
+    watermark has not passed, so that a late request is held to its own minute;
+    it goes with the key's last day. Requests of one trigger are taken in order
+    of time; across triggers, in order of arrival.
     """
+    zone = requests.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        minute, in_minute, day, in_day = state.get if state.exists else ("", 0, "", 0)
+        passed = max(state.getCurrentWatermarkMs(), 0)
+        now = pd.Timestamp(passed, unit="ms", tz="UTC").tz_convert(zone)
+        minutes, days = json.loads(state.get[0]) if state.exists else ({}, {})
         rows = pd.concat(frames).sort_values(["ts", "id"])
         out = []
-        for rid, ts in zip(rows["id"], rows["ts"]):
-            this_minute, this_day = ts.strftime("%Y-%m-%dT%H:%M"), ts.strftime("%Y-%m-%d")
-            if this_minute != minute:
-                minute, in_minute = this_minute, 0
-            if this_day != day:
-                day, in_day = this_day, 0
-            if in_minute >= minute_limit:
+        for ts in rows["ts"]:
+            minute, day = ts.strftime("%Y-%m-%dT%H:%M"), ts.strftime("%Y-%m-%d")
+            if minutes.get(minute, 0) >= minute_limit:
                 out.append("rate_limited")
-            elif in_day >= day_limit:
+            elif days.get(day, 0) >= day_limit:
                 out.append("quota_exceeded")
             else:
                 out.append("accepted")
-                in_minute += 1
-                in_day += 1
-        state.update((minute, in_minute, day, in_day))
-        state.setTimeoutTimestamp(int(rows["ts"].iloc[-1].timestamp() * 1000) + idle_ms)
+                minutes[minute] = minutes.get(minute, 0) + 1
+                days[day] = days.get(day, 0) + 1
+        minutes = {k: n for k, n in minutes.items() if k >= now.strftime("%Y-%m-%dT%H:%M")}
+        days = {k: n for k, n in days.items() if k >= now.strftime("%Y-%m-%d")}
+        state.update((json.dumps([minutes, days]),))
+        last = max([*days, rows["ts"].iloc[-1].strftime("%Y-%m-%d")])
+        end = pd.Timestamp(last).tz_localize(zone) + pd.DateOffset(days=1)
+        state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), passed + 1))
         yield pd.DataFrame({"id": rows["id"], "key": key[0], "decision": out})
 
-    return requests.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "id long, key long, decision string", "minute string, in_minute int, day string, in_day int", "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "id long, key long, decision string", "counts string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import numpy as np
 import pytest
@@ -352,6 +353,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.key, r.minute): r.n for r in spark.table("counted").collect()} == batch
 
 
+def test_late_requests_count_in_their_own_minute(spark, tmp_path):
+    at = lambda m, s: dt.datetime(2024, 1, 1, 10, m, s)
+    first = [(0, 1, at(0, 1)), (1, 1, at(0, 2)), (2, 1, at(0, 3)), (3, 1, at(1, 0))]
+    second = [(4, 1, at(0, 30)), (5, 1, at(1, 10)), (6, 1, at(1, 20)), (7, 1, at(0, 40))]
+    for k, rows in enumerate([first, second]):
+        spark.createDataFrame(rows, "id long, key long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("*.parquet"):
+            os.utime(f, (f.stat().st_mtime - 60 * (1 - k),) * 2)
+    stream = spark.readStream.schema("id long, key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.decisions(stream, 2, 9).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    assert {r.id for r in spark.table("late").where("decision = 'accepted'").collect()} == {0, 1, 3, 5}
+    assert {r.id for r in spark.table("late").where("decision = 'rate_limited'").collect()} == {2, 4, 6, 7}
+
+
+def test_settled_chunks_find_what_the_whole_text_holds(spark):
+    text = "See Section 1.2.3 and Schedule 4 of it. " * 40
+    d = docs(spark, text, "Section 9", "", None)
+    rows = lambda f: sorted(map(tuple, f.select("doc_id", "label", "s", "e").collect()))
+    for size in (100, 160, 1_600, 1_601):
+        assert rows(chunking.in_chunks(d, structure.references, size, 60, settled=True)) == rows(structure.references(d))
+
+
 def test_redaction_and_logs(spark):
     assert one(spark, "a Bearer abcdef123456 b", limits.scrub) == "a [REDACTED] b"
     m = spark.createDataFrame([({"Token": "x", "note": "api-key: 0123456789ab"},)], "v map<string,string>").select(limits.scrub_map(F.col("v")).alias("o")).first().o
