@@ -262,16 +262,20 @@ def tighten(label: str, acronym: str) -> str:
 
 
 def clean(label: str, acronym: str, kind: str, most: int = 200) -> str | None:
-    """TXT-10: a definition as it is kept, or None: inline ones by their proper run and of two words at least."""
+    """TXT-10: a definition as it is kept, or None: ``inline`` ones by their proper run, all by their acronym.
+
+    Definitions by a cue (``inline``, ``inline_before``) have two words at least.
+    """
+    by_cue = kind in ("inline", "inline_before")
     base = " ".join(label.split())
-    if len(base) > most:
+    if by_cue and len(base) > most:
         return None
     if kind == "inline":
         base = proper_run(base)
     elif kind == "inline_before":
         base = re.sub(r"^(?:the|an|a)\s+", "", base, flags=re.IGNORECASE)
     out = tighten(base, acronym)
-    if not any(c.isalpha() for c in out) or kind.startswith("inline") and len(out.split()) < 2:
+    if not any(c.isalpha() for c in out) or len(out) > most or by_cue and len(out.split()) < 2:
         return None
     return out
 

@@ -44,15 +44,15 @@ def _clause(text: str) -> tuple[str, int]:
 
 
 def candidates(acronym: str, left: str, right: str, s: int, e: int) -> list[dict]:
-    """EXT-01..06: every definition that the surroundings give, with document offsets."""
+    """EXT-01..06, TXT-10: every definition that the surroundings give, cleaned, with the document offsets of what it was cut from."""
     out: list[dict] = []
 
-    def put(text: str, base: int, window: al.Window | None, phrase: list[al.Word], source: str, kind: str, whole: bool) -> None:
+    def put(text: str, base: int, window: al.Window | None, phrase: list[al.Word], source: str, kind: str) -> None:
         if window is None:
             return
         a, b = phrase[window.first].start, phrase[window.last].end
-        definition = " ".join(text[a:b].split()) if whole else al.kept(text, phrase, window)
-        if 1 < len(definition) <= MOST_PHRASE and definition.lower() != acronym.lower():
+        definition = al.clean(text[a:b], acronym, kind, MOST_PHRASE)
+        if definition and len(definition) > 1 and definition.lower() != acronym.lower():
             gap = min(max(base + a - e, s - base - b, 0), LOSS_CHARS)
             out.append({"definition": definition, "ds": base + a, "de": base + b, "source": source, "conf": round(min(BASE[source] - LOSS * gap, 0.99), 6), "kind": kind})
 
@@ -61,27 +61,27 @@ def candidates(acronym: str, left: str, right: str, s: int, e: int) -> list[dict
         clause, at = _clause(left[: m.start()])
         phrase = al.words(clause)
         if phrase:
-            put(clause, start + at, al.to_the_end(acronym, phrase), phrase, "parenthetical", "def_before", True)
+            put(clause, start + at, al.to_the_end(acronym, phrase), phrase, "parenthetical", "def_before")
     if m := _AFTER_IN_BRACKETS.match(right):
         inner, phrase = m.group(2), al.words(m.group(2))
         if phrase:
-            put(inner, e + m.start(2), al.shortest(acronym, phrase), phrase, "parenthetical", "def_after", False)
+            put(inner, e + m.start(2), al.shortest(acronym, phrase), phrase, "parenthetical", "def_after")
     if m := _BEFORE_IN_BRACKETS.search(left):
         inner, phrase = m.group(1), al.words(m.group(1))
         if phrase:
-            put(inner, start + m.start(1), al.shortest(acronym, phrase), phrase, "parenthetical", "paren_before", False)
+            put(inner, start + m.start(1), al.shortest(acronym, phrase), phrase, "parenthetical", "paren_before")
     if m := _CUE_AFTER.match(right):
         rest = right[m.end() :]
         stop = _CLAUSE_END.search(rest)
         clause = rest[: stop.start()] if stop else rest
         phrase = al.words(clause)
         if phrase:
-            put(clause, e + m.end(), al.shortest(acronym, phrase), phrase, "inline", "inline", False)
+            put(clause, e + m.end(), al.shortest(acronym, phrase), phrase, "inline", "inline")
     if m := _CUE_BEFORE.search(left):
         clause, at = _clause(left[: m.start()])
         phrase = al.words(clause)
         if phrase:
-            put(clause, start + at, al.to_the_end(acronym, phrase), phrase, "inline", "inline_before", True)
+            put(clause, start + at, al.to_the_end(acronym, phrase), phrase, "inline", "inline_before")
     return out
 
 
@@ -105,9 +105,12 @@ def look_back(acronym: str, left: str, s: int) -> list[dict]:
         w = min(found, key=lambda w: (w.last - w.first, w.first))
         x, y = phrase[w.first].start, phrase[w.last].end
         titled = sum(p.text[:1].isupper() for p in phrase[w.first : w.last + 1]) / (w.last - w.first + 1)
+        definition = al.clean(sentence[x:y], acronym, "inline", MOST_PHRASE)
+        if definition is None:
+            continue
         gap = min(s - (start + a + y), LOSS_CHARS)
         conf = BASE["sentence_backref"] - 0.05 * (back - 1) - LOSS * gap + (0.10 if w.last > w.first else 0) + (0.05 if titled >= 0.8 else 0)
-        return [{"definition": " ".join(sentence[x:y].split()), "ds": start + a + x, "de": start + a + y, "source": "sentence_backref", "conf": round(min(conf, 0.99), 6), "kind": "backref"}]
+        return [{"definition": definition, "ds": start + a + x, "de": start + a + y, "source": "sentence_backref", "conf": round(min(conf, 0.99), 6), "kind": "backref"}]
     return []
 
 

@@ -116,3 +116,25 @@ def test_tier_two_context():
     a, b = al.context("x" * 1000, 500, 503)
     assert b - a <= 330
     assert al.context("", 0, 0) == (0, 0)
+
+
+CLEANED = [
+    ("The Regional Water Supply Board (RSB) meets.", "RSB", "Regional Supply Board"),
+    ("RSB (Regional Water Supply Board) meets.", "RSB", "Regional Supply Board"),
+    ("A CPU, short for the common Central Processing Unit, runs.", "CPU", "Central Processing Unit"),
+    ("The service-level agreement, abbreviated as SLA, is short.", "SLA", "service-level agreement"),
+]
+
+
+def test_definitions_are_cleaned(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CLEANED)], "doc_id long, text string")
+    got = {(r.doc_id, r.key): r.definition for r in extraction.extract(docs).collect()}
+    assert {(i, k): got[i, k] for i, (_, k, _) in enumerate(CLEANED)} == {(i, k): d for i, (_, k, d) in enumerate(CLEANED)}
+
+
+def test_clean_drops_what_is_no_definition():
+    assert al.clean("Portable", "P", "inline") is None
+    assert al.clean("123 456", "PDF", "def_before") is None
+    assert al.clean("word " * 60, "PDF", "inline") is None
+    assert al.clean("word " * 60, "PDF", "def_after") is None
+    assert al.clean("the Portable Document Format", "PDF", "inline_before") == "Portable Document Format"
