@@ -63,6 +63,21 @@ def upsert(meanings: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def deactivate(meanings: DataFrame, ids: DataFrame, at) -> DataFrame:
+    """GLO-04: all meanings; the active ones among ``ids`` (meaning_id) become inactive and take ``at`` as updated_at.
+
+    Unknown ids and meanings that are inactive already change nothing; an id
+    that isn't positive is an error of the query.
+    """
+    wrong = F.raise_error(F.lit("a meaning's id must be positive")).cast("long")
+    gone = ids.select(F.when(F.col("meaning_id") > 0, F.col("meaning_id").cast("long")).otherwise(wrong).alias("_gone")).distinct()
+    before = F.col("updated_at") if "updated_at" in meanings.columns else F.lit(None).cast("timestamp")
+    hit = F.col("_gone").isNotNull() & F.col("is_active")
+    kept = [c for c in meanings.columns if c not in ("is_active", "updated_at")]
+    j = meanings.join(gone, meanings["id"] == gone["_gone"], "left")
+    return j.select(*kept, (F.col("is_active") & ~hit).alias("is_active"), F.when(hit, F.lit(at).cast("timestamp")).otherwise(before).alias("updated_at"))
+
+
 def list_meanings(requests: DataFrame, acronyms: DataFrame, meanings: DataFrame, variants: DataFrame) -> DataFrame:
     """GLO-05: all meanings of an acronym, found by its name or else by a variant; numbered: active first, domain, definition, id."""
     r = requests.select("request_id", _normal("acronym").alias("_n"))

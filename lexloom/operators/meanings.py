@@ -69,15 +69,15 @@ def tier1_scores(occurrences: DataFrame, meanings: DataFrame) -> DataFrame:
     return spread.select(*by, "x.meaning_id", "x.conf", "x.distance", (F.col("x.base") + F.col("w") * F.least(F.greatest("x.conf", F.lit(0.0)), F.lit(1.0))).alias("score"))
 
 
-def choose(scored: DataFrame, margin: float = TIER1_MARGIN) -> DataFrame:
-    """MNG-06: by occurrence the chosen meaning or null, the relative margin and the gap."""
+def choose(scored: DataFrame, margin: float = TIER1_MARGIN, always: bool = False) -> DataFrame:
+    """MNG-06: by occurrence the chosen meaning or null, the relative margin and the gap. ``always``: the best, by whatever margin."""
     by = ["doc_id", "acronym", "s", "e"]
     rows = scored.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("score", "conf", "meaning_id", "distance")), asc=False).alias("c"))
     a, b = F.element_at("c", 1), F.try_element_at("c", F.lit(2))
     gap = a["score"] - F.coalesce(b["score"], F.lit(0.0))
     relative = gap / F.greatest(a["score"], F.lit(1e-9))
     nearer = F.when(a["distance"] - b["distance"] >= TIEBREAK_CHARS, b["meaning_id"]).when(b["distance"] - a["distance"] >= TIEBREAK_CHARS, a["meaning_id"])
-    chosen = F.when(relative >= margin, a["meaning_id"]).when((F.size("c") > 1) & (gap <= NEAR_TIE), nearer)
+    chosen = a["meaning_id"] if always else F.when(relative >= margin, a["meaning_id"]).when((F.size("c") > 1) & (gap <= NEAR_TIE), nearer)
     return rows.select(*by, F.size("c").alias("n_candidates"), chosen.alias("meaning_id"), relative.alias("margin"), gap.alias("gap"))
 
 
@@ -87,6 +87,28 @@ def disambiguate(occurrences: DataFrame, meanings: DataFrame, margin: float = TI
     return occurrences.select("doc_id", "acronym", "s", "e").join(chosen, ["doc_id", "acronym", "s", "e"], "left").fillna(0.0, ["margin", "gap"]).fillna(0, ["n_candidates"])
 
 
+def ambiguous(meanings: DataFrame) -> DataFrame:
+    """MNG-08: by (doc_id, acronym) whether it has several meanings."""
+    return meanings.groupBy("doc_id", "acronym").agg((F.countDistinct("meaning_id") > 1).alias("ambiguous"))
+
+
+def select(decided: DataFrame, blended: DataFrame, mode: str = "auto", margin: float = TIER2_MARGIN) -> DataFrame:
+    """MNG-08: the final choice of each occurrence, the tier it is of and whether it is undecided.
+
+    ``decided``: of ``choose`` or ``disambiguate``. ``blended``: the rows of
+    ``tier1_scores`` with blended scores, of those occurrences alone that tier 2
+    was applied to; they are chosen among anew (mode ``on``: the best, whatever
+    its margin). All others keep their first choice.
+    """
+    by = ["doc_id", "acronym", "s", "e"]
+    again = choose(blended, margin, mode == "on").select(*by, F.struct("meaning_id", "margin", "gap").alias("_again"))
+    rows = decided.join(again, by, "left")
+    new = F.col("_again").isNotNull()
+    take = lambda name: F.when(new, F.col("_again")[name]).otherwise(F.col(name)).alias(name)
+    out = rows.select(*by, "n_candidates", take("meaning_id"), take("margin"), take("gap"), F.when(new, 2).otherwise(1).alias("tier"))
+    return out.withColumn("undecided", F.col("meaning_id").isNull())
+
+
 def coverage(firsts: DataFrame, definitions: DataFrame) -> DataFrame:
     """EXT-15: by document the share of keys with a definition and the keys without."""
     known = definitions.select(F.col("doc_id").alias("_d"), F.upper("acronym").alias("_k")).distinct().withColumn("_y", F.lit(1))
@@ -107,6 +129,26 @@ def route(decided: DataFrame, mode: str = "auto", only_undecided: bool = False,
     return decided.withColumn("reason", reason)
 
 
+def route_terms(decided: DataFrame, mode: str = "auto", only_undecided: bool = False, ceiling: float = TIER2_CEILING) -> DataFrame:
+    """TRM-15: the same for mentions of terms: none is left out for not being ambiguous, but one is if a meaning has no text.
+
+    ``decided``: n_candidates, meaning_id, margin and ``complete`` (every candidate has a definition).
+    """
+    if mode == "off":
+        return decided.withColumn("reason", F.lit("disabled"))
+    reason = F.when(F.col("n_candidates") < 2, "single_candidate")
+    if only_undecided:
+        reason = reason.when(F.col("meaning_id").isNotNull(), "tier1_decided")
+    if mode == "auto":
+        reason = reason.when(F.col("margin") >= ceiling, "tier1_confident")
+    return decided.withColumn("reason", reason.when(~F.coalesce("complete", F.lit(False)), "no_meanings"))
+
+
+def candidate_texts(meanings: DataFrame, name: str = "acronym", text: str = "label") -> DataFrame:
+    """T2-03: the distinct texts that a model embeds for meanings: what is meant, a colon, its definition. Blank ones have none."""
+    return meanings.where(F.col(text) != "").select(F.concat_ws(": ", name, text).alias("text")).distinct()
+
+
 def hashed_embedding(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     """T2-04: a deterministic stand-in for an embedding model: signed hashes of words, of length one."""
     import re

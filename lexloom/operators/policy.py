@@ -25,6 +25,19 @@ def block_definitions(picks: DataFrame, ledger: DataFrame, least: float = 0.0, m
     return one.withColumn("nth", nth).where(F.col("nth") <= most).select("doc_id", "acronym", "nth", "definition", "s", "e", "conf")
 
 
+def glossary_blocks(listed: DataFrame, lang: str = "en") -> DataFrame:
+    """RES-03: by request the active, non-blank meanings by domain and definition without regard to case; none, no row.
+
+    ``listed``: of ``glossary.list_meanings``, whose order decides between equals.
+    """
+    usable = listed.where(F.col("is_active") & F.col("definition").rlike("(?U)\\S"))
+    item = F.struct(
+        F.lower(F.coalesce("domain", F.lit(""))).alias("_d"), F.lower("definition").alias("_t"), "nth", "definition", "domain", F.lit(lang).alias("lang"), F.lit(1.0).alias("confidence"), F.lit("system").alias("source")
+    )
+    rows = usable.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("_m"))
+    return rows.select("request_id", F.transform("_m", lambda x: x.dropFields("_d", "_t", "nth")).alias("matches"))
+
+
 def candidates(document: DataFrame, glossary: DataFrame) -> DataFrame:
     """RES-03..05: by (doc_id, acronym) the document's candidates, then glossary ones that say something else.
 

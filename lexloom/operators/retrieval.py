@@ -97,6 +97,44 @@ def compact(retrieved: DataFrame) -> DataFrame:
     return retrieved.groupBy("q", "doc_id", part.alias("part")).agg(F.max_by("chunk", order).alias("chunk"))
 
 
+_SECTIONS = ("acronyms", "defined_terms", "structural_references")
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _get(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{path}", kind)
+
+
+def _string(value: Column, path: str) -> Column:
+    """A field that is a string, else null."""
+    return F.when(_is(_get(value, path), "STRING"), _get(value, path, "string"))
+
+
+def _items(payload: Column, section: str) -> Column:
+    """A section's entries; none if it is no list."""
+    there = _get(payload, section)
+    return F.when(_is(there, "ARRAY"), _get(payload, section, "array<variant>")).otherwise(F.array().cast("array<variant>"))
+
+
+def _unresolved(item: Column) -> Column:
+    chosen = _get(item, "selected")
+    blank = ~F.coalesce(_string(item, "selected.definition").rlike("(?U)\\S"), F.lit(False))
+    by_choice = F.coalesce(_string(item, "selected.reason") == "unresolved", F.lit(False)) | blank
+    no = F.coalesce(_string(item, "resolution_method") == "unresolved", F.lit(False)) | (_is(_get(item, "resolved"), "BOOLEAN") & ~F.coalesce(_get(item, "resolved", "boolean"), F.lit(True)))
+    return _is(item, "OBJECT") & F.when(_is(chosen, "OBJECT"), by_choice).otherwise(no)
+
+
+def ambiguity(payloads: DataFrame) -> DataFrame:
+    """RAG-09: by payload (id, payload as JSON) how many entries each section has and how many of them are unresolved; 0 for what is no list."""
+    rows = payloads.select("id", F.try_parse_json("payload").alias("_v"))
+    rows = rows.select("id", *[_items(F.col("_v"), k).alias(k) for k in _SECTIONS])
+    counts = [F.size(k).alias(f"{k.removesuffix('s')}_count") for k in _SECTIONS]
+    return rows.select("id", *counts, *[F.size(F.filter(k, _unresolved)).alias(f"unresolved_{k}") for k in _SECTIONS])
+
+
 ACTIONS, OUTCOMES = ("proceed", "retry_once", "abstain"), ("answer", "answer_with_warning", "abstain")
 
 

@@ -339,6 +339,29 @@ def acr_cleanup(spark, sf_dir):
     return acronyms.cleanup(occurrences, made)
 
 
+#: Texts of two domains and of none; in every one the forms of both.
+_DOMAIN_DOCS = """SELECT c_custkey AS doc_id, concat(CASE c_custkey % 3 WHEN 0 THEN 'In this Agreement ' WHEN 1 THEN 'The SARS-CoV-2 and lncRNA study says ' ELSE 'They say ' END,
+  'that ISO 27001 and MiFID II apply to NASA in the UsbC case of the Data Act 2018, says ', c_mktsegment, ' (TNFx).') AS text FROM customer"""
+_BIO_SQL = r"(?:m|t|r|mi|si|sg|g|lnc|sn|sc|pi|sh|nc)RNA|cDNA|gDNA|IL-\d{1,3}|(?:TNF|IFN)-[α-ω]|TGF-[α-ω\d]|SARS-CoV-2|MERS-CoV|H\d{1,2}N\d{1,2}|[35]['′″]-?\s?UTR|[A-Z][a-z]+[A-Z0-9][A-Za-z0-9]{1,6}|[A-Z]{2,6}\d{0,2}"
+_LEGAL_SQL = r"(?:MiFID|CRR|Basel|Solvency|MAR|EMIR)\s+(?:I{1,4}|V|VI|VII|VIII|IX|X)|\b(?:Regulation|Directive)\s*(?:\(\s*EU\s*\))?\s*\d{4}/\d{2,4}(?:/EU)?\b|\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,4}\s+Act\s+\d{4}\b|\bISO\s+\d{4,5}\b"
+
+
+def _accepted_sql(found: str) -> str:
+    return f"""SELECT doc_id, surface, s, (s + length(surface))::INT AS e FROM (SELECT *, regexp_replace(surface, '[^A-Za-z]', '', 'g') AS ls, regexp_replace(surface, '[^A-Z]', '', 'g') AS us, regexp_replace(surface, '[^A-Za-z0-9]', '', 'g') AS core FROM {found})
+    WHERE length(surface) >= 2 AND length(ls) > 0 AND length(core) BETWEEN 2 AND 10 AND length(us) / length(ls) >= CASE WHEN regexp_matches(surface, '[a-z]') AND length(us) >= 2 THEN 0.5 WHEN regexp_matches(surface, '[a-z]') AND length(us) = 1 AND regexp_matches(surface, '^[a-z]{{1,2}}[A-Z][A-Za-z0-9]*$') THEN 0.25 ELSE 0.7 END"""
+
+
+@query(f"""WITH docs AS ({_DOMAIN_DOCS}), {sql.matches("core_found", _FORMS_SQL)}, bio AS (SELECT * FROM docs WHERE doc_id % 3 = 1), legal AS (SELECT * FROM docs WHERE doc_id % 3 = 0),
+  {sql.matches("bio_found", _BIO_SQL, "bio")}, {sql.matches("legal_found", _LEGAL_SQL, "legal")},
+  extra AS ({_accepted_sql("bio_found")} UNION {_accepted_sql("legal_found")}), base AS ({_accepted_sql("core_found")})
+  SELECT doc_id, surface, s, e, true AS core FROM base b WHERE NOT EXISTS (SELECT 1 FROM extra x WHERE x.doc_id = b.doc_id AND x.s <= b.s AND b.e <= x.e) UNION ALL SELECT doc_id, surface, s, e, false FROM extra""")
+def acr_candidates_domains(spark, sf_dir):
+    """Where a text is of a domain, its forms take the place of the general ones within them."""
+    (customer,) = tables(spark, sf_dir, "customer")
+    docs = spark.sql(_DOMAIN_DOCS.replace("FROM customer", "FROM {customer}"), customer=customer)
+    return acronyms.candidates(docs, with_domains=True).select("doc_id", "surface", "s", "e", "core")
+
+
 @query(sql.contracts(f"{_FLAGS} SELECT key, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM occ GROUP BY key"))
 def acr_frequencies(spark, sf_dir):
     rows = acronyms.cleaned(contracts(spark, sf_dir)).where("rule is null")
@@ -550,6 +573,46 @@ def tier2_route_reasons(spark, sf_dir):
     return meanings.report(routed)
 
 
+#: A stand-in for a model's similarity of an occurrence and a meaning.
+_SIMILAR = "CAST((s * 7 + length(meaning_id) * 13) % 101 AS DOUBLE) / 100"
+_FINAL = f"""WITH {_CHOSEN}, amb AS (SELECT doc_id, acronym FROM meanings GROUP BY ALL HAVING count(*) > 1),
+  again AS (SELECT r.doc_id, r.acronym, r.s, r.e, r.meaning_id, r.conf, r.distance, round(0.65 * r.score + 0.35 * ({_SIMILAR.replace("s *", "r.s *").replace("(meaning_id)", "(r.meaning_id)")}), 9) AS score
+    FROM rounded r JOIN chosen c ON r.doc_id = c.doc_id AND r.acronym = c.acronym AND r.s = c.s AND r.e = c.e JOIN amb a ON a.doc_id = r.doc_id AND a.acronym = r.acronym WHERE c.n_candidates > 1 AND round(c.margin, 9) < 0.75),
+  ranked2 AS (SELECT *, row_number() OVER w AS nth, lead(score) OVER w AS p2, lead(meaning_id) OVER w AS id2, lead(distance) OVER w AS d2 FROM again WINDOW w AS (PARTITION BY doc_id, acronym, s, e ORDER BY score DESC, conf DESC, meaning_id DESC)),
+  second AS (SELECT doc_id, acronym, s, e, (score - p2) / greatest(score, 1e-9) AS margin, score - p2 AS gap,
+    CASE WHEN round((score - p2) / greatest(score, 1e-9), 9) >= {{margin}} THEN meaning_id WHEN score - p2 <= 0.06 THEN CASE WHEN distance - d2 >= 3 THEN id2 WHEN d2 - distance >= 3 THEN meaning_id END END AS meaning_id FROM ranked2 WHERE nth = 1)
+  SELECT c.doc_id, c.acronym, c.s, c.e, n_candidates, coalesce(CASE WHEN t.doc_id IS NULL THEN c.meaning_id ELSE t.meaning_id END, '') AS meaning_id, round(coalesce(t.margin, c.margin), 5) AS margin,
+    CASE WHEN t.doc_id IS NULL THEN 1 ELSE 2 END::INT AS tier, CASE WHEN t.doc_id IS NULL THEN c.meaning_id ELSE t.meaning_id END IS NULL AS undecided
+  FROM chosen c LEFT JOIN second t ON c.doc_id = t.doc_id AND c.acronym = t.acronym AND c.s = t.s AND c.e = t.e"""
+
+
+def _final(spark, sf_dir, mode):
+    occ, built = _meaning_inputs(spark, sf_dir)
+    scored = meanings.tier1_scores(occ, built).withColumn("score", F.round("score", 9))
+    chosen = meanings.choose(scored)
+    routed = meanings.route(chosen.withColumn("margin", F.round("margin", 9)).join(meanings.ambiguous(built), ["doc_id", "acronym"], "left").fillna(False, ["ambiguous"]))
+    applied = scored.join(routed.where("reason is null").select("doc_id", "acronym", "s", "e"), ["doc_id", "acronym", "s", "e"], "left_semi")
+    blended = applied.withColumn("score", F.round(meanings.blend(F.col("score"), F.expr(_SIMILAR)), 9))
+    out = meanings.select(chosen, blended, mode)
+    return out.select("doc_id", "acronym", "s", "e", "n_candidates", F.coalesce("meaning_id", F.lit("")).alias("meaning_id"), F.round("margin", 5).alias("margin"), "tier", "undecided")
+
+
+@query(_FINAL.format(margin=0.1))
+def acr_final_select(spark, sf_dir):
+    """Occurrences that tier 2 reranks are chosen among anew, the others keep their choice."""
+    return _final(spark, sf_dir, "auto")
+
+
+@query(_FINAL.format(margin=-1))
+def acr_final_select_on(spark, sf_dir):
+    return _final(spark, sf_dir, "on")
+
+
+@query(f"WITH {_DEDUPED}, {_MEANINGS} SELECT DISTINCT acronym || ': ' || label AS text FROM meanings")
+def tier2_candidate_texts(spark, sf_dir):
+    return meanings.candidate_texts(_meaning_inputs(spark, sf_dir)[1])
+
+
 # ---- T2 and RAG over vectors -----------------------------------------------------------
 
 
@@ -623,6 +686,25 @@ def reviewer_validate(spark, sf_dir):
     return retrieval.review(spark.sql(_REPLIES.replace("FROM orders", "FROM {orders}").replace("{\"", "{{\"").replace("\"}", "\"}}").replace("e}'", "e}}'").replace("l}'", "l}}'"), orders=orders))
 
 
+#: Payloads with entries of every shape, and how many of them there are.
+_PAYLOADS = """SELECT o_orderkey AS id, concat('{"acronyms":', CASE o_orderkey % 5
+    WHEN 0 THEN '[{"selected":{"definition":"x","reason":"single_candidate"}},{"selected":{"definition":" ","reason":"single_candidate"}}]'
+    WHEN 1 THEN '[{"selected":{"definition":"x","reason":"unresolved"}},{"selected":{"reason":"y"}},7,"z",{"selected":null,"resolved":false}]'
+    WHEN 2 THEN '{"a":1}' WHEN 3 THEN 'null' ELSE '[]' END, ',"defined_terms":', CASE o_custkey % 3
+    WHEN 0 THEN '[{"resolution_method":"unresolved"},{"resolved":true},{"resolved":"false"}]' WHEN 1 THEN '[{"resolved":false},{"resolution_method":"tier1"}]' ELSE '3' END,
+    CASE o_custkey % 4 WHEN 0 THEN ',"structural_references":[{"resolved":false},{"resolved":false},{"resolved":0}]' WHEN 1 THEN ',"structural_references":[{}]' ELSE '' END, CASE o_orderkey % 7 WHEN 0 THEN '' ELSE '}' END) AS payload FROM orders"""
+
+
+@query("""SELECT o_orderkey AS id, (CASE WHEN broken THEN 0 ELSE [2, 5, 0, 0, 0][o_orderkey % 5 + 1] END)::INT AS acronym_count, (CASE WHEN broken THEN 0 ELSE [3, 2, 0][o_custkey % 3 + 1] END)::INT AS defined_term_count,
+  (CASE WHEN broken THEN 0 ELSE [3, 1, 0, 0][o_custkey % 4 + 1] END)::INT AS structural_reference_count, (CASE WHEN broken THEN 0 ELSE [1, 3, 0, 0, 0][o_orderkey % 5 + 1] END)::INT AS unresolved_acronyms,
+  (CASE WHEN broken THEN 0 ELSE [1, 1, 0][o_custkey % 3 + 1] END)::INT AS unresolved_defined_terms, (CASE WHEN broken THEN 0 ELSE [2, 0, 0, 0][o_custkey % 4 + 1] END)::INT AS unresolved_structural_references
+  FROM (SELECT *, o_orderkey % 7 = 0 AS broken FROM orders)""")
+def ambiguity_counts(spark, sf_dir):
+    (orders,) = tables(spark, sf_dir, "orders")
+    made = orders.selectExpr(_PAYLOADS.split(" AS id, ")[0].removeprefix("SELECT ") + " AS id", _PAYLOADS.split(" AS id, ")[1].removesuffix(" FROM orders"))
+    return retrieval.ambiguity(made)
+
+
 @query("SELECT doc_id, true AS has_payload, text = text AS rest_equal, length('{\"n\":' || length(text) || '}')::INT AS payload_chars FROM documents")
 def json_payload_split(spark, sf_dir):
     """Documents grounded with a payload, then split again."""
@@ -726,6 +808,23 @@ def glossary_upsert(spark, sf_dir):
     return glossary.upsert(one, c)
 
 
+@query(f"{_GLO} SELECT id, acronym_id, domain, definition, is_active AND NOT coalesce(l.k, false) AS is_active, CASE WHEN is_active AND l.k THEN 1 ELSE 0 END::INT AS updated FROM m LEFT JOIN (SELECT DISTINCT o_custkey + 1 AS i, true AS k FROM orders) l ON l.i = m.id")
+def glossary_deactivate(spark, sf_dir):
+    """Every meaning whose number follows that of a customer with orders is put out of use."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    _, _, m, _ = _glossary(spark, sf_dir)
+    out = glossary.deactivate(m, orders.select((F.col("o_custkey") + 1).alias("meaning_id")), "2024-01-01 00:00:00")
+    return out.select("id", "acronym_id", "domain", "definition", "is_active", F.col("updated_at").isNotNull().cast("int").alias("updated"))
+
+
+@query(f"{_GLO}, l AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY m.is_active DESC, domain, definition, m.id) AS nth, m.domain, definition, m.is_active FROM (SELECT request_id, coalesce(a.id, v.acronym_id) AS i FROM r LEFT JOIN a ON lower(trim(r.acronym)) = a.normalized LEFT JOIN v ON lower(trim(r.acronym)) = lower(v.variant)) q JOIN m ON m.acronym_id = q.i) SELECT request_id, count(*)::INT AS n, string_agg(domain || '/' || definition || '/en/1.0/system', ';' ORDER BY lower(domain), lower(definition), nth) AS matches FROM l WHERE is_active AND trim(definition) <> '' GROUP BY request_id")
+def glossary_blocks(spark, sf_dir):
+    r, a, m, v = _glossary(spark, sf_dir)
+    out = policy.glossary_blocks(glossary.list_meanings(r, a, m, v))
+    shown = F.transform("matches", lambda x: F.concat_ws("/", x["domain"], x["definition"], x["lang"], x["confidence"].cast("string"), x["source"]))
+    return out.select("request_id", F.size("matches").alias("n"), F.array_join(shown, ";").alias("matches"))
+
+
 _RES_DOC = "SELECT p_partkey % 97 AS doc_id, concat('AC', p_partkey) AS acronym, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' 1.') ELSE ' ' END AS definition, CAST(p_size AS INT) AS s, CAST(p_size + 9 AS INT) AS e FROM part"
 _RES_CTE = f"""{_GLO}, d AS ({_RES_DOC}), g AS (SELECT a.acronym, m.id AS meaning_id, m.domain, m.definition, m.is_active FROM a JOIN m ON m.acronym_id = a.id),
 keys AS (SELECT DISTINCT doc_id, acronym FROM d), doc AS (SELECT doc_id, acronym, 'document' AS provenance, NULL AS domain, trim(definition) AS definition, 'text_span:' || s || '-' || e AS source_ref FROM d WHERE trim(definition) <> ''),

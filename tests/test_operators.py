@@ -430,3 +430,32 @@ def test_entry_and_schema(spark):
 
     assert json.dumps(sorted(entry.oracle_sql())) and set(entry.oracle_sql()) <= set(entry.queries())
     assert isinstance(entry.entry(spark).schema, T.StructType)
+
+
+def test_final_selection_takes_tier_two_where_it_was_applied(spark):
+    by = "doc_id long, acronym string, s int, e int"
+    decided = spark.createDataFrame([(1, "AB", 0, 2, 2, "ab|x", 0.3, 0.1), (1, "AB", 9, 11, 2, None, 0.01, 0.0), (2, "CD", 0, 2, 1, "cd|z", 1.0, 0.5)], f"{by}, n_candidates int, meaning_id string, margin double, gap double")
+    blended = spark.createDataFrame([(1, "AB", 9, 11, "ab|x", 0.9, 5, 0.50), (1, "AB", 9, 11, "ab|y", 0.8, 5, 0.53)], f"{by}, meaning_id string, conf double, distance int, score double")
+    got = {(r.doc_id, r.s): (r.meaning_id, r.tier, r.undecided) for r in meanings.select(decided, blended).collect()}
+    assert got == {(1, 0): ("ab|x", 1, False), (1, 9): (None, 2, True), (2, 0): ("cd|z", 1, False)}
+    got = {(r.doc_id, r.s): (r.meaning_id, r.tier) for r in meanings.select(decided, blended, mode="on").collect()}
+    assert got[1, 9] == ("ab|y", 2)
+
+
+def test_terms_are_routed_without_the_test_of_ambiguity(spark):
+    rows = spark.createDataFrame([(1, 1, "t|0", 1.0, True), (2, 2, "t|0", 0.9, True), (3, 2, None, 0.05, False), (4, 2, None, 0.05, True)], "id int, n_candidates int, meaning_id string, margin double, complete boolean")
+    reasons = lambda **o: [r.reason for r in meanings.route_terms(rows, **o).orderBy("id").collect()]
+    assert reasons() == ["single_candidate", "tier1_confident", "no_meanings", None]
+    assert reasons(mode="on", only_undecided=True) == ["single_candidate", "tier1_decided", "no_meanings", None]
+    assert reasons(mode="off") == ["disabled"] * 4
+
+
+def test_deactivating_needs_positive_ids_and_is_idempotent(spark):
+    m = spark.createDataFrame([(1, True), (2, False), (3, True)], "id long, is_active boolean")
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "meaning_id long")
+    once = glossary.deactivate(m, ids(1, 1, 2, 99), "2024-01-01 00:00:00")
+    assert [(r.id, r.is_active, r.updated_at is not None) for r in once.orderBy("id").collect()] == [(1, False, True), (2, False, False), (3, True, False)]
+    again = glossary.deactivate(once, ids(1), "2025-01-01 00:00:00")
+    assert [r.updated_at for r in again.orderBy("id").collect()] == [r.updated_at for r in once.orderBy("id").collect()]
+    with pytest.raises(Exception, match="must be positive"):
+        glossary.deactivate(m, ids(0), "2024-01-01 00:00:00").collect()
