@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.session import ship
+from lexloom.session import checkpoint_dir, ship
 
 TOP_K = 5
 #: Questions that are held in memory at once; more go in rounds of so many.
 QUESTIONS_AT_ONCE = 10_000
+#: Vectors of the index that a worker compares with them at once.
+_VECTORS_AT_ONCE = 512
 GROUNDING, DOCUMENT = "[DETERMINISTIC_GROUNDING]", "[DOCUMENT]"
 
 
@@ -38,40 +40,64 @@ def top_k(questions: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """RAG-04, RAG-05: by question the k vectors with the greatest inner product; ties by id. Exact.
 
     ``questions``: q, vector. ``index``: id, vector. Questions go out in
-    rounds of ``QUESTIONS_AT_ONCE``; every batch of the index keeps its own
-    k best, so k rows per batch and question are shuffled, not every product.
+    rounds of about ``QUESTIONS_AT_ONCE``; every partition of the index keeps
+    its own k best, so k rows per partition and question are shuffled, not
+    every product. With several rounds each one's result is checkpointed and
+    its questions are let go before the next, so the driver and the workers
+    hold one round at a time. No questions or an empty index give no rows.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     ship(index.sparkSession)
     sc = index.sparkSession.sparkContext
     rounds = max(1, -(-questions.count() // QUESTIONS_AT_ONCE))
+    if rounds > 1:
+        checkpoint_dir(index.sparkSession)
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     out = None
     for r in range(rounds):
         part = questions.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r).select("q", "vector").toArrow()
         names = part.column("q").to_pylist()
-        matrix = np.array(part.column("vector").to_pylist(), dtype=np.float64).reshape(len(names), -1)
-        shared = sc.broadcast((names, matrix))
+        shared = sc.broadcast((names, _matrix(part.column("vector").combine_chunks())))
         one = index.select("id", "vector").mapInArrow(_local_best(shared, k), "q long, id long, score double")
+        one = one.withColumn("nth", nth).where(F.col("nth") <= k)
+        if rounds > 1:
+            one = one.checkpoint()
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return out.withColumn("nth", nth).where(F.col("nth") <= k)
+    return out
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """By row the ids and scores of the k greatest scores, the lesser id first where they tie. ``ids``: ascending, of the columns."""
+    k = min(k, scores.shape[1])
+    at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(scores, at, axis=1).min(axis=1, keepdims=True)
+    tied = (scores >= least).sum(axis=1) > k
+    if tied.any():
+        at[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :k]
+    return ids[at], np.take_along_axis(scores, at, axis=1)
 
 
 def _local_best(shared, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
-        for b in batches:
-            if not b.num_rows or not names:
-                continue
-            ids = b.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            vectors = np.array(b.column(1).to_pylist(), dtype=np.float64)[order]
-            scores = np.round(matrix @ vectors.T, 9)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names, best.shape[1]), pa.int64()), pa.array(ids[order][best].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, best, axis=1).ravel(), pa.float64())], names=["q", "id", "score"]
-            )
+        ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows if names else 0, _VECTORS_AT_ONCE):
+                b = batch.slice(at, _VECTORS_AT_ONCE)
+                order = np.argsort(b.column(0).to_numpy(), kind="stable")
+                more, more_scores = _best(b.column(0).to_numpy()[order], np.round(matrix @ _matrix(b.column(1))[order].T, 9), k)
+                ids, scores = np.concatenate([ids, more], axis=1), np.concatenate([scores, more_scores], axis=1)
+                first = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, first, axis=1), np.take_along_axis(scores, first, axis=1)
+        if ids.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1]), pa.int64()), pa.array(ids.ravel(), pa.int64()), pa.array(scores.ravel(), pa.float64())], names=["q", "id", "score"])
 
     return run
 

@@ -459,3 +459,21 @@ def test_deactivating_needs_positive_ids_and_is_idempotent(spark):
     assert [r.updated_at for r in again.orderBy("id").collect()] == [r.updated_at for r in once.orderBy("id").collect()]
     with pytest.raises(Exception, match="must be positive"):
         glossary.deactivate(m, ids(0), "2024-01-01 00:00:00").collect()
+
+
+def test_top_k_settles_ties_by_id_over_batches_and_takes_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_VECTORS_AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in rng.integers(0, 2, 3)] for _ in range(40)]
+    index = spark.createDataFrame(list(enumerate(vectors)), "id long, vector array<float>").repartition(3)
+    q = spark.createDataFrame(list(enumerate(vectors[:7])), "q long, vector array<float>")
+    want = {}
+    for i, a in enumerate(vectors[:7]):
+        ranked = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in enumerate(vectors))
+        want |= {(i, nth): j for nth, (_, j) in enumerate(ranked[:5], 1)}
+    for at_once in (10_000, 2):
+        monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", at_once)
+        assert {(r.q, r.nth): r.id for r in retrieval.top_k(q, index, 5).collect()} == want
+    assert retrieval.top_k(q.where("q < 0"), index, 5).count() == 0
+    assert retrieval.top_k(q, index.where("id < 0"), 5).count() == 0
+    assert retrieval.top_k(q.limit(1), index, 99).count() == 40
