@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.functions import text as fx
+from lexloom.operators import meanings as meaning
 from lexloom.operators import spans
 from lexloom.session import ship
 
@@ -38,6 +39,8 @@ _BARE_INTRODUCTION = re.compile("[ \\t]+(?:(means)|shall[ \\t]+mean)\\b")
 MOST_DEFINITION = 400
 CONTEXT = 180
 PRIOR_MARGIN, FINAL_MARGIN = 0.20, 0.10
+#: Characters on either side of a mention that tier 2 reads.
+CONTEXT_CHARS = 180
 
 
 _STARTS_DEFINITION = re.compile(r'"?[ \t]*(?:shall[ \t]+mean|means)[\s,:]*', re.IGNORECASE | re.ASCII)
@@ -297,6 +300,51 @@ def resolutions(scored: DataFrame) -> DataFrame:
     return rows.select("doc_id", "term", "key", "s", "e", F.size("c").alias("n_candidates"), F.round(margin, 6).alias("margin"), first.alias("tier1_meaning"), final.alias("meaning_id"), F.when(final.isNull(), "unresolved").otherwise("tier1").alias("method"))
 
 
+_MENTION = ("doc_id", "term", "key", "s", "e")
+
+
+def route(scored: DataFrame, resolved: DataFrame, defined: DataFrame, **options) -> DataFrame:
+    """TRM-15: mentions with the ``reason`` why tier 2 leaves them alone, null where it doesn't. ``options``: of ``meanings.route_terms``."""
+    texts = defined.select(F.col("doc_id").alias("_d"), F.col("meaning_id").alias("_m"), (F.coalesce(F.col("definition"), F.lit("")) != "").alias("_has"))
+    j = scored.join(texts, (scored["doc_id"] == texts["_d"]) & (scored["meaning_id"] == texts["_m"]))
+    complete = j.groupBy(*_MENTION).agg(F.bool_and("_has").alias("complete"))
+    decided = resolved.select(*_MENTION, "n_candidates", "margin", F.col("tier1_meaning").alias("meaning_id")).join(complete, list(_MENTION), "left")
+    return meaning.route_terms(decided, **options)
+
+
+def contexts(docs: DataFrame, rows: DataFrame, window: int = CONTEXT_CHARS) -> DataFrame:
+    """T2-02 for terms: ``rows`` (doc_id, s, e, ...) with the text ``window`` characters either side as ``context``. Each text is joined once, not per row."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    joined = grouped.join(docs.select("doc_id", "text"), "doc_id")
+    return joined.select("doc_id", "text", F.inline("_rows")).select("doc_id", *rest, spans.around(F.col("text"), F.col("s"), F.col("e"), window).alias("context"))
+
+
+def rerank(docs: DataFrame, scored: DataFrame, routed: DataFrame, defined: DataFrame, model, weight: float = meaning.TIER2_WEIGHT) -> DataFrame:
+    """TRM-15: ``scored`` of the mentions without a reason, blended with the similarity of context and ``term: definition``.
+
+    Contexts are embedded once for each mention, candidates once for each distinct text of a document.
+    """
+    applied = routed.where("reason is null").select(*_MENTION)
+    around = meaning.embed(contexts(docs, applied), "context", model, "_at").drop("context")
+    d = defined.select("doc_id", "key", "meaning_id", "definition")
+    texts = applied.select("doc_id", "key", "term").distinct().join(d, ["doc_id", "key"]).select("doc_id", "term", "meaning_id", F.concat_ws(": ", "term", "definition").alias("_text"))
+    candidates = meaning.embed(texts, "_text", model, "_of").drop("_text")
+    j = scored.join(around, list(_MENTION)).join(candidates, ["doc_id", "term", "meaning_id"])
+    return j.select(*scored.drop("score").columns, F.round(meaning.blend(F.col("score"), meaning.cosine01(F.col("_at"), F.col("_of")), weight), 6).alias("score"))
+
+
+def resolve(docs: DataFrame, analysed: dict[str, DataFrame], model, weight: float = meaning.TIER2_WEIGHT, **options) -> DataFrame:
+    """TRM-15, TRM-16: the final resolutions; those of reranked mentions are by blended scores (``tier2_blend``), the others as tier 1 left them."""
+    first, scored, defined = analysed["resolutions"], analysed["scores"], analysed["meanings"]
+    blended = rerank(docs, scored, route(scored, first, defined, **options), defined, model, weight)
+    again = resolutions(blended).select(*_MENTION, F.struct("margin", "meaning_id", "method").alias("_again"))
+    rows = first.join(again, list(_MENTION), "left")
+    new = F.col("_again").isNotNull()
+    method = F.when(~new | (F.col("_again.method") == "unresolved"), F.coalesce("_again.method", "method")).otherwise("tier2_blend")
+    return rows.select(*_MENTION, "n_candidates", F.when(new, F.col("_again.margin")).otherwise(F.col("margin")).alias("margin"), "tier1_meaning", F.when(new, F.col("_again.meaning_id")).otherwise(F.col("meaning_id")).alias("meaning_id"), method.alias("method"))
+
+
 def analyse(docs: DataFrame, unquoted: bool = False) -> dict[str, DataFrame]:
     """TRM-17: introductions, mentions, meanings, sections, scores and resolutions.
 

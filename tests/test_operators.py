@@ -477,3 +477,28 @@ def test_top_k_settles_ties_by_id_over_batches_and_takes_empty_tables(spark, mon
     assert retrieval.top_k(q.where("q < 0"), index, 5).count() == 0
     assert retrieval.top_k(q, index.where("id < 0"), 5).count() == 0
     assert retrieval.top_k(q.limit(1), index, 99).count() == 40
+
+
+def test_terms_are_reranked_by_their_surroundings(spark):
+    text = '"Fee" means money paid for storage.\n"Fee" means any charge for transport by road.\nThe "Fee" for transport by road is due.\n"Date" means today. The "Date" counts.'
+    d = docs(spark, text, None)
+    found = terms.analyse(d)
+    model = meanings.hashed_embedding()
+    got = {(r.term, r.s): r for r in terms.resolve(d, found, model, mode="on").collect()}
+    first = {(r.term, r.s): r for r in found["resolutions"].collect()}
+    assert set(got) == set(first) and len({r.n_candidates for r in got.values()}) == 2
+    scored = found["scores"].collect()
+    said = {r.meaning_id: r.definition for r in found["meanings"].collect()}
+    cosine = lambda a, b: 0.5 * (float(np.dot(a, b)) + 1)
+    for at, row in got.items():
+        mine = [r for r in scored if (r.term, r.s) == at]
+        if len(mine) < 2:
+            assert (row.meaning_id, row.method, row.margin) == (first[at].meaning_id, first[at].method, first[at].margin)
+            continue
+        near = model([text[max(0, row.s - 180) : row.e + 180]])[0]
+        blended = {r.meaning_id: 0.65 * r.score + 0.35 * cosine(near, model([f"{row.term}: {said[r.meaning_id]}"])[0]) for r in mine}
+        best, second = sorted(blended.values(), reverse=True)[:2]
+        margin = (best - second) / max(abs(best), 1.0)
+        assert row.margin == pytest.approx(margin, abs=1e-5)
+        want = max(blended, key=blended.get) if margin >= 0.1 else None
+        assert (row.meaning_id, row.method) == (want, "tier2_blend" if want else "unresolved")
