@@ -488,11 +488,11 @@ def term_resolutions(spark, sf_dir):
 
 @query(sql.contracts(f"""{_TERM_SCORES}, ranked AS (SELECT x.*, coalesce(g.definition, '') <> '' AS told, row_number() OVER w AS nth, lead(score) OVER w AS second, count(*) OVER m AS n, bool_and(coalesce(g.definition, '') <> '') OVER m AS complete
     FROM scored x JOIN meanings g ON x.doc_id = g.doc_id AND x.meaning_id = g.meaning_id WINDOW w AS (PARTITION BY x.doc_id, x.s, x.e, x.key, x.term ORDER BY score DESC, meaning_s, x.meaning_id), m AS (PARTITION BY x.doc_id, x.s, x.e, x.key, x.term))
-  SELECT doc_id, term, s, e, CASE WHEN n < 2 THEN 'single_candidate' WHEN round((score - second) / greatest(abs(score), 1.0), 6) >= 0.2 THEN 'tier1_confident' WHEN NOT complete THEN 'no_meanings' ELSE 'applied' END AS reason FROM ranked WHERE nth = 1"""))
+  SELECT doc_id, term, s, e, CASE WHEN n < 2 THEN 'single_candidate' WHEN round((score - second) / greatest(abs(score), 1.0), 6) >= 0.4 THEN 'tier1_confident' WHEN NOT complete THEN 'no_meanings' ELSE 'applied' END AS reason FROM ranked WHERE nth = 1"""))
 def term_tier2_reasons(spark, sf_dir):
-    """With a ceiling of a fifth, so that some mentions are reranked and some aren't."""
+    """With a ceiling of two fifths, so that some mentions are reranked and some aren't."""
     found = terms.analyse(contracts(spark, sf_dir))
-    routed = terms.route(found["scores"], found["resolutions"], found["meanings"], ceiling=0.2)
+    routed = terms.route(found["scores"], found["resolutions"], found["meanings"], ceiling=0.4)
     return routed.select("doc_id", "term", "s", "e", F.coalesce("reason", F.lit("applied")).alias("reason"))
 
 
@@ -500,7 +500,7 @@ def term_tier2_reasons(spark, sf_dir):
 def term_tier2_resolutions(spark, sf_dir):
     """Terms with a second tier by hashed embeddings, which SQL can't express."""
     docs = contracts(spark, sf_dir)
-    return terms.resolve(docs, terms.analyse(docs), meanings.hashed_embedding(), ceiling=0.2)
+    return terms.resolve(docs, terms.analyse(docs), meanings.hashed_embedding())
 
 
 # ---- MNG ----------------------------------------------------------------------------

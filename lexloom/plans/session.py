@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -98,18 +100,53 @@ def default_registry() -> Registry:
     return out
 
 
-def run(docs: DataFrame, targets: list[str] | None = None, options: dict[str, dict] | None = None, registry: Registry | None = None) -> Status:
-    """ORC-02, ORC-06: plans the targets (all if none is named); one that can't be planned fails alone.
-
-    The results are plans. Spark runs them independently, each in its own
-    job; nothing is computed here.
+def _written(result: DataFrame, key: str, folder: str, seconds: float | None) -> DataFrame:
+    """The result as Parquet, read again; its jobs are cancelled if they take longer than ``seconds``."""
+    spark = result.sparkSession
+    sc = spark.sparkContext
+    group, out, late = f"{key}-{uuid.uuid4()}", f"{folder.rstrip('/')}/{key}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, cancel) if seconds else None
+    before = {name: sc.getLocalProperty(name) for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    sc.setJobGroup(group, f"pipeline {key}", interruptOnCancel=True)
+    try:
+        if timer:
+            timer.start()
+        result.write.mode("errorifexists").parquet(out)
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"{key} took over {seconds} seconds") from e
+        raise
+    finally:
+        if timer:
+            timer.cancel()
+        for name, value in before.items():
+            sc.setLocalProperty(name, value)
+    return spark.read.parquet(out)
+
+
+def run(docs: DataFrame, targets: list[str] | None = None, options: dict[str, dict] | None = None, registry: Registry | None = None, folder: str | None = None, seconds: float | None = None) -> Status:
+    """ORC-02, ORC-06: runs the targets (all if none is named); one that fails, fails alone.
+
+    Without ``folder`` the results are plans and only planning is watched. With
+    it each result is computed, written as Parquet below the folder (one that
+    executors share) and read again, so what fails while it runs is recorded as
+    well; ``seconds`` then bounds each target's time, after which its jobs are
+    cancelled and it counts as a timeout.
     """
+    if seconds is not None and (folder is None or seconds <= 0):
+        raise ValueError("a time limit is positive and needs a folder, as plans take no time")
     registry = registry or default_registry()
     status = Status(registry.resolve(targets or registry.keys()))
     for key in status.requested:
         began = time.monotonic()
         try:
-            status.record(key, registry.get(key)(docs, **(options or {}).get(key, {})))
+            result = registry.get(key)(docs, **(options or {}).get(key, {}))
+            status.record(key, _written(result, key, folder, seconds) if folder else result)
         except Exception as e:  # each pipeline fails alone
             status.record(key, error=(classify(e), str(e)))
         status.seconds[key] = time.monotonic() - began

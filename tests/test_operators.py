@@ -502,3 +502,18 @@ def test_terms_are_reranked_by_their_surroundings(spark):
         assert row.margin == pytest.approx(margin, abs=1e-5)
         want = max(blended, key=blended.get) if margin >= 0.1 else None
         assert (row.meaning_id, row.method) == (want, "tier2_blend" if want else "unresolved")
+
+
+def test_what_fails_while_it_runs_fails_alone(spark, tmp_path):
+    registry = session.Registry()
+    registry.register("fine", lambda d: d.select("doc_id"))
+    registry.register("broken", lambda d: d.select(F.raise_error(F.lit("no such luck")).cast("string").alias("x")))
+    registry.register("slow", lambda d: d.select(F.expr("reflect('java.lang.Thread', 'sleep', 60000L)").alias("x")))
+    registry.register("last", lambda d: d.groupBy().count())
+    d = docs(spark, "a", "b")
+    status = session.run(d, registry=registry, folder=f"file://{tmp_path}/out", seconds=5)
+    assert {k: v[0] for k, v in status.errors.items()} == {"broken": "failed", "slow": "timeout"}
+    assert status.results["fine"].count() == 2 and status.results["last"].first()[0] == 2
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    with pytest.raises(ValueError):
+        session.run(d, registry=registry, seconds=5)
