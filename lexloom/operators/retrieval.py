@@ -153,6 +153,43 @@ def _unresolved(item: Column) -> Column:
     return _is(item, "OBJECT") & F.when(_is(chosen, "OBJECT"), by_choice).otherwise(no)
 
 
+def _entry_summaries(items: Column, fields: Callable[[Column], list[Column]]) -> Column:
+    """The objects among the entries, each as the fields that a reviewer reads."""
+    return F.transform(F.filter(items, lambda x: _is(x, "OBJECT")), lambda x: F.struct(*fields(x)))
+
+
+def _object(value: Column, path: str) -> Column:
+    """A field that is an object, else null."""
+    return F.when(_is(_get(value, path), "OBJECT"), _get(value, path))
+
+
+def _first_string(item: Column, section: str, path: str) -> Column:
+    return F.when(_is(_get(item, section), "ARRAY"), _string(item, f"{section}[0].{path}"))
+
+
+def summaries(payloads: DataFrame) -> DataFrame:
+    """RAG-09: by payload (id, payload as JSON) its three sections as a reviewer reads them, as JSON; entries that are no objects go.
+
+    A definition is the selected one, else the first of the entry's own; a field
+    that isn't of its kind is null. What is no JSON has empty sections.
+    """
+    rows = payloads.select("id", F.try_parse_json("payload").alias("_v"))
+    rows = rows.select("id", *[_items(F.col("_v"), k).alias(k) for k in _SECTIONS])
+    raw = lambda x, *names: [_get(x, n).alias(n) for n in names]
+    fields = {
+        "acronyms": lambda x: [
+            *raw(x, "acronym"),
+            F.coalesce(_string(x, "selected.definition"), _first_string(x, "definitions", "text")).alias("selected_definition"),
+            _string(x, "selected.reason").alias("selection_reason"),
+            *raw(x, "conflict"),
+            _first_string(x, "candidates", "source_ref").alias("source_ref"),
+        ],
+        "defined_terms": lambda x: [*raw(x, "surface", "normalized_key"), _string(x, "chosen_definition_span.text").alias("chosen_definition_text"), *raw(x, "resolution_method", "resolved")],
+        "structural_references": lambda x: [*[_object(x, n).alias(n) for n in ("reference_span", "target_span")], *raw(x, "match_strategy", "resolved")],
+    }
+    return rows.select("id", *[F.to_json(_entry_summaries(F.col(k), f), {"ignoreNullFields": "false"}).alias(k) for k, f in fields.items()])
+
+
 def ambiguity(payloads: DataFrame) -> DataFrame:
     """RAG-09: by payload (id, payload as JSON) how many entries each section has and how many of them are unresolved; 0 for what is no list."""
     rows = payloads.select("id", F.try_parse_json("payload").alias("_v"))

@@ -718,8 +718,33 @@ _PAYLOADS = """SELECT o_orderkey AS id, concat('{"acronyms":', CASE o_orderkey %
   FROM (SELECT *, o_orderkey % 7 = 0 AS broken FROM orders)""")
 def ambiguity_counts(spark, sf_dir):
     (orders,) = tables(spark, sf_dir, "orders")
-    made = orders.selectExpr(_PAYLOADS.split(" AS id, ")[0].removeprefix("SELECT ") + " AS id", _PAYLOADS.split(" AS id, ")[1].removesuffix(" FROM orders"))
-    return retrieval.ambiguity(made)
+    return retrieval.ambiguity(_payloads(orders))
+
+
+def _payloads(orders):
+    key, payload = _PAYLOADS.removeprefix("SELECT ").removesuffix(" FROM orders").split(" AS id, ")
+    return orders.selectExpr(f"{key} AS id", payload)
+
+
+def _json_list(*entries: str) -> str:
+    return "'[" + ",".join("{" + e + "}" for e in entries) + "]'"
+
+
+_BINDING = '"acronym":null,"selected_definition":{},"selection_reason":{},"conflict":null,"source_ref":null'
+_TERM_ENTRY = '"surface":null,"normalized_key":null,"chosen_definition_text":null,"resolution_method":{},"resolved":{}'
+_LINK_ENTRY = '"reference_span":null,"target_span":null,"match_strategy":null,"resolved":{}'
+
+
+@query(f"""SELECT o_orderkey AS id,
+  CASE WHEN broken THEN '[]' WHEN o_orderkey % 5 = 0 THEN {_json_list(_BINDING.format('"x"', '"single_candidate"'), _BINDING.format('" "', '"single_candidate"'))}
+    WHEN o_orderkey % 5 = 1 THEN {_json_list(_BINDING.format('"x"', '"unresolved"'), _BINDING.format('null', '"y"'), _BINDING.format('null', 'null'))} ELSE '[]' END AS acronyms,
+  CASE WHEN broken THEN '[]' WHEN o_custkey % 3 = 0 THEN {_json_list(_TERM_ENTRY.format('"unresolved"', 'null'), _TERM_ENTRY.format('null', 'true'), _TERM_ENTRY.format('null', '"false"'))}
+    WHEN o_custkey % 3 = 1 THEN {_json_list(_TERM_ENTRY.format('null', 'false'), _TERM_ENTRY.format('"tier1"', 'null'))} ELSE '[]' END AS defined_terms,
+  CASE WHEN broken THEN '[]' WHEN o_custkey % 4 = 0 THEN {_json_list(*map(_LINK_ENTRY.format, ('false', 'false', '0')))} WHEN o_custkey % 4 = 1 THEN {_json_list(_LINK_ENTRY.format('null'))} ELSE '[]' END AS structural_references
+  FROM (SELECT *, o_orderkey % 7 = 0 AS broken FROM orders)""")
+def reviewer_summaries(spark, sf_dir):
+    (orders,) = tables(spark, sf_dir, "orders")
+    return retrieval.summaries(_payloads(orders))
 
 
 @query("SELECT doc_id, true AS has_payload, text = text AS rest_equal, length('{\"n\":' || length(text) || '}')::INT AS payload_chars FROM documents")

@@ -517,3 +517,26 @@ def test_what_fails_while_it_runs_fails_alone(spark, tmp_path):
     assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
     with pytest.raises(ValueError):
         session.run(d, registry=registry, seconds=5)
+
+
+def test_summaries_keep_what_a_reviewer_reads(spark):
+    payload = {
+        "acronyms": [
+            {"acronym": "AB", "selected": {"definition": "Alpha Beta", "reason": "single_candidate"}, "conflict": False, "candidates": [{"source_ref": "meaning:1"}], "more": 1},
+            {"acronym": "CD", "selected": {"definition": 7}, "definitions": [{"text": "Crux Delta"}, {"text": "other"}], "candidates": ["x"]},
+            "no entry",
+        ],
+        "defined_terms": [{"surface": "Fee", "normalized_key": "fee", "chosen_definition_span": {"text": "money", "s": 1}, "resolution_method": "tier1", "resolved": True}],
+        "structural_references": [{"reference_span": {"s": 3}, "target_span": 5, "match_strategy": "forward", "resolved": True}],
+    }
+    rows = spark.createDataFrame([(1, json.dumps(payload)), (2, "{broken"), (3, '{"acronyms": {}}'), (4, None)], "id int, payload string")
+    got = {r.id: [json.loads(x) for x in r[1:]] for r in retrieval.summaries(rows).collect()}
+    assert got[1] == [
+        [
+            {"acronym": "AB", "selected_definition": "Alpha Beta", "selection_reason": "single_candidate", "conflict": False, "source_ref": "meaning:1"},
+            {"acronym": "CD", "selected_definition": "Crux Delta", "selection_reason": None, "conflict": None, "source_ref": None},
+        ],
+        [{"surface": "Fee", "normalized_key": "fee", "chosen_definition_text": "money", "resolution_method": "tier1", "resolved": True}],
+        [{"reference_span": {"s": 3}, "target_span": None, "match_strategy": "forward", "resolved": True}],
+    ]
+    assert got[2] == got[3] == got[4] == [[], [], []]
