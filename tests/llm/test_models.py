@@ -61,6 +61,38 @@ def test_toxicity_on_rows_held_out(tables):
     assert rows[9_001].score == rows[9_002].score == rows[9_003].score or rows[9_001].score == rows[9_002].score
 
 
+def test_toxicity_learns_from_every_row(spark, make_docs):
+    """Words of the last rows by hash of the id, after 2,500 of their label, count like any."""
+    rng = random.Random(6)
+    toxic = [r.id for r in spark.range(3_700).selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()]
+    late = set([i for i in toxic if crc(i) % 4 != 2][2_500:]) | {i for i in toxic if crc(i) % 4 == 2 and i % 2}
+    docs = [(i, " ".join([*prose(rng, LANGS["en"], 6).split(), "vequeu" if i in late else "scum"])) for i in toxic]
+    docs += [(i, prose(rng, LANGS["en"], 7)) for i in range(10_000, 13_700)]
+    labels = spark.createDataFrame([(i, int(i < 10_000)) for i, _ in docs], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity.score(make_docs(docs), labels).collect()}
+    held = [r for i, r in rows.items() if i in late and r.held_out]
+    assert len(held) > 300 and sum(r.predicted for r in held) >= 0.95 * len(held)
+    assert sum(r.predicted for i, r in rows.items() if i >= 10_000 and r.held_out) <= 0.05 * 925
+
+
+def test_several_learners_learn_as_well(tables, monkeypatch):
+    docs, labels, truth = tables
+    one_round, learners = toxicity._round, []
+    monkeypatch.setattr(toxicity, "LEARNER_BYTES", 30_000)
+    monkeypatch.setattr(toxicity, "_round", lambda rows, *rest: learners.append(rows.rdd.getNumPartitions()) or one_round(rows, *rest))
+    rows = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    held = [(i, t) for i, _, t in truth if rows[i].held_out]
+    assert sum(rows[i].predicted != t for i, t in held) <= 0.06 * len(held)
+    assert len(learners) == toxicity.ROUNDS and min(learners) > 2
+
+
+def test_learnable_rows_are_all_that_are_labelled(tables):
+    docs, labels, truth = tables
+    rows = toxicity.learnable(docs.union(docs), labels).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(i, t) for i, _, t in truth if crc(i) % 4 != 2]
+    assert 0 < sum(r.apart for r in rows) < 0.3 * len(rows)
+
+
 def test_quality_on_rows_held_out(tables):
     docs, labels, truth = tables
     rows = {r.doc_id: r for r in quality.score(docs, labels).collect()}
