@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -41,6 +44,8 @@ CONTEXT = 180
 PRIOR_MARGIN, FINAL_MARGIN = 0.20, 0.10
 #: Characters on either side of a mention that tier 2 reads.
 CONTEXT_CHARS = 180
+#: Texts that go through Python together, and their characters but for a longer single one.
+AT_ONCE, AT_ONCE_CHARS = 256, 1 << 20
 
 
 _STARTS_DEFINITION = re.compile(r'"?[ \t]*(?:shall[ \t]+mean|means)[\s,:]*', re.IGNORECASE | re.ASCII)
@@ -141,96 +146,119 @@ def _meaning(text: str, intro: dict, stops: list[int]) -> tuple[str | None, str
     return body[: ended.start() if ended else None][:MOST_DEFINITION].strip() or None, None
 
 
-def _terms_of(text: str, intros: list[dict], quoted: list[dict], unquoted: bool) -> dict:
-    """Introductions, mentions with the words near them, and meanings of one text."""
-    intros = sorted([*intros, *(_bare_introductions(text) if unquoted else ())], key=lambda i: (i["s"], i["e"], i["kind"]))
+#: The patterns of quotes, as Java reads them: letters without case in ASCII alone, word ends by any letter or digit.
+_QUOTED_INTRODUCTIONS = {kind: re.compile(p.replace("\\b", "(?u:\\b)"), re.ASCII) for kind, p in INTRODUCTIONS.items()}
+_QUOTED_AGAIN = re.compile(QUOTED_OCCURRENCE)
+
+
+def _introductions(text: str, unquoted: bool) -> list[dict]:
+    """TRM-01, 02: in the order of their places."""
+    out = list(_bare_introductions(text)) if unquoted else []
+    for kind, pattern in _QUOTED_INTRODUCTIONS.items():
+        for m in pattern.finditer(text):
+            s = text.index('"', m.start()) + 1
+            e = text.index('"', s)
+            out.append({"term": text[s:e], "s": s, "e": e, "key": _term_key(text[s:e]), "kind": kind, "variants": _variants(text[s:e])})
+    return sorted(out, key=lambda i: (i["s"], i["e"], i["kind"]))
+
+
+def _mentions(text: str, intros: list[dict], unquoted: bool) -> list[tuple[str, int, int, str]]:
+    """TRM-05..08: term, s, e and key in the order of their places."""
     known: dict[str, dict] = {}
     for i in intros:
         t = known.setdefault(i["key"], {"variants": i["variants"], "first_end": i["e"]})
         t["first_end"] = min(t["first_end"], i["e"])
     spots, own = _Spots([(i["s"], i["e"]) for i in intros]), {(i["s"], i["e"]) for i in intros}
-    later = [q for q in quoted if q["key"] in known and q["s"] >= known[q["key"]]["first_end"] and (q["s"], q["e"]) not in own]
     found: dict[tuple, tuple] = {}
-    for m in (*intros, *_exact(text, known, spots), *later):
-        at, value = (m["s"], m["e"]), (m["term"], m["key"])
+
+    def put(at: tuple[int, int], value: tuple[str, str]) -> None:
         found[at] = min(found.get(at, value), value)
+
+    for m in (*intros, *_exact(text, known, spots)):
+        put((m["s"], m["e"]), (m["term"], m["key"]))
+    for q in _QUOTED_AGAIN.finditer(text):
+        at, term = (q.start() + 1, q.end() - 1), q.group()[1:-1]
+        key = _term_key(term)
+        if key in known and at[0] >= known[key]["first_end"] and at not in own:
+            put(at, (term, key))
     for m in _in_runs(text, known, spots) if unquoted else ():
         found.setdefault((m["s"], m["e"]), (m["term"], m["key"]))
-    stops = [m.start() for m in _STOPS.finditer(text)]
-    ordinals, meanings = Counter(), []
+    return [(t, s, e, k) for (s, e), (t, k) in sorted(found.items())]
+
+
+def _meanings(text: str, intros: list[dict]) -> list[dict]:
+    """TRM-09, 11, 12: numbered by key."""
+    stops = [m.start() for m in _STOPS.finditer(text)] if any(i["kind"] == "parenthetical_alias" for i in intros) else []
+    ordinals, out = Counter(), []
     for i in intros:
         definition, antecedent = _meaning(text, i, stops)
-        meanings.append({k: i[k] for k in ("term", "key", "kind", "s", "e")} | {"ordinal": ordinals[i["key"]], "definition": definition, "antecedent": antecedent})
+        nth = ordinals[i["key"]]
+        out.append({k: i[k] for k in ("term", "key", "kind", "s", "e")} | {"ordinal": nth, "definition": definition, "antecedent": antecedent, "meaning_id": f"{i['term']}|{i['key']}|{nth}"})
         ordinals[i["key"]] += 1
-    near = lambda s, e: sorted(set(_LETTER_LED.findall(text[max(0, s - CONTEXT) : e + CONTEXT].lower())))
-    return {
-        "introductions": [{k: i[k] for k in ("term", "s", "e", "key", "kind")} for i in intros],
-        "mentions": [{"term": t, "s": s, "e": e, "key": k, "near": near(s, e)} for (s, e), (t, k) in sorted(found.items())],
-        "meanings": meanings,
-    }
-
+    return out
 
-_INTRODUCED = "array<struct<term:string,s:int,e:int,key:string,kind:string>>"
-_MENTIONED = "array<struct<term:string,s:int,e:int,key:string,near:array<string>>>"
-_MEANT = "array<struct<term:string,key:string,kind:string,s:int,e:int,ordinal:int,definition:string,antecedent:string>>"
 
+def _over_texts(docs: DataFrame, schema: str, fn: Callable[[list[str]], Iterable[list[tuple]]]) -> DataFrame:
+    """The rows that ``fn`` makes of each of some texts, with the doc_id of the text's row.
 
-def scan(docs: DataFrame, unquoted: bool = False) -> DataFrame:
-    """One row per text with any introduction: doc_id and arrays of introductions, mentions and meanings.
-
-    Patterns are searched natively, all in one scan; what they find stays beside
-    the text and goes through one Python function with it, so no text is
-    shuffled, joined or repeated. (Texts without finds are left out there: a
-    filter here would be pushed below the search and have it done again.)
+    Texts are read, searched and settled in one Python pass out of the scan:
+    nothing is shuffled or joined, and rows are of one text, whatever its id.
     """
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text").where("text is not null")
-    for kind in INTRODUCTIONS:
-        rows = spans.with_matches(rows, INTRODUCTIONS[kind], f"_{kind}")
-    rows = spans.with_matches(rows, QUOTED_OCCURRENCE, "_quoted")
-
-    def introduced(kind: str) -> Column:
-        def one(x: Column) -> Column:
-            term, lead = F.regexp_extract(x["surface"], '"([^"]*)"', 1), F.length(F.regexp_extract(x["surface"], '^([^"]*")', 1))
-            return F.struct(term.alias("term"), (x["s"] + lead).alias("s"), (x["s"] + lead + F.length(term)).alias("e"), fx.term_key(term).alias("key"), F.lit(kind).alias("kind"), fx.term_variants(term).alias("variants"))
-
-        return F.transform(f"_{kind}", one)
-
-    inner = lambda x: F.substring(x["surface"], F.lit(2), F.length(x["surface"]) - 2)
-    later = F.transform("_quoted", lambda x: F.struct(inner(x).alias("term"), (x["s"] + 1).alias("s"), (x["e"] - 1).alias("e"), fx.term_key(inner(x)).alias("key")))
-    rows = rows.select("doc_id", "text", F.concat(*map(introduced, INTRODUCTIONS)).alias("intros"), later.alias("quoted"))
-    types = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType))] + [(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(f"introductions {_INTRODUCED}, mentions {_MENTIONED}, meanings {_MEANT}").fields])
+    id_type = docs.schema["doc_id"].dataType
+    fields = T.StructType.fromDDL(schema).fields
+    types = pa.schema([("doc_id", to_arrow_type(id_type)), *((f.name, to_arrow_type(f.dataType)) for f in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = [{"doc_id": r["doc_id"], **_terms_of(r["text"], r["intros"], r["quoted"], unquoted)} for r in batch.slice(at, 256).to_pylist() if r["intros"] or unquoted]
-                yield pa.RecordBatch.from_pylist([r for r in some if r["introductions"]], schema=types)
-
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, introductions {_INTRODUCED}, mentions {_MENTIONED}, meanings {_MEANT}")
-
-
-def _each(scanned: DataFrame, what: str) -> DataFrame:
-    return scanned.select("doc_id", F.explode(what).alias("v")).select("doc_id", "v.*")
-
-
-def _with_ids(meanings: DataFrame) -> DataFrame:
-    return meanings.withColumn("meaning_id", F.concat_ws("|", "term", "key", F.col("ordinal").cast("string")))
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and end - at < AT_ONCE and (end == at or chars + len(texts[end]) <= AT_ONCE_CHARS):
+                    chars += len(texts[end])
+                    end += 1
+                owners: list[int] = []
+                rows: list[tuple] = []
+                for i, made in enumerate(fn(texts[at:end]), at):
+                    owners += [i] * len(made)
+                    rows += made
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int32())).cast(types.field(0).type), *(pa.array(c, t.type) for c, t in zip(zip(*rows), list(types)[1:]))], schema=types)
+                at = end
+
+    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {id_type.simpleString()}, {schema}")
 
 
 def introductions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
     """TRM-01..04: doc_id, term, s, e, key, kind. Bare introductions only where ``unquoted``."""
-    return _each(scan(docs, unquoted), "introductions")
+
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        for text in texts:
+            yield [(i["term"], i["s"], i["e"], i["key"], i["kind"]) for i in _introductions(text, unquoted)]
+
+    return _over_texts(docs, "term string, s int, e int, key string, kind string", rows)
 
 
 def mentions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
     """TRM-05..08: introductions, exact later references (term or plural), quoted ones and, if asked, unquoted ones: doc_id, term, s, e, key."""
-    return _each(scan(docs, unquoted), "mentions").drop("near")
+
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        for text in texts:
+            intros = _introductions(text, unquoted)
+            yield _mentions(text, intros, unquoted) if intros else []
+
+    return _over_texts(docs, "term string, s int, e int, key string", rows)
 
 
 def definitions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
     """TRM-09, 11, 12: the meanings, numbered by key, with the definition or the antecedent of an alias."""
-    return _with_ids(_each(scan(docs, unquoted), "meanings"))
+    names = ("term", "key", "kind", "s", "e", "ordinal", "definition", "antecedent", "meaning_id")
+
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        for text in texts:
+            yield [tuple(m[k] for k in names) for m in _meanings(text, _introductions(text, unquoted))]
+
+    return _over_texts(docs, "term string, key string, kind string, s int, e int, ordinal int, definition string, antecedent string, meaning_id string", rows)
 
 
 _APPENDED = "(?i)^(schedule|appendix|annex)\\s+([A-Za-z0-9]+)\\b"
@@ -266,92 +294,175 @@ def with_path(rows: DataFrame, sections: DataFrame, at: str = "s") -> DataFrame:
     return merged.select("_row.*", F.coalesce("_p", F.array(F.lit("document"))).alias("path"))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
+#: What Java's ``(?U)\\s`` counts as white space, and the headings of sections as Java's patterns find them.
+_WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_APPENDED_LINE, _SECTION_LINE = (re.compile(p.replace("\\b", "(?u:\\b)"), re.ASCII) for p in (_APPENDED, _SECTION))
 
 
-def scores(mentions: DataFrame, meanings: DataFrame, sections: DataFrame) -> DataFrame:
-    """TRM-13: every mention (with the words ``near`` it) with every meaning of its key: five additive parts."""
-    m = with_path(mentions, sections)
-    d = with_path(meanings, sections)
-    words = fx.letter_led_words(F.coalesce("definition", "antecedent", F.lit("")))
-    d = d.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "meaning_id", F.col("s").alias("ms"), F.col("e").alias("me"), F.col("path").alias("mpath"), words.alias("words"), "kind", "definition")
-    j = m.join(d, (m["doc_id"] == d["_d"]) & (m["key"] == d["_k"]))
-    gap = F.abs(F.col("s") - F.col("ms"))
-    direction = F.when(F.col("s") >= F.col("ms"), 1.0).otherwise(-0.25)
-    distance = F.when(gap <= 250, 1.0).when(gap <= 1000, 0.7).when(gap <= 5000, 0.35).otherwise(0.1)
-    section = F.when(F.col("path") == F.col("mpath"), 1.0).when(F.element_at("path", 1) == F.element_at("mpath", 1), 0.5).otherwise(0.0)
-    kind = F.when(F.col("definition").isNotNull(), 1.0).when(F.col("kind") == "parenthetical_alias", 0.4).otherwise(0.0)
-    total = direction + distance + section + _overlap(F.col("words"), F.col("near")) + kind
-    return j.select("doc_id", "term", "key", "s", "e", "meaning_id", F.col("ms").alias("meaning_s"), F.round(total, 6).alias("score"))
+def _paths(text: str) -> tuple[list[int], list[tuple[str, ...]]]:
+    """TRM-10 for one text: where its sections begin and their paths, as ``sections`` has them; ``document`` before any."""
+    starts, paths, branch, at = [-1], [("document",)], None, 0
+    for raw in text.split("\n"):
+        line = raw.strip(_WHITE)
+        if line and (line[0].isdigit() or line[0] in "aAcCsS"):
+            number = None
+            if m := _APPENDED_LINE.search(line):
+                branch = f"{m[1].lower()}:{m[2].lower()}"
+            elif m := _SECTION_LINE.search(line):
+                number = f"section:{m[1]}"
+            if m:
+                starts.append(at + len(raw) - len(raw.lstrip(_WHITE)))
+                paths.append(tuple(x for x in (branch, number) if x))
+        at += len(raw) + 1
+    return starts, paths
 
 
-def resolutions(scored: DataFrame) -> DataFrame:
-    """TRM-14, TRM-16: the tier-1 choice (an earlier meaning within the margin) and the final one (only beyond its margin)."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "meaning_s", "meaning_id", "score")))
-    rows = scored.groupBy("doc_id", "term", "key", "s", "e").agg(ranked.alias("c"))
-    top, second = F.element_at("c", 1), F.try_element_at("c", F.lit(2))
-    scale = F.greatest(F.abs(top["score"]), F.lit(1.0))
-    margin = F.when(F.size("c") > 1, (top["score"] - second["score"]) / scale).otherwise(1.0)
-    close = F.filter("c", lambda x: (top["score"] - x["score"]) / scale < PRIOR_MARGIN)
-    prior = F.array_min(F.transform(close, lambda x: F.struct(x["meaning_s"].alias("s"), x["meaning_id"].alias("meaning_id"))))["meaning_id"]
-    first = F.when(margin >= PRIOR_MARGIN, top["meaning_id"]).otherwise(prior)
-    final = F.when(F.size("c") == 1, top["meaning_id"]).when(margin >= FINAL_MARGIN, top["meaning_id"])
-    return rows.select("doc_id", "term", "key", "s", "e", F.size("c").alias("n_candidates"), F.round(margin, 6).alias("margin"), first.alias("tier1_meaning"), final.alias("meaning_id"), F.when(final.isNull(), "unresolved").otherwise("tier1").alias("method"))
+def _rounded(x: float) -> float:
+    """To six digits, half up by the number as it is written, as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(_SIXTH, ROUND_HALF_UP))
 
 
-_MENTION = ("doc_id", "term", "key", "s", "e")
+_SIXTH = Decimal("0.000001")
 
 
-def route(scored: DataFrame, resolved: DataFrame, defined: DataFrame, **options) -> DataFrame:
-    """TRM-15: mentions with the ``reason`` why tier 2 leaves them alone, null where it doesn't. ``options``: of ``meanings.route_terms``."""
-    texts = defined.select(F.col("doc_id").alias("_d"), F.col("meaning_id").alias("_m"), (F.coalesce(F.col("definition"), F.lit("")) != "").alias("_has"))
-    j = scored.join(texts, (scored["doc_id"] == texts["_d"]) & (scored["meaning_id"] == texts["_m"]))
-    complete = j.groupBy(*_MENTION).agg(F.bool_and("_has").alias("complete"))
-    decided = resolved.select(*_MENTION, "n_candidates", "margin", F.col("tier1_meaning").alias("meaning_id")).join(complete, list(_MENTION), "left")
-    return meaning.route_terms(decided, **options)
+def _scored(text: str, unquoted: bool) -> list[tuple[tuple, list[tuple]]]:
+    """TRM-13: every mention (term, key, s, e) of a text with score, place and meaning of each meaning of its key: five additive parts."""
+    intros = _introductions(text, unquoted)
+    if not intros:
+        return []
+    starts, paths = _paths(text)
+    path = lambda at: paths[bisect_left(starts, at + 1) - 1]
+    of: dict[str, list[tuple]] = {}
+    for m in _meanings(text, intros):
+        words = set(_LETTER_LED.findall((m["definition"] if m["definition"] is not None else m["antecedent"] or "").lower()))
+        of.setdefault(m["key"], []).append((m["s"], path(m["s"]), words, 1.0 if m["definition"] is not None else 0.4 if m["kind"] == "parenthetical_alias" else 0.0, m))
+    out = []
+    for term, s, e, key in _mentions(text, intros, unquoted):
+        here, near, tried = path(s), set(_LETTER_LED.findall(text[max(0, s - CONTEXT) : e + CONTEXT].lower())), []
+        for ms, there, words, kind, m in of[key]:
+            gap = abs(s - ms)
+            distance = 1.0 if gap <= 250 else 0.7 if gap <= 1000 else 0.35 if gap <= 5000 else 0.1
+            section = 1.0 if here == there else 0.5 if here[0] == there[0] else 0.0
+            overlap = len(words & near) / len(words) if words else 0.0
+            tried.append((_rounded((1.0 if s >= ms else -0.25) + distance + section + overlap + kind), ms, m))
+        out.append(((term, key, s, e), tried))
+    return out
 
 
-def contexts(docs: DataFrame, rows: DataFrame, window: int = CONTEXT_CHARS) -> DataFrame:
-    """T2-02 for terms: ``rows`` (doc_id, s, e, ...) with the text ``window`` characters either side as ``context``. Each text is joined once, not per row."""
-    rest = [c for c in rows.columns if c != "doc_id"]
-    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
-    joined = grouped.join(docs.select("doc_id", "text"), "doc_id")
-    return joined.select("doc_id", "text", F.inline("_rows")).select("doc_id", *rest, spans.around(F.col("text"), F.col("s"), F.col("e"), window).alias("context"))
+def scores(docs: DataFrame, unquoted: bool = False) -> DataFrame:
+    """TRM-13: every mention with every meaning of its key: doc_id, term, key, s, e, meaning_id, meaning_s, score."""
 
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        for text in texts:
+            yield [(*mention, m["meaning_id"], ms, score) for mention, tried in _scored(text, unquoted) for score, ms, m in tried]
 
-def rerank(docs: DataFrame, scored: DataFrame, routed: DataFrame, defined: DataFrame, model, weight: float = meaning.TIER2_WEIGHT) -> DataFrame:
-    """TRM-15: ``scored`` of the mentions without a reason, blended with the similarity of context and ``term: definition``.
+    return _over_texts(docs, "term string, key string, s int, e int, meaning_id string, meaning_s int, score double", rows)
 
-    Contexts are embedded once for each mention, candidates once for each distinct text of a document.
-    """
-    applied = routed.where("reason is null").select(*_MENTION)
-    around = meaning.embed(contexts(docs, applied), "context", model, "_at").drop("context")
-    d = defined.select("doc_id", "key", "meaning_id", "definition")
-    texts = applied.select("doc_id", "key", "term").distinct().join(d, ["doc_id", "key"]).select("doc_id", "term", "meaning_id", F.concat_ws(": ", "term", "definition").alias("_text"))
-    candidates = meaning.embed(texts, "_text", model, "_of").drop("_text")
-    j = scored.join(around, list(_MENTION)).join(candidates, ["doc_id", "term", "meaning_id"])
-    return j.select(*scored.drop("score").columns, F.round(meaning.blend(F.col("score"), meaning.cosine01(F.col("_at"), F.col("_of")), weight), 6).alias("score"))
-
-
-def resolve(docs: DataFrame, analysed: dict[str, DataFrame], model, weight: float = meaning.TIER2_WEIGHT, **options) -> DataFrame:
-    """TRM-15, TRM-16: the final resolutions; those of reranked mentions are by blended scores (``tier2_blend``), the others as tier 1 left them."""
-    first, scored, defined = analysed["resolutions"], analysed["scores"], analysed["meanings"]
-    blended = rerank(docs, scored, route(scored, first, defined, **options), defined, model, weight)
-    again = resolutions(blended).select(*_MENTION, F.struct("margin", "meaning_id", "method").alias("_again"))
-    rows = first.join(again, list(_MENTION), "left")
-    new = F.col("_again").isNotNull()
-    method = F.when(~new | (F.col("_again.method") == "unresolved"), F.coalesce("_again.method", "method")).otherwise("tier2_blend")
-    return rows.select(*_MENTION, "n_candidates", F.when(new, F.col("_again.margin")).otherwise(F.col("margin")).alias("margin"), "tier1_meaning", F.when(new, F.col("_again.meaning_id")).otherwise(F.col("meaning_id")).alias("meaning_id"), method.alias("method"))
-
-
-def analyse(docs: DataFrame, unquoted: bool = False) -> dict[str, DataFrame]:
-    """TRM-17: introductions, mentions, meanings, sections, scores and resolutions.
-
-    Only small rows are shuffled: mentions and meanings by document and key, and
-    sections by document.
+
+def _resolved(tried: list[tuple]) -> tuple[int, float, str, str | None, str]:
+    """TRM-14, TRM-16 for one mention: candidates, margin, the tier-1 choice (an earlier meaning within the margin), the final one (only beyond its margin) and the method."""
+    ranked = sorted((-score, ms, m["meaning_id"]) for score, ms, m in tried)
+    top, best = -ranked[0][0], ranked[0][2]
+    scale = max(abs(top), 1.0)
+    margin = (top + ranked[1][0]) / scale if len(ranked) > 1 else 1.0
+    first = best if margin >= PRIOR_MARGIN else min((ms, i) for neg, ms, i in ranked if (top + neg) / scale < PRIOR_MARGIN)[1]
+    final = best if len(ranked) == 1 or margin >= FINAL_MARGIN else None
+    return len(ranked), _rounded(margin), first, final, "unresolved" if final is None else "tier1"
+
+
+_RESOLVED = "term string, key string, s int, e int, n_candidates int, margin double, tier1_meaning string, meaning_id string, method string"
+
+
+def resolutions(docs: DataFrame, unquoted: bool = False) -> DataFrame:
+    """TRM-14, TRM-16: each mention with its tier-1 and its final choice."""
+
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        for text in texts:
+            yield [(*mention, *_resolved(tried)) for mention, tried in _scored(text, unquoted)]
+
+    return _over_texts(docs, _RESOLVED, rows)
+
+
+def _reason(tried: list[tuple], resolved: tuple, mode: str, only_undecided: bool, ceiling: float) -> str | None:
+    """TRM-15 for one mention, as ``meanings.route_terms`` decides."""
+    n, margin, first = resolved[:3]
+    if mode == "off":
+        return "disabled"
+    if n < 2:
+        return "single_candidate"
+    if only_undecided and first is not None:
+        return "tier1_decided"
+    if mode == "auto" and margin >= ceiling:
+        return "tier1_confident"
+    return None if all(m["definition"] for _, _, m in tried) else "no_meanings"
+
+
+def route(docs: DataFrame, mode: str = "auto", only_undecided: bool = False, ceiling: float = meaning.TIER2_CEILING, unquoted: bool = False) -> DataFrame:
+    """TRM-15: mentions with the ``reason`` why tier 2 leaves them alone, null where it doesn't."""
+
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        for text in texts:
+            each = [(mention, tried, _resolved(tried)) for mention, tried in _scored(text, unquoted)]
+            yield [(*mention, *r[:3], _reason(tried, r, mode, only_undecided, ceiling)) for mention, tried, r in each]
+
+    return _over_texts(docs, "term string, key string, s int, e int, n_candidates int, margin double, meaning_id string, reason string", rows)
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> float:
+    """T2-05, summed in the order of the entries, as ``meanings.cosine01`` does."""
+    dot = lambda x, y: float(np.cumsum(x * y)[-1]) if len(x) else 0.0
+    n = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+    return min(max(0.5 * ((dot(a, b) / n if n else 0.0) + 1.0), 0.0), 1.0)
+
+
+def resolve(docs: DataFrame, analysed: Analysed, model, weight: float = meaning.TIER2_WEIGHT, mode: str = "auto", only_undecided: bool = False, ceiling: float = meaning.TIER2_CEILING, batch: int = 64) -> DataFrame:
+    """TRM-15, TRM-16: the final resolutions; those of reranked mentions are by blended scores (``tier2_blend``), the others as tier 1 left them.
+
+    Scores of mentions without a reason are blended with the similarity of
+    context and ``term: definition``. The texts are analysed anew, as
+    ``analysed`` was; ``batch`` distinct texts of some documents go to a call
+    of the model.
     """
-    scanned, paths = scan(docs, unquoted), sections(docs.select("doc_id", "text"))
-    found, meanings = _each(scanned, "mentions"), _with_ids(_each(scanned, "meanings"))
-    scored = scores(found, meanings, paths)
-    return {"introductions": _each(scanned, "introductions"), "mentions": found.drop("near"), "meanings": meanings, "sections": paths, "scores": scored, "resolutions": resolutions(scored)}
+    unquoted = analysed.unquoted
+
+    def rows(texts: list[str]) -> Iterator[list[tuple]]:
+        found, wanted = [], {}
+        for text in texts:
+            found.append([])
+            for mention, tried in _scored(text, unquoted):
+                first, around, said = _resolved(tried), None, []
+                if _reason(tried, first, mode, only_undecided, ceiling) is None:
+                    term, _, s, e = mention
+                    around, said = text[max(0, s - CONTEXT_CHARS) : e + CONTEXT_CHARS], [f"{term}: {m['definition']}" for _, _, m in tried]
+                    wanted |= dict.fromkeys((around, *said))
+                found[-1].append((mention, tried, first, around, said))
+        order = list(wanted)
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
+            wanted |= dict(zip(part, np.asarray(model(part), np.float32).astype(np.float64)))
+        for each in found:
+            out = []
+            for mention, tried, first, around, said in each:
+                n, margin, tier1, final, method = first
+                if around is not None:
+                    blended = [(_rounded((1 - weight) * score + weight * _similar(wanted[around], wanted[t])), ms, m) for (score, ms, m), t in zip(tried, said)]
+                    _, margin, _, final, method = _resolved(blended)
+                    method = "unresolved" if final is None else "tier2_blend"
+                out.append((*mention, n, margin, tier1, final, method))
+            yield out
+
+    return _over_texts(docs, _RESOLVED, rows)
+
+
+class Analysed(dict):
+    """The parts of an analysis by name, and whether it takes unquoted terms."""
+
+    unquoted = False
+
+
+def analyse(docs: DataFrame, unquoted: bool = False) -> Analysed:
+    """TRM-17: introductions, mentions, meanings, sections, scores and resolutions, each in one pass over the texts."""
+    parts = {"introductions": introductions, "mentions": mentions, "meanings": definitions, "scores": scores, "resolutions": resolutions}
+    out = Analysed({name: part(docs, unquoted) for name, part in parts.items()} | {"sections": sections(docs.select("doc_id", "text"))})
+    out.unquoted = unquoted
+    return out

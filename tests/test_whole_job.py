@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexloom.operators import extraction
+from lexloom.operators import extraction, meanings, terms
 from lexloom.plans.queries import ORACLES, QUERIES
 
 
@@ -35,3 +35,13 @@ def test_document_lines_are_by_row(spark, tmp_path):
     names, order = [c[0] for c in want.description], lambda r: str(tuple(r))
     got = QUERIES["document_lines"](spark, str(tmp_path)).select(*names)
     assert sorted(map(tuple, got.collect()), key=order) == sorted(want.fetchall(), key=order)
+
+
+def test_terms_are_settled_beside_their_text(spark):
+    """Scores, routes and resolutions of both tiers shuffle nothing, and are of one text even where ids repeat."""
+    text = '"Fee" means money paid for storage.\n"Fee" means any charge for transport by road.\nThe Fee for transport by road is due.'
+    d = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id int, text string")
+    found = terms.analyse(d)
+    results = [found["scores"], found["resolutions"], terms.route(d), terms.resolve(d, found, meanings.hashed_embedding())]
+    assert all("Exchange" not in r._jdf.queryExecution().executedPlan().toString() for r in results)
+    assert [r.count() for r in results] == [12, 6, 6, 6]
