@@ -19,6 +19,16 @@ TIEBREAK_CHARS = 3
 TIER1_MARGIN, TIER2_MARGIN, TIER2_CEILING, TIER2_WEIGHT = 0.20, 0.10, 0.75, 0.35
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that isn't broadcast.
+
+    What a plan is estimated to hold comes from the size of compressed files,
+    so rows that grow with the input would be sent to the driver and held by
+    every executor.
+    """
+    return rows.hint("merge")
+
+
 def source_rank(source: Column) -> Column:
     out = F.lit(0)
     for name, rank in SOURCES.items():
@@ -54,7 +64,7 @@ def tier1_scores(occurrences: DataFrame, meanings: DataFrame) -> DataFrame:
     ``occurrences``: doc_id, acronym, s, e, near (words around).
     """
     m = meanings.select(F.col("doc_id").alias("_d"), F.col("acronym").alias("_a"), "meaning_id", "conf", "spans", fx.word_set("label").alias("words"))
-    j = occurrences.join(m, (occurrences["doc_id"] == m["_d"]) & (F.upper(occurrences["acronym"]) == m["_a"]))
+    j = occurrences.join(shuffled(m), (occurrences["doc_id"] == m["_d"]) & (F.upper(occurrences["acronym"]) == m["_a"]))
     near = F.array_min(F.transform("spans", lambda x: F.abs(F.col("s") - F.floor((x["def_s"] + x["def_e"]) / 2))))
     overlap = F.when(F.size("words") > 0, F.size(F.array_intersect("words", "near")) / F.size("words")).otherwise(0.0)
     center = (F.col("s") + F.col("e")) / 2.0
@@ -84,7 +94,7 @@ def choose(scored: DataFrame, margin: float = TIER1_MARGIN, always: bool = False
 def disambiguate(occurrences: DataFrame, meanings: DataFrame, margin: float = TIER1_MARGIN) -> DataFrame:
     """MNG-07: every occurrence; an acronym without meanings stays without a choice."""
     chosen = choose(tier1_scores(occurrences, meanings), margin)
-    return occurrences.select("doc_id", "acronym", "s", "e").join(chosen, ["doc_id", "acronym", "s", "e"], "left").fillna(0.0, ["margin", "gap"]).fillna(0, ["n_candidates"])
+    return occurrences.select("doc_id", "acronym", "s", "e").join(shuffled(chosen), ["doc_id", "acronym", "s", "e"], "left").fillna(0.0, ["margin", "gap"]).fillna(0, ["n_candidates"])
 
 
 def ambiguous(meanings: DataFrame) -> DataFrame:
@@ -102,7 +112,7 @@ def select(decided: DataFrame, blended: DataFrame, mode: str = "auto", margin: f
     """
     by = ["doc_id", "acronym", "s", "e"]
     again = choose(blended, margin, mode == "on").select(*by, F.struct("meaning_id", "margin", "gap").alias("_again"))
-    rows = decided.join(again, by, "left")
+    rows = decided.join(shuffled(again), by, "left")
     new = F.col("_again").isNotNull()
     take = lambda name: F.when(new, F.col("_again")[name]).otherwise(F.col(name)).alias(name)
     out = rows.select(*by, "n_candidates", take("meaning_id"), take("margin"), take("gap"), F.when(new, 2).otherwise(1).alias("tier"))
@@ -112,7 +122,7 @@ def select(decided: DataFrame, blended: DataFrame, mode: str = "auto", margin: f
 def coverage(firsts: DataFrame, definitions: DataFrame) -> DataFrame:
     """EXT-15: by document the share of keys with a definition and the keys without."""
     known = definitions.select(F.col("doc_id").alias("_d"), F.upper("acronym").alias("_k")).distinct().withColumn("_y", F.lit(1))
-    j = firsts.join(known, (firsts["doc_id"] == known["_d"]) & (F.upper(firsts["key"]) == known["_k"]), "left")
+    j = firsts.join(shuffled(known), (firsts["doc_id"] == known["_d"]) & (F.upper(firsts["key"]) == known["_k"]), "left")
     return j.groupBy("doc_id").agg(F.avg(F.coalesce("_y", F.lit(0))).alias("coverage"), F.array_sort(F.collect_list(F.when(F.col("_y").isNull(), F.col("key")))).alias("missing"))
 
 

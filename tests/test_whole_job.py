@@ -45,3 +45,13 @@ def test_terms_are_settled_beside_their_text(spark):
     results = [found["scores"], found["resolutions"], terms.route(d), terms.resolve(d, found, meanings.hashed_embedding())]
     assert all("Exchange" not in r._jdf.queryExecution().executedPlan().toString() for r in results)
     assert [r.count() for r in results] == [12, 6, 6, 6]
+
+
+@pytest.mark.parametrize("name", ["acr_final_select", "acr_final_select_on", "acr_choose_margin", "acr_coverage", "tier2_route_reasons"])
+def test_choices_of_meanings_broadcast_nothing(spark, tmp_path, name):
+    """Both sides of their joins grow with the input."""
+    part = [(k, f"blue red {k}", "b", "SMALL TIN", k % 50) for k in range(100)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    rows = QUERIES[name](spark, str(tmp_path))
+    rows.collect()
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
