@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -233,22 +233,166 @@ def _occurrences(rows: DataFrame, debug: bool = False) -> DataFrame:
     return rows.select("doc_id", "acronym", "s", "e", F.round("conf", 6).alias("conf"), "key", "core", *extra, *text)
 
 
+# What follows is the same for texts of ASCII alone, one at a time: most candidates are
+# settled by a look at a character or two, where the native plan runs every pattern on every one.
+
+_BEFORE_TOKEN = re.compile(r"([A-Za-z0-9:.]*)\s*\Z", re.ASCII)
+_IS_TIME = re.compile(TIME, re.ASCII)
+_I_BEFORE, _I_AT_START = re.compile(r"""[.!?"'(\[{]\s*I\s*\Z""", re.ASCII), re.compile(r"\s*I\s*\Z", re.ASCII)
+_PARENS = re.compile(r"\s*\(([^)]{0,81})\)", re.ASCII)
+_STANDS = re.compile(r"\bstands\s+for\b", re.ASCII | re.IGNORECASE)
+_CLOSE_BY = re.compile(r"\s*([^.!?]{0,24})", re.ASCII)
+_NEXT_WORD = re.compile(r"""\s*["'(\[{]*([A-Za-z']*)""", re.ASCII)
+_STARTS, _STARTS_TEXT = re.compile(r"""[.!?][\s")\]}']*\Z""", re.ASCII), re.compile(r"""[\s")\]}']*\Z""", re.ASCII)
+_ONWARDS = re.compile(r"\s*(?:[A-Z]{1,2}\s+){0,2}[A-Z]{3,}(?:[^A-Za-z]|$)", re.ASCII)
+_COMMA_BEFORE, _SHOUT_BEFORE = re.compile(r",\s*\Z", re.ASCII), re.compile(r",\s*[A-Z]{4,}\s*\Z", re.ASCII)
+_MARK_NEXT, _MARK_AFTER = re.compile(r"[.?\n!]"), re.compile(r"\s*[,.!?;:]", re.ASCII)
+_CUED = re.compile(INLINE_CUES, re.ASCII)
+_LOWER, _UPPER = re.compile("[a-z]"), re.compile("[A-Z]")
+_DOTTED, _DOTTED_ON = re.compile(DOTTED_FORM), re.compile(r"""\d|\.[^)\]}'" \n\r\t,;:!?]""", re.ASCII)
+_WHITE = " \t\n\x0b\f\r"
+
+
+@lru_cache(1 << 16)
+def _surface(surface: str) -> tuple[str, str, bool, bool, float, bool] | None:
+    """What a surface alone decides: acronym, key, whether it is an all-caps word and one of two letters, its threshold, whether it is listed; None if it can't be one."""
+    only = [c for c in surface if c.isalpha()]
+    upper, n = sum(c.isupper() for c in only), sum(c.isalnum() for c in surface)
+    mixed = 0 < upper < len(only)
+    least = 0.5 if mixed and upper >= 2 else 0.25 if mixed and re.match(r"[a-z]{1,2}[A-Z][A-Za-z0-9]*\Z", surface) else 0.7
+    if len(surface) < LEAST or not only or not LEAST <= n <= MOST or upper / len(only) < least:
+        return None
+    if "." in surface:
+        plain = surface.replace(".", "")
+        if not _DOTTED.fullmatch(surface) or not LEAST <= len(plain) <= MOST or len(plain) == 2 and plain not in TWO_LETTERS:
+            return None
+    acronym = surface
+    for suffix in reversed(fx.PLURAL_SUFFIXES):
+        if surface.endswith(suffix):
+            stem = surface[: -len(suffix)]
+            if "." in stem:
+                acronym = surface
+            elif _UPPER.search(stem) and not _LOWER.search(stem):
+                acronym = stem
+    key_of = lambda x: re.sub(r"\s*([&/'-])\s*", r"\1", x.replace(".", ""), flags=re.ASCII)
+    acronym = acronym.rstrip(",.;:!?)]}" + _WHITE)
+    if not key_of(acronym):
+        return None
+    caps = len(only) >= 4 and not re.search(r"[\d&/'-]", surface, re.ASCII) and upper == len(only)
+    k = max(3, n) if re.search(r"[&/'.-]", surface) else n
+    return acronym, key_of(acronym), caps, key_of(surface) in TWO_LETTERS, THRESHOLDS.get(k, THRESHOLD), surface in BLACKLIST or surface in NOT_ACRONYMS or surface in ("IT", "AM")
+
+
+def _in_ascii(text: str, forms: re.Pattern) -> list[dict]:
+    """DET-18 for a text of ASCII alone: what ``detect`` finds in it, in order."""
+    found = [m.span() for m in forms.finditer(text)]
+    out = []
+    for k, (s, e) in enumerate(found):
+        surface = text[s:e]
+        known = _surface(surface)
+        if known is None:
+            continue
+        acronym, key, caps, two, least, listed = known
+        left, right = s, e
+        if s and text[s - 1] in _WHITE:
+            gap = text[found[k - 1][1] if k else 0 : s]
+            run = len(gap) - len(gap.rstrip(_WHITE))
+            left = s - run if run > spans.FAR else s
+        if e < len(text) and text[e] in _WHITE:
+            gap = text[e : found[k + 1][0] if k + 1 < len(found) else len(text)]
+            run = len(gap) - len(gap.lstrip(_WHITE))
+            right = e + run if run > spans.FAR else e
+        before = text[max(left - REACH, 0) : left] + (" " * spans.FAR if left < s else "")
+        after = (" " * spans.FAR if right > e else "") + text[right : right + REACH]
+        if "." in surface and (before[-1:].isdigit() or before[-1:] == "." or _DOTTED_ON.match(after)):
+            continue
+        opened, closed = before[-1:] in ("(", "["), after[:1] in (")", "]")
+        inside, m = opened and closed, _PARENS.match(after)
+        paren = m is not None and sum(c.isalpha() for c in m[1]) >= 5
+        stands = _STANDS.search(_CLOSE_BY.match(after)[1]) is not None
+        if not (inside or paren or stands):
+            if caps:
+                mark = _MARK_NEXT.search(text, e)
+                if mark and mark[0] == "!" and (_COMMA_BEFORE.search(before) and _ONWARDS.match(after) or _SHOUT_BEFORE.search(before)):
+                    continue
+                end = text.find("\n", e)
+                line = text[text.rfind("\n", 0, e) + 1 : end if end >= 0 else len(text)]
+                if not _LOWER.search(line) and len(_UPPER.findall(line)) >= 6:
+                    continue
+            if listed:
+                at_start = left <= REACH
+                word = _NEXT_WORD.match(after)[1]
+                lower = _LOWER.search(word) is not None and not _UPPER.search(word)
+                if surface == "AM":
+                    gone = _IS_TIME.search(_BEFORE_TOKEN.search(before)[1]) or _I_BEFORE.search(before) or at_start and _I_AT_START.match(before)
+                else:
+                    gone = lower and (_STARTS.search(before) or at_start and _STARTS_TEXT.match(before))
+                    gone = gone or surface in NOT_ACRONYMS and (lower or _MARK_AFTER.match(after))
+                if gone:
+                    continue
+        conf = 0.6 + (0.25 if inside else 0.15 if opened or closed else 0.0) + (0.25 if paren else 0.0) + (0.15 if stands else 0.0) - (0.2 if surface in BLACKLIST else 0.0)
+        conf = max(0.0, min(1.0, conf))
+        conf = min(conf + 0.75, 0.99) if two else conf
+        if len(surface) <= 3 and _CUED.search(after[:60]):
+            conf = min(conf + 0.2, 0.99)
+        if conf >= least:
+            out.append({"acronym": acronym, "s": s, "e": e, "conf": round(conf, 6), "key": key})
+    return out
+
+
+def _is_ascii() -> Column:
+    return F.length("text") == F.octet_length("text")
+
+
 def detect(docs: DataFrame, dotted: bool = False, with_domains: bool = False, debug: bool = False) -> DataFrame:
     """DET-18: accepted occurrences: doc_id, acronym, s, e, conf, key, core (and reasons)."""
-    return _occurrences(candidates(docs, dotted, with_domains), debug)
+    if with_domains or debug:
+        return _occurrences(candidates(docs, dotted, with_domains), debug)
+    return by_text(docs, lambda text, found: found, "acronym: string, s: int, e: int, conf: double, key: string", dotted).withColumn("core", F.lit(True))
 
 
 def by_text(docs: DataFrame, fn: Callable[[str, list[dict]], list[dict]], schema: str, dotted: bool = False) -> DataFrame:
     """What ``fn`` makes of each text and its occurrences, with the row's doc_id.
 
+    Occurrences are found in the same Python pass; in texts with more than
+    ASCII, natively before it.
+    """
+    ship(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType
+    fields = [T.StructField("doc_id", id_type), *T.StructType.fromDDL(schema).fields]
+    types = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+    names, forms = types.names[1:], re.compile(QUICK + pattern(dotted), re.ASCII)
+    docs = docs.select("doc_id", "text")
+
+    def batch_of(ids: list, rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, types.field(0).type), *(pa.array([r[n] for r in rows], types.field(n).type) for n in names)], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, out = [], []
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if found := _in_ascii(text, forms):
+                    rows = fn(text, found)
+                    ids += [doc] * len(rows)
+                    out += rows
+                if len(out) >= 5_000:
+                    yield batch_of(ids, out)
+                    ids, out = [], []
+        if out:
+            yield batch_of(ids, out)
+
+    said = f"doc_id {id_type.simpleString()}, " + ", ".join(p.replace(":", " ", 1) for p in schema.split(","))
+    return docs.where(_is_ascii()).mapInArrow(run, said).unionByName(_by_native(docs.where(~_is_ascii()), fn, types, said, dotted))
+
+
+def _by_native(docs: DataFrame, fn: Callable[[str, list[dict]], list[dict]], types: pa.Schema, said: str, dotted: bool) -> DataFrame:
+    """``by_text`` by native patterns.
+
     A text goes in front of its occurrences out of one scan, in the order in
     which they are found, so it is neither shuffled nor joined, nor repeated
     for each of them.
     """
-    ship(docs.sparkSession)
-    id_type = docs.schema["doc_id"].dataType
-    rows = _occurrences(_core(docs.select("doc_id", "text"), dotted, with_text=True)).drop("core")
-    types = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T.StructType([T.StructField("doc_id", id_type)]).fields + list(T.StructType.fromDDL(schema).fields)])
+    rows = _occurrences(_core(docs, dotted, with_text=True)).drop("core")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, text, found, out = None, None, [], []
@@ -271,7 +415,7 @@ def by_text(docs: DataFrame, fn: Callable[[str, list[dict]], list[dict]], schema
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=types)
 
-    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, " + ", ".join(p.replace(":", " ", 1) for p in schema.split(",")))
+    return rows.mapInArrow(run, said)
 
 
 def firsts(occurrences: DataFrame) -> DataFrame:

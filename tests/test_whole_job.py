@@ -1,8 +1,10 @@
 """Operators do the whole job: whole texts, whole lines, whole sentences."""
 
+import re
+
 import pytest
 
-from lexloom.operators import extraction, meanings, terms
+from lexloom.operators import acronyms, extraction, meanings, terms
 from lexloom.plans.queries import ORACLES, QUERIES
 
 
@@ -55,3 +57,19 @@ def test_choices_of_meanings_broadcast_nothing(spark, tmp_path, name):
     rows = QUERIES[name](spark, str(tmp_path))
     rows.collect()
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_acronyms_of_ascii_texts_are_found_beside_them(spark):
+    """One pass finds what the native patterns find, for texts of ASCII as for others."""
+    import random
+
+    pick = random.Random(3)
+    tokens = ["NASA", "IT", "AM", "I", "OK", "is", "the", ",", ".", "!", "(", ")", "US", "U.S.", "UK's", "PMs", "R & D", "USB-C", "\n", " " * 70, "stands for", "short for", "HELLO", "STOP NOW", "10:30", '"', "'", "IF", "mRNA", "eBay", "(alpha beta gamma)", "DR", "A/B"]
+    texts = ["".join(pick.choice(tokens) + pick.choice([" ", " ", ""]) for _ in range(pick.randint(1, 60))) for _ in range(300)]
+    d = spark.createDataFrame([*enumerate(texts), (300, "the NASA é"), (301, None)], "doc_id int, text string")
+    names = ["doc_id", "acronym", "s", "e", "conf", "key"]
+    for dotted in (False, True):
+        want = sorted(map(tuple, acronyms._occurrences(acronyms.candidates(d, dotted)).select(*names).collect()))
+        assert sorted(map(tuple, acronyms.detect(d, dotted).select(*names).collect())) == want
+    forms = re.compile(acronyms.QUICK + acronyms.pattern(), re.ASCII)
+    assert [o["acronym"] for o in acronyms._in_ascii("The NASA (space agency) is OK.", forms)] == ["NASA"]
