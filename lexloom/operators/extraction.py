@@ -31,6 +31,7 @@ _OPENED = re.compile(r"[(\[]\s*[\"'“”‘’]?\s*$")
 _CLOSED = re.compile(r"^\.?[\"'“”‘’]?\s*(?:[,;:—–-][^)\]]{0,120})?[)\]]")
 _AFTER_IN_BRACKETS = re.compile(r"^(?:s\b)?(?:['’]s\b)?\s*([(\[])\s*([^)\]]{1,200}?)\s*[)\]]")
 _BEFORE_IN_BRACKETS = re.compile(r"[(\[]\s*([^()\[\]]{1,200}?)\s*[)\]]\s+[\"'“”‘’]?$")
+_QUOTES = "\"'“”‘’"
 _CLAUSE_END = re.compile(r"[.;:](?=\s|$)|[\r\n]")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 
@@ -57,7 +58,12 @@ def candidates(acronym: str, left: str, right: str, s: int, e: int) -> list[dict
             out.append({"definition": definition, "ds": base + a, "de": base + b, "source": source, "conf": round(min(BASE[source] - LOSS * gap, 0.99), 6), "kind": kind})
 
     start = s - len(left)
-    if (m := _OPENED.search(left)) and _CLOSED.search(right):
+    # what the patterns that end here need to stand in front, so that most occurrences needn't be searched
+    ahead = left.rstrip()
+    if ahead and ahead[-1] in _QUOTES:
+        ahead = ahead[:-1].rstrip()
+    last = ahead[-1:]
+    if last in ("(", "[") and (m := _OPENED.search(left)) and _CLOSED.search(right):
         clause, at = _clause(left[: m.start()])
         phrase = al.words(clause)
         if phrase:
@@ -66,7 +72,7 @@ def candidates(acronym: str, left: str, right: str, s: int, e: int) -> list[dict
         inner, phrase = m.group(2), al.words(m.group(2))
         if phrase:
             put(inner, e + m.start(2), al.shortest(acronym, phrase), phrase, "parenthetical", "def_after")
-    if m := _BEFORE_IN_BRACKETS.search(left):
+    if last in (")", "]") and (m := _BEFORE_IN_BRACKETS.search(left)):
         inner, phrase = m.group(1), al.words(m.group(1))
         if phrase:
             put(inner, start + m.start(1), al.shortest(acronym, phrase), phrase, "parenthetical", "paren_before")
@@ -77,7 +83,7 @@ def candidates(acronym: str, left: str, right: str, s: int, e: int) -> list[dict
         phrase = al.words(clause)
         if phrase:
             put(clause, e + m.end(), al.shortest(acronym, phrase), phrase, "inline", "inline")
-    if m := _CUE_BEFORE.search(left):
+    if ahead[-5:].casefold().endswith(("for", "means", "as")) and (m := _CUE_BEFORE.search(left)):
         clause, at = _clause(left[: m.start()])
         phrase = al.words(clause)
         if phrase:

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from lexloom.functions import alignment
 from lexloom.operators import acronyms, extraction, meanings, terms
 from lexloom.plans.queries import ORACLES, QUERIES
 
@@ -73,3 +74,9 @@ def test_acronyms_of_ascii_texts_are_found_beside_them(spark):
         assert sorted(map(tuple, acronyms.detect(d, dotted).select(*names).collect())) == want
     forms = re.compile(acronyms.QUICK + acronyms.pattern(), re.ASCII)
     assert [o["acronym"] for o in acronyms._in_ascii("The NASA (space agency) is OK.", forms)] == ["NASA"]
+
+
+def test_a_sentence_is_split_once_for_all_its_acronyms():
+    text = "The Regional Supply Board met the Joint Audit Office."
+    assert alignment.words(text) is alignment.words(text)
+    assert alignment.to_the_end("JAO", alignment.words(text)).first == 6 and alignment.shortest("RSB", alignment.words(text)).first == 1
